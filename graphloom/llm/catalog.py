@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import linededup, mixing, simhash
+from graphloom.llm import decontam, licenses, linededup, mixing, simhash, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of all pages, with the mined rule that decides."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of all documents."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -28,10 +33,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words, base places, labels and score of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id and the evidence of every document that holds a benchmark item."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_decontamination": op8_decontamination,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
