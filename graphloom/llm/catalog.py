@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, licenses, linededup, mixing, simhash, urlfilter
+from graphloom.llm import decontam, langid, licenses, linededup, mixing, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +28,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of all documents."""
+    return langid.identify(table(spark, sf_dir, "documents")).drop("bits")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_lines, n_removed of all documents."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents."""
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words, base places, labels and score of all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -47,7 +57,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
 }
