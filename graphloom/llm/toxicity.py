@@ -18,6 +18,8 @@ from graphloom.plans.sizes import small_side
 WORD = re.compile(r"[^\W\d_]+")
 #: The same for Spark's expressions.
 WORD_SQL = r"[\p{L}\p{M}]+"
+#: A longer word that isn't scored itself is scored by its first so many letters, written with a star.
+STEM = 7
 #: Passages of E-values up to this are significant.
 SIGNIFICANT = 1e-2
 
@@ -40,15 +42,14 @@ class Model:
         """
         words = WORD.findall((text or "").lower())
         get = self.scores.get
+        scores = [get(w) or (len(w) > STEM and get(w[:STEM] + "*")) or None for w in words]
         stack: list[tuple[float, float, int, int]] = []  # (sum before, sum after, first, last)
         total, last = 0.0, -1
-        for at, s in enumerate(map(get, words)):
+        for at, s in enumerate(scores):
             if s is None:
                 continue
             before = total + self.other * (at - last - 1)
             total, last = before + s, at
-            if s <= 0:
-                continue
             now = (before, total, at, at)
             while True:
                 k = len(stack) - 1
@@ -79,15 +80,17 @@ class Model:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(word, toxic, clean): documents of either label that hold the word."""
-    words = docs.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0)))).alias("word"))
+    """(word, toxic, clean): documents of either label that hold the word or stem."""
+    listed = docs.select("toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("words"))
+    stems = F.transform(F.filter("words", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    words = listed.select("toxic", F.explode(F.array_distinct(F.concat("words", stems))).alias("word"))
     return words.groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
 
 
 def learn_scores(docs: DataFrame, prior: float = 1.0, least_z: float = 4.0, most_words: int = 50_000) -> tuple[dict[str, float], float]:
     """Log-odds of words under Dirichlet priors, from (text, toxic); and the rate of scored words in clean texts.
 
-    A word's prior is ``prior`` documents shared as the word is over both labels. Words whose log-odds are
+    Stems count as words. A word's prior is ``prior`` documents shared as the word is over both labels. Words whose log-odds are
     ``least_z`` standard errors above 0 are scored, at most ``most_words`` of them, the surest first.
     """
     n = docs.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")).first()
