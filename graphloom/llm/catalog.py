@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, langid, licenses, linededup, mixing, simhash, toxicity, urlfilter
+from graphloom.llm import ann, decontam, htmltext, langid, licenses, linededup, mixing, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest of every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of all pages."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -62,6 +72,8 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_nearest": op9_nearest,
+    "op10_html_text": op10_html_text,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
