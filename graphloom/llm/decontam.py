@@ -26,7 +26,7 @@ def tokens(text: Column) -> Column:
     unit = F.regexp_replace(named, rf"(?i)(\p{{Nd}}) ?(%|(?:{UNITS})(?!\p{{L}}))", rf"$1 {UNIT}$2")
     unit = F.regexp_replace(unit, r"([$€£]) ?(?=\p{Nd})", rf" {UNIT}$1 ")
     numbered = F.regexp_replace(unit, rf"(?<![\p{{L}}\p{{N}}]){DIGITS}", rf"{NUMBER}$0")
-    full = F.when(named.rlike(r"\p{Nd}"), numbered).otherwise(named)
+    full = F.when(text.rlike(r"\p{Nd}"), numbered).otherwise(named)
     return F.coalesce(F.regexp_extract_all(F.lower(full), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
@@ -34,24 +34,35 @@ def _slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(NUMBER, NAME, UNIT)
 
 
-def _hashes(df: DataFrame, width: int) -> DataFrame:
-    """``df`` with its ``tokens`` replaced by ``hashes`` of all windows, by doubling: of 2, of 4, of ``width`` tokens."""
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def hashes(tokens_: Column, width: int) -> Column:
+    """The hashes of all windows, by doubling: of 2 tokens, of 4, of ``width``; empty for fewer tokens."""
     if width & (width - 1):
         raise ValueError("the width is a power of two")
-    now = df.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(F.when(_slot(t), F.substring(t, 1, 1)).otherwise(t)))).drop("tokens")
+    now = F.transform(tokens_, lambda t: F.xxhash64(F.when(_slot(t), F.substring(t, 1, 1)).otherwise(t)))
     step = 1
     while step < width:
-        n = F.greatest(F.size("hashes") - step, F.lit(0))
-        now = now.select(*[c for c in now.columns if c != "hashes"], F.zip_with(F.slice("hashes", F.lit(1), n), F.slice("hashes", F.lit(step + 1), n), lambda x, y: F.xxhash64(x, y)).alias("hashes"))
+        now = _bound(now, _doubled(step))
         step *= 2
     return now
 
 
+def _doubled(step: int):
+    def of(h: Column) -> Column:
+        n = F.greatest(F.size(h) - step, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(step + 1), n), lambda x, y: F.xxhash64(x, y))
+
+    return of
+
+
 def item_windows(benchmark: DataFrame, width: int = 8, most_slots: int = 4, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """(item_id, at, hash, slots, need): the item's windows with at most so many slots, and the matches it needs."""
     items = benchmark.select(F.col(id_column).alias("item_id"), tokens(F.col(text_column)).alias("tokens")).where(F.size("tokens") >= width)
-    full = _hashes(items.withColumn("kept", F.col("tokens")), width)
-    each = full.select("item_id", "kept", (F.size("hashes")).alias("n"), F.posexplode("hashes").alias("at", "hash"))
+    each = items.select("item_id", F.col("tokens").alias("kept"), F.posexplode(hashes(F.col("tokens"), width)).alias("at", "hash"))
     slots = F.size(F.filter(F.slice("kept", F.col("at") + 1, F.lit(width)), _slot))
     return each.select("item_id", "at", "hash", slots.alias("slots")).where(F.col("slots") <= most_slots)
 
@@ -67,8 +78,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, need: int = 6,
     """
     known = stored(item_windows(benchmark, width, most_slots), "benchmark-windows")
     per_item = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item_windows"))
-    own = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), tokens(F.col(text_column)).alias("tokens")).where(F.size("tokens") >= width)
-    hits = _hashes(own, width).select("doc_id", "row", F.posexplode("hashes").alias("pos", "hash")).join(small_side(known, 1_000_000), "hash").drop("hash")
+    # posexplode_outer: the inner one makes Spark test the array's size below, where it is computed again.
+    own = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), F.posexplode_outer(hashes(tokens(F.col(text_column)), width)).alias("pos", "hash"))
+    hits = own.join(small_side(known, 1_000_000), "hash").drop("hash")
     hits = stored(hits, "window-hits")
     pair = ["doc_id", "row", "item_id"]
     counted = hits.groupBy(*pair).agg(F.size(F.collect_set(F.when(F.col("slots") == 0, F.col("at")))).alias("plain"), F.size(F.collect_set("at")).alias("n_windows"))
