@@ -20,6 +20,11 @@ def flipped(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "_s", "dst": "src"}).withColumnRenamed("_s", "dst")
 
 
+def onward(edges: DataFrame, group: Group = ()) -> DataFrame:
+    """(group, dst, _next): edges named so as to go on from another edge's dst."""
+    return edges.select(*group, F.col("src").alias("dst"), F.col("dst").alias("_next"))
+
+
 def simple(edges: DataFrame, group: Group = ()) -> DataFrame:
     """Distinct edges without null ends."""
     return edges.select(*group, "src", "dst").dropna().distinct()
@@ -50,7 +55,7 @@ def reachable_pairs(edges: DataFrame, group: Group = (), seeds: DataFrame | None
     """(group, src, dst): for each source, or each seed (group, node), the nodes reached by at least one edge."""
     own = simple(edges, group).persist()
     first = own if seeds is None else own.join(seeds.withColumnRenamed("node", "src"), [*group, "src"], "left_semi")
-    ahead = own.withColumnsRenamed({"src": "dst", "dst": "_next"})
+    ahead = onward(own, group)
     step = lambda at: at.join(ahead, [*group, "dst"]).select(*group, "src", F.col("_next").alias("dst"))
     found = fixpoint(first, step, [*group, "src", "dst"])
     own.unpersist()
