@@ -69,9 +69,9 @@ def override_chain(methods: DataFrame, above: DataFrame) -> DataFrame:
 def flow_edges(stmts: DataFrame) -> DataFrame:
     """(method, src, dst): successors by kind. None for return and throw; the target for goto; default and targets
     for switch; fall-through and targets for if; else fall-through."""
-    after = F.lead("idx").over(Window.partitionBy("method").orderBy("idx"))
+    stmts = stmts.withColumn("_after", F.lead("idx").over(Window.partitionBy("method").orderBy("idx")))
     falls = ~F.col("kind").isin("return", "return_void", "throw", "goto", "switch")
-    ends = F.concat(F.coalesce("targets", F.array().cast("array<int>")), F.array(F.col("default_target")), F.array(F.when(falls, after)))
+    ends = F.concat(F.coalesce("targets", F.array().cast("array<int>")), F.array(F.col("default_target")), F.array(F.when(falls, F.col("_after"))))
     return stmts.select("method", F.col("idx").alias("src"), F.explode(ends).alias("dst")).where(F.col("dst").isNotNull()).distinct()
 
 
