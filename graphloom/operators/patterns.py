@@ -7,6 +7,7 @@ back-references do that inside Spark's own matcher, so no Python runs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,11 +54,8 @@ def matched(texts: DataFrame, pattern: str, text: str = "text") -> DataFrame:
 
 
 def bound(text: Column, pattern: str, names: Sequence[str]) -> Column:
-    """A map of the names that the pattern binds to what they are bound to."""
-    import re
-
-    order = [m for m in re.findall(r"\(\?<([A-Za-z]\w*)>|(\((?!\?))", pattern)]
-    place = {name: i + 1 for i, (name, _) in enumerate(order) if name}
+    """A map of the names that the pattern binds to what they are bound to; all its capturing groups have names."""
+    place = {name: i + 1 for i, name in enumerate(re.findall(r"\(\?<([A-Za-z]\w*)>", pattern))}
     pairs = [x for n in names if n in place for x in (F.lit(n), F.regexp_extract(text, pattern, place[n]))]
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
