@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.sampling import first_by_hash
 from graphloom.plans.sizes import small_side
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -129,7 +130,7 @@ def sample(docs: DataFrame, most_bytes: int = 400_000, longest: int = 20_000) ->
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", F.xxhash64("doc_id", F.octet_length("text")).alias("_hash"), F.least(F.octet_length("text"), F.lit(longest + 1)).alias("_n"))
     order = Window.partitionBy("lang").orderBy("_hash")
-    first = labelled.where(F.col("_n") <= longest).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most_bytes // 256)
+    first = first_by_hash(labelled.where(F.col("_n") <= longest), "lang", most_bytes // 256)
     kept = first.withColumn("_sum", F.sum("_n").over(order)).where(F.col("_sum") <= most_bytes).select("lang", "_hash").distinct()
     if kept.select("lang").distinct().count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")

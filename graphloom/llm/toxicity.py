@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.langid import held_out
+from graphloom.llm.sampling import first_by_hash
 from graphloom.plans.sizes import small_side
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -125,7 +126,7 @@ def learn(labelled: DataFrame, sample_rows: int = 20_000, words_a_text: float =
     The sample is at most ``sample_rows`` rows of each label in order of the hash of the id.
     """
     hashed = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic", F.xxhash64("doc_id").alias("_hash"))
-    kept = hashed.withColumn("_at", F.row_number().over(Window.partitionBy("toxic").orderBy("_hash", "doc_id"))).where(F.col("_at") <= sample_rows).select("doc_id").distinct()
+    kept = first_by_hash(hashed, "toxic", sample_rows).select("doc_id").distinct()
     rows = labelled.where(F.col("toxic").isin(0, 1)).join(small_side(kept), "doc_id", "left_semi").select("text", "toxic", (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)) == 0).alias("later")).persist()
     try:
         scores, rate = learn_scores(rows.where(~F.col("later")))
