@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+#: Name to DDL.
+SCHEMAS = {
     "path_element": "path string, root string, origin string, data binary",
     "app": "name string, main_class string, main_method string, app_packages array<string>",
     "class_file": "name string, origin string, data binary, seq long",
@@ -26,4 +25,9 @@ _DDL = {
     "snap_instance_field": "object long, class string, field string, type string, value string",
     "snap_array_element": "array long, type string, index int, element string",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def shape(name: str) -> list[tuple[str, str]]:
+    """The columns of a table with their types' short names."""
+    short = {"long": "bigint"}
+    return [(c, short.get(t, t)) for c, t in (part.split(" ", 1) for part in SCHEMAS[name].split(", "))]

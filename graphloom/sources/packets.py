@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.model import SCHEMAS
+from graphloom.sources.model import SCHEMAS, shape
 
 FORMAT = {"format": "graphloom-records", "version": 1}
 
@@ -23,7 +23,7 @@ def _shape(schema) -> list[tuple[str, str]]:
 def write(tables: dict[str, DataFrame], path: str) -> None:
     """Each table under its name; the manifest comes last, so a folder with one is whole."""
     for name, df in tables.items():
-        if name in SCHEMAS and _shape(df.schema) != _shape(SCHEMAS[name]):
+        if name in SCHEMAS and _shape(df.schema) != shape(name):
             raise WrongFormat(f"{name} has {_shape(df.schema)}")
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     some = next(iter(tables.values()))
@@ -39,9 +39,9 @@ def read(spark: SparkSession, *paths: str) -> dict[str, DataFrame]:
         head = json.loads(row.value) if row else {}
         if {k: head.get(k) for k in FORMAT} != FORMAT:
             raise WrongFormat(path)
-        for name, shape in head["tables"].items():
+        for name, own in head["tables"].items():
             df = spark.read.parquet(f"{path}/{name}")
-            if _shape(df.schema) != [tuple(x) for x in shape] or name in SCHEMAS and _shape(df.schema) != _shape(SCHEMAS[name]):
+            if _shape(df.schema) != [tuple(x) for x in own] or name in SCHEMAS and _shape(df.schema) != shape(name):
                 raise WrongFormat(f"{path}/{name} has {_shape(df.schema)}")
             found[name] = found[name].unionByName(df) if name in found else df
     return found
