@@ -90,19 +90,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, need: int = 6,
     open_ = found.where(F.col("plain") < enough)
     if open_.isEmpty():
         return exact
-    aligned = hits.where("slots > 0").join(open_.select(*pair), [F.col("item_id") == open_.item_id, hits.doc_id.eqNullSafe(open_.doc_id), hits.row == open_.row], "left_semi")
+    named = {"doc_id": "_d", "row": "_r", "item_id": "_i"}
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r"))
+    aligned = hits.where("slots > 0").join(open_.select(*pair).withColumnsRenamed(named), same & (F.col("item_id") == F.col("_i")), "left_semi")
     aligned = aligned.select(*pair, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"), "pos", "at").select(*pair, (F.col("pos") + F.col("k")).alias("pos"), (F.col("at") + F.col("k")).alias("at")).distinct()
     valued = lambda df, keys, place, name: df.select(*keys, F.posexplode("tokens").alias(place, name)).where(_slot(F.col(name)))
-    wanted = small_side(open_.select("doc_id", "row").distinct())
+    wanted = small_side(open_.select("doc_id", "row").distinct().withColumnsRenamed(named))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), F.col(text_column).alias("text"))
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.row == wanted.row), "left_semi")
-    doc_slots = valued(texts.select("doc_id", "row", tokens(F.col("text")).alias("tokens")), ["doc_id", "row"], "pos", "theirs").withColumnsRenamed({"doc_id": "_d", "row": "_r", "pos": "_p"})
+    texts = texts.join(wanted, same, "left_semi")
+    doc_slots = valued(texts.select("doc_id", "row", tokens(F.col("text")).alias("tokens")), ["doc_id", "row"], "pos", "theirs").withColumnsRenamed(named | {"pos": "_p"})
     item_slots = valued(benchmark.select("item_id", tokens(F.col("text")).alias("tokens")), ["item_id"], "at", "ours")
-    met = aligned.join(item_slots, ["item_id", "at"]).join(doc_slots, aligned.doc_id.eqNullSafe(F.col("_d")) & (aligned.row == F.col("_r")) & (F.col("pos") == F.col("_p")))
+    met = aligned.join(item_slots, ["item_id", "at"]).join(doc_slots, same & (F.col("pos") == F.col("_p")))
     values = met.groupBy(*pair, "ours").agg(F.min("theirs").alias("a"), F.max("theirs").alias("b"))
     judged = values.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("a") != F.col("b")).alias("clashes"))
-    good = judged.where("clashes = 0").withColumnsRenamed({"doc_id": "_d", "row": "_r", "item_id": "_i"})
-    by_template = open_.join(good, open_.doc_id.eqNullSafe(F.col("_d")) & (open_.row == F.col("_r")) & (open_.item_id == F.col("_i")))
+    good = judged.where("clashes = 0").withColumnsRenamed(named)
+    by_template = open_.join(good, same & (F.col("item_id") == F.col("_i")))
     return exact.unionAll(by_template.select(*pair, "n_windows", "n_item_windows", F.col("n_slots").cast("int")))
 
 
@@ -110,4 +112,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """``docs`` without the documents that ``leaks`` names."""
     found = leaks(docs, benchmark, id_column=id_column, text_column=text_column, **settings).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
     found = small_side(stored(found, "leaked"))
-    return docs.join(found, F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_row")), "left_anti")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_column).alias("own_id"), F.xxhash64(text_column).alias("own_row"))
+    return own.join(found, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_row") == F.col("_row")), "left_anti").select("doc.*")

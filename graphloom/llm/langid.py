@@ -176,5 +176,5 @@ def keep_known(docs: DataFrame) -> DataFrame:
     A text is shortened if it takes less than a uniform code over the symbols.
     """
     trees = fit(sample(docs.select("doc_id", "text", "lang").where(~held_out("doc_id"))))
-    said = identified(docs, trees)
-    return said.where((F.col("_said.lang_pred") != "und") & (F.col("_said.bits") < float(np.log2(max(2, trees.symbols))))).select(*docs.columns)
+    said = identified(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"), trees)
+    return said.where((F.col("_said.lang_pred") != "und") & (F.col("_said.bits") < float(np.log2(max(2, trees.symbols))))).select("doc.*")

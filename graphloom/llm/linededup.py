@@ -54,18 +54,21 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     count as one document; columns named like the two new ones are replaced.
     """
     gaps = kept_runs(later(stored(windows(docs, id_column, text_column, width), "line-windows"))).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "runs", "rest")
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*cols, F.xxhash64(text_column).alias("_own")).join(gaps, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
-    split = joined.withColumn("_lines", F.when(F.col("rest").isNotNull(), _lines(F.col(text_column))))
-    tail = F.array(F.struct((F.col("rest") + 1).alias("start"), (F.size("_lines") - F.col("rest")).alias("n")))
-    left = F.flatten(F.transform(F.concat("runs", tail), lambda r: F.slice("_lines", r.start, r.n)))
-    split = split.withColumn("_left", F.when(F.col("rest").isNotNull(), left))
-    n_lines = F.when(F.col(text_column).isNull(), 0).otherwise(F.length(text_column) - F.length(F.replace(text_column, F.lit("\n"))) + 1)
-    changed = F.col("_left").isNotNull()
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text = F.col("text")
+    # The row travels as one struct, so that no column's name can clash with those used here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text_column], F.lit(0).alias("_")).alias("doc"), F.col(id_column).alias("own_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("own_row"))
+    joined = own.join(gaps, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_row") == F.col("_row")), "left")
+    split = joined.withColumn("lines", F.when(F.col("rest").isNotNull(), _lines(text)))
+    tail = F.array(F.struct((F.col("rest") + 1).alias("start"), (F.size("lines") - F.col("rest")).alias("n")))
+    left = F.flatten(F.transform(F.concat("runs", tail), lambda r: F.slice("lines", r.start, r.n)))
+    split = split.withColumn("left", F.when(F.col("rest").isNotNull(), left))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)
+    changed = F.col("left").isNotNull()
     return split.select(
-        *[F.when(changed, F.array_join("_left", "\n")).otherwise(F.col(c)).alias(c) if c == text_column else F.col(c) for c in cols],
+        *[F.when(changed, F.array_join("left", "\n")).otherwise(text).alias(c) if c == text_column else F.col(f"doc.`{c}`").alias(c) for c in kept],
         n_lines.cast("long").alias("n_lines"),
-        F.when(changed, F.size("_lines") - F.size("_left")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(changed, F.size("lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed"),
     )
 
 

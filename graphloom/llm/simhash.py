@@ -118,5 +118,5 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     named = groups(docs, id_column, text_column, also={"_text": hashed}).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     least = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     kept = named.groupBy(least("component_id").alias("_key"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_group")).agg(F.min("_text").alias("_text")).select("_key", "_text").distinct()
-    keyed = docs.withColumns({"_key": least(id_column), "_text": hashed})
-    return keyed.join(kept, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), least(id_column).alias("_key"), hashed.alias("_text"))
+    return keyed.join(kept, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select("doc.*")
