@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.reach import Group, reachable, simple
+from graphloom.operators.reach import reachable, simple, small_graphs
 from graphloom.plans.fixpoint import fixpoint
 
 
@@ -54,32 +54,40 @@ def _immediate(roots: list, pairs: list[tuple]) -> dict:
     return {n: d for n, d in above.items() if n is not None}
 
 
+def _dominator_sets(edges: DataFrame, roots: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, node, idom, doms) by one pass over each graph; a graph travels as one row of arrays."""
+    kind = dict(edges.dtypes)["src"]
+
+    @F.pandas_udf(f"node array<{kind}>, idom array<{kind}>, doms array<array<{kind}>>")
+    def solve(srcs: pd.Series, dsts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        out = []
+        for src, dst, start in zip(srcs, dsts, starts):
+            above = _immediate(sorted(start), sorted(zip(src, dst)))
+            chains = []
+            for n in above:
+                chain = []
+                while n is not None:
+                    chain.append(n)
+                    n = above[n]
+                chains.append(chain)
+            out.append((list(above), list(above.values()), chains))
+        return pd.DataFrame(out, columns=["node", "idom", "doms"])
+
+    solved = small_graphs(edges, group, roots).select(*group, solve("srcs", "dsts", "starts").alias("s"))
+    return solved.select(*group, F.explode(F.arrays_zip("s.node", "s.idom", "s.doms")).alias("r")).select(*group, "r.node", "r.idom", "r.doms")
+
+
 def immediate_dominators(edges: DataFrame, roots: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, node, idom) of every node reached from its graph's roots (group, node); null for what no node dominates.
 
-    One task takes a graph at a time: a method's flow graph is small, and the order is inherently sequential.
+    For graphs of which one fits a task many times over, such as the flow graphs of methods.
     """
-    types = dict(edges.dtypes)
-    marked = simple(edges, group).withColumn("_root", F.lit(False)).unionByName(roots.select(*group, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("_root")).dropna())
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        starts = part.loc[part["_root"], "src"].drop_duplicates().sort_values().tolist()
-        flow = part.loc[~part["_root"]].sort_values(["src", "dst"])
-        found = _immediate(starts, list(zip(flow["src"], flow["dst"])))
-        out = pd.DataFrame({"node": list(found), "idom": list(found.values())}, dtype=object)
-        for g in reversed(list(group)):
-            out.insert(0, g, part[g].iloc[0])
-        return out
-
-    schema = ", ".join([*[f"`{g}` {types[g]}" for g in group], f"node {types['src']}", f"idom {types['src']}"])
-    return marked.groupBy(*group).applyInPandas(one, schema)
-
-
-def dominators(idom: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group, node, dom): all dominators, the node itself included, from the immediate ones."""
-    up = idom.where(F.col("idom").isNotNull()).withColumnsRenamed({"node": "dom", "idom": "_up"})
-    step = lambda at: at.join(up, [*group, "dom"]).select(*group, "node", F.col("_up").alias("dom"))
-    return fixpoint(idom.select(*group, "node", F.col("node").alias("dom")), step, [*group, "node", "dom"])
+    return _dominator_sets(edges, roots, group).select(*group, "node", "idom")
+
+
+def dominators(edges: DataFrame, roots: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, node, dom): all dominators of every node reached, the node itself included."""
+    return _dominator_sets(edges, roots, group).select(*group, "node", F.explode("doms").alias("dom"))
 
 
 def back_edges(edges: DataFrame, dom: DataFrame, group: Sequence[str]) -> DataFrame:

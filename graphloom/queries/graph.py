@@ -29,8 +29,8 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dominated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     flow = _flow(spark, sf_dir)
-    idom = cut(loops.immediate_dominators(flow, customer_roots(spark, sf_dir), G))
-    return flow, idom, loops.dominators(idom, G)
+    roots_ = customer_roots(spark, sf_dir)
+    return flow, loops.immediate_dominators(flow, roots_, G), loops.dominators(flow, roots_, G)
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -165,23 +165,29 @@ def scc(spark, sf_dir):
     return cycles.scc(_flow(spark, sf_dir), G)
 
 
+@query(f"{R}{FLOW}, {CLOSURE} SELECT * FROM component")
+def scc_by_graph(spark, sf_dir):
+    """The same, one pass over each customer's small graph."""
+    return cycles.scc_small(_flow(spark, sf_dir), G)
+
+
 @query(f"{R}{FLOW}, {CLOSURE} SELECT DISTINCT f.o_custkey, a.component AS src, b.component AS dst FROM flow f JOIN component a ON a.o_custkey = f.o_custkey AND a.node = f.src JOIN component b ON b.o_custkey = f.o_custkey AND b.node = f.dst WHERE a.component <> b.component OR f.src = f.dst")
 def scc_quotient(spark, sf_dir):
     """The condensation, with the explicit self-loops."""
     flow = _flow(spark, sf_dir)
-    return cycles.quotient(flow, cycles.scc(flow, G), G)[0]
+    return cycles.quotient(flow, cycles.scc_small(flow, G), G)[0]
 
 
 @query(f"{R}{FLOW}, {CLOSURE} SELECT f.o_custkey, a.component, f.src, f.dst FROM flow f JOIN component a ON a.o_custkey = f.o_custkey AND a.node = f.src JOIN component b ON b.o_custkey = f.o_custkey AND b.node = f.dst WHERE a.component = b.component")
 def scc_inner_edges(spark, sf_dir):
     flow = _flow(spark, sf_dir)
-    return cycles.quotient(flow, cycles.scc(flow, G), G)[1]
+    return cycles.quotient(flow, cycles.scc_small(flow, G), G)[1]
 
 
 @query(f"{R}{FLOW}, {CLOSURE} SELECT f.o_custkey, f.src, f.dst, a.component = b.component AS is_recursion FROM flow f JOIN component a ON a.o_custkey = f.o_custkey AND a.node = f.src JOIN component b ON b.o_custkey = f.o_custkey AND b.node = f.dst")
 def recursion_edges(spark, sf_dir):
     flow = _flow(spark, sf_dir)
-    return cycles.recursion_edges(flow, cycles.scc(flow, G), G)
+    return cycles.recursion_edges(flow, cycles.scc_small(flow, G), G)
 
 
 @query(f"WITH {PARTS} SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM part_edges e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst WHERE a.p_brand <> b.p_brand OR e.src = e.dst")
@@ -195,7 +201,7 @@ def class_quotient(spark, sf_dir):
 def prune_to_loops(spark, sf_dir):
     """States from which a state P or a cycle is reached."""
     flow = _flow(spark, sf_dir)
-    return cycles.prune(flow, reach.nodes(flow, G).where("node like 'P%'"), cycles.scc(flow, G), G)
+    return cycles.prune(flow, reach.nodes(flow, G).where("node like 'P%'"), cycles.scc_small(flow, G), G)
 
 
 def _peel_sql(src: str, dst: str) -> str:
@@ -206,13 +212,13 @@ def _peel_sql(src: str, dst: str) -> str:
 def peel_leaves(spark, sf_dir):
     """What is left when leaves F are taken away again and again."""
     flow = _flow(spark, sf_dir)
-    return cycles.peel(flow, reach.nodes(flow, G).where("node like 'F%'"), cycles.scc(flow, G), "leaf", G)
+    return cycles.peel(flow, reach.nodes(flow, G).where("node like 'F%'"), cycles.scc_small(flow, G), "leaf", G)
 
 
 @query(_peel_sql("dst", "src"))
 def peel_roots(spark, sf_dir):
     flow = _flow(spark, sf_dir)
-    return cycles.peel(flow, reach.nodes(flow, G).where("node like 'F%'"), cycles.scc(flow, G), "root", G)
+    return cycles.peel(flow, reach.nodes(flow, G).where("node like 'F%'"), cycles.scc_small(flow, G), "root", G)
 
 
 def _project_sql(visible: str, before: str = "") -> str:
@@ -235,7 +241,7 @@ def contract_degree2(spark, sf_dir):
 def shrink(spark, sf_dir):
     """The first states and those in recursion, joined to the nearest such below."""
     flow = _flow(spark, sf_dir)
-    return project.shrink(flow, customer_roots(spark, sf_dir), reach.on_cycles(flow, cycles.scc(flow, G), G), G)
+    return project.shrink(flow, customer_roots(spark, sf_dir), reach.on_cycles(flow, cycles.scc_small(flow, G), G), G)
 
 
 DAG = "dag AS (SELECT * FROM flow WHERE src < dst), dag_verts AS (SELECT o_custkey, src AS node FROM dag UNION SELECT o_custkey, dst FROM dag)"

@@ -48,7 +48,7 @@ def test_dominators_and_loops(spark):
     e = edges(spark, M1)
     idom = loops.immediate_dominators(e, node(spark, ["r"]), G)
     assert {r.node: r.idom for r in idom.collect()} == {"r": None, "a": "r", "b": "a", "c": "b", "d": "c"}
-    dom = loops.dominators(idom, G)
+    dom = loops.dominators(e, node(spark, ["r"]), G)
     assert rows(dom.where("node = 'c'"), "dom") == [("a",), ("b",), ("c",), ("r",)]
     back = loops.back_edges(e, dom, G)
     assert rows(back, "head", "latch") == [("a", "b"), ("d", "d")]
@@ -61,7 +61,7 @@ def test_dominators_and_loops(spark):
 
 def test_nested_loops(spark):
     e = edges(spark, [("r", "h"), ("h", "i"), ("i", "j"), ("j", "i"), ("i", "h"), ("h", "z")])
-    dom = loops.dominators(loops.immediate_dominators(e, node(spark, ["r"]), G), G)
+    dom = loops.dominators(e, node(spark, ["r"]), G)
     bodies = loops.natural_loops(e, loops.back_edges(e, dom, G), G)
     assert rows(loops.loop_forest(bodies, G), "head", "depth", "n_members") == [("h", 0, 3), ("i", 1, 2)]
     assert rows(loops.innermost_loop(bodies, G), "member", "head") == [("h", "h"), ("i", "i"), ("j", "i")]
@@ -130,6 +130,7 @@ def test_random_graphs(spark):
             comp.add((g, n, min([n, *(m for m in "abcdefg" if (n, m) in c and (m, n) in c)])))
     assert set(rows(reach.reachable_pairs(e, G), "g", "src", "dst")) == pairs
     assert set(rows(cycles.scc(e, G), "g", "node", "component")) == comp
+    assert set(rows(cycles.scc_small(e, G), "g", "node", "component")) == comp
     roots = spark.createDataFrame([(g, ps[0][0]) for g, ps in graphs.items()], "g int, node string")
     expected = set()
     for g, ps in graphs.items():
@@ -140,5 +141,5 @@ def test_random_graphs(spark):
                 rest = [p for p in ps if x not in p]
                 if n == x or r == x or n not in {r} | {b for a, b in closure(rest) if a == r}:
                     expected.add((g, n, x))
-    dom = loops.dominators(loops.immediate_dominators(e, roots, G), G)
+    dom = loops.dominators(e, roots, G)
     assert set(rows(dom, "g", "node", "dom")) == expected

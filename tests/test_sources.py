@@ -70,7 +70,7 @@ def test_program_graphs(spark, facts):
     _, f = facts
     flow = program.flow_edges(f["stmt"]).withColumn("g", F.col("method")).select("method", "src", "dst")
     roots = f["stmt"].groupBy("method").agg(F.min("idx").alias("node"))
-    dom = loops.dominators(loops.immediate_dominators(flow, roots, ["method"]), ["method"])
+    dom = loops.dominators(flow, roots, ["method"])
     bodies = loops.natural_loops(flow, loops.back_edges(flow, dom, ["method"]), ["method"])
     forest = loops.loop_forest(bodies, ["method"])
     per = {r.method.split("(")[0]: r.n for r in forest.groupBy("method").agg(F.count("*").alias("n")).collect()}
