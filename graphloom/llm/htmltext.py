@@ -43,6 +43,7 @@ class Block:
     chain: tuple[int, ...]  # the open elements, by number
     names: tuple[str, ...]
     away: bool
+    named: tuple[int, ...]  # of the open elements, those whose names say away
     inside: bool  # in an article or main element
 
 
@@ -51,6 +52,7 @@ class Open:
     name: str
     number: int
     away: bool
+    named: tuple[int, ...]
     inside: bool
 
 
@@ -69,8 +71,8 @@ class Page:
         self.parts.clear()
         if text:
             names = tuple(o.name for o in self.stack if o.name in BLOCKS)
-            top = self.stack[-1] if self.stack else Open("", 0, False, False)
-            self.blocks.append(Block("/".join(names), text, self.linked, tuple(o.number for o in self.stack if o.name in BLOCKS), names, top.away, top.inside))
+            top = self.stack[-1] if self.stack else Open("", 0, False, (), False)
+            self.blocks.append(Block("/".join(names), text, self.linked, tuple(o.number for o in self.stack if o.name in BLOCKS), names, top.away, top.named, top.inside))
         self.linked = 0
 
     def open(self, name: str, rest: str) -> None:
@@ -93,11 +95,13 @@ class Page:
         above = self.stack[-1] if self.stack else None
         inside = bool(above and above.inside) or name in ("article", "main")
         away = bool(above and above.away) or name in AWAY or (name == "header" and not inside)
-        if not away and rest and name not in ("html", "body", "article", "main"):
-            words = {w for m in NAMES.findall(rest) for w in re.split(r"[^a-z]+", "".join(m).lower())}
-            away = bool(words & AWAY_WORDS) or bool(HIDDEN.search(rest))
         self.count += 1
-        self.stack.append(Open(name, self.count, away, inside))
+        named = above.named if above else ()
+        if not away and rest and name not in ("html", "body", "main"):
+            words = {w for m in NAMES.findall(rest) for w in re.split(r"[^a-z]+", "".join(m).lower())}
+            away = bool(HIDDEN.search(rest))
+            named += (self.count,) if words & AWAY_WORDS else ()
+        self.stack.append(Open(name, self.count, away, named, inside))
 
     def close(self, name: str, until: set[str] | None = None) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -160,14 +164,21 @@ def ratios(found: list[Block]) -> dict[str, float]:
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by an empty line.
 
-    Blocks in menus, headers, footers, asides, forms and the like, by element or name, are out, and so are
-    those of mostly links. Where the page has an article or main element, the blocks in it remain. Else the
+    Blocks in menus, headers, footers, asides, forms and the like, by element or name, are out (by name only
+    where the element doesn't hold most of the page), and so are those of mostly links. Where the page has an article or main element, the blocks in it remain. Else the
     paths whose ratio is at least half of the greatest are content, and all that stands in the element that
     holds most of their text, headings included.
     """
     if not source:
         return ""
     found = [b for b in blocks(source) if not b.away]
+    held: dict[int, int] = {}
+    for b in found:
+        for e in b.named:
+            held[e] = held.get(e, 0) + len(b.text)
+    # A name such as has-sidebar on what holds most of the page says nothing.
+    most = 0.6 * sum(len(b.text) for b in found)
+    found = [b for b in found if all(held[e] >= most for e in b.named)]
     inside = [b for b in found if b.inside]
     kept = inside or found
     kept = [b for b in kept if b.linked < 0.5 * len(b.text)]

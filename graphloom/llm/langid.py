@@ -171,10 +171,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those rejected: of no language (und), or which no language's tree can shorten.
-
-    A text is shortened if it takes less than a uniform code over the symbols.
-    """
+    """``docs`` without those rejected: of no language (und)."""
     trees = fit(sample(docs.select("doc_id", "text", "lang").where(~held_out("doc_id"))))
     said = identified(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"), trees)
-    return said.where((F.col("_said.lang_pred") != "und") & (F.col("_said.bits") < float(np.log2(max(2, trees.symbols))))).select("doc.*")
+    return said.where(F.col("_said.lang_pred") != "und").select("doc.*")

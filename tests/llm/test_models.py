@@ -190,6 +190,11 @@ def test_main_text(around):
     assert htmltext.main_text(PAGE % (around % BODY)) == WANT
 
 
+def test_names_that_mean_nothing():
+    body = BODY + "<article class='comment'><p>A reader says this, at some length.</p></article>"
+    assert htmltext.main_text(f"<body><div class='layout has-sidebar'><article class='post with-comments'>{body}</article></div></body>") == WANT
+
+
 def test_html_corner_cases(spark):
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p></p>") == ""
     assert htmltext.main_text("plain words only") == "plain words only"
