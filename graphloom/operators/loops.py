@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.reach import reachable, simple, small_graphs
+from graphloom.operators.reach import dealt, reachable, simple, small_graphs
 from graphloom.plans.fixpoint import fixpoint
 
 
@@ -97,11 +97,13 @@ def back_edges(edges: DataFrame, dom: DataFrame, group: Sequence[str]) -> DataFr
 
 def natural_loops(edges: DataFrame, back: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, head, member): each head's loop: it, and all that reach its latches without passing it."""
-    before = simple(edges, group).withColumnsRenamed({"dst": "member", "src": "_before"})
+    before = dealt(simple(edges, group).withColumnsRenamed({"dst": "member", "src": "_before"}), [*group, "member"])
     open_ = lambda at: at.where(F.col("head") != F.col("member"))
     step = lambda at: open_(at).join(before, [*group, "member"]).select(*group, "head", F.col("_before").alias("member"))
     start = back.select(*group, "head", F.col("latch").alias("member")).unionByName(back.select(*group, "head", F.col("head").alias("member")))
-    return fixpoint(start, step, [*group, "head", "member"])
+    found = fixpoint(start, step, [*group, "head", "member"])
+    before.unpersist()
+    return found
 
 
 def loop_forest(bodies: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -30,6 +30,11 @@ def simple(edges: DataFrame, group: Group = ()) -> DataFrame:
     return edges.select(*group, "src", "dst").dropna().distinct()
 
 
+def dealt(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` kept, dealt by the keys that every round joins on, so that only the rounds' new rows are shuffled."""
+    return table.repartition(*keys).persist()
+
+
 def nodes(edges: DataFrame, group: Group = ()) -> DataFrame:
     """(group, node): all ends of edges."""
     return edges.select(*group, F.col("src").alias("node")).unionByName(edges.select(*group, F.col("dst").alias("node"))).dropna().distinct()
@@ -56,7 +61,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, group: Group = (), include_see
     A seed is among them only if a path leads to it, or with ``include_seed``. With ``reverse`` edges are
     walked backwards. With ``through`` (group, node) only those nodes are walked through.
     """
-    own = simple(flipped(edges) if reverse else edges, group).persist()
+    own = dealt(simple(flipped(edges) if reverse else edges, group), [*group, "src"])
     keys = [*group, "node"]
     hop = lambda at: at.withColumnRenamed("node", "src").join(own, [*group, "src"]).select(*group, F.col("dst").alias("node"))
     step = hop if through is None else lambda at: hop(at.join(through.select(*keys), keys, "left_semi"))
@@ -68,7 +73,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, group: Group = (), include_see
 
 def reachable_pairs(edges: DataFrame, group: Group = (), seeds: DataFrame | None = None) -> DataFrame:
     """(group, src, dst): for each source, or each seed (group, node), the nodes reached by at least one edge."""
-    own = simple(edges, group).persist()
+    own = dealt(simple(edges, group), [*group, "src"])
     first = own if seeds is None else own.join(seeds.withColumnRenamed("node", "src"), [*group, "src"], "left_semi")
     ahead = onward(own, group)
     step = lambda at: at.join(ahead, [*group, "dst"]).select(*group, "src", F.col("_next").alias("dst"))
