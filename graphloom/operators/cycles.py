@@ -11,32 +11,24 @@ from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, fixpoint, improve
 
 
-def trimmed(edges: DataFrame, group: Group = (), max_rounds: int = 500) -> DataFrame:
-    """The edges that remain when nodes without an edge in, or without one out, are taken away until none is left."""
-    own = cut(simple(edges, group).where(F.col("src") != F.col("dst")))
-    before = own.count()
-    for _ in range(max_rounds):
-        if not before:
-            return own
+def trimmed(edges: DataFrame, group: Group = (), rounds: int = 2) -> DataFrame:
+    """The edges less those of nodes without an edge in, or without one out, taken away so many times over."""
+    own = simple(edges, group).where(F.col("src") != F.col("dst"))
+    for _ in range(rounds):
+        own = cut(own)
         ins, outs = own.select(*group, F.col("dst").alias("node")).distinct(), own.select(*group, F.col("src").alias("node")).distinct()
         both = ins.join(outs, [*group, "node"], "left_semi")
-        kept = own
         for end in ("src", "dst"):
-            kept = kept.join(both.withColumnRenamed("node", end), [*group, end], "left_semi")
-        own = cut(kept)
-        now = own.count()
-        if now == before:
-            return own
-        before = now
-    raise NotConverged("trimming")
+            own = own.join(both.withColumnRenamed("node", end), [*group, end], "left_semi")
+    return cut(own)
 
 
 def scc(edges: DataFrame, group: Group = (), max_rounds: int = 500) -> DataFrame:
     """(group, node, component): each node's strongly connected component, named by its least node.
 
     Colouring: every node takes the least colour (node) that reaches it; the nodes that reach a colour's
-    own node within the colour are its component. What remains, less what cannot be on a cycle, goes round
-    again, many components and all groups at a time. Self-loops play no part.
+    own node within the colour are its component. What remains, less the ends of its paths, goes round again,
+    many components and all groups at a time. Self-loops play no part.
     """
     keys = [*group, "node"]
     all_nodes = cut(nodes(edges, group))
