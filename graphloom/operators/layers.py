@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.reach import Group, flipped, nodes, simple, sources
+from graphloom.operators.reach import Group, dealt, flipped, nodes, simple, sources
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, improve
 
@@ -39,13 +39,13 @@ def topological_order(edges: DataFrame, group: Group = ()) -> DataFrame:
 
 def bfs_layers(edges: DataFrame, seeds: DataFrame, group: Group = ()) -> DataFrame:
     """(group, node, layer): least distances, negative against the edges, 0 for seeds; the nearer side wins, then the positive."""
-    def side(of: DataFrame, sign: int) -> DataFrame:
-        ahead = simple(of, group).withColumnRenamed("src", "node")
-        hop = lambda at: at.join(ahead, [*group, "node"]).select(*group, F.col("dst").alias("node"), (F.col("far") + 1).alias("far"))
-        return improve(seeds.select(*group, "node", F.lit(0).alias("far")), hop, [*group, "node"], "far", largest=False).select(*group, "node", "far", F.lit(sign).alias("sign"))
-
-    both = side(edges, 1).unionByName(side(flipped(edges), -1))
-    return both.groupBy(*group, "node").agg(F.min_by(F.col("far") * F.col("sign"), F.struct("far", -F.col("sign"))).alias("layer"))
+    both = simple(edges, group).withColumn("sign", F.lit(1)).unionByName(simple(flipped(edges), group).withColumn("sign", F.lit(-1)))
+    ahead = dealt(both.withColumnRenamed("src", "node"), [*group, "sign", "node"])
+    hop = lambda at: at.join(ahead, [*group, "sign", "node"]).select(*group, "sign", F.col("dst").alias("node"), (F.col("far") + 1).alias("far"))
+    start = seeds.select(*group, "node", F.lit(0).alias("far"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
+    found = improve(start, hop, [*group, "sign", "node"], "far", largest=False)
+    ahead.unpersist()
+    return found.groupBy(*group, "node").agg(F.min_by(F.col("far") * F.col("sign"), F.struct("far", -F.col("sign"))).alias("layer"))
 
 
 def spanning_forest(edges: DataFrame, group: Group = ()) -> DataFrame:

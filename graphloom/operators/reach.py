@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.fixpoint import fixpoint
+from graphloom.plans.checkpoint import cut
+from graphloom.plans.fixpoint import NotConverged, fixpoint
 
 Group = Sequence[str]
 
@@ -71,21 +72,36 @@ def reachable(edges: DataFrame, seeds: DataFrame, group: Group = (), include_see
     return found.unionByName(start).distinct() if include_seed else found
 
 
-def reachable_pairs(edges: DataFrame, group: Group = (), seeds: DataFrame | None = None) -> DataFrame:
-    """(group, src, dst): for each source, or each seed (group, node), the nodes reached by at least one edge."""
-    own = dealt(simple(edges, group), [*group, "src"])
-    first = own if seeds is None else own.join(seeds.withColumnRenamed("node", "src"), [*group, "src"], "left_semi")
-    ahead = onward(own, group)
-    step = lambda at: at.join(ahead, [*group, "dst"]).select(*group, "src", F.col("_next").alias("dst"))
-    found = fixpoint(first, step, [*group, "src", "dst"])
-    own.unpersist()
-    return found
+def reachable_pairs(edges: DataFrame, group: Group = (), seeds: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+    """(group, src, dst): for each source, or each seed (group, node), the nodes reached by at least one edge.
+
+    Without seeds the paths double each round: all pairs found are joined with themselves, so that the rounds
+    are the logarithm of the longest path.
+    """
+    keys = [*group, "src", "dst"]
+    if seeds is not None:
+        own = dealt(simple(edges, group), [*group, "src"])
+        ahead = onward(own, group)
+        step = lambda at: at.join(ahead, [*group, "dst"]).select(*group, "src", F.col("_next").alias("dst"))
+        found = fixpoint(own.join(seeds.withColumnRenamed("node", "src"), [*group, "src"], "left_semi"), step, keys)
+        own.unpersist()
+        return found
+    known = cut(simple(edges, group))
+    for _ in range(max_rounds):
+        longer = known.join(onward(known, group), [*group, "dst"]).select(*group, "src", F.col("_next").alias("dst"))
+        new = cut(longer.distinct().join(known, keys, "left_anti"))
+        if new.isEmpty():
+            return known
+        known = cut(known.unionByName(new))
+    raise NotConverged(f"new pairs after {max_rounds} rounds")
 
 
 def connected_set(edges: DataFrame, seeds: DataFrame, group: Group = ()) -> DataFrame:
-    """(group, node, side): the seeds' ancestors and descendants, seeds included in both."""
-    up = reachable(edges, seeds, group, include_seed=True, reverse=True).withColumn("side", F.lit("ancestor"))
-    return up.unionByName(reachable(edges, seeds, group, include_seed=True).withColumn("side", F.lit("descendant")))
+    """(group, node, side): the seeds' ancestors and descendants, seeds included in both. Both sides share their rounds."""
+    side = lambda df, name: df.withColumn("side", F.lit(name))
+    both = side(edges, "descendant").unionByName(side(flipped(edges).select(*edges.columns), "ancestor"))
+    starts = side(seeds, "descendant").unionByName(side(seeds, "ancestor"))
+    return reachable(both, starts, [*group, "side"], include_seed=True).select(*group, "node", "side")
 
 
 def unrelated(edges: DataFrame, seeds: DataFrame, group: Group = ()) -> DataFrame:

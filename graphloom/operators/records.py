@@ -14,13 +14,18 @@ def missing_successor(states: DataFrame, key: Sequence[str], index: str, is_call
     return states.where(is_call).join(next_, [*key, index], "left_anti").select(*states.columns)
 
 
-def hanging_edges(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
-    """Edges with an end that is no node."""
+def _known_ends(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """``edges`` with _known: whether both ends are nodes."""
     known = nodes.select(F.col(node).alias("_id")).distinct()
-    whole = edges
+    out = edges
     for end in ("src", "dst"):
-        whole = whole.join(known.withColumnRenamed("_id", end), end, "left_semi")
-    return edges.join(whole.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select(*edges.columns)
+        out = out.join(known.select(F.col("_id").alias(f"_{end}_id")), F.col(end) == F.col(f"_{end}_id"), "left")
+    return out.withColumn("_known", F.col("_src_id").isNotNull() & F.col("_dst_id").isNotNull()).select(*edges.columns, "_known")
+
+
+def hanging_edges(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
+    """Edges with an end that is no node."""
+    return _known_ends(edges, nodes, node).where(~F.col("_known")).select(*edges.columns)
 
 
 def missing_refs(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
@@ -37,15 +42,15 @@ def add_missing(edges: DataFrame, nodes: DataFrame, node: str = "id", kind: str
 
 def drop_missing(edges: DataFrame, nodes: DataFrame, node: str = "id") -> DataFrame:
     """Edges with both ends among the nodes."""
-    return edges.join(hanging_edges(edges, nodes, node).select("src", "dst").distinct(), ["src", "dst"], "left_anti").select(*edges.columns)
+    return _known_ends(edges, nodes, node).where("_known").select(*edges.columns)
 
 
 def info(edges: DataFrame, nodes: DataFrame, node: str = "id", seq: str = "seq") -> DataFrame:
     """One row: distinct nodes, edges, missing ids, their references, hanging edges and the first node in the stream."""
     refs = missing_refs(edges, nodes, node).agg(F.count(F.lit(1)).alias("n_missing"), F.coalesce(F.sum("refs"), F.lit(0)).alias("n_references"))
-    hanging = hanging_edges(edges, nodes, node).agg(F.count(F.lit(1)).alias("n_hanging"))
+    ends = _known_ends(edges, nodes, node).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(~F.col("_known")).alias("n_hanging"))
     first = nodes.agg(F.countDistinct(node).alias("n_nodes"), F.min_by(node, seq).alias("first_node"))
-    parts = [first, edges.agg(F.count(F.lit(1)).alias("n_edges")), refs, hanging]
+    parts = [first, ends, refs]
     wide = parts[0]
     for part in parts[1:]:
         wide = wide.unionByName(part, allowMissingColumns=True)
