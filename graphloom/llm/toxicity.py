@@ -169,6 +169,24 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
     return docs.withColumn("_found", find(F.col(text_column)))
 
 
+def passages(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """``docs`` with ``passages``: score, first and last word (numbered from 0) and E-value of each significant one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_words
+
+    @F.pandas_udf("array<struct<score:double,first:int,last:int,e_value:double>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = shared.value
+        for texts in batches:
+            out = []
+            for t in texts:
+                found, n = own.passages(t)
+                rows = [(s, i, j, own.size * n * math.exp(-min(700.0, own.scale * s))) for s, i, j in found]
+                out.append([dict(zip(("score", "first", "last", "e_value"), r)) for r in rows if r[3] <= SIGNIFICANT])
+            yield pd.Series(out)
+
+    return docs.withColumn("passages", find(F.col(text_column)))
+
+
 def rate(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages and best (the best passage's score) of every row of ``docs``.
 

@@ -47,29 +47,31 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(named(F.split(labels, "[.-]"), "host="), named(F.array(last), "top="), named(F.split(plain(path), "[/.]"), "path="), named(keys, "query="))))
 
 
-def mine(tagged: DataFrame, min_support: float = 0.0005, min_confidence: float = 0.8, min_lift: float = 1.5, most_tokens: int = 3) -> DataFrame:
+def mine(tagged: DataFrame, min_support: float = 0.0005, min_count: int = 10, min_confidence: float = 0.8, min_lift: float = 1.5, most_tokens: int = 3) -> DataFrame:
     """(tokens, confidence, support, key) from (tokens, blocked): rules "these tokens, so block".
 
     FP-growth counts the token combinations with the label among their items. A rule is pruned below the
-    confidence, the support or the lift, or above so many tokens. ``key`` is its rarest token, under which
+    confidence, the support (a share of the urls, and a count) or the lift, or above so many tokens. ``key`` is its rarest token, under which
     the inverted index keeps it.
     """
     baskets = tagged.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
     schema = "tokens array<string>, confidence double, support double, key string"
-    if tagged.where("blocked").isEmpty():
+    seen = tagged.agg(F.count_if(F.size("tokens") > 0).alias("n"), F.count_if("blocked").alias("blocked")).first()
+    if seen.blocked < max(1, min_count):
         return tagged.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / seen.n)), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") <= most_tokens) & (F.col("lift") >= min_lift))
     counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("key"), F.col("freq"))
     each = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("key", F.explode("tokens")).join(counts, "key")
     return each.groupBy("tokens").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"), F.min_by("key", F.struct("freq", "key")).alias("key"))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS, id_column: str = "page_id", url_column: str = "url", **settings) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS, labels: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url", **settings) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (the tokens of the association rule that blocks, if any) of every row.
 
     The labels to learn from are the list's verdicts and, where it has none, "block" for urls with a seed
-    word in the host; all others count against a rule. A url that the list leaves open is blocked if a
+    word in the host; all others count against a rule. Rows of ``labels`` (page_id, blocked) go before the
+    seed words; of several for an id, one that blocks wins. A url that the list leaves open is blocked if a
     mined rule's tokens are all among its own, else allowed. A null url, and one without ``://``, has an
     empty host and path, no tokens, and is allowed. Repeated rows come back as often; no rows give none.
     """
@@ -79,7 +81,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds: t
     tokens = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(url_tokens(F.col("url"), F.col("host"), F.col("path")))
     known = stored(parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens.alias("tokens")), "urls")
     seeded = F.arrays_overlap("tokens", F.array(*[F.lit(f"host={s}") for s in seeds]))
-    mined = stored(mine(known.select("tokens", F.coalesce(F.col("listed") == "block", seeded).alias("blocked")), **settings), "url-rules")
+    tagged = known.withColumn("said", F.lit(None).cast("boolean"))
+    if labels is not None:
+        tagged = known.join(labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("blocked").alias("said")), "page_id", "left")
+    mined = stored(mine(tagged.select("tokens", F.coalesce(F.col("listed") == "block", "said", seeded).alias("blocked")), **settings), "url-rules")
     index = small_side(mined.withColumnRenamed("tokens", "needs"))
     # Urls with the same tokens are matched once, against the rules kept under one of these.
     kinds = known.where(F.col("listed").isNull()).select("tokens").distinct()

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import decontam, licenses, urlfilter
 
 
@@ -48,6 +50,12 @@ def test_mined_rules_block(spark):
     tagged = spark.createDataFrame([(["a", "b"], True)] * 30 + [(["a"], False)] * 30 + [(["b", "c"], False)] * 30, "tokens array<string>, blocked boolean")
     rules = {tuple(r.tokens): r.confidence for r in urlfilter.mine(tagged, min_support=0.01).collect()}
     assert rules == {("a", "b"): 1.0}
+    assert urlfilter.mine(tagged, min_count=31).count() == 0
+    # Labels of one's own go before the seed words.
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.select("page_id", F.contains("url", F.lit("shop")).alias("blocked"))
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, labels=labels).collect()}
+    assert all(got[i] == ("block" if i % 4 == 3 else "allow") for i in range(400))
 
 
 def plain_words(text):

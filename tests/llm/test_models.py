@@ -113,6 +113,13 @@ def test_passages_against_plain():
         assert n == len(words) and [(round(s, 6), i, j) for s, i, j in got] == [(round(s, 6), i, j) for s, i, j in want]
 
 
+def test_passage_spans(spark):
+    model = toxicity.Model({"bad": 6.0, "worse": 8.0}, other=-1.0, scale=2.0)
+    df = spark.createDataFrame([(1, "all is well here"), (2, "so bad, worse than that " + "fine " * 30 + "bad"), (3, None)], "id int, text string")
+    got = {r.id: [(p.score, p.first, p.last) for p in r.passages] for r in toxicity.passages(df, model).collect()}
+    assert got == {1: [], 2: [(14.0, 1, 2), (6.0, 35, 35)], 3: []}
+
+
 def test_toxicity(spark, words):
     rng = random.Random(5)
     rude = ["idiot", "moron", "scumbag"]
