@@ -6,6 +6,7 @@ Decoding is a small per-file helper; all analysis of what it yields is done by j
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -153,6 +154,11 @@ def _code(r: _Reader, at: int, method: str, out: dict[str, list]) -> None:
                 kind = "invoke"
                 cls, name, desc = r.member(struct.unpack_from(">H", r.data, base + pc + 1)[0])
                 out["call"].append((method, here, cls, name + desc, INVOKES[op]))
+            elif op == 0xBA:
+                kind = "invoke"
+                at, nat = r.constants[struct.unpack_from(">H", r.data, base + pc + 1)[0]]
+                name, desc = (r.constants[k] for k in r.constants[nat])
+                out["lambda"].append((method, here, at, name, desc))
         out["stmt"].append((method, here, kind, targets, default))
         pc += step
     r.at = base + size
@@ -162,11 +168,11 @@ def _code(r: _Reader, at: int, method: str, out: dict[str, list]) -> None:
 
 
 def decode(data: bytes) -> dict[str, list[tuple]]:
-    """The rows of class, field, method, stmt, call and trap of one class file."""
+    """The rows of class, field, method, stmt, call, trap and lambda of one class file."""
     r = _Reader(data)
     access, this, above, n = r.take("HHHH")
     cls = r.name(this)
-    out: dict[str, list] = {"class": [(cls, r.name(above), [r.name(r.take("H")) for _ in range(n)], access)], "field": [], "method": [], "stmt": [], "call": [], "trap": []}
+    out: dict[str, list] = {"class": [(cls, r.name(above), [r.name(r.take("H")) for _ in range(n)], access)], "field": [], "method": [], "stmt": [], "call": [], "trap": [], "lambda": []}
     for what in ("field", "method"):
         for _ in range(r.take("H")):
             flags, name, desc = r.take("HHH")
@@ -181,9 +187,27 @@ def decode(data: bytes) -> dict[str, list[tuple]]:
                 back = r.at
                 _code(r, held["Code"][0], method, out)
                 r.at = back
+    held = r.attributes()
+    made = []
+    if "BootstrapMethods" in held:
+        r.at = held["BootstrapMethods"][0]
+        made = [(r.take("H"), [r.take("H") for _ in range(r.take("H"))]) for _ in range(r.take("H"))]
+    out["lambda"] = [x for x in (_lambda(r, made, *row) for row in out["lambda"]) if x]
     return out
 
 
+def _lambda(r: _Reader, made: list, method: str, at: int, which: int, name: str, desc: str) -> tuple | None:
+    """(method, idx, interface, interface method, implementation, captured types) of a call site that makes a lambda."""
+    handle, args = made[which]
+    cls, factory, _ = r.member(r.constants[handle][1])
+    if cls != "java.lang.invoke.LambdaMetafactory" or factory not in ("metafactory", "altMetafactory"):
+        return None
+    owner, impl, impl_desc = r.member(r.constants[args[1]][1])
+    captured, _, made_type = desc[1:].rpartition(")")
+    types = re.findall(r"\[*(?:L[^;]*;|[BCDFIJSZ])", captured)
+    return method, at, made_type[1:-1].replace("/", "."), name + r.constants[r.constants[args[0]]], f"{owner}.{impl}{impl_desc}", types
+
+
 _ROWS = {
     "class": "name string, super_name string, interfaces array<string>, access int",
     "field": "class string, name string, descriptor string, access int",
@@ -191,6 +215,7 @@ _ROWS = {
     "stmt": "method string, idx int, kind string, targets array<int>, default_target int",
     "call": "method string, idx int, class string, subsig string, kind string",
     "trap": "method string, ord int, begin_idx int, end_idx int, handler_idx int, exception string",
+    "lambda": "method string, idx int, interface string, subsig string, impl string, captures array<string>",
 }
 
 

@@ -81,10 +81,11 @@ def find_main(facts: dict[str, DataFrame], lenient: bool = False) -> DataFrame:
 
 
 def call_graph(facts: dict[str, DataFrame]) -> DataFrame:
-    """(method, stmt, callee): what calls may reach by class hierarchy analysis."""
+    """(method, stmt, callee): what calls may reach by class hierarchy analysis, and what lambdas stand for where they are made."""
     subtype = program.subtypes(program.supers(facts["class"]))
     reached = program.cha_targets(facts["call"].select("method", "idx", "class", "subsig", "kind"), facts["method"].select("class", "subsig"), subtype)
-    return reached.select("method", F.col("idx").alias("stmt"), F.concat("target", F.lit("."), "subsig").alias("callee")).distinct()
+    made = facts["lambda"].select("method", F.col("idx").alias("stmt"), F.col("impl").alias("callee"))
+    return reached.select("method", F.col("idx").alias("stmt"), F.concat("target", F.lit("."), "subsig").alias("callee")).unionByName(made).distinct()
 
 
 def loop_tables(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

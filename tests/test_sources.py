@@ -20,6 +20,7 @@ public class Main {
   static int sum(int[] a) { int s = 0; for (int x : a) { int k = x; while (k > 0) { s += k; k--; } } return s; }
   static int pick(int n) { switch (n) { case 1: return 10; case 2: return 20; default: throw new IllegalStateException(); } }
   static int fact(int n) { return n < 2 ? 1 : n * fact(n - 1); }
+  static int twice(int k) { java.util.function.IntUnaryOperator f = n -> n * k; return f.applyAsInt(2); }
   public static void main(String[] args) {
     Shape s = args.length > 0 ? new Box() : new Dot();
     try { total = s.area(3) + sum(new int[] {1, 2}) + pick(1) + fact(4); } catch (IllegalStateException e) { total = -1; }
@@ -87,6 +88,8 @@ def test_program_graphs(spark, facts):
     assert ("demo.Main.main", True, "demo.Main.sum", True) in got and ("demo.Main.sum", True, "demo.Main.sum", False) in got and ("demo.Main.sum", False, "demo.Main.sum", False) in got
     own = calls.select(F.col("method").alias("src"), F.col("callee").alias("dst"))
     assert [r.node.split("(")[0] for r in reach.self_recursive(own).collect()] == ["demo.Main.fact"]
+    made = f["lambda"].first()
+    assert (made.interface, made.subsig, made.captures) == ("java.util.function.IntUnaryOperator", "applyAsInt(I)I", ["I"]) and made.impl.startswith("demo.Main.lambda$twice$0")
     traps = f["trap"]
     assert rows(traps, "exception") == [("java.lang.IllegalStateException",)]
 
