@@ -60,7 +60,7 @@ FAMILIES = (
 #: (priority, confidence, pattern for a version). n is the name, v the version.
 VERSIONED = (
     (3, 1.0, "spdx license identifier {n}(?: {v}| {v} (?:only|or later))"),
-    (3, 0.95, "(?:under|to) the (?:terms of the )?{n} licen[cs]e (?:version |v)?{v}"),
+    (3, 0.95, "(?:(?:(?:re)?licensed|released|distributed|available|published|free) )?(?:under|to) (?:the |an? )?(?:terms of the )?{n} licen[cs]e (?:version |v)?{v}"),
     (3, 0.95, "{n}(?: public)?(?: licen[cs]e)?(?: version| v)? ?{v}"),
     (3, 0.9, "version {v} of the {n} licen[cs]e"),
 )
