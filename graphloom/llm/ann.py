@@ -135,7 +135,7 @@ def search(
                 names, starts = np.unique(bins[by_bin], return_index=True)
                 yield pd.DataFrame({"query_id": qid, "query": [vector] * len(names), "bin": names, "probed": np.split(spread[by_bin].astype("int32"), starts[1:])})
 
-    per_block = 1024
+    per_block = 8192
     blocks = max(1, -(-n // (every * per_block)))
     asked = good.where(F.col("vec_id") % every == 0).mapInPandas(probes, "query_id long, query array<double>, bin long, probed array<int>")
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(blocks)).cast("int"))
