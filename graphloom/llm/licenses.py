@@ -156,7 +156,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), norm.alias("norm"))
     texts = texts.select("doc_id", "row", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), F.when(F.col("norm").rlike(f"(?i){KEYWORDS}"), F.col("norm")).alias("norm"))
     texts = stored(texts, "license-texts")
-    found = detections(texts.where(F.col("norm").isNotNull()).select("doc_id", "row", F.lower("norm").alias("norm")).distinct())
+    # The texts left are few but slow: by number they are dealt over all partitions, whatever their bytes.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ = texts.where(F.col("norm").isNotNull()).select("doc_id", "row", F.lower("norm").alias("norm"))
+    found = detections(open_.repartition(n, "doc_id", "row", "norm").distinct())
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     at = F.when(F.col("base"), F.col("word").cast("long"))
     per = found.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
