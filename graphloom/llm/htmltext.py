@@ -161,42 +161,76 @@ def ratios(found: list[Block]) -> dict[str, float]:
     return smooth
 
 
+#: What an article or main element adds to the weight of its blocks, times its share of the page's text.
+ARTICLE = 9.0
+SEMANTIC = frozenset(("article", "main"))
+
+
+def link_lists(found: list[Block]) -> set[str]:
+    """The paths that are lists of links: at least half link text, with less than one mark of punctuation a node."""
+    sums: dict[str, list[int]] = {}
+    for b in found:
+        total = sums.setdefault(b.path, [0, 0, 0, 0])
+        for k, x in enumerate((1, len(b.text), b.linked, len(PUNCTUATION.findall(b.text)))):
+            total[k] += x
+    return {p for p, (n, t, linked, q) in sums.items() if linked >= 0.5 * t and q < n}
+
+
+def weights(found: list[Block]) -> list[float]:
+    """The weight of each block: 1 outside article and main elements, more inside by the share of the text that the greatest of them holds."""
+    held: dict[int, int] = {}
+    for b in found:
+        for e, name in zip(b.chain, b.names):
+            if name in SEMANTIC:
+                held[e] = held.get(e, 0) + len(b.text)
+    total = max(1, sum(len(b.text) for b in found))
+    return [1 + ARTICLE * max((held[e] for e in b.chain if e in held), default=0) / total for b in found]
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by an empty line.
 
     Blocks in menus, headers, footers, asides, forms and the like, by element or name, are out (by name only
-    where the element doesn't hold most of the page), and so are those of mostly links. Where the page has an article or main element, the blocks in it remain. Else the
-    paths whose ratio is at least half of the greatest are content, and all that stands in the element that
-    holds most of their text, headings included.
+    where the element doesn't hold most of the page), and so are paths that are lists of links. A block
+    counts by its text times its path's ratio, more in an article or main element by that element's share
+    of the page. The content stands in the innermost element that holds nearly all of this, or in an article
+    or main element that holds half of it with little in others. What is in an article stays whole; elsewhere
+    paths of at least a quarter of the heaviest path's ratio, headings and what stands between such blocks.
     """
     if not source:
         return ""
     found = [b for b in blocks(source) if not b.away]
-    held: dict[int, int] = {}
-    for b in found:
+    sizes = [len(b.text) * w for b, w in zip(found, weights(found))]
+    held: dict[int, float] = {}
+    for b, size in zip(found, sizes):
         for e in b.named:
-            held[e] = held.get(e, 0) + len(b.text)
+            held[e] = held.get(e, 0) + size
     # A name such as has-sidebar on what holds most of the page says nothing.
-    most = 0.6 * sum(len(b.text) for b in found)
+    most = 0.6 * sum(sizes)
     found = [b for b in found if all(held[e] >= most for e in b.named)]
-    inside = [b for b in found if b.inside]
-    kept = inside or found
-    kept = [b for b in kept if b.linked < 0.5 * len(b.text)]
-    if not kept:
+    lists = link_lists(found)
+    found = [b for b in found if b.path not in lists]
+    if not found:
         return ""
-    if not inside:
-        by_path = ratios(kept)
-        least = 0.5 * max(by_path.values())
-        content = [b for b in kept if by_path[b.path] >= least]
-        total = sum(len(b.text) for b in content)
-        weight: dict[int, int] = {}
-        for b in content:
-            for e in b.chain[:-1] or b.chain:
-                weight[e] = weight.get(e, 0) + len(b.text)
-        # The innermost element with nearly all of the content's text: numbers grow inwards.
-        holder = max((e for e, w in weight.items() if w >= 0.9 * total), default=None)
-        chosen = {id(b) for b in content}
-        kept = [b for b in kept if (holder is None or holder in b.chain) and (id(b) in chosen or b.names[-1:] and (b.names[-1] in HEADINGS or by_path[b.path] >= 0.5 * least))]
+    by_path = ratios(found)
+    semantic = {e for b in found for e, name in zip(b.chain, b.names) if name in SEMANTIC}
+    mass = [max(1, len(b.text) - b.linked) * by_path[b.path] * w for b, w in zip(found, weights(found))]
+    by_mass: dict[str, float] = {}
+    for b, m in zip(found, mass):
+        by_mass[b.path] = by_mass.get(b.path, 0.0) + m
+    whole, marked = sum(mass), sum(m for b, m in zip(found, mass) if any(e in semantic for e in b.chain))
+    weight: dict[int, float] = {}
+    for b, m in zip(found, mass):
+        for e in {*(b.chain[:-1] or b.chain), *(e for e in b.chain if e in semantic)}:
+            weight[e] = weight.get(e, 0.0) + m
+    # Numbers grow inwards.
+    holder = max((e for e, w in weight.items() if w >= 0.9 * whole or e in semantic and w >= 0.5 * whole and marked - w < 0.1 * whole), default=None)
+    kept = [b for b in found if holder is None or holder in b.chain]
+    if not any(e == holder or e < (holder or 0) for b in kept[:1] for e, name in zip(b.chain, b.names) if name == "article"):
+        least = 0.25 * by_path[max(by_mass, key=by_mass.get)]
+        content = [i for i, b in enumerate(kept) if by_path[b.path] >= least]
+        first, last = min(content, default=0), max(content, default=-1)
+        kept = [b for i, b in enumerate(kept) if first <= i <= last or b.names[-1:] and b.names[-1] in HEADINGS]
     return "\n\n".join(b.text for b in kept)
 
 

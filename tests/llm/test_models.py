@@ -214,3 +214,20 @@ def test_html_corner_cases(spark):
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in htmltext.extract(df).collect())
     assert got == [("1", "éé", 2), ("2", "", 0), ("2", "", 0), ("None", "", 0)]
     assert htmltext.extract(df.where(F.lit(False))).count() == 0
+
+
+LONG = "This sentence of the body is long enough, has commas, and ends properly. " * 5
+TEASER = "<article><h3>Other story</h3><p>A short card, of a line.</p></article>"
+
+
+def test_ratios_choose_also_beside_articles():
+    paragraphs = [f"{k} {LONG}".strip() for k in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    got = htmltext.main_text(f"<body><div class='x1'>{body}</div><div class='x2'>{TEASER * 8}</div></body>")
+    assert got.split("\n\n") == paragraphs
+    # In main, ratios drop what stands around the content; an article's lists, linked paragraphs and references stay.
+    got = htmltext.main_text(f"<body><main><div>Print</div><div>Size</div>{body}<ul><li>Home</li><li>Top</li></ul></main></body>")
+    assert got.split("\n\n") == paragraphs
+    inner = f"<p>{LONG}</p><p><a href='x'>All of this paragraph, a quotation, is one link.</a></p><ul><li>short</li></ul><ol><li><a href='y'>Author, A. Title. 2001.</a></li></ol>"
+    got = htmltext.main_text(f"<body><div>{LONG}</div><article>{inner * 3}</article></body>")
+    assert got.split("\n\n") == [LONG.strip(), "All of this paragraph, a quotation, is one link.", "short", "Author, A. Title. 2001."] * 3
