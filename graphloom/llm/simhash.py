@@ -18,20 +18,27 @@ SEED = 42
 CHUNK = 8192
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The fingerprint of one text, unsigned; 0 if it has no word.
+def shingles(text: str | None, width: int = 3) -> list[int]:
+    """XXH64 of each shingle of one text, in order; none if it has no word.
 
-    A-Z are lower-cased, words end at ASCII white space, a text of fewer than ``width`` words is one
-    shingle. A bit is 1 if it is set in over half of the shingles' XXH64.
+    A-Z are lower-cased, words end at ASCII white space, a text of fewer than ``width`` words is one shingle.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
     starts = [0, *(e + 1 for e in ends[:-1])]
     hashed, seed = xxhash.xxh64_intdigest, SEED
-    values = [hashed(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :])] or [hashed(joined, seed)]
+    return [hashed(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :])] or [hashed(joined, seed)]
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The fingerprint of one text, unsigned; 0 if it has no word.
+
+    A bit is 1 if it is set in over half of the shingles.
+    """
+    values = shingles(text, width)
     counts = np.zeros(64, np.int64)
     for k in range(0, len(values), CHUNK):
         part = np.array(values[k : k + CHUNK], np.uint64)
@@ -91,9 +98,11 @@ def near(prints: DataFrame, column: str = "fp", most_bits: int = 3, hot: int = 5
     return plain.unionAll(verified(look.join(fine, ["seg", "key", "cell", "k1", "k2"]))).distinct()
 
 
-def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, most_bits: int = 3, also: dict[str, Column] | None = None) -> DataFrame:
+def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, most_bits: int = 3, also: dict[str, Column] | None = None, group: str | None = None) -> DataFrame:
     """(doc_id, fp, component_id): each row's fingerprint and the least id reachable over links; ``also`` adds columns.
 
+    ``group`` names one more column, a fingerprint that tells components apart also where their least ids are equal.
+
     Equal fingerprints are linked first, so a group of copies, however large, is one entry in the index.
     A null id takes part with its fingerprint but is never a component's id unless all of the group are
     null; repeated rows come back as often as they came in. No rows give no rows.
@@ -104,8 +113,17 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     # A component is named by its least fingerprint; its id is the least of the ids of all its fingerprints.
     named = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     many = named.join(linked.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.join(many, "component", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return printed.join(ids, "fp").select("doc_id", "fp", "component_id", *(also or {}))
+    ids = named.join(many, "component", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), *([F.col("component").alias(group)] if group else []))
+    return printed.join(ids, "fp").select("doc_id", "fp", "component_id", *(also or {}), *([group] if group else []))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The row of ``docs`` of each component of ``named`` (doc_id, _text, component) with the least id, nulls last, and text hash."""
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_text"))).alias("first"))
+    kept = first.select(key("first.doc_id").alias("_key"), F.col("first._text").alias("_text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key(id_column).alias("_key"), F.xxhash64(text_column).alias("_text"))
+    return keyed.join(kept, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select("doc.*")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -114,9 +132,5 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Rows without a word share fingerprint zero and so count as copies. Where several rows of a group have
     that id, the one with the least text hash stays. A null id is kept only in a group without other ids.
     """
-    hashed = F.xxhash64(text_column)
-    named = groups(docs, id_column, text_column, also={"_text": hashed}).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    least = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kept = named.groupBy(least("component_id").alias("_key"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_group")).agg(F.min("_text").alias("_text")).select("_key", "_text").distinct()
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), least(id_column).alias("_key"), hashed.alias("_text"))
-    return keyed.join(kept, ["_key", "_text"], "left_semi").dropDuplicates(["_key", "_text"]).select("doc.*")
+    named = groups(docs, id_column, text_column, also={"_text": F.xxhash64(text_column)}, group="component")
+    return one_of_each(docs, named, id_column, text_column)

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import components, linededup, mixing, simhash
+from graphloom.llm import components, linededup, mixing, simhash, similar
 
 DOCS = "doc_id long, text string, source string, n_lines string, row string, fp string, size string, left string"
 
@@ -175,3 +175,38 @@ def test_schedule_is_even(spark, words):
     shares = [[c[n] / sum(c.values()) for n in (1, 2, 3)] for c in by_slot.values()]
     whole = [sum(c[n] for c in by_slot.values()) / sum(sum(c.values()) for c in by_slot.values()) for n in (1, 2, 3)]
     assert all(abs(a - b) < 0.05 for s in shares for a, b in zip(s, whole))
+
+
+def similarity(a, b):
+    x, y = ({tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("hot", [32, 3])
+def test_one_of_similar_texts(spark, words, hot):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(30, 200))) for _ in range(8)]
+    for _ in range(60):
+        t = rng.choice(texts[:8]).split(" ")
+        for _ in range(rng.randint(0, max(1, len(t) // 40))):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+    up = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if similarity(texts[a], texts[b]) >= 0.8:
+                up = [up[a] if u == up[b] else u for u in up]
+    want = sorted({min(k for k in range(len(texts)) if up[k] == u) for u in up})
+    assert 8 < len(want) < 68
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    # Rows of one id and other texts are documents of their own; a null id goes where the group has another.
+    more = [(0, "a unique text under an id that is taken", "s"), (None, texts[0], "s"), (None, "alone here now", "s"), rows[0]]
+    kept = similar.one_of_similar(frame(spark, rows + more), hot=hot)
+    assert kept.columns == frame(spark, []).columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == sorted([-1, 0, *want])
+    assert similar.one_of_similar(frame(spark, [])).count() == 0
+
+
+def test_one_of_each_with_equal_ids(spark, words):
+    rows = [(1, " ".join(words[:100]), "s"), (1, " ".join(words[100:200]), "s"), (2, " ".join(words[:100]), "s")]
+    assert sorted(r.text for r in simhash.keep_one(frame(spark, rows)).collect()) == sorted({t for _, t, _ in rows})

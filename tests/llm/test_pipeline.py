@@ -36,3 +36,12 @@ def test_exact_copies_and_leaks_go(spark):
         now = stage(spark, now, SF)
     ids = {r.doc_id for r in now.select("doc_id").collect()}
     assert not ids & {9001, 9002, 9003} and 3 in ids
+
+
+def test_near_copies_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = docs.where("doc_id = 3").first()
+    words = " ".join(one.text.split()[:100]).split()
+    changed = " ".join([*words[:40], "elsewhere", *words[41:]])
+    both = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, changed, "en", "s", 1)], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, both, SF).collect()] == [1]
