@@ -1,4 +1,4 @@
-"""License scans: ordered signature rules behind a keyword prefilter. Spark functions only."""
+"""License scans: ordered signature rules behind a filter of their trigger words. Spark functions only."""
 
 from __future__ import annotations
 
@@ -61,7 +61,7 @@ FAMILIES = (
 VERSIONED = (
     (3, 1.0, "spdx license identifier {n}(?: {v}| {v} (?:only|or later))"),
     (3, 0.95, "(?:(?:(?:re)?licensed|released|distributed|available|published|free) )?(?:under|to) (?:the |an? )?(?:terms of the )?{n} licen[cs]e (?:version |v)?{v}"),
-    (3, 0.95, "{n}(?: public)?(?: licen[cs]e)?(?: version| v)? ?{v}"),
+    (3, 0.95, "{n}(?: public)?(?: licen[cs]e)?(?: version| ?v)? ?{v}"),
     (3, 0.9, "version {v} of the {n} licen[cs]e"),
 )
 #: The same for a name alone.
@@ -81,25 +81,29 @@ SENTENCES = (
     ("proprietary", 1, 0.5, ("reserved",), "all rights reserved"),
     ("commercial-no", 1, 0.5, ("non", "noncommercial"), "for non ?commercial (?:use|purposes) only"),
 )
-#: A text without any of these has no detection.
-KEYWORDS = r"licen[cs]|spdx|permission|redistribut|public domain|rights reserved|commercial|\b(?:cc|cc0|gpl|lgpl|agpl|mpl|epl|bsd|cddl|cpl|eupl|osl|afl|odbl|ofl|psf|zpl|lppl|gfdl|wtfpl|unlicense|creative)\b|free software"
-
 
 def rules() -> list[tuple[int, str, int, float, list[str], str, bool]]:
     """(rule, label, priority, confidence, triggers, pattern, base), base rules first, then in fixed order.
 
-    A rule runs on a text that has one of its trigger words: the first word of each form of the name.
+    A rule runs on a text that has one of its trigger words: the first word of each form of the name,
+    also with a version joined to it.
     """
     found = [(label, 4, 1.0, [phrase.split()[-1] if label == "cc-by-nc" else phrase.split()[-2 if label == "mit" else 0]], phrase, True) for phrase, label in BASE]
     for label, name, versions in FAMILIES:
         triggers = sorted({form.split()[0] for form in re.sub(r"^\(\?:|\)$", "", name).split("|") if "(" not in form.split()[0] and ")" not in form.split()[0]})
         for v in versions:
-            found += [(f"{label}-{v.replace(' ', '.')}", p, c, triggers, form.format(n=name, v=v), False) for p, c, form in VERSIONED]
+            joined = sorted({*triggers, *(t + x + v.split()[0] for t in triggers for x in ("", "v"))})
+            found += [(f"{label}-{v.replace(' ', '.')}", p, c, joined, form.format(n=name, v=v), False) for p, c, form in VERSIONED]
         found += [(label, p, c, triggers, form.format(n=name), False) for p, c, form in PLAIN]
     found += [(label, p, c, list(triggers), pattern, False) for label, p, c, triggers, pattern in SENTENCES]
     return [(i, label, p, c, triggers, f"(?<= )(?:{pattern})(?= )", base) for i, (label, p, c, triggers, pattern, base) in enumerate(found)]
 
 
+def triggered(norm: Column) -> Column:
+    """Whether normalised words hold a trigger word of any rule: without one no rule runs."""
+    return F.arrays_overlap(F.split(F.lower(norm), " "), F.array(*[F.lit(t) for t in sorted({t for r in rules() for t in r[4]})]))
+
+
 def normalised(text: Column) -> Column:
     """The words with one space between and around them."""
     return F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), BREAKS, " ")
@@ -134,7 +138,7 @@ def detections(texts: DataFrame) -> DataFrame:
     triggers = sorted({t for r in known for t in r[4]})
     of = F.create_map(*[x for t in triggers for x in (F.lit(t), F.array(*[F.lit(r[0]) for r in known if t in r[4]]))])
     present = F.array_intersect(F.split("norm", " "), F.array(*[F.lit(t) for t in triggers]))
-    chosen = texts.where(F.col("norm").rlike(KEYWORDS)).select("doc_id", "row", "norm", present.alias("present"))
+    chosen = texts.select("doc_id", "row", "norm", present.alias("present"))
     chosen = chosen.select("doc_id", "row", "norm", F.explode(F.array_distinct(F.flatten(F.transform("present", lambda t: of[t])))).alias("rule"))
     met = chosen.join(F.broadcast(table), "rule")  # a fixed table of some hundred rows
     each = met.select("doc_id", "row", "rule", "label", "priority", "confidence", "base", "norm", F.explode(_places(F.col("norm"), F.col("pattern"))).alias("at"))
@@ -154,7 +158,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """
     norm = normalised(F.col(text_column))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), norm.alias("norm"))
-    texts = texts.select("doc_id", "row", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), F.when(F.col("norm").rlike(f"(?i){KEYWORDS}"), F.col("norm")).alias("norm"))
+    texts = texts.select("doc_id", "row", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), F.when(triggered(F.col("norm")), F.col("norm")).alias("norm"))
     texts = stored(texts, "license-texts")
     # The texts left are few but slow: by number they are dealt over all partitions, whatever their bytes.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

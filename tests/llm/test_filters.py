@@ -142,3 +142,12 @@ def test_windows_against_plain(spark, words):
                 want[d, i] = n
     found = decontam.leaks(passages(spark, docs), spark.createDataFrame(items, "item_id long, text string"), width=2)
     assert {(r.doc_id, r.item_id): r.n_windows for r in found.collect()} == want
+
+
+SAMPLES = {"released under MIT": "mit", "distributed under Apache 2.0": "apache-2.0", "Mozilla Public 2.0": "mpl-2.0", "GNU General Public v3": "gpl-3", "Boost Software 1.0": "boost-1.0", "Artistic 2.0": "artistic-2.0", "gpl3": "gpl-3", "GPLv3": "gpl-3", "lgplv2.1": "lgpl-2.1"}
+
+
+def test_the_filter_passes_what_rules_match(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SAMPLES)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(df).collect()}
+    assert all(label in got[i] for i, label in enumerate(SAMPLES.values())), got
