@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -93,19 +94,28 @@ def search(
     indexed. A query probes cells by the inner product with their centroids until they hold ``probe_share``
     of all rows, and ``least_probed`` rows at least. Small cells share a bin and large ones are cut over
     several, of some ``chunk_rows`` rows each, which meet the queries in blocks, so no task holds more; the
-    ``rerank`` best estimates of each bin are scored exactly there. Vectors null, zero, with a null or non-finite component, or of another length than
-    most (the shorter on a tie), and rows with a null id take no part; repeated ids count as one row (the
-    least vector). No rows give none. Ties go to the smaller id.
+    ``rerank`` best estimates of each bin, of equal ones those of the smaller ids, are scored exactly there.
+
+    Vectors null, zero, or with a null or non-finite component, and rows with a null id take no part. Vectors
+    of different lengths have no inner product: each length, of which there are few, has an index of its own.
+    Rows that repeat an id are rows like others: each is a candidate of all but itself, and each asks, so
+    that a repeated query's ranks come back once for each of its rows. No rows give none. Ties go to the
+    smaller id.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
     good = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
-    by_size = good.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    if by_size is None:
-        return spark.createDataFrame([], schema)
-    good = stored(good.where(F.size("vector") == by_size.size).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
-    n = good.count()
-    fitted = _matrix(good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toPandas().vector)  # bounded by sample_rows
+    # The written number tells rows of one id apart.
+    good = stored(good.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    settings = {"k": k, "every": every, "sample_rows": sample_rows, "most_cells": most_cells, "parts": parts, "probe_share": probe_share, "least_probed": least_probed, "rerank": rerank, "chunk_rows": chunk_rows}
+    found = [_search(good.where(F.size("vector") == r.size), r.n, **settings) for r in good.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()]  # one row a length
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+
+
+def _search(good: DataFrame, n: int, k: int, every: int, sample_rows: int, most_cells: int, parts: int, probe_share: float, least_probed: int, rerank: int, chunk_rows: int) -> DataFrame:
+    """``search`` among ``n`` rows (vec_id, vector, row) of vectors of one length."""
+    spark = good.sparkSession
+    fitted = _matrix(good.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).select("vector").toPandas().vector)  # bounded by sample_rows
     cells = max(1, min(most_cells, round(2 * n**0.5), len(fitted) // 8))
     quantiser = spark.sparkContext.broadcast(Quantiser.fit(fitted, cells, parts))
 
@@ -115,7 +125,7 @@ def search(
                 cell, codes = quantiser.value.encode(_matrix(rows.vector))
                 yield rows.assign(cell=cell.astype("int32"), codes=[c.tobytes() for c in codes])
 
-    index = stored(good.mapInPandas(encode, "vec_id long, vector array<double>, cell int, codes binary"), "index")
+    index = stored(good.mapInPandas(encode, "vec_id long, vector array<double>, row long, cell int, codes binary"), "index")
     sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row a cell
     counts = np.zeros(cells, np.int64)
     counts[sizes.cell] = sizes.n
@@ -126,49 +136,59 @@ def search(
         coarse = quantiser.value.coarse
         for rows in batches:
             order = np.argsort(-(_matrix(rows.vector) @ coarse.T), axis=1, kind="stable") if len(rows) else ()
-            for qid, vector, own in zip(rows.vec_id, rows.vector, order):
+            for qid, row, vector, own in zip(rows.vec_id, rows.row, rows.vector, order):
                 probed = own[: int((np.cumsum(counts[own]) < wanted).sum()) + 1]
                 probed = probed[counts[probed] > 0]
                 spread = np.repeat(probed, pieces[probed])
                 bins = first[spread] + np.concatenate([np.arange(p) for p in pieces[probed]])
                 by_bin = np.argsort(bins, kind="stable")
                 names, starts = np.unique(bins[by_bin], return_index=True)
-                yield pd.DataFrame({"query_id": qid, "query": [vector] * len(names), "bin": names, "probed": np.split(spread[by_bin].astype("int32"), starts[1:])})
+                yield pd.DataFrame({"query_id": qid, "query_row": row, "query": [vector] * len(names), "bin": names, "probed": np.split(spread[by_bin].astype("int32"), starts[1:])})
 
     per_block = 8192
     blocks = max(1, -(-n // (every * per_block)))
-    asked = good.where(F.col("vec_id") % every == 0).mapInPandas(probes, "query_id long, query array<double>, bin long, probed array<int>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(blocks)).cast("int"))
+    asked = good.where(F.col("vec_id") % every == 0).mapInPandas(probes, "query_id long, query_row long, query array<double>, bin long, probed array<int>")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "query_row"), F.lit(blocks)).cast("int"))
     at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
-    held = index.withColumn("bin", at(first) + F.pmod(F.xxhash64(F.lit(5), "vec_id"), at(pieces))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = index.withColumn("bin", at(first) + F.pmod(F.xxhash64(F.lit(5), "row"), at(pieces))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        own, ids, own_cells = _matrix(rows.vector), rows.vec_id.to_numpy(), rows.cell.to_numpy()
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "query_row": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        rows = rows.sort_values(["vec_id", "row"], ignore_index=True)  # equal estimates are taken in this order
+        own, ids, numbers, own_cells = _matrix(rows.vector), rows.vec_id.to_numpy(), rows.row.to_numpy(), rows.cell.to_numpy()
         codes = np.frombuffer(b"".join(rows.codes), np.uint8).reshape(len(rows), -1)
         found, most = [], min(rerank, len(rows))
         for i in range(0, len(queries), 128):
-            block, qid = _matrix(queries["query"].iloc[i : i + 128]), queries.query_id.to_numpy()[i : i + 128]
+            part = queries.iloc[i : i + 128]
+            block, qid, qrow = _matrix(part["query"]), part.query_id.to_numpy(), part.query_row.to_numpy()
             open_ = np.zeros((len(qid), cells), bool)
-            for j, probed in enumerate(queries.probed.iloc[i : i + 128]):
+            for j, probed in enumerate(part.probed):
                 open_[j, probed] = True
-            allowed = open_[:, own_cells] & (ids[None, :] != qid[:, None])
-            guess = np.where(allowed, quantiser.value.estimate(block, own_cells, codes), -np.inf)
-            best = np.argpartition(-guess, most - 1, axis=1)[:, :most]
+            allowed = open_[:, own_cells] & (numbers[None, :] != qrow[:, None])
+            best = _first(np.where(allowed, quantiser.value.estimate(block, own_cells, codes), -np.inf), most)
             exact = np.where(np.take_along_axis(allowed, best, 1), np.einsum("qd,qmd->qm", block, own[best]), -np.inf)
             theirs = ids[best]
             top = np.lexsort((theirs, -exact), axis=1)[:, :k]
-            found.append(pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), "vec_id": np.take_along_axis(theirs, top, 1).ravel(), "score": np.take_along_axis(exact, top, 1).ravel()}))
+            wide = top.shape[1]
+            found.append(pd.DataFrame({"query_id": np.repeat(qid, wide), "query_row": np.repeat(qrow, wide), "vec_id": np.take_along_axis(theirs, top, 1).ravel(), "score": np.take_along_axis(exact, top, 1).ravel()}))
         got = pd.concat(found)
         return got[got.score > -np.inf]
 
     keys = ["bin", "block"]
-    near = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, query_row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _first(guess: np.ndarray, most: int) -> np.ndarray:
+    """The places of the ``most`` greatest values of each row, of equal ones the first."""
+    cut = np.partition(guess, guess.shape[1] - most, axis=1)[:, [guess.shape[1] - most]]
+    above, level = guess > cut, guess == cut
+    missing = most - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | level & (level.cumsum(axis=1) <= missing))[1].reshape(len(guess), most)
+
+
 def _bins(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """For each cell its first bin and the number of bins it is cut over; small cells follow each other in one."""
     first, pieces = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // rows))

@@ -151,28 +151,57 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
 
 
+def nearest(rows, every=20, k=20):
+    """(query, rank, id, score) of all usable rows by comparing all with all, rows of one length among themselves."""
+    good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and None not in v]
+    good = [(i, v) for i, v in good if np.isfinite(v).all() and v.any()]
+    out = []
+    for p, (i, v) in enumerate(good):
+        if i % every == 0:
+            near = sorted((-float(v @ w), j) for q, (j, w) in enumerate(good) if p != q and len(w) == len(v))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
+    return out
+
+
 def test_nearest_against_all(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(3000, 16)).astype(np.float32)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
-    rows += [(4000, rows[7][1]), (4001, rows[7][1]), (4020, None), (4040, [0.0] * 16), (4060, [float("nan")] + [1.0] * 15), (4080, [float("inf")] * 16), (4100, [None] + [1.0] * 15), (4120, [1.0] * 3), (None, rows[1][1]), rows[0]]
-    good = {i: np.array(v, np.float64) for i, v in rows[:3002]}
-    ids = np.array(sorted(good))
-    all_ = np.stack([good[i] for i in ids])
-    got = {}
-    for r in ann.search(vectors(spark, rows), chunk_rows=500, least_probed=500).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(got) == {i for i in good if i % 20 == 0}
+    rows += [(4000, rows[7][1]), (4001, rows[7][1]), (4020, None), (4040, [0.0] * 16), (4060, [float("nan")] + [1.0] * 15), (4080, [float("inf")] * 16), (4100, [None] + [1.0] * 15), (None, rows[1][1]), rows[0]]
+    rows += [(4120, [1.0] * 3), (4121, [2.0] * 3), (4140, [1.0, 0.0, 0.0])]
+    want, got = {}, {}
+    for q, r, v, s in nearest(rows):
+        want.setdefault(q, []).append((r, v, s))
+    for x in ann.search(vectors(spark, rows), chunk_rows=500, least_probed=500).orderBy("query_id", "rank", "vec_id").collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    assert set(got) == set(want)
+    known = {}
+    for i, v in rows:
+        known.setdefault(i, v)
     hits = 0
     for q, found in got.items():
-        s = all_ @ good[q]
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
-        hits += len({ids[i] for i in order} & {v for _, v, _ in found})
-        assert [r for r, _, _ in found] == list(range(1, 21)) and all(v != q for _, v, _ in found)
-        assert all(x[2] == pytest.approx(float(good[q] @ good[x[1]]), abs=1e-12) for x in found)
-        assert all((-a[2], a[1]) < (-b[2], b[1]) for a, b in zip(found, found[1:]))
-    assert hits >= 0.9 * 20 * len(got)
+        assert sorted(r for r, _, _ in found) == sorted(r for r, _, _ in want[q])
+        hits += len({v for _, v, _ in found} & {v for _, v, _ in want[q]}) / len({v for _, v, _ in want[q]})
+        assert all(x[2] == pytest.approx(float(np.dot(np.array(known[q], float), np.array(known[x[1]], float))), abs=1e-12) for x in found)
+        if q:
+            assert all(v != q for _, v, _ in found) and all((-a[2], a[1]) <= (-b[2], b[1]) for a, b in zip(found, found[1:]))
+    assert hits >= 0.9 * len(got)
+    assert got[4120] == [(1, 4121, 6.0), (2, 4140, 1.0)]
+    assert [(r, v) for r, v, _ in got[0] if r == 1] == [(1, 0)] * 2  # id 0 comes twice: each row finds the other
+
+
+def test_nearest_ties(spark):
+    """A thousand equal vectors, over several bins: the least ids, as by comparing all with all."""
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(3000, 8)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(i, [1.0, *[0.0] * 7] if i % 3 == 0 else [float(x) for x in v]) for i, v in enumerate(m)]
+    got = {}
+    for x in ann.search(vectors(spark, rows), chunk_rows=300).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    for q in range(0, 3000, 60):
+        assert got[q] == [i for i in range(0, 66, 3) if i != q][:20]
 
 
 def test_nearest_few_and_none(spark):
