@@ -11,8 +11,6 @@ from graphloom.plans.checkpoint import stored
 
 #: What parts words: ASCII other than digits and letters.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Private-use characters that mark a match while its places are read off.
-BEGIN, END = "\ue000", "\ue001"
 #: Fixed values of the contract: (phrase, label).
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: (label, what it is called in normalised words, versions). A version v adds -v to the label.
@@ -64,44 +62,261 @@ VERSIONED = (
     (3, 0.95, "{n}(?: public)?(?: licen[cs]e)?(?: version| ?v)? ?{v}"),
     (3, 0.9, "version {v} of the {n} licen[cs]e"),
 )
-#: The same for a name alone.
+#: The same for a name alone, always with words that tell a licence from other uses of the name.
 PLAIN = (
     (2, 0.9, "spdx license identifier {n}"),
     (2, 0.8, "(?:(?:re)?licensed|released|distributed|available|published|free) under (?:the |an? )?(?:terms of the )?{n}(?: licen[cs]e)?"),
-    (1, 0.6, "(?:the )?{n} licen[cs]e"),
-)
-#: (label, priority, confidence, trigger words, pattern): sentences that stand for a licence without its name.
-SENTENCES = (
-    ("mit", 2, 0.9, ("hereby",), "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", 2, 0.8, ("redistribution",), "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("isc", 2, 0.8, ("permission",), "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("gpl", 2, 0.8, ("redistribute",), "this program is free software you can redistribute it and or modify it"),
-    ("unlicense", 2, 0.9, ("unencumbered",), "this is free and unencumbered software released into the public domain"),
-    ("public-domain", 1, 0.6, ("domain",), "(?:released|dedicated|placed) (?:in|to|into) the public domain"),
-    ("proprietary", 1, 0.5, ("reserved",), "all rights reserved"),
-    ("commercial-no", 1, 0.5, ("non", "noncommercial"), "for non ?commercial (?:use|purposes) only"),
+    (1, 0.7, "(?:see|read|accept|under|by|with|terms of) (?:the )?{n} licen[cs]e"),
+    (1, 0.7, "{n} licensed|licen[cs]e {n}(?: licen[cs]e)?|(?<=^ )(?:the )?{n} licen[cs]e(?= (?:copyright|version|permission|terms|[0-9]{{4}}|$))"),
+    (1, 0.6, "{n} licen[cs]e (?:agreement|terms|text|file|notice|header|copyright)"),
 )
+#: Signatures: label; priority; trigger, a word of every match; pattern over normalised words.
+SIGNATURES = r"""
+mit; 3; hereby; permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit; 2; obtaining; free of charge to any person obtaining a copy
+mit; 2; substantial; this permission notice shall be included in all copies or substantial portions of the software
+mit; 2; sublicense; (?:to )?use copy modify merge publish distribute sublicense and or sell copies of the software
+mit; 2; dealings; arising from out of or in connection with the software or the use or other dealings in the software
+mit; 2; mit; opensource org licenses?(?: php)? mit(?: license)?(?: php)?
+mit-0; 3; mit; mit (?:no attribution|0)(?: license)?
+x11; 2; consortium; the name of the x consortium shall not be used in advertising
+apache-1.1; 3; jakarta; the names (?:the )?jakarta project (?:commons )?and apache software foundation must not be used
+apache-1.1; 2; acknowledgment; this product includes software developed by the apache software foundation http www apache org alternately this acknowledgment
+apache-2.0; 3; apache; you may not use this file except in compliance with the license you may obtain a copy of the license at https? www apache org licenses license 2 0
+apache-2.0; 3; apache; (?:www )?apache org licenses(?: license)? 2 0(?: txt| html)?
+apache-2.0; 2; agreed; unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0; 2; contributor; each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
+apache-2.0; 2; reproduction; terms and conditions for use reproduction and distribution
+apache-2.0; 2; boilerplate; to apply the apache license to your work attach the following boilerplate notice
+apache; 2; asf; licensed to the apache software foundation asf under one or more contributor license agreements
+bsd; 3; redistribution; redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+bsd; 2; redistributions; redistributions of source code must retain the (?:above )?copyright notice
+bsd; 2; redistributions; redistributions in binary form must reproduce the above copyright notice
+bsd-3-clause; 3; endorse; neither the names? of .{1,80}? may be used to endorse or promote products derived from this software
+bsd-3-clause; 3; promote; may not be used to endorse or promote products derived from this software without (?:specific )?prior written permission
+bsd-4-clause; 3; advertising; all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+bsd-2-clause; 2; freebsd; the freebsd (?:copyright|license)
+bsd; 2; regents; copyright (?:c )?(?:\d{4} )+the regents of the university of california
+bsd-3-clause; 2; bsd; opensource org licenses bsd 3 clause
+bsd-2-clause; 2; bsd; opensource org licenses bsd 2 clause
+bsd; 1; bsd; bsd style (?:open source )?licen[cs]e
+0bsd; 3; 0bsd; (?:licen[cs]e )?0bsd|zero clause bsd 0bsd
+0bsd; 2; purpose; permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)
+isc; 3; fee; permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+isc; 2; disclaims; the author disclaims all warranties with regard to this software
+isc; 2; isc; opensource org licenses isc(?: license)?
+gpl; 3; redistribute; this (?:program|library|file|package|software) is free software you can redistribute it and or modify it under the terms of the gnu general public license
+gpl-2; 3; gnu; under the terms of the gnu general public license as published by the free software foundation either version 2 of the license(?! or)|redistribute it .{1,60}? gnu general public license version 2
+gpl-2-or-later; 3; later; gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3-or-later; 3; later; gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+gpl-2-only; 3; gnu; gnu general public license version 2 only|version 2 only of the gnu general public license
+gpl-3-only; 3; gnu; gnu general public license version 3 only|version 3 only of the gnu general public license
+gpl; 2; gnu; you should have received a copy of the gnu general public license along with
+gpl; 2; hope; (?:program|software) is distributed in the hope that it will be useful but without any warranty .{1,90}? gnu general public license
+gpl; 2; copyleft; the gnu general public license is a free copyleft license for software
+gpl-2; 3; june; gnu general public license version 2 june 1991
+gpl-3; 3; june; gnu general public license version 3 29 june 2007
+gpl; 1; copyleft; copyleft licen[cs]e
+gpl; 2; gnu; (?:www )?gnu org (?:licenses|copyleft) gpl(?: txt| html)?
+gpl-classpath; 3; classpath; classpath exception(?: to the gpl)?
+gpl-linking-exception; 3; exception; as a special exception .{1,120}? permission to link (?:or combine )?this (?:program|library|work)
+lgpl; 3; redistribute; this (?:program|library|file|package|software) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
+lgpl-2.1; 3; lesser; gnu lesser general public license as published by the free software foundation either version 2 1
+lgpl-3; 3; lesser; gnu lesser general public license as published by the free software foundation either version 3
+lgpl; 2; lesser; you should have received a copy of the gnu lesser general public license
+lgpl-2.1; 3; february; gnu lesser general public license version 2 1 february 1999
+lgpl-2; 3; library; gnu library general public license version 2 june 1991
+lgpl-3; 3; lesser; gnu lesser general public license version 3 29 june 2007
+lgpl; 2; gnu; (?:www )?gnu org (?:licenses|copyleft) (?:old licenses )?lgpl(?: \d(?: \d)?)?(?: txt| html)?
+agpl; 3; affero; under the terms of the gnu affero general public license
+agpl-3; 3; affero; gnu affero general public license as published by .{1,60}? version 3
+agpl-3; 3; november; gnu affero general public license version 3 19 november 2007
+agpl; 2; affero; you should have received a copy of the gnu affero general public license
+agpl; 2; gnu; (?:www )?gnu org licenses agpl(?: \d(?: \d)?)?(?: txt| html)?
+gfdl; 3; invariant; permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license .{0,160}? invariant sections
+gfdl; 2; gnu; under the (?:terms of the )?gnu free documentation license
+gfdl; 2; gnu; (?:www )?gnu org (?:licenses|copyleft) fdl(?: txt| html)?
+mpl-1.1; 3; mozilla; the contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0; 3; mozilla; this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0; 3; mozilla; (?:www )?mozilla org mpl 2 0
+mpl-1.1; 3; mozilla; (?:www )?mozilla org mpl mpl 1 1(?: html)?
+mpl; 2; incompatible; incompatible with secondary licenses
+npl; 3; netscape; (?:subject to the )?netscape public license(?: version 1 [01])?
+epl-1.0; 3; eclipse; eclipse public license v(?:ersion)? ?1 0 which accompanies this distribution
+epl-2.0; 3; eclipse; (?:this program and the accompanying materials are made available under the terms of the )?eclipse public license (?:v )?2 0 which is available at
+epl; 2; eclipse; (?:www )?eclipse org legal epl(?: v10| 2 0| v20)?(?: html)?
+cpl-1.0; 3; common; common public license v(?:ersion)? ?1 0
+ipl-1.0; 3; ibm; ibm public license(?: version)?(?: 1 0)?
+cddl; 3; development; common development and distribution license (?:the license|cddl)(?: version 1 [01])?
+cddl-1.0; 3; opensolaris; (?:usr src )?opensolaris license or http www opensolaris org os licensing
+sissl; 3; sun; sun industry standards source license
+bcl; 3; sun; sun microsystems inc binary code license agreement
+oracle-bcl; 3; oracle; oracle binary code license agreement
+oracle-tn; 3; oracle; oracle technology network (?:developer )?license(?: agreement)?
+eupl; 3; eupl; licensed under the eupl(?: version)?(?: 1 [012])?
+osl; 3; open; licensed under the open software license version(?: \d 0)?
+afl; 3; academic; licensed under the academic free license version(?: \d \d)?
+artistic-2.0; 3; artistic; (?:the )?artistic license 2 0 copyright
+artistic; 3; artistic; under the (?:terms of the )?artistic license
+artistic; 2; artistic; (?:same terms as perl itself .{0,80}? )?gnu general public license or the artistic license
+perl; 3; perl; (?:free software you can redistribute it and or modify it )?under the same terms as perl(?: itself)?
+boost-1.0; 3; boost; (?:distributed under the )?boost software license version 1 0 see accompanying file
+boost-1.0; 3; boost; boost org license 1 0(?: txt)?
+boost-1.0; 2; accompanying; accompanying documentation covered by this license the software
+odbl-1.0; 3; database; made available under the open database license
+odbl-1.0; 2; opendatacommons; opendatacommons org licenses odbl(?: 1 0)?
+odc-by-1.0; 3; opendatacommons; opendatacommons org licenses by(?: 1 0)?
+odc-by-1.0; 3; commons; open data commons attribution license
+pddl-1.0; 3; dedication; public domain dedication and licen[cs]e(?: pddl)?
+ofl-1.1; 3; sil; this font software is licensed under the sil open font license version 1 1
+ofl; 2; ofl; (?:scripts sil org|openfontlicense org) ofl|scripts sil org cms scripts page php site id nrsi id ofl
+ofl; 2; reserved; with reserved font name
+psf-2; 3; python; psf license agreement for python(?: \d)?|python software foundation license version 2(?: psf)?
+psf-2; 2; psf; psf hereby grants licensee
+python; 2; beopen; beopen python open source license agreement
+cnri; 3; cnri; cnri (?:open source|python)? ?license agreement
+php-3.01; 3; php; the php license version 3 01
+php; 2; php; this source file is subject to version 3 0?1? ?of the php license
+php; 2; php; (?:www )?php net license(?: 3 0\d?)?(?: txt)?
+zend-2.0; 3; zend; zend engine license(?: version 2 00)?
+zpl; 3; zope; (?:subject to the provisions of the )?zope public license
+lppl; 3; latex; conditions of the latex project public license
+lppl; 2; latex; (?:www )?latex project org lppl(?: txt)?
+ms-pl; 3; microsoft; microsoft public license(?: ms pl)? this license governs use of the accompanying software
+ms-rl; 3; microsoft; microsoft reciprocal license(?: ms rl)? this license governs
+ms-eula; 2; microsoft; microsoft software license terms
+ms-limited; 3; microsoft; microsoft limited public license
+zlib; 3; misrepresented; the origin of this software must not be misrepresented
+zlib; 2; altered; altered source versions must be plainly marked as such
+zlib; 2; express; this software is provided as is without any express or implied warranty in no event will the authors be held liable
+libpng; 3; png; the png reference library is supplied as is
+libtiff; 3; silicon; the names of sam leffler and silicon graphics may not be used
+ncsa; 3; ncsa; university of illinois ncsa open source license
+postgresql; 3; postgresql; postgresql database management system(?: formerly known as postgres.{0,40}?)? portions copyright
+postgresql; 3; documentation; permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
+unlicense; 3; unencumbered; this is free and unencumbered software released into the public domain
+unlicense; 2; unlicense; (?:https? )?unlicense org
+wtfpl; 3; fuck; do what the fuck you want to public license
+wtfpl; 2; wtfpl; (?:www )?wtfpl net
+vim; 3; vim; (?:distributed )?under the vim license|vim license which is in the file
+ruby; 3; ruby; (?:under|to) the (?:same )?terms (?:as|of) (?:the )?ruby(?: license)?(?: itself)?|ruby s license
+curl; 3; stenberg; copyright and permission notice copyright c .{1,60}? daniel stenberg
+curl; 3; curl; curl license
+openssl; 3; openssl; software developed by the openssl project for use in the openssl toolkit
+ssleay; 3; cryptographic; this product includes cryptographic software written by eric young
+libressl; 2; eric; copyright c \d{4}(?: \d{4})? eric young
+ntp; 3; ntp; university of delaware .{0,200}? ntp|ntp license
+icu; 3; icu; icu license icu 1 8 1 and later
+unicode; 3; unicode; unicode inc license agreement data files and software
+w3c; 3; w3c; w3c software (?:and document )?notice and license
+x-net; 2; xfree86; xfree86 (?:project )?licen[cs]e
+json; 3; evil; the software shall be used for good not evil
+beerware; 3; beer; (?:the )?beer ?ware license|buy me a beer in return
+jasper-2.0; 3; jasper; jasper (?:software )?license version 2 0
+imagemagick; 3; imagemagick; imagemagick studio llc .{0,120}? license|imagemagick license
+freetype; 3; freetype; the freetype project license
+ijg; 3; jpeg; this software is based in part on the work of the independent jpeg group
+sleepycat; 3; sleepycat; sleepycat (?:software )?(?:public )?license
+sqlite-blessing; 3; blessing; the author disclaims copyright to this source code in place of a legal notice here is a blessing
+bzip2; 3; bzip2; bzip2 (?:and libbzip2 )?license|this program bzip2 the associated library libbzip2
+info-zip; 3; zip; info zip license|this is version \d{4} \w{3} \d{2} of the info zip license
+tcl; 3; tcl; tcl tk license(?: terms)?
+naumen; 3; naumen; naumen public license
+nasa; 3; nasa; nasa open source agreement(?: version 1 3)?
+nokia; 3; nokia; nokia open source license
+intel; 3; intel; intel open source license
+apsl; 3; apple; apple public source license(?: version 2 0)?
+rpl; 3; reciprocal; reciprocal public license(?: 1 [15])?
+qpl; 3; trolltech; q public license .{0,60}? trolltech
+cpal; 3; attribution; common public attribution license(?: version 1 0)?(?: cpal)?
+cecill; 3; cecill; licen[cs]e (?:(?:de logiciel libre|libre|free software) )?cecill(?: [bc])?
+watcom; 3; watcom; sybase open watcom public license
+hpnd; 3; historical; historical permission notice and disclaimer
+sspl; 3; server; server side public license(?: version 1)?
+busl; 3; business; business source license(?: 1 1)?
+elastic; 3; elastic; elastic license(?: 2 0)?
+confluent; 3; confluent; confluent community license
+commons-clause; 3; commons; commons clause license condition(?: v1 0)?
+polyform; 3; polyform; polyform (?:noncommercial|small business|shield|strict|perimeter) license
+blueoak; 3; blue; blue oak model license(?: 1 0 0)?
+mulan; 3; mulan; mulan psl v\d|mulan permissive software license
+anti-996; 3; 996; anti 996 license
+cc0-1.0; 3; zero; (?:cc0 1 0 universal )?creative commons zero|cc zero
+cc0-1.0; 3; cc0; (?:licensed under |released under |dedicated to the public domain under )cc0
+cc0-1.0; 3; publicdomain; creativecommons org publicdomain zero 1 0
+public-domain; 2; creativecommons; creativecommons org (?:licenses )?publicdomain(?! zero)
+cc-by; 3; creativecommons; creativecommons org licenses by(?: \d \d)?
+cc-by-sa; 3; creativecommons; creativecommons org licenses by sa(?: \d \d)?
+cc-by-nd; 3; creativecommons; creativecommons org licenses by nd(?: \d \d)?
+cc-by-nc; 3; creativecommons; creativecommons org licenses by nc(?: \d \d)?
+cc-by-nc-sa; 3; creativecommons; creativecommons org licenses by nc sa(?: \d \d)?
+cc-by-nc-nd; 3; creativecommons; creativecommons org licenses by nc nd(?: \d \d)?
+cc; 1; creative; (?:under|with) a creative commons licen[cs]e|creative commons licensed|some rights reserved .{0,60}? creative commons
+openrail; 3; rail; (?:bigscience |bigcode |creativeml )?open rail(?: m)?(?: license)?
+llama; 3; llama; llama \d(?: \d)? community license(?: agreement)?
+gemma; 3; gemma; gemma terms of use
+ogl; 3; government; open government licen[cs]e(?: v(?:ersion)? ?\d(?: 0)?)?
+odc; 1; commons; open data commons
+etalab; 3; etalab; licence ouverte(?: open licence)? etalab|etalab 2 0
+public-domain; 2; domain; (?:released|dedicated|placed|committed) (?:in|to|into) the public domain
+public-domain; 2; domain; this (?:work|file|software|text|code|book) is in the public domain
+public-domain; 1; waived; all copyright and related rights (?:are )?waived
+proprietary; 1; reserved; all rights reserved
+proprietary; 2; confidential; confidential and proprietary
+proprietary; 2; proprietary; proprietary (?:software|source code|information|license)
+proprietary; 2; reproduced; no part of this (?:publication|work|book|document|site) may be reproduced
+proprietary; 2; unauthori[sz]ed; unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|work|software|material) .{0,60}?prohibited
+proprietary; 1; permission; without (?:the )?(?:express |prior )?written permission of
+proprietary; 2; eula; end user licen[cs]e agreement eula
+commercial-no; 2; non; for non commercial (?:use|purposes) only
+commercial-no; 2; noncommercial; for noncommercial (?:use|purposes) only
+commercial-no; 2; personal; for (?:your )?personal (?:and|or) non ?commercial use
+commercial-no; 1; commercial; (?:no|not for) commercial use
+evaluation; 2; evaluation; for evaluation (?:use|purposes) only
+educational; 2; educational; for educational (?:use|purposes) only
+research-only; 2; research; for research (?:use|purposes) only
+freeware; 1; freeware; this (?:program|software|font|game) is freeware
+shareware; 1; shareware; this (?:program|software|game) is shareware
+donationware; 1; donationware; donationware
+dual; 1; dual; dual licensed
+"""
+#: What a signature of each priority is worth.
+WORTH = {1: 0.6, 2: 0.8, 3: 0.95}
+
+
+def _version(label: str, v: str) -> str:
+    """The label of a version: its numbers joined by dots, words by hyphens."""
+    return f"{label}-{re.sub(r' (?=[0-9])', '.', v).replace(' ', '-')}"
+
+
+def _unfolded(trigger: str) -> list[str]:
+    """The words of a trigger with one choice of letters."""
+    choice = re.search(r"\[(\w+)\]", trigger)
+    return [trigger.replace(choice[0], x) for x in choice[1]] if choice else [trigger]
+
 
 def rules() -> list[tuple[int, str, int, float, list[str], str, bool]]:
     """(rule, label, priority, confidence, triggers, pattern, base), base rules first, then in fixed order.
 
-    A rule runs on a text that has one of its trigger words: the first word of each form of the name,
-    also with a version joined to it.
+    A rule runs on a text that has one of its trigger words: of a signature the word that each match holds; of
+    a name the first word of each of its forms, also with a version joined to it.
     """
-    found = [(label, 4, 1.0, [phrase.split()[-1] if label == "cc-by-nc" else phrase.split()[-2 if label == "mit" else 0]], phrase, True) for phrase, label in BASE]
+    found = [(label, 4, 1.0, [{"cc-by-nc": "nc"}.get(label) or label.split("-")[0]], phrase, True) for phrase, label in BASE]
+    for line in SIGNATURES.strip().splitlines():
+        label, p, trigger, pattern = (x.strip() for x in line.split(";"))
+        found.append((label, int(p), WORTH[int(p)], _unfolded(trigger), pattern, False))
     for label, name, versions in FAMILIES:
         triggers = sorted({form.split()[0] for form in re.sub(r"^\(\?:|\)$", "", name).split("|") if "(" not in form.split()[0] and ")" not in form.split()[0]})
         for v in versions:
             joined = sorted({*triggers, *(t + x + v.split()[0] for t in triggers for x in ("", "v"))})
-            found += [(f"{label}-{v.replace(' ', '.')}", p, c, joined, form.format(n=name, v=v), False) for p, c, form in VERSIONED]
+            found += [(_version(label, v), p, c, joined, form.format(n=name, v=v), False) for p, c, form in VERSIONED]
         found += [(label, p, c, triggers, form.format(n=name), False) for p, c, form in PLAIN]
-    found += [(label, p, c, list(triggers), pattern, False) for label, p, c, triggers, pattern in SENTENCES]
     return [(i, label, p, c, triggers, f"(?<= )(?:{pattern})(?= )", base) for i, (label, p, c, triggers, pattern, base) in enumerate(found)]
 
 
 def triggered(norm: Column) -> Column:
-    """Whether normalised words hold a trigger word of any rule: without one no rule runs."""
-    return F.arrays_overlap(F.split(F.lower(norm), " "), F.array(*[F.lit(t) for t in sorted({t for r in rules() for t in r[4]})]))
+    """Whether folded words hold a trigger word of any rule: without one no rule runs."""
+    return F.arrays_overlap(F.split(norm, " "), F.array(*[F.lit(t) for t in sorted({t for r in rules() for t in r[4]})]))
 
 
 def normalised(text: Column) -> Column:
@@ -109,21 +324,29 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), BREAKS, " ")
 
 
+def folded(norm: Column) -> Column:
+    """Lower case, for rules of ASCII words: as folding A-Z alone, as the two other letters that fold to ASCII are changed before."""
+    return F.lower(F.replace(F.replace(norm, F.lit("\u0130"), F.lit("\u0131")), F.lit("\u212a"), F.lit("\u0138")))
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
 def _places(norm: Column, pattern: Column) -> Column:
-    """array<struct<first, until>>: character places of all matches, from 0."""
-    marked = F.regexp_replace(norm, pattern, F.lit(f"{BEGIN}$0{END}"))
-    parts = F.split(marked, f"[{BEGIN}{END}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<struct<first:int,until:int>>").alias("found"))
+    """array<struct<first, until, word>>: character places of all matches, from 0, and the number of words before."""
+    matches, gaps = F.regexp_extract_all(norm, pattern, F.lit(0)), F.split(norm, pattern, -1)
+    found = F.array().cast("array<struct<first:int,until:int,word:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("word"), found.alias("found"))
 
-    def step(acc: Column, part: Column) -> Column:
-        until = acc["at"] + F.length(part)
-        return F.struct(until.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["found"], F.struct(acc["at"].alias("first"), until.alias("until")))).otherwise(acc["found"]).alias("found"))
+    def step(acc: Column, both: Column) -> Column:
+        first, word = acc["at"] + F.length(both["gap"]), acc["word"] + _spaces(both["gap"])
+        until = first + F.length(both["match"])
+        place = F.struct(first.alias("first"), until.alias("until"), word.alias("word"))
+        return F.struct(until.alias("at"), (word + _spaces(both["match"])).alias("word"), F.array_append(acc["found"], place).alias("found"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.aggregate(both, start, step, lambda acc: acc["found"])
 
 
 def detections(texts: DataFrame) -> DataFrame:
@@ -142,7 +365,7 @@ def detections(texts: DataFrame) -> DataFrame:
     chosen = chosen.select("doc_id", "row", "norm", F.explode(F.array_distinct(F.flatten(F.transform("present", lambda t: of[t])))).alias("rule"))
     met = chosen.join(F.broadcast(table), "rule")  # a fixed table of some hundred rows
     each = met.select("doc_id", "row", "rule", "label", "priority", "confidence", "base", "norm", F.explode(_places(F.col("norm"), F.col("pattern"))).alias("at"))
-    each = each.select("doc_id", "row", "rule", "label", "priority", "confidence", "base", F.col("at.first").alias("first"), F.col("at.until").alias("until"), (_spaces(F.substring(F.col("norm"), F.lit(1), F.col("at.first"))) - 1).alias("word"))
+    each = each.select("doc_id", "row", "rule", "label", "priority", "confidence", "base", "at.first", "at.until", "at.word")
     before = Window.partitionBy("doc_id", "row").orderBy("first", F.desc("until"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.lit(-1)
     for p in (4, 3, 2, 1):
@@ -157,12 +380,12 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     back as often; rows with equal ids and other texts are scanned apart. The score is the surest rule's.
     """
     norm = normalised(F.col(text_column))
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), norm.alias("norm"))
-    texts = texts.select("doc_id", "row", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), F.when(triggered(F.col("norm")), F.col("norm")).alias("norm"))
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), norm.alias("norm")).withColumn("folded", folded(F.col("norm")))
+    texts = texts.select("doc_id", "row", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), F.when(triggered(F.col("folded")), F.col("folded")).alias("norm"))
     texts = stored(texts, "license-texts")
     # The texts left are few but slow: by number they are dealt over all partitions, whatever their bytes.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_ = texts.where(F.col("norm").isNotNull()).select("doc_id", "row", F.lower("norm").alias("norm"))
+    open_ = texts.where(F.col("norm").isNotNull()).select("doc_id", "row", "norm")
     found = detections(open_.repartition(n, "doc_id", "row", "norm").distinct())
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     at = F.when(F.col("base"), F.col("word").cast("long"))

@@ -72,7 +72,7 @@ def plain_base(text):
 TEXTS = [
     None, "", "...", "Under the MIT License.", "under the mit license under the mit license", "Licensed under the Apache License, Version 2.0 (CC-BY-NC 4.0)", "cc by nc cc by nc", "underthe mit license", "x under\nthe\tMIT-license y",
     "released under the GNU General Public License version 3 or later", "SPDX-License-Identifier: MPL-2.0", "apache license version 2", "apache license version 22", "été under the mit licenseé", "All rights reserved.", "under the mit license " * 500,
-    "no licence here", "CC BY-NC-SA 4.0", "\u212a under the mit license",
+    "no licence here", "CC BY-NC-SA 4.0", "\u212a under the mit license", "x \ue000 under the mit license \ue001 y under the mit license", "UNDER THE M\u0130T LICENSE, cc by nc.", "BSD 2-clause license", "the common public license plate", "artistic license was taken",
 ]
 
 
@@ -91,12 +91,55 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
-def test_rules_are_many_and_compile():
+    assert by[21].labels == "bsd-2-clause" and by[22].labels == by[23].labels == ""
+
+
+def without_groups(pattern):
+    """The alternatives of a pattern, with a space for each group, but what is fixed."""
+    out, depth = [""], 0
+    for k, ch in enumerate(pattern):
+        depth += (ch == "(") - (ch == ")")
+        if depth == 0 and ch == "|":
+            out.append("")
+        elif depth == 0 and not (ch in "?)" and pattern[k - 1] in ")?") and ch != ")":
+            out[-1] += ch
+        elif depth == 0:
+            out[-1] += " "
+    return [re.sub(" +", " ", f" {x} ") for x in out]
+
+
+def test_rules_compile_and_hold_their_triggers():
     known = licenses.rules()
-    assert len(known) > 300 and len({r[0] for r in known}) == len(known)
-    for r in known:
-        re.compile(r[5])
-        assert r[4]
+    assert len({r[0] for r in known}) == len(known) and all(r[4] and re.compile(r[5]) for r in known)
+    lines = licenses.SIGNATURES.strip().splitlines()
+    assert len(lines) > 200 and len(set(lines)) == len(lines)
+    for line in lines:
+        _, _, trigger, pattern = (x.strip() for x in line.split(";"))
+        for alternative in without_groups(pattern):
+            assert f" {trigger} " in alternative, (trigger, alternative)
+            assert re.fullmatch(r"[a-z0-9]+|[a-z0-9]*\[sz\][a-z0-9]*", trigger)
+
+
+def plain_labels(text):
+    """The labels that stand, by running every rule on the whole text and comparing all detections with all."""
+    norm = " " + " ".join(plain_words(text)) + " "
+    found = [(m.start(), m.end(), p, i, label, base) for i, label, p, _, _, pattern, base in licenses.rules() for m in re.finditer(pattern, norm)]
+    order = lambda d: (d[0], -d[1], -d[2], d[3])
+    def falls(d):
+        return any(o is not d and o[2] >= d[2] and o[0] <= d[0] and d[1] <= o[1] and order(o) < order(d) for o in found)
+    return ",".join(sorted({d[4] for d in found if d[5] or not falls(d)}))
+
+
+def test_labels_against_all_rules(spark, words):
+    """Keyword gate, priority and containment against running every rule: texts pieced together from the rules' own words."""
+    rng = random.Random(11)
+    plain = [re.sub(r"\(\?[:!<=]*[^()]*\)\??|[?\\^|\[\]{}.,]", " ", r[5]) for r in licenses.rules()]
+    texts = [" ".join(rng.choice([rng.choice(plain), rng.choice(words), rng.choice(list(SAMPLES)), rng.choice([t for t in TEXTS if t and len(t) < 99])]) for _ in range(6)) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_labels(t), t
+    assert sum(bool(x) for x in got.values()) > 150
 
 
 def passages(spark, rows):
