@@ -2,7 +2,9 @@
 
 import random
 import re
+from collections import Counter, defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontam, licenses, urlfilter
@@ -169,6 +171,91 @@ def test_leaks(spark, words):
     assert decontam.decontaminate(passages(spark, docs), bench.limit(0)).count() == len(docs)
 
 
+def test_leaks_that_were_lost(spark, words):
+    rng = random.Random(18)
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    dense = "12 34 kg 5 m 67 89 21 7 cm 3 14 15 92 65 35 89 79 32"
+    twice = "anna paid 12 dollars for 3 kg of rice and then 12 dollars more for 4 kg of beans in town"
+    starts = "Tom has 3 red hats. Tom gives 2 hats to Ann. How many hats does Tom have now in all?"
+    bench = spark.createDataFrame([(1, dense), (2, twice), (2, twice), (3, twice), (4, "What is the capital city?"), (None, starts), (5, "too short"), (6, "she sold 12 pens and 5 cups for 12 euros and 7 more")], "key long, text_ string")
+    docs = [(1, make(20) + " " + dense + " " + make(20)), (2, make(9) + " " + twice), (4, make(9) + " what is the capital city " + make(9)), (5, make(9) + " what is a capital city " + make(9)), (6, "a text that is too short for it")]
+    # Two versions of one template in a text, and a verbatim copy beside a variant: alignments are judged apart.
+    one, other = (twice.replace("12", x).replace(" 3 kg", f" {y} kg") for x, y in (("17", "5"), ("44", "9")))
+    docs += [(7, one + ". " + make(30) + " " + other), (8, one.replace("17", "18", 1))]
+    # Both ways: two values of the item must not fall into one of the document.
+    docs += [(9, "she sold 12 pens and 12 cups for 12 euros and 7 more"), (13, "she sold 17 pens and 5 cups for 12 euros and 7 more"), (14, "she sold 8 pens and 6 cups for 8 euros and 2 more"), (10, starts.replace("Tom", "Eva").replace("Ann", "Bob").replace("3", "9")), (12, starts.lower())]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(passages(spark, docs), bench, item_column="key", item_text_column="text_").collect()}
+    assert got == {(1, 1), (2, 2), (2, 3), (4, 4), (7, 2), (7, 3), (10, None), (12, None), (14, 6)}
+
+
+def plain_tokens(text):
+    """(word, type) of each token; type is empty, number, name or unit."""
+    out = []
+    unit = regex.compile(rf"(?:{decontam.UNITS})(?!\p{{L}})", regex.I)
+    at = 0
+    while at < len(text):
+        number = regex.compile(decontam.DIGITS).match(text, at)
+        word = regex.compile(r"[\p{L}\p{M}\p{N}]+").match(text, at)
+        if number:
+            out.append((number[0], "number"))
+            at = number.end()
+            gap = at + (at < len(text) and text[at] == " ")
+            near = unit.match(text, gap) or regex.compile("%").match(text, gap)
+            if near:
+                out.append((near[0].lower(), "unit"))
+                at = near.end()
+        elif word:
+            out.append((word[0].lower(), "name" if word[0][0].isupper() else ""))
+            at = word.end()
+        else:
+            at += 1
+    return out
+
+
+def plain_leaks(doc, item, width, need, most_slots, least=4):
+    d, i = plain_tokens(doc), plain_tokens(item)
+    if len(i) < width:
+        return len(i) >= least and any([w for w, _ in d[k : k + len(i)]] == [w for w, _ in i] for k in range(len(d)))
+    enough = min(need, len(i) - width + 1)
+    shape = lambda t: [(k or w) for w, k in t]
+    exact, lines = set(), defaultdict(set)
+    for p in range(len(d) - width + 1):
+        for a in range(len(i) - width + 1):
+            x, y = d[p : p + width], i[a : a + width]
+            if [w for w, _ in x] == [w for w, _ in y]:
+                exact.add(a)
+                lines[p - a].add(a)
+            if shape(x) == shape(y) and sum(bool(k) for _, k in y) <= most_slots:
+                lines[p - a].add(a)
+    if len(exact) >= enough:
+        return True
+    for shift, found in lines.items():
+        if len(found) >= enough:
+            pairs = {(i[a + k][0], d[a + k + shift][0]) for a in found for k in range(width) if i[a + k][1]}
+            if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+                return True
+    return False
+
+
+def test_templates_against_plain(spark):
+    """Placeholders, windows, alignments and slot consistency against comparing every window with every window."""
+    rng = random.Random(21)
+    piece = lambda: rng.choice(["has", "buys", "for", "of", "Ann", "Bob", "Eva", "3", "4", "5 kg", "6 kg", "rice", "."])
+    items_ = [" ".join(piece() for _ in range(rng.randint(3, 16))) for _ in range(14)]
+    docs = []
+    for _ in range(90):
+        base = rng.choice(items_)
+        swap = dict(zip(["Ann", "Bob", "Eva"], rng.sample(["Ann", "Bob", "Eva", "Kim", "Lea"], 3))) | dict(zip("3456", rng.choices("3456789", k=4) if rng.random() < 0.3 else rng.sample("3456789", 4)))
+        changed = [swap.get(w, w) if rng.random() < 0.97 else piece() for w in base.split(" ")]
+        docs.append(" ".join([*(piece() for _ in range(rng.randint(0, 8))), *changed, *(piece() for _ in range(rng.randint(0, 8)))]))
+    settings = {"width": 4, "need": 4, "most_slots": 3, "least": 3}
+    found = decontam.leaks(passages(spark, list(enumerate(docs))), spark.createDataFrame(list(enumerate(items_)), "item_id long, text string"), **settings).collect()
+    want = {(d, i) for d, t in enumerate(docs) for i, u in enumerate(items_) if plain_leaks(t, u, **settings)}
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+    kinds = Counter(r.n_slots > 0 for r in found)
+    assert kinds[True] > 10 and kinds[False] > 5 and len(want) < 0.6 * len(docs) * len(items_)
+
+
 def test_windows_against_plain(spark, words):
     """Word for word, the windows found are those of plain Python."""
     rng = random.Random(2)
