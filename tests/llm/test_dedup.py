@@ -207,6 +207,28 @@ def test_one_of_similar_texts(spark, words, hot):
     assert similar.one_of_similar(frame(spark, [])).count() == 0
 
 
+def test_crowded_bands_join_as_all_pairs_do(spark, words):
+    """Copies of one text with few to many changes, of which some are alike to each other but not to the text."""
+    rng = random.Random(33)
+    base = [rng.choice(words) for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(90):
+        t = rng.choice([base, texts[-1].split(" ")])[:]
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], [rng.choice(words)], [t[k], rng.choice(words)]])
+        texts.append(" ".join(t[: rng.choice([150, 150, 110])]))
+    up = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if similarity(texts[a], texts[b]) >= 0.8:
+                up = [up[a] if u == up[b] else u for u in up]
+    want = sorted({min(k for k in range(len(texts)) if up[k] == u) for u in up})
+    assert 5 < len(want) < 70
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    assert sorted(r.doc_id for r in similar.one_of_similar(frame(spark, rows), hot=2).collect()) == want
+
+
 def test_one_of_each_with_equal_ids(spark, words):
     rows = [(1, " ".join(words[:100]), "s"), (1, " ".join(words[100:200]), "s"), (2, " ".join(words[:100]), "s")]
     assert sorted(r.text for r in simhash.keep_one(frame(spark, rows)).collect()) == sorted({t for _, t, _ in rows})
