@@ -7,24 +7,24 @@ length of a text under a language is the sum of its bytes' minus log2; the short
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import first_by_hash
 from graphloom.plans.sizes import small_side
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at a time.
 PIECE = 1 << 18
-#: Entries of the table of code lengths, all languages together.
+#: Entries of the table of code lengths, all languages together: beyond them the contexts of order 3 met least
+#: have the code lengths of order 2.
 MOST_ENTRIES = 48_000_000
-MOST_LANGUAGES = 200
 
 
 def _folded() -> np.ndarray:
@@ -123,17 +123,18 @@ def fit(samples: dict[str, list[str]]) -> Trees:
     return Trees(languages, place[FOLDED], state, bits)
 
 
-def sample(docs: DataFrame, most_bytes: int = 400_000, longest: int = 20_000) -> dict[str, list[str]]:
+def sample(docs: DataFrame, most_bytes: int = 400_000, longest: int = 20_000, most_languages: int = 200) -> dict[str, list[str]]:
     """At most ``most_bytes`` of text of each language, from rows of (doc_id, text, lang) with a language.
 
-    Whole texts of at most ``longest`` bytes, in order of the hash of the id, so the same at every run.
+    Whole texts of at most ``longest`` bytes, in order of the hash of the id, so the same at every run. Of more
+    than ``most_languages`` values those with the most rows are learnt (ties: the first in order).
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", F.xxhash64("doc_id", F.octet_length("text")).alias("_hash"), F.least(F.octet_length("text"), F.lit(longest + 1)).alias("_n"))
+    labelled = labelled.where(F.col("_n") <= longest)
+    learnt = F.broadcast(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc("_rows"), "lang").limit(most_languages).select("lang"))  # at most so many rows
     order = Window.partitionBy("lang").orderBy("_hash")
-    first = first_by_hash(labelled.where(F.col("_n") <= longest), "lang", most_bytes // 256)
+    first = first_by_hash(labelled.join(learnt, "lang", "left_semi"), "lang", most_bytes // 256)
     kept = first.withColumn("_sum", F.sum("_n").over(order)).where(F.col("_sum") <= most_bytes).select("lang", "_hash").distinct()
-    if kept.select("lang").distinct().count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     keyed = docs.select("lang", "text", F.xxhash64("doc_id", F.octet_length("text")).alias("_hash"), "doc_id")
     found: dict[str, list[str]] = {}
     for row in keyed.join(small_side(kept), ["lang", "_hash"], "left_semi").where(F.octet_length("text") <= longest).orderBy("lang", "_hash", "doc_id", "text").toLocalIterator():
@@ -170,8 +171,26 @@ def identify(docs: DataFrame) -> DataFrame:
     return identified(own.select("doc_id", "held_out", "text"), trees).select("doc_id", "held_out", "_said.*")
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those rejected: of no language (und)."""
-    trees = fit(sample(docs.select("doc_id", "text", "lang").where(~held_out("doc_id"))))
-    said = identified(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"), trees)
-    return said.where(F.col("_said.lang_pred") != "und").select("doc.*")
+def usual_bits(samples: dict[str, list[str]]) -> dict[str, float]:
+    """The median of the bits a byte of every fourth text of each language, under trees of the others; of four texts or more."""
+    trees = fit({k: [t for i, t in enumerate(v) if i % 4] for k, v in samples.items()})
+    said = {k: [trees.predict(t) for t in v[::4]] for k, v in samples.items() if len(v) >= 4}
+    own = {k: [bits for lang, _, bits in rows if lang == k] for k, rows in said.items()}
+    return {k: float(np.median(bits)) for k, bits in own.items() if bits}
+
+
+def keep_known(docs: DataFrame, most: float = 1.75, slack: float = 64.0) -> DataFrame:
+    """``docs`` without those rejected: texts without a letter, and texts that no learnt language explains.
+
+    A text goes if its shortest code is ``slack`` bits above ``most`` times the bits that are usual for its
+    language. Learnt as in ``identify``; where no language is learnt, nothing is known and all rows stay. A
+    null text has no letter. Repeated rows are judged alike; other columns are kept as they are.
+    """
+    samples = sample(docs.select("doc_id", "text", "lang").where(~held_out("doc_id")))
+    if not samples:
+        return docs
+    usual = usual_bits(samples)
+    said = identified(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"), fit(samples))
+    limit = F.coalesce(F.element_at(F.create_map(*[x for k, v in usual.items() for x in (F.lit(k), F.lit(most * v))]), F.col("_said.lang_pred")), F.lit(float("inf"))) if usual else F.lit(float("inf"))
+    fits = (F.col("_said.bits") - limit) * F.octet_length("text") <= slack
+    return said.where((F.col("_said.lang_pred") != "und") & fits).select("doc.*")

@@ -29,19 +29,24 @@ def frame(spark, rows):
 
 def test_language(spark):
     rows = corpus()
-    odd = [(900, None, "aa"), (901, "", "aa"), (902, "12 %% !!", "bb"), (903, "thaing eron " * 40000, None), (904, "erontha", None), (None, "scheinung versch", None), (0, rows[0][1], rows[0][2])]
+    odd = [(900, None, "aa"), (901, "", "aa"), (902, "12 %% !!", "bb"), (903, "thaing eron " * 40000, None), (904, "erontha", None), (905, "\u00bd \u00b2 \u2460 \u2167 \u0663", None), (906, "\u3042", None), (None, "scheinung versch", None), (0, rows[0][1], rows[0][2])]
     got = langid.identify(frame(spark, rows + odd)).collect()
     assert len(got) == len(rows) + len(odd)
     by = {r.doc_id: r for r in got}
     held = [r for r in rows if by[r[0]].held_out]
     assert len(held) > 20 and sum(by[i].lang_pred == lang for i, _, lang in held) >= 0.97 * len(held)
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902))
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (900, 901, 902, 905)) and by[906].lang_pred != "und"
     assert by[903].lang_pred == by[904].lang_pred == "aa" and by[None].lang_pred == "bb" and by[None].held_out
     assert all(0 <= r.score <= 1 for r in got)
-    kept = langid.keep_known(frame(spark, rows + odd))
+    junk = [(910, "xkqz jwvp " * 40, None), (911, "eronthaing " * 40 + "xkqz", "aa")]
+    kept = langid.keep_known(frame(spark, rows + odd + junk))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     ids = {r.doc_id for r in kept.collect()}
-    assert ids == {r[0] for r in rows} | {903, 904, None}
+    assert ids == {r[0] for r in rows} | {903, 904, 906, 911, None}
+    assert langid.keep_known(frame(spark, [(1, "no label here", None), (2, None, None)])).count() == 2
+    assert langid.keep_known(frame(spark, [])).count() == 0
+    few = langid.sample(frame(spark, rows).select("doc_id", "text", "lang"), most_languages=2)
+    assert len(few) == 2
     assert langid.identify(frame(spark, [])).count() == 0
     assert [r.lang_pred for r in langid.identify(frame(spark, [(1, "some text", None)])).collect()] == ["und"]
 
