@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -17,21 +18,24 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, s, "x", "x", "x", "x", "x") for i, t, s in rows], DOCS)
 
 
-def plain_lines(rows, width=3):
+def plain_lines(rows, width=3, least_words=12):
     seen, out = set(), {}
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         if t is None:
             out[i] = None
             continue
-        lines = t.split("\n")
-        full = [(k, x.strip(" \t\r")) for k, x in enumerate(lines) if x.strip(" \t\r")]
+        lines = [x for x in regex.split(r"(?<=\n)|(?<=[.!?][ \t]+)(?![ \t])|(?<=[\u3002\uff01\uff1f])", t) if x]
+        full = [(k, x.strip(" \t\r\n"), x.endswith("\n")) for k, x in enumerate(lines) if x.strip(" \t\r\n")]
         cover = set()
         for a in range(len(full) - width + 1):
-            part = tuple(x for _, x in full[a : a + width])
+            own = full[a : a + width]
+            part = tuple(x for _, x, _ in own)
+            if sum(x.count(" ") + 1 for x in part) < least_words and not all(e for _, _, e in own[:-1]):
+                continue
             if part in seen:
-                cover |= set(range(full[a][0], full[a + width - 1][0] + 1))
+                cover |= set(range(own[0][0], own[-1][0] + 1))
             seen.add(part)
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in cover)
+        out[i] = "".join(x for k, x in enumerate(lines) if k not in cover)
     return out
 
 
@@ -41,10 +45,25 @@ def test_lines_against_plain(spark):
     for i in range(60):
         lines = [rng.choice(["a", "b", "c ", " d", "", "e"]) if rng.random() < 0.5 else f"l{rng.randint(0, 30)}" for _ in range(rng.randint(0, 14))]
         rows.append((i, "\n".join(lines), "s"))
-    rows += [(100, None, "s"), (101, "", "s"), (102, rows[0][1], "s"), (None, rows[1][1], "s"), (103, "x\ny\nz\n" * 300, None)]
+    said = ["One sentence of five words. ", "Another! ", "A third, it is longer than others?  ", "No end ", "x. ", "\u4e00\u3002", "Two\nlines of it. "]
+    for i in range(200, 260):
+        rows.append((i, "".join(rng.choice(said) for _ in range(rng.randint(0, 12))), "s"))
+    rows += [(100, None, "s"), (101, "", "s"), (102, rows[0][1], "s"), (None, rows[1][1], "s"), (103, "x\ny\nz\n" * 300, None), (104, "\n \n. \n", "s")]
     got = linededup.dedup_lines(frame(spark, rows))
     assert got.columns == ["doc_id", "text", "source", "row", "fp", "size", "left", "n_lines", "n_removed"]
     assert {r.doc_id: r.text for r in got.collect()} == plain_lines(rows)
+    named = linededup.dedup_lines(frame(spark, rows[:3]), n_lines="all_", n_removed="gone").columns
+    assert named == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "all_", "gone"]
+
+
+def test_passages_within_lines_go(spark, words):
+    """A passage of over 50 words that repeats, also inside a line and within one line of text."""
+    rng = random.Random(40)
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = " ".join(f"{make(9)}." for _ in range(7))
+    rows = [(i, f"{make(40)} before it {passage} after {make(40)}.\nmore {make(20)}", "s") for i in range(5)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and all(got[i].n_removed >= 5 and sum(x in got[i].text for x in passage.split(". ")[1:-1]) == 0 for i in range(1, 5))
 
 
 def test_lines_corner_cases(spark):
