@@ -13,8 +13,8 @@ from graphloom.plans.sizes import small_side
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 GOLDEN = (math.sqrt(5) - 1) / 2
-#: At most so many slots: their product with the step stays within a long.
-MOST_SLOTS = 2**30
+#: Up to so many slots their product with the step is within a long; beyond, points are reckoned in decimals.
+LONG_SLOTS = 2**31
 #: The line [0, slots) is cut into so many cells, by which slots meet sources in an equi-join.
 CELLS = 256
 
@@ -54,7 +54,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.select("source", "source_no", "source_size", "n_docs", target.alias("target"))
 
 
-def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 1024, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, DataFrame]:
+def _point(slot: Column, step: int, slots: int, long_slots: int) -> Column:
+    if slots <= long_slots:
+        return (slot * F.lit(step)) % max(1, slots)
+    whole = lambda c: c.cast("decimal(19,0)")
+    return ((whole(slot) * whole(F.lit(step))) % whole(F.lit(slots))).cast("long")
+
+
+def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 1024, long_slots: int = LONG_SLOTS, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, DataFrame]:
     """(rows, schedule). rows: doc_id, size, source_no, source_size, target, start of every document.
 
     schedule: (slot, source_no, start, doc_id, size, from_word, words), the mix in training order.
@@ -69,8 +76,7 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     key = F.coalesce(F.md5(F.col(id_column).cast("string")), F.lit(""))
     sized = stored(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), n_words(F.col(text_column)).alias("size"), key.alias("_key")), "sizes")
     sources = stored(targets(sized, weights, share, most), "sources")
-    total, n_docs = sources.agg(F.sum("target"), F.sum("n_docs")).first()
-    block = max(block_words, math.ceil((total or 0) / MOST_SLOTS))
+    n_docs, block = sources.agg(F.sum("n_docs")).first()[0], block_words
     digits = max(1, math.ceil(math.log(math.sqrt(n_docs or 1) + 1, 16)))
     known = small_side(sources.drop("n_docs"))
     own = sized.join(known, sized.source.eqNullSafe(known.source)).select("doc_id", "size", "_key", F.substring("_key", 1, digits).alias("_chunk"), "source_no", "source_size", "target")
@@ -88,7 +94,7 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
         step += 1
     cell = lambda c: F.floor(c * CELLS / max(1, slots)).cast("long")
     spans = small_side(spans.withColumn("_cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to") - 1)))))
-    points = docs.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(step)) % max(1, slots)).alias("point")).withColumn("_cell", cell(F.col("point")))
+    points = docs.sparkSession.range(slots).select(F.col("id").alias("slot"), _point(F.col("id"), step, slots, long_slots).alias("point")).withColumn("_cell", cell(F.col("point")))
     chosen = points.join(spans, "_cell").where((F.col("point") >= F.col("from")) & (F.col("point") < F.col("to")))
     chosen = chosen.withColumns({"_chunk": F.floor(F.col("slot") / max(1, math.isqrt(slots))), "_one": F.lit(1).cast("long")})
     ranked = running_sum(chosen, ["source_no"], ["slot"], "_one", "_chunk", "rank")
@@ -103,21 +109,23 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document: the words that the schedule takes of it.
+    """doc_id, size, source_size, target, taken, first_slot and n_slots of every document.
 
-    A null text has size 0; a null source is a source; documents of size 0 take 0, and no rows give none.
-    Rows with equal ids keep their own places, and are as good as each other if equal throughout. Columns
-    other than id, text and source play no part.
+    ``taken`` is the words that the schedule takes of it, in ``n_slots`` slots, of which ``first_slot`` is the
+    first to be trained on (null if none takes it). A null text has size 0; a null source is a source; documents
+    of size 0 take 0, and no rows give none. Rows with equal ids keep their own places, and are as good as each
+    other if equal throughout. Columns other than id, text and source play no part.
     """
     rows, schedule = placed(docs, **settings)
-    sums = schedule.groupBy("source_no", "start", "doc_id", "size").agg(F.sum("words").alias("_words"))
-    got = sums.select(F.col("source_no").alias("_no"), F.col("start").alias("_start"), "_words")
+    sums = schedule.groupBy("source_no", "start", "doc_id", "size").agg(F.sum("words").alias("_words"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("_slots"))
+    got = sums.select(F.col("source_no").alias("_no"), F.col("start").alias("_start"), "_words", "first_slot", "_slots")
     full = rows.where("size > 0").join(got, (F.col("source_no") == F.col("_no")) & (F.col("start") == F.col("_start")), "left")
-    out = ["doc_id", "size", "source_size", "target"]
-    return full.select(*out, F.coalesce("_words", F.lit(0)).cast("long").alias("taken")).unionAll(rows.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken")))
+    out, filled = ["doc_id", "size", "source_size", "target"], lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    none = rows.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"))
+    return full.select(*out, filled("_words").alias("taken"), "first_slot", filled("_slots").alias("n_slots")).unionAll(none)
 
 
-#: DuckDB SQL for ``mix`` of ``documents`` with unique ids.
+#: DuckDB SQL for ``mix`` of ``documents`` with unique ids: the schedule, slot by slot.
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -131,11 +139,31 @@ WITH sized AS (
 ), aimed AS (
   SELECT *, least(2.0::DOUBLE * source_size, coalesce(max(CASE WHEN level * weight < 2.0::DOUBLE * source_size THEN level END) OVER () * weight, 2.0::DOUBLE * source_size)) AS target FROM leveled
 ), laid AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target, round(a.target)::BIGINT AS wanted,
-    sum(s.size) OVER (PARTITION BY a.no ORDER BY md5(s.doc_id::VARCHAR), s.doc_id)::BIGINT - s.size AS start
+  SELECT s.doc_id, s.size, a.no, a.source_size, a.target, sum(s.size) OVER (PARTITION BY a.no ORDER BY md5(s.doc_id::VARCHAR), s.doc_id)::BIGINT - s.size AS start
   FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
+), needs AS (
+  SELECT no, source_size, round(target)::BIGINT AS wanted, (source_size + 1023) // 1024 AS blocks FROM aimed WHERE source_size > 0 AND round(target) > 0
+), counted AS (
+  SELECT *, (wanted // source_size) * blocks + (wanted % source_size + 1023) // 1024 AS needed FROM needs
+), spans AS (
+  SELECT *, sum(needed) OVER (ORDER BY no)::BIGINT AS upto FROM counted
+), line AS (
+  SELECT max(upto) AS slots, greatest(1, round(max(upto) * ((sqrt(5::DOUBLE) - 1) / 2))::BIGINT) AS near FROM spans
+), stepped AS (
+  SELECT slots, (SELECT min(s) FROM range(near, near + 1000) r(s) WHERE gcd(s, slots) = 1) AS step FROM line
+), points AS (
+  SELECT slot, slot::HUGEINT * step % slots AS point FROM stepped, range(slots) r(slot)
+), ranked AS (
+  SELECT p.slot, s.*, row_number() OVER (PARTITION BY s.no ORDER BY p.slot) - 1 AS rank FROM points p JOIN spans s ON p.point >= s.upto - s.needed AND p.point < s.upto
+), taken AS (
+  SELECT slot, no, rank % blocks AS block, least(1024, wanted - rank // blocks * source_size - rank % blocks * 1024) AS take FROM ranked
+), pieces AS (
+  SELECT doc_id, no, start, size, unnest(range(start // 1024, (start + size - 1) // 1024 + 1)) AS block FROM laid WHERE size > 0
+), met AS (
+  SELECT p.doc_id, t.slot, least(p.start + p.size, p.block * 1024 + t.take) - greatest(p.start, p.block * 1024) AS words FROM pieces p JOIN taken t ON p.no = t.no AND p.block = t.block
+), sums AS (
+  SELECT doc_id, sum(words)::BIGINT AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM met WHERE words > 0 GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-  ((wanted // source_size) * size + greatest(0, least(size, wanted % source_size - start))) END::BIGINT AS taken
-FROM laid
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(s.taken, 0)::BIGINT AS taken, s.first_slot::BIGINT AS first_slot, coalesce(s.n_slots, 0)::BIGINT AS n_slots
+FROM laid l LEFT JOIN sums s ON l.doc_id = s.doc_id
 """

@@ -181,6 +181,8 @@ def test_mix(spark, words):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     again = mixing.mix(df.repartition(7), block_words=64).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+    assert sorted(map(str, mixing.mix(df, block_words=64, long_slots=0).collect())) == sorted(map(str, got))  # points in decimals
+    assert all((r.first_slot is None) == (r.n_slots == 0) == (r.taken == 0) for r in got)
     assert mixing.mix(frame(spark, [])).count() == 0
 
 

@@ -17,7 +17,7 @@ def test_stages(spark, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns and 0 < n <= before
         before = n
-    assert docs.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert docs.columns == ["doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots"]
     assert sorted(map(str, docs.collect())) == sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
 
 
@@ -45,3 +45,18 @@ def test_near_copies_go(spark):
     changed = " ".join([*words[:40], "elsewhere", *words[41:]])
     both = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, changed, "en", "s", 1)], docs.schema)
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, both, SF).collect()] == [1]
+
+
+def test_stages_on_odd_tables(spark):
+    """No rows, nulls in every column, repeated rows, and extra columns with clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_lines string, n_removed string, `_text` string, `doc.x` string"
+    none = spark.createDataFrame([], schema)
+    rows = [(None,) * 8, (1, None, None, None, "a", "b", "c", "d"), (2, "some words of a text here", "en", "s", "a", "b", "c", "d"), (2, "some words of a text here", "en", "s", "a", "b", "c", "d"), (3, "", "en", "s", "a", "b", "c", "d")]
+    odd = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, SF).count() == 0
+        kept = stage(spark, odd, SF)
+        assert kept.columns == odd.columns
+        found = {tuple(r) for r in kept.collect()}
+        assert rows[2] in found and found <= set(rows)
+    assert corpus_pipeline.mix(spark, none, SF).count() == 0 and corpus_pipeline.mix(spark, odd, SF).count() == 5
