@@ -109,9 +109,9 @@ def plain_passages(scores, other):
 
 def test_passages_against_plain():
     rng = random.Random(6)
-    vocabulary = {"bad": 2.0, "worse": 3.5, "meh": 0.7}
+    vocabulary = {"bad": 2.0, "worse": 3.5, "meh": 0.7, "kind": -1.1}
     for _ in range(60):
-        words = [rng.choice(["bad", "worse", "meh", "x", "y", "z"]) for _ in range(rng.randint(0, 25))]
+        words = [rng.choice(["bad", "worse", "meh", "kind", "x", "y", "z"]) for _ in range(rng.randint(0, 25))]
         model = toxicity.Model(vocabulary, other=-rng.choice([0.4, 0.9, 1.7]))
         got, n = model.passages(" ".join(words))
         want = plain_passages([vocabulary.get(w) for w in words], model.other)
@@ -152,6 +152,38 @@ def test_toxicity(spark, words):
     assert all(r.predicted == 0 for r in toxicity.rate(docs, lab.limit(0)).collect())
 
 
+def test_scores_against_plain_counts(spark):
+    """Log-odds by Spark are those of plain counts, of words of any script."""
+    rng = random.Random(7)
+    words = ["idiot", "fine", "\u0917\u093e\u0932\u0940\u0935\u093e\u0932\u093e", "daylight", "house"]
+    rows = []
+    for _ in range(300):
+        bad = rng.random() < 0.3
+        rows.append((" ".join(w for w in words if rng.random() < (0.8 if bad == (w in words[:1] + words[2:3]) else 0.2)), int(bad)))
+    counts, n = {}, [0, 0]
+    for t, y in rows:
+        for w in {*t.split(), *(w[:7] + "*" for w in t.split() if len(w) > 7)}:
+            counts.setdefault(w, [0, 0])[y] += 1
+            n[y] += 1
+    share, want = n[1] / sum(n), {}
+    for w, (c, t) in counts.items():
+        z = (t - (t + c) * share) / math.sqrt((t + c) * share * (1 - share) + 0.25)
+        if abs(z) >= 2:
+            want[w] = math.log((t + share) / share) - math.log((c + 1 - share) / (1 - share))
+    got = toxicity.learn_scores(spark.createDataFrame(rows, "text string, toxic int"), least_z=2)
+    assert got == pytest.approx(want) and min(got.values()) < 0 < max(got.values()) and words[2] in got
+    assert toxicity.Model(got).passages(f"x {words[2]} x")[0][0][1:] == (1, 1)
+
+
+def test_extreme_law_is_found_again():
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 900, 4000).astype(float)
+    best = np.maximum(0.0, (np.log(0.02 * n) - np.log(-np.log(rng.random(4000)))) / 1.3)
+    scale, size = toxicity.extreme_law(best, n)
+    assert scale == pytest.approx(1.3, rel=0.05) and size == pytest.approx(0.02, rel=0.1)
+    assert toxicity.extreme_law(np.zeros(10), n[:10]) == (1.0, 0.1)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
 
