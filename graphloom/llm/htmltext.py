@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A comment, a declaration, a raw element with its text, or a tag; the rest is text.
+#: A comment, a declaration, an element whose text is none of the page's (scripts, styles, parts of forms, what
+#: stands in for media), or a tag; the rest is text.
 PARTS = re.compile(
-    r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|textarea|select|title|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)"
 )
 NAMES = re.compile(r"""(?is)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -191,7 +192,7 @@ def main_text(source: str | None) -> str:
     """The article's blocks, joined by an empty line.
 
     Blocks in menus, headers, footers, asides, forms and the like, by element or name, are out (by name only
-    where the element doesn't hold most of the page), and so are paths that are lists of links. A block
+    where the element doesn't hold most of the page), and so are, outside articles, paths that are lists of links. A block
     counts by its text times its path's ratio, more in an article or main element by that element's share
     of the page. The content stands in the innermost element that holds nearly all of this, or in an article
     or main element that holds half of it with little in others. What is in an article stays whole; elsewhere
@@ -209,7 +210,7 @@ def main_text(source: str | None) -> str:
     most = 0.6 * sum(sizes)
     found = [b for b in found if all(held[e] >= most for e in b.named)]
     lists = link_lists(found)
-    found = [b for b in found if b.path not in lists]
+    found = [b for b in found if b.path not in lists or "article" in b.names]
     if not found:
         return ""
     by_path = ratios(found)
