@@ -50,8 +50,8 @@ def run(facts: Facts, entries: DataFrame, max_rounds: int = 200) -> tuple[DataFr
     """(store, call_edges): (addr, value), and (site, method) of the calls that can be made from the entry methods.
 
     Each round carries the new pairs along the flows, and the pairs of both ends along new flows. Flows come
-    from copies of reached methods, from loads and stores at objects the base may be, and from calls to the
-    methods that those objects run; static calls flow at once. Raises if the rounds run out.
+    from copies of reached methods, from loads and stores at objects that the base may newly be, and from calls
+    to the methods that those objects run; static calls flow at once. Raises if the rounds run out.
     """
     methods = facts.methods
     all_classes = facts.alloc.select(F.col("object").alias("value"), "class").distinct()
@@ -78,7 +78,7 @@ def run(facts: Facts, entries: DataFrame, max_rounds: int = 200) -> tuple[DataFr
         found = in_new(facts.copies.select("src", "dst"), "dst")
         static = in_new(facts.calls.where(F.col("kind") == "static").select("site", F.col("callee").alias("to"), F.col("method").alias("at")).withColumn("_var", F.concat(F.col("at"), F.lit("/"))), "_var").select("site", F.col("to").alias("method"))
         if store is not None:
-            at = store  # bases of methods that are new may hold old values
+            at = delta  # loads, stores and calls don't wait for their method, so the bases' new values are enough
             found = found.unionByName(facts.loads.join(at.withColumnRenamed("addr", "base"), "base").select(_field("value", "field").alias("src"), F.col("var").alias("dst")))
             found = found.unionByName(facts.stores.join(at.withColumnRenamed("addr", "base"), "base").select(F.col("var").alias("src"), _field("value", "field").alias("dst")))
             virtual = facts.calls.where(F.col("kind") != "static").withColumnRenamed("method", "at").join(at.withColumnRenamed("addr", "base"), "base").join(all_classes, "value").join(facts.dispatch, ["class", "subsig"])

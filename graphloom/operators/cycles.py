@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.reach import Group, flipped, nodes, on_cycles, reachable, simple, small_graphs, without
+from graphloom.operators.reach import Group, connected_set, degrees, flipped, nodes, on_cycles, reachable, simple, small_graphs, without
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, fixpoint, improve
 
@@ -23,17 +23,31 @@ def trimmed(edges: DataFrame, group: Group = (), rounds: int = 2) -> DataFrame:
     return cut(own)
 
 
+def largest_by_pivot(edges: DataFrame, group: Group = ()) -> DataFrame:
+    """(group, node, component): the component of the node with the most edges in times edges out, in each graph."""
+    busy = degrees(edges, group).withColumn("_of", F.struct((F.col("n_in") * F.col("n_out")).alias("n"), F.col("node")))
+    pivots = cut(busy.groupBy(*group).agg(F.max("_of").alias("_of")).select(*group, F.col("_of.node").alias("node")))
+    sides = connected_set(edges, pivots, group).groupBy(*group, "node").agg(F.count_distinct("side").alias("n")).where("n = 2").select(*group, "node")
+    sides = cut(sides)
+    names = sides.groupBy(*group).agg(F.min("node").alias("component"))
+    return cut(sides.join(names, list(group)) if group else sides.withColumn("component", F.lit(names.first().component)))
+
+
 def scc(edges: DataFrame, group: Group = (), max_rounds: int = 500) -> DataFrame:
     """(group, node, component): each node's strongly connected component, named by its least node.
 
-    Colouring: every node takes the least colour (node) that reaches it; the nodes that reach a colour's
-    own node within the colour are its component. What remains, less the ends of its paths, goes round again,
-    many components and all groups at a time. Self-loops play no part.
+    First the component of each graph's best connected node, most often the giant one, by walking both ways
+    from it. Then colouring: every node takes the least colour (node) that reaches it; the nodes that reach a
+    colour's own node within the colour are its component. What remains, less the ends of its paths, goes round
+    again, many components and all groups at a time. Self-loops play no part.
     """
     keys = [*group, "node"]
     all_nodes = cut(nodes(edges, group))
     left = trimmed(edges, group)
     found = None
+    if not left.isEmpty():
+        found = largest_by_pivot(left, group)
+        left = trimmed(without(left, found.select(*keys), group), group)
     for _ in range(max_rounds):
         if left.isEmpty():
             break
@@ -84,8 +98,9 @@ def _tarjan(pairs: list[tuple]) -> dict:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == number[node]:
-                    part = stack[stack.index(node) :]
-                    del stack[len(stack) - len(part) :]
+                    part = [stack.pop()]
+                    while part[-1] != node:
+                        part.append(stack.pop())
                     held.difference_update(part)
                     out.update(dict.fromkeys(part, min(part)))
     return out

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.reach import dealt, reachable, simple, small_graphs
-from graphloom.plans.fixpoint import fixpoint
+from graphloom.plans.checkpoint import cut
+from graphloom.plans.fixpoint import NotConverged, fixpoint
 
 
 def _immediate(roots: list, pairs: list[tuple]) -> dict:
@@ -61,7 +62,7 @@ def _dominator_sets(edges: DataFrame, roots: DataFrame, group: Sequence[str]) ->
     @F.pandas_udf(f"node array<{kind}>, idom array<{kind}>, doms array<array<{kind}>>")
     def solve(srcs: pd.Series, dsts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
-        for src, dst, start in zip(srcs, dsts, starts):
+        for src, dst, start in zip(srcs, dsts, starts):  # each at most as large as the caller counted
             above = _immediate(sorted(start), sorted(zip(src, dst)))
             chains = []
             for n in above:
@@ -77,17 +78,68 @@ def _dominator_sets(edges: DataFrame, roots: DataFrame, group: Sequence[str]) ->
     return solved.select(*group, F.explode(F.arrays_zip("s.node", "s.idom", "s.doms")).alias("r")).select(*group, "r.node", "r.idom", "r.doms")
 
 
-def immediate_dominators(edges: DataFrame, roots: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group, node, idom) of every node reached from its graph's roots (group, node); null for what no node dominates.
+def dominators_by_rounds(edges: DataFrame, roots: DataFrame, group: Sequence[str] = (), max_rounds: int = 100_000) -> DataFrame:
+    """(group, node, dom) as ``dominators``, for graphs of any size, by joins alone.
 
-    For graphs of which one fits a task many times over, such as the flow graphs of methods.
+    A node's dominators are among the nodes of any path to it, so those of one shortest path are where they
+    begin. A candidate stays while every edge into the node comes from a node that has it, too; what goes takes
+    along, in the next round, what rested on it. Rounds are as many as the longest way such news travel.
     """
-    return _dominator_sets(edges, roots, group).select(*group, "node", "idom")
-
-
-def dominators(edges: DataFrame, roots: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group, node, dom): all dominators of every node reached, the node itself included."""
-    return _dominator_sets(edges, roots, group).select(*group, "node", F.explode("doms").alias("dom"))
+    own = cut(simple(edges, group).where(F.col("src") != F.col("dst")))
+    start = roots.select(*group, "node").dropna().distinct()
+    entry = cut(start)
+    paths = new = cut(start.withColumn("dom", F.col("node")))
+    for _ in range(max_rounds):  # breadth first: each new node takes the path of its least parent
+        reached = paths.select(*group, "node").distinct()
+        last = new.select(*group, "node").distinct().withColumnRenamed("node", "src")
+        up = own.join(last, [*group, "src"], "left_semi").join(reached.withColumnRenamed("node", "dst"), [*group, "dst"], "left_anti").groupBy(*group, "dst").agg(F.min("src").alias("src"))
+        found = up.join(new.withColumnsRenamed({"node": "src"}), [*group, "src"]).select(*group, F.col("dst").alias("node"), "dom")
+        new = cut(found.unionByName(up.select(*group, F.col("dst").alias("node"), F.col("dst").alias("dom"))))
+        if new.isEmpty():
+            break
+        paths = cut(paths.unionByName(new))
+    live = paths.select(*group, F.col("node").alias("src")).distinct()
+    into = cut(own.join(live, [*group, "src"], "left_semi").join(entry.withColumnRenamed("node", "dst"), [*group, "dst"], "left_anti"))
+    known, keys = paths, [*group, "node", "dom"]
+    own_pairs = [F.col("node") == F.col("dom")]
+    # How many edges into a node lack a candidate: counted once, then brought up to date by what went.
+    n_in = into.groupBy(*group, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
+    having = into.join(known.withColumnRenamed("node", "src"), [*group, "src"]).groupBy(*group, F.col("dst").alias("node"), "dom").agg(F.count(F.lit(1)).alias("n_have"))
+    gone = cut(known.where(~own_pairs[0]).join(n_in, [*group, "node"]).join(having, keys, "left").where(F.coalesce("n_have", F.lit(0)) < F.col("n_in")).select(*keys))
+    for _ in range(max_rounds):
+        if gone.isEmpty():
+            return known
+        known = cut(known.join(gone, keys, "left_anti"))
+        news = into.join(gone.withColumnRenamed("node", "src"), [*group, "src"]).select(*group, F.col("dst").alias("node"), "dom").distinct()
+        gone = cut(news.where(~own_pairs[0]).join(known, keys, "left_semi"))
+    raise NotConverged("dominators")
+
+
+def dominators(edges: DataFrame, roots: DataFrame, group: Sequence[str] = (), most_edges: int = 200_000) -> DataFrame:
+    """(group, node, dom): all dominators of every node reached from its graph's roots (group, node), the node itself included.
+
+    Graphs of at most ``most_edges`` edges, such as the flow graphs of methods, are solved as one row each; larger
+    ones by joins. Which they are is counted first.
+    """
+    group = list(group)
+    sizes = simple(edges, group).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    large = cut(sizes.where(F.col("n") > most_edges).drop("n"))
+    if large.isEmpty():
+        return _dominator_sets(edges, roots, group).select(*group, "node", F.explode("doms").alias("dom"))
+    if not group:
+        return dominators_by_rounds(edges, roots)
+    of = lambda df, how: df.join(large, group, how)
+    small = _dominator_sets(of(edges, "left_anti"), of(roots, "left_anti"), group).select(*group, "node", F.explode("doms").alias("dom"))
+    return small.unionByName(dominators_by_rounds(of(edges, "left_semi"), of(roots, "left_semi"), group))
+
+
+def immediate_dominators(edges: DataFrame, roots: DataFrame, group: Sequence[str] = (), most_edges: int = 200_000) -> DataFrame:
+    """(group, node, idom) of every node reached: of its other dominators the one with the most; null for what no node dominates."""
+    dom = cut(dominators(edges, roots, group, most_edges))
+    depth = dom.groupBy(*group, "node").agg(F.count(F.lit(1)).alias("depth"))
+    above = dom.where(F.col("node") != F.col("dom")).join(depth.withColumnRenamed("node", "dom"), [*group, "dom"])
+    nearest = above.groupBy(*group, "node").agg(F.max_by("dom", "depth").alias("idom"))
+    return depth.select(*group, "node").join(nearest, [*group, "node"], "left")
 
 
 def back_edges(edges: DataFrame, dom: DataFrame, group: Sequence[str]) -> DataFrame:

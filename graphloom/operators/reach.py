@@ -75,8 +75,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, group: Group = (), include_see
 def reachable_pairs(edges: DataFrame, group: Group = (), seeds: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(group, src, dst): for each source, or each seed (group, node), the nodes reached by at least one edge.
 
-    Without seeds the paths double each round: all pairs found are joined with themselves, so that the rounds
-    are the logarithm of the longest path.
+    Without seeds the paths double each round: the last round's new pairs are joined with all pairs found, on
+    either side, so that the rounds are the logarithm of the longest path. The result is by nature all pairs;
+    for large graphs give seeds.
     """
     keys = [*group, "src", "dst"]
     if seeds is not None:
@@ -86,9 +87,10 @@ def reachable_pairs(edges: DataFrame, group: Group = (), seeds: DataFrame | None
         found = fixpoint(own.join(seeds.withColumnRenamed("node", "src"), [*group, "src"], "left_semi"), step, keys)
         own.unpersist()
         return found
-    known = cut(simple(edges, group))
+    known = new = cut(simple(edges, group))
     for _ in range(max_rounds):
-        longer = known.join(onward(known, group), [*group, "dst"]).select(*group, "src", F.col("_next").alias("dst"))
+        chain = lambda x, y: x.join(onward(y, group), [*group, "dst"]).select(*group, "src", F.col("_next").alias("dst"))
+        longer = chain(new, known).unionByName(chain(known, new))
         new = cut(longer.distinct().join(known, keys, "left_anti"))
         if new.isEmpty():
             return known

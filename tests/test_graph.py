@@ -59,6 +59,39 @@ def test_dominators_and_loops(spark):
     assert rows(kinds, "head", "kind") == [("a", "post-condition"), ("d", "infinite")]
 
 
+def plain_dominators(pairs, roots):
+    """x dominates n if n isn't reached without x."""
+    def reached(without):
+        seen = {r for r in roots if r != without}
+        todo = list(seen)
+        while todo:
+            a = todo.pop()
+            for x, y in pairs:
+                if x == a and y != without and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+    every = reached(None)
+    return sorted((n, x) for x in every for n in every - (reached(x) - {x}))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dominators_by_rounds_and_by_rows(spark, seed):
+    rng = random.Random(seed)
+    n = 24
+    pairs = [(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(rng.choice([26, 34, 50]))]
+    e, roots = edges(spark, pairs), ["n00", "n01"][: 1 + seed % 2]
+    want = plain_dominators(set(pairs), roots)
+    assert rows(loops.dominators(e, node(spark, roots), G), "node", "dom") == want
+    assert rows(loops.dominators(e, node(spark, roots), G, most_edges=0), "node", "dom") == want
+    one = loops.dominators_by_rounds(e.select("src", "dst"), node(spark, roots).select("node"))
+    assert rows(one, "node", "dom") == want
+    some = loops.immediate_dominators(e.unionByName(edges(spark, [("n00", "z")], 2)), node(spark, roots).unionByName(node(spark, ["n00"], 2)), G, most_edges=5)
+    depth = {x: sum(a == x for a, _ in want) for x, _ in want}
+    nearest = {x: max((d for a, d in want if a == x and d != x), key=depth.get, default=None) for x, _ in want}
+    assert {(r.g, r.node): r.idom for r in some.collect()} == {**{(1, k): v for k, v in nearest.items()}, (2, "n00"): None, (2, "z"): "n00"}
+
+
 def test_nested_loops(spark):
     e = edges(spark, [("r", "h"), ("h", "i"), ("i", "j"), ("j", "i"), ("i", "h"), ("h", "z")])
     dom = loops.dominators(e, node(spark, ["r"]), G)
