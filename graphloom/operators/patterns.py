@@ -14,31 +14,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VAR, NUM = r"[A-Za-z_$][\w$]*", r"-?\d+"
+VALUE = f"(?:{NUM}|{VAR})"
 ANY = r"(?:[^;]*;)*?"
+#: The same without jumps out of the loop.
+STAY = r"(?:(?!(?:if [^;]* )?goto out;)[^;]*;)*?"
 END = r"goto head;$"
+ABOVE, BELOW, RELATED = "(?:>=|>)", "(?:<=|<)", "(?:==|!=|<=|>=|<|>)"
 
 
-def _bind(name: str, what: str = VAR) -> str:
+def _bind(name: str, what: str = VALUE) -> str:
     return f"(?<{name}>{what})"
 
 
-#: (kind, pattern), in order of priority. ``head:`` marks the loop's head, ``out`` what follows the loop.
+_START, _STEP = f"{_bind('i', VAR)} = {_bind('from')};", rf"\k<i> = \k<i> [+-] {_bind('by')};"
+_ZERO, _NEXT = f"{_bind('i', VAR)} = 0;", r"\k<i> = \k<i> \+ 1;"
+_LENGTH = f"{_bind('n', VAR)} = length {_bind('over')};"
+_SIZE = rf"{_bind('n', VAR)} = {_bind('over')}\.(?:size|length)\(\);"
+_ELEMENT = rf"{VAR} = \k<over>\[\k<i>\];"
+_EACH = rf"head:;if \k<i> >= \k<n> goto out;{_ELEMENT}{ANY}{_NEXT}{END}"
+
+#: (kind, pattern), in order of priority; a kind may have two. ``head:`` stands before the loop's first statement,
+#: ``out`` is what follows the loop. Names of the statements may stand before; the loop ends the text.
 LOOPS = (
-    ("iterator", rf"{_bind('it')} = {_bind('over')}\.iterator\(\);head:;{_bind('t')} = \k<it>\.hasNext\(\);if \k<t> == 0 goto out;(?:{VAR} = )?\k<it>\.next\(\);{ANY}{END}"),
-    ("array_for_each", rf"{_bind('n')} = length {_bind('over')};{_bind('i')} = 0;head:;if \k<i> >= \k<n> goto out;{VAR} = \k<over>\[\k<i>\];{ANY}\k<i> = \k<i> \+ 1;{END}"),
-    ("array_for", rf"{_bind('i')} = {_bind('from', NUM)};head:;{_bind('n')} = length {_bind('over')};if \k<i> >= \k<n> goto out;{ANY}\k<i> = \k<i> \+ {_bind('by', NUM)};{END}"),
-    ("count_up", rf"{_bind('i')} = {_bind('from', NUM)};head:;if \k<i> (?:>=|>) {_bind('bound', NUM)} goto out;{ANY}\k<i> = \k<i> \+ {_bind('by', NUM)};{END}"),
-    ("count_down", rf"{_bind('i')} = {_bind('from', NUM)};head:;if \k<i> (?:<=|<) {_bind('bound', NUM)} goto out;{ANY}\k<i> = \k<i> (?:- {_bind('by', NUM)}|\+ -\d+);{END}"),
-    ("count_up_sized", rf"{_bind('i')} = {_bind('from', NUM)};head:;{_bind('n')} = {_bind('over')}\.(?:size|length)\(\);if \k<i> (?:>=|>) \k<n> goto out;{ANY}\k<i> = \k<i> \+ {_bind('by', NUM)};{END}"),
-    ("count_up_sized_offset", rf"{_bind('i')} = {_bind('from', NUM)};head:;{_bind('n')} = {_bind('over')}\.(?:size|length)\(\);{_bind('m')} = \k<n> [+-] {NUM};if \k<i> (?:>=|>) \k<m> goto out;{ANY}\k<i> = \k<i> \+ {_bind('by', NUM)};{END}"),
-    ("character", rf"{_bind('c')} = {_bind('from', NUM)};head:;if \k<c> (?:>=|>) {_bind('bound', NUM)} goto out;{ANY}{_bind('t')} = \k<c> \+ 1;\k<c> = \(char\) \k<t>;{END}"),
-    ("count_up_var", rf"{_bind('i')} = {_bind('from')};head:;if \k<i> (?:>=|>) {_bind('bound')} goto out;{ANY}\k<i> = \k<i> \+ {_bind('by', f'{NUM}|{VAR}')};{END}"),
-    ("count_down_var", rf"{_bind('i')} = {_bind('from')};head:;if \k<i> (?:<=|<) {_bind('bound')} goto out;{ANY}\k<i> = \k<i> - {_bind('by', f'{NUM}|{VAR}')};{END}"),
-    ("randomized_while", rf"head:;{_bind('r')} = (?:{VAR}\.)?(?:random|nextInt|nextDouble)\([^;]*\);{ANY}if [^;]*\k<r>[^;]* goto out;{ANY}{END}"),
-    ("simple_while", rf"head:;if {_bind('x')} (?:==|!=|<=|>=|<|>) {_bind('y', f'{NUM}|{VAR}')} goto out;{ANY}{END}"),
-    ("do_while", rf"head:;{ANY}if {_bind('x')} (?:==|!=|<=|>=|<|>) {_bind('y', f'{NUM}|{VAR}')} goto head;$"),
+    ("iterator", rf"{_bind('it', VAR)} = {_bind('over')}\.iterator\(\);head:;{_bind('t', VAR)} = \k<it>\.hasNext\(\);if \k<t> == 0 goto out;(?:{VAR} = )?\k<it>\.next\(\);{ANY}{END}"),
+    ("array_for_each", _LENGTH + _ZERO + _EACH),
+    ("array_for_each", _ZERO + _LENGTH + _EACH),
+    ("array_for", rf"{_ZERO}head:;{_LENGTH}if \k<i> >= \k<n> goto out;{ANY}{_ELEMENT}{ANY}{_NEXT}{END}"),
+    ("count_up", rf"{_START}head:;if \k<i> {ABOVE} {_bind('bound')} goto out;{STAY}{_STEP}{END}"),
+    ("count_down", rf"{_START}head:;if \k<i> {BELOW} {_bind('bound')} goto out;{STAY}{_STEP}{END}"),
+    ("count_up_sized", rf"{_START}head:;{_SIZE}if \k<i> {ABOVE} \k<n> goto out;{ANY}{_STEP}{END}"),
+    ("count_up_sized_offset", rf"{_START}head:;{_SIZE}{_bind('m', VAR)} = \k<n> [+-] {_bind('offset')};if \k<i> {ABOVE} \k<m> goto out;{ANY}{_STEP}{END}"),
+    ("character", rf"{_START}head:;if \k<i> {ABOVE} {_bind('bound')} goto out;{STAY}{_bind('t', VAR)} = \k<i> [+-] {_bind('offset')};\k<i> = \(char\) \k<t>;{END}"),
+    ("simple_while", rf"{_START}{ANY}head:;if \k<i> {RELATED} {_bind('bound')} goto out;{ANY}{_STEP}{ANY}{END}"),
+    ("count_up_var", rf"{_START}head:;{_bind('n', VAR)} = {_bind('bound')};if \k<i> {ABOVE} \k<n> goto out;{STAY}{_STEP}{END}"),
+    ("count_down_var", rf"{_START}head:;{_bind('n', VAR)} = {_bind('bound')};if \k<i> {BELOW} \k<n> goto out;{STAY}{_STEP}{END}"),
+    ("randomized_while", rf"{_bind('n', VAR)} = {_bind('from')};if {_bind('i', VAR)} {RELATED} \k<n> goto head;{_bind('r', VAR)} = (?:{VAR}\.)?(?:random|nextInt|nextDouble)\([^;]*\);{_bind('t', VAR)} = cmpg\(\k<r>, {_bind('bound')}\);if \k<t> {ABOVE} 0 goto head;$"),
+    ("do_while", rf"{_START}{ANY}head:;{ANY}{_STEP}{ANY}if \k<i> {RELATED} {_bind('bound')} goto head;$"),
 )
-BINDINGS = ("it", "over", "i", "c", "n", "from", "bound", "by", "x", "y", "r")
+BINDINGS = ("it", "over", "i", "n", "from", "bound", "by", "offset", "r")
 
 
 def written(rows: DataFrame, group: Sequence[str], order: Sequence[str], text: str | Column) -> DataFrame:
@@ -61,17 +74,20 @@ def bound(text: Column, pattern: str, names: Sequence[str]) -> Column:
 
 
 def classify_loops(texts: DataFrame, text: str = "text", patterns: Sequence[tuple[str, str]] = LOOPS) -> DataFrame:
-    """``texts`` with n_matches, loop_kind and bindings.
+    """``texts`` with n_matches, the number of kinds that match, loop_kind and bindings.
 
-    The kind is that of the first pattern that matches; where none does it is unidentified, with no bindings.
+    The kind is that of the first pattern that matches, whatever the later ones say; where none does it is
+    unidentified, with no bindings.
     """
     t = F.col(text)
-    hits = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in patterns]))
-    out = texts.withColumn("_hits", hits).withColumn("loop_kind", F.coalesce(F.get("_hits", F.lit(0)), F.lit("unidentified")))
+    anchored = [(k, f"(?:^|;){p}") for k, p in patterns]
+    hits = F.array_compact(F.array(*[F.when(t.rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(i).alias("at"))) for i, (k, p) in enumerate(anchored)]))
+    out = texts.withColumn("_hits", hits).withColumn("_first", F.get("_hits", F.lit(0)))
     bindings = F.lit(None).cast("map<string,string>")
-    for kind, p in reversed(patterns):
-        bindings = F.when(F.col("loop_kind") == kind, bound(t, p, BINDINGS)).otherwise(bindings)
-    return out.withColumn("bindings", bindings).withColumn("n_matches", F.size("_hits")).drop("_hits")
+    for i, (_, p) in enumerate(anchored):
+        bindings = F.when(F.col("_first.at") == i, bound(t, p, BINDINGS)).otherwise(bindings)
+    n = F.size(F.array_distinct(F.transform("_hits", lambda h: h["kind"])))
+    return out.withColumn("loop_kind", F.coalesce("_first.kind", F.lit("unidentified"))).withColumn("bindings", bindings).withColumn("n_matches", n).drop("_hits", "_first")
 
 
 def operands(classified: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -74,27 +74,36 @@ def test_path_conditions_and_labels(spark):
 
 
 LOOPS = {
-    "iterator": "it = list.iterator();head:;t = it.hasNext();if t == 0 goto out;x = it.next();y = x + 1;goto head;",
-    "count_up": "i = 0;head:;if i >= 45 goto out;x = x + i;i = i + 2;goto head;",
-    "count_down": "i = 45;head:;if i <= 0 goto out;i = i - 1;goto head;",
-    "count_up_var": "i = a;head:;if i >= n goto out;i = i + 1;goto head;",
-    "array_for_each": "n = length a;i = 0;head:;if i >= n goto out;v = a[i];s = s + v;i = i + 1;goto head;",
-    "array_for": "i = 0;head:;n = length a;if i >= n goto out;v = a[i];i = i + 1;goto head;",
-    "count_up_sized": "i = 0;head:;n = list.size();if i >= n goto out;i = i + 1;goto head;",
-    "simple_while": "head:;if x == 0 goto out;x = f(x);goto head;",
-    "do_while": "head:;x = f(x);if x < 10 goto head;",
-    "unidentified": "i = 0;head:;if i >= 45 goto out;j = i + 2;foo = bar;",
-}
+    "iterator": ["it = list.iterator();head:;t = it.hasNext();if t == 0 goto out;x = it.next();y = x + 1;goto head;"],
+    "array_for_each": ["n = length a;i = 0;head:;if i >= n goto out;v = a[i];s = s + v;i = i + 1;goto head;", "i = 0;n = length a;head:;if i >= n goto out;v = a[i];i = i + 1;goto head;"],
+    "array_for": ["i = 0;head:;n = length a;if i >= n goto out;s = 1;v = a[i];i = i + 1;goto head;"],
+    "count_up": ["i = 0;head:;if i >= 45 goto out;x = x + i;i = i + 2;goto head;", "i = a;head:;if i > n goto out;if x < 3 goto other;i = i + k;goto head;"],
+    "count_down": ["i = 45;head:;if i <= 0 goto out;i = i - 1;goto head;", "x = 1;i = 45;head:;if i < 0 goto out;i = i + -1;goto head;"],
+    "count_up_sized": ["i = 0;head:;n = list.size();if i >= n goto out;i = i + 1;goto head;", "i = 5;head:;n = s.length();if i >= n goto out;if x < 3 goto out;i = i + 1;goto head;"],
+    "count_up_sized_offset": ["i = 0;head:;n = list.size();m = n - 1;if i >= m goto out;i = i + 1;goto head;"],
+    "character": ["c = 97;head:;if c > 122 goto out;x = f(c);t = c + 1;c = (char) t;goto head;"],
+    "simple_while": ["x = 9;y = 1;head:;if x == 0 goto out;y = y + x;x = x - y;z = 1;goto head;", "i = 0;head:;if i >= 45 goto out;if x > 1 goto out;i = i + 2;goto head;"],
+    "count_up_var": ["i = a;head:;m = n;if i >= m goto out;i = i + 1;goto head;"],
+    "count_down_var": ["i = a;head:;m = 0;if i <= m goto out;x = 1;i = i - 1;goto head;"],
+    "randomized_while": ["head:;i = i + 1;n = 10;if i < n goto head;r = random();t = cmpg(r, 5);if t >= 0 goto head;"],
+    "do_while": ["x = 1;head:;y = f(x);x = x + 2;if x < 10 goto head;"],
+    "unidentified": [
+        "i = 0;head:;if i >= 45 goto out;j = i + 2;foo = bar;", "head:;if x == 0 goto out;x = f(x);goto head;", "x = 1;head:;if x == 0 goto out;x = f(x);goto head;",
+        "i = 1;head:;n = length a;if i >= n goto out;s = 1;i = i + 1;goto out2;", "i = a;head:;m = n;if i >= m goto out;goto out;i = i + 1;goto head;", "head:;x = f(x);if x < 10 goto head;",
+    ],
+}
 
 
 def test_loop_patterns(spark):
-    df = spark.createDataFrame([(k, v) for k, v in LOOPS.items()], "want string, text string")
-    got = {r.want: r for r in patterns.classify_loops(df).collect()}
-    assert {k: r.loop_kind for k, r in got.items()} == {k: k for k in LOOPS}
-    assert got["count_up"].bindings["i"] == "i" and got["count_up"].bindings["bound"] == "45" and got["count_up"].bindings["by"] == "2"
+    df = spark.createDataFrame([(k, i, t) for k, v in LOOPS.items() for i, t in enumerate(v)], "want string, no int, text string")
+    got = {(r.want, r.no): r for r in patterns.classify_loops(df).collect()}
+    assert {k: r.loop_kind for k, r in got.items()} == {(k, i): k for k, v in LOOPS.items() for i in range(len(v))}
+    one = got["count_up", 0]
+    assert (one.bindings["i"], one.bindings["bound"], one.bindings["by"], one.n_matches) == ("i", "45", "2", 2)
+    assert got["count_up_sized_offset", 0].bindings["offset"] == "1" and got["array_for_each", 1].bindings["over"] == "a"
     # A second variable may not stand in for the first.
     other = spark.createDataFrame([("i = 0;head:;if j >= 45 goto out;i = i + 2;goto head;",)], "text string")
-    assert patterns.classify_loops(other).first().loop_kind == "simple_while"
+    assert patterns.classify_loops(other).first().loop_kind == "unidentified"
     stmts = spark.createDataFrame([("m", 1, "b"), ("m", 0, "a")], "method string, idx int, text string")
     assert patterns.written(stmts, ["method"], ["idx"], "text").first().text == "a;b;"
 
