@@ -32,7 +32,7 @@ def tokens(text: Column) -> Column:
 
 
 def _slot(token: Column) -> Column:
-    return F.substring(token, 1, 1).isin(NUMBER, NAME, UNIT)
+    return (token >= NUMBER) & (token < chr(ord(UNIT) + 1))
 
 
 def _bound(value: Column, body) -> Column:
@@ -71,6 +71,12 @@ def _both(tokens_: Column, width: int) -> Column:
     return F.zip_with(hashes(tokens_, width), hashes(tokens_, width, template=True), entry)
 
 
+def _all(tokens_: Column, width: int, lengths: list[int]) -> Column:
+    """The hashes of all windows in both readings, and of the runs of these numbers of tokens, in no order that matters."""
+    shaped = _bound(hashes(tokens_, width), lambda p: F.concat(p, F.zip_with(p, hashes(tokens_, width, template=True), lambda x, y: F.when(x != y, y))))
+    return F.concat(shaped, *[F.transform(_runs(tokens_, n), lambda r: r["plain"]) for n in lengths])
+
+
 def _runs(tokens_: Column, n: int) -> Column:
     """The same of all runs of any number of tokens, word for word alone."""
     entry = lambda h, i: F.struct(F.xxhash64(F.lit(n), *[h[i + k] for k in range(n)]).alias("plain"), F.lit(None).cast("bigint").alias("shaped"))
@@ -117,10 +123,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, need: int = 6,
     known = stored(item_windows(texts, lengths, width, most_slots), "benchmark-windows")
     per_item = known.groupBy("item").agg(F.count_distinct("at").cast("int").alias("n_item_windows"))
 
-    windows = _bound(tokens(F.col(text_column)), lambda t: F.concat(_both(t, width), *[_runs(t, n) for n in lengths]))
-    # posexplode_outer: the inner one makes Spark test the array's size below, where it is computed again.
-    own = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), F.posexplode_outer(windows).alias("pos", "w"))
-    own = own.select("doc_id", "row", "pos", F.explode(F.array("w.plain", "w.shaped")).alias("hash"))
+    hashed = _bound(tokens(F.col(text_column)), lambda t: _all(t, width, lengths))
+    # explode_outer: the inner one makes Spark test the array's size below, where it is computed again.
+    own = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), F.explode_outer(hashed).alias("hash"))
     hits = stored(own.join(small_side(known, 1_000_000), "hash").drop("hash"), "window-hits")
     pair = ["doc_id", "row", "item"]
     counted = hits.groupBy(*pair).agg(F.size(F.collect_set(F.when(~F.col("template"), F.col("at")))).alias("plain"), F.size(F.collect_set("at")).alias("n_windows"))
@@ -129,24 +134,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, need: int = 6,
     good = found.where(F.col("plain") >= enough).select(*pair, "n_windows", "n_item_windows", F.lit(0).alias("n_slots"))
     open_ = found.where(F.col("plain") < enough)
     if not open_.isEmpty():
-        mapped = _one_to_one(docs, texts, hits, open_.select("row", "item", "n_item_windows").distinct(), width, need, text_column)
+        mapped = _one_to_one(docs, texts, known, open_.select("row", "item", "n_item_windows").distinct(), width, need, text_column)
         good = good.unionAll(open_.drop("n_windows", "plain").join(mapped, ["row", "item"]).select(*pair, "n_windows", "n_item_windows", "n_slots"))
     named = good.join(small_side(known_items.select("item_id", "item")), "item")
     best = named.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("n_windows", "n_item_windows", "n_slots")).alias("best"))
     return best.select("doc_id", "row", "item_id", "best.*")
 
 
-def _one_to_one(docs: DataFrame, texts: DataFrame, hits: DataFrame, open_: DataFrame, width: int, need: int, text_column: str) -> DataFrame:
+def _one_to_one(docs: DataFrame, texts: DataFrame, known: DataFrame, open_: DataFrame, width: int, need: int, text_column: str) -> DataFrame:
     """(row, item, n_windows, n_slots): of these pairs those with an alignment of enough windows whose slots map one to one."""
     key, line = ["row", "item"], ["row", "item", "shift"]
-    met = hits.join(open_, key).select(*key, "n_item_windows", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
+    open_ = stored(open_, "open-pairs")
+    wanted = small_side(open_.select("row").distinct())
+    own = docs.select(F.xxhash64(text_column).alias("row"), F.col(text_column).alias("text")).join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    own = stored(own.select("row", tokens(F.col("text")).alias("tokens")), "open-tokens")
+    placed = own.select("row", F.posexplode(_both(F.col("tokens"), width)).alias("pos", "w")).select("row", "pos", F.explode(F.array("w.plain", "w.shaped")).alias("hash"))
+    hits = placed.join(small_side(known, 1_000_000), "hash")
+    met = hits.join(small_side(open_), key).select(*key, "n_item_windows", (F.col("pos") - F.col("at")).alias("shift"), "at").distinct()
     lines = met.groupBy(*line, "n_item_windows").agg(F.count(F.lit(1)).cast("int").alias("n_windows")).where(F.col("n_windows") >= F.least(F.lit(need), F.col("n_item_windows")))
     lines = stored(lines.drop("n_item_windows"), "alignments")
     covered = met.drop("n_item_windows").join(lines, line).select(*line, "n_windows", F.explode(F.sequence(F.col("at"), F.col("at") + width - 1)).alias("at")).distinct()
     valued = lambda df, of, place, name: df.select(of, F.posexplode("tokens").alias(place, name)).where(_slot(F.col(name)))
-    wanted = small_side(lines.select("row").distinct())
-    own = docs.select(F.xxhash64(text_column).alias("row"), F.col(text_column).alias("text")).join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    theirs = valued(own.select("row", tokens(F.col("text")).alias("tokens")), "row", "pos", "theirs")
+    theirs = valued(own.join(small_side(lines.select("row").distinct()), "row", "left_semi"), "row", "pos", "theirs")
     both = covered.join(small_side(valued(texts, "item", "at", "ours")), ["item", "at"]).withColumn("pos", F.col("at") + F.col("shift")).join(theirs, ["row", "pos"])
     values = both.groupBy(*line, "n_windows").agg(F.size(F.collect_set("ours")).alias("n_slots"), F.size(F.collect_set("theirs")).alias("b"), F.size(F.collect_set(F.struct("ours", "theirs"))).alias("c"))
     fine = values.where((F.col("n_slots") == F.col("c")) & (F.col("b") == F.col("c")))
