@@ -21,25 +21,25 @@ def _lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, least_words: int = 12) -> DataFrame:
+def windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, least_chars: int = 60) -> DataFrame:
     """(doc_id, row, first, last, h1, h2): every run of ``width`` lines that are not blank.
 
     ``first`` and ``last`` are line numbers from 0; h1 and h2 are two 64-bit hashes of the trimmed lines. Runs
-    of fewer than ``least_words`` words count only if they are whole lines, each ended by a line feed but the last.
+    of fewer than ``least_chars`` characters count only if they are whole lines, each ended by a line feed but the last.
     """
     trimmed = F.transform(_lines(F.col(text_column)), lambda x, i: F.struct(i.alias("at"), F.trim(x, F.lit(SPACE)).alias("line"), F.endswith(x, F.lit("\n")).alias("ends")))
-    words = lambda x: F.length(x.line) - F.length(F.replace(x.line, F.lit(" "))) + 1
-    full = F.transform(F.filter(trimmed, lambda x: x.line != ""), lambda x: F.struct(x.at.alias("at"), F.xxhash64(x.line).alias("h1"), F.xxhash64(F.lit(1), x.line).alias("h2"), words(x).alias("words"), x.ends.alias("ends")))
+    full = F.filter(trimmed, lambda x: x.line != "")
     found = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("row"), full.alias("full")).where(F.size("full") >= width)
-    at = lambda i, k, name: F.col("full")[i + k][name]
 
     def window(i: Column) -> Column:
-        enough, whole = at(i, 0, "words"), at(i, 0, "ends")
-        for k in range(1, width):
-            enough = enough + at(i, k, "words")
-            whole = whole & at(i, k, "ends") if k < width - 1 else whole
-        hashes = [F.xxhash64(*[at(i, k, h) for k in range(width)]).alias(h) for h in ("h1", "h2")]
-        return F.when((enough >= least_words) | whole, F.struct(at(i, 0, "at").alias("first"), at(i, width - 1, "at").alias("last"), *hashes))
+        own = [F.col("full")[i + k] for k in range(width)]
+        whole, enough = own[0]["ends"], F.length(own[0]["line"])
+        for x in own[1:-1]:
+            whole = whole & x["ends"]
+        for x in own[1:]:
+            enough = enough + F.length(x["line"])
+        hashes = [F.xxhash64(F.lit(k), *[x["line"] for x in own]).alias(f"h{k}") for k in (1, 2)]
+        return F.when((enough >= least_chars) | whole, F.struct(own[0]["at"].alias("first"), own[-1]["at"].alias("last"), *hashes))
 
     each = F.transform(F.sequence(F.lit(0), F.size("full") - width), window)
     return found.select("doc_id", "row", F.explode(each).alias("w")).where(F.col("w").isNotNull()).select("doc_id", "row", "w.*")
@@ -60,15 +60,15 @@ def kept_runs(found: DataFrame) -> DataFrame:
     return gaps.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("run")).alias("runs"), (F.max("last") + 1).alias("rest"))
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, least_words: int = 12, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
-    """``docs`` with the text less its repeated passages, plus ``n_lines`` and ``n_removed`` (longs).
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, least_chars: int = 60, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with the text less its repeated passages, plus ``n_lines`` (line feeds and one) and ``n_removed`` (lines here, cut ones too), longs.
 
     A passage is any run of ``width`` consecutive lines (see ``windows``), trimmed, blank ones aside; all but
     its first occurrence in order of id (nulls first) and line go, with the blank lines inside. Documents of
-    fewer lines stay as they are; a null text stays null with 0 lines, an empty one has none; rows repeated
+    fewer lines stay as they are; a null text stays null with 0 lines; rows repeated
     with the same id and text count as one document; columns named like the two new ones are replaced.
     """
-    found = stored(windows(docs, id_column, text_column, width, least_words), "line-windows")
+    found = stored(windows(docs, id_column, text_column, width, least_chars), "line-windows")
     gaps = stored(kept_runs(later(found)).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "runs", "rest"), "line-gaps")
     kept = [c for c in docs.columns if c not in (n_lines, n_removed)]
     text = F.col("text")
@@ -79,7 +79,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     tail = F.array(F.struct((F.col("rest") + 1).alias("start"), (F.size("lines") - F.col("rest")).alias("n")))
     left = F.flatten(F.transform(F.concat("runs", tail), lambda r: F.slice("lines", r.start, r.n)))
     split = split.withColumn("left", F.when(F.col("rest").isNotNull(), left))
-    count = F.coalesce(F.regexp_count(text, F.lit(LINE)), F.lit(0))
+    count = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)
     changed = F.col("left").isNotNull()
     return split.select(
         *[F.when(changed, F.array_join("left", "")).otherwise(text).alias(c) if c == text_column else F.col(f"doc.`{c}`").alias(c) for c in kept],
@@ -97,10 +97,10 @@ WITH cut AS (
 ), trimmed AS (
   SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13) || chr(10)) AS line, suffix(line, chr(10)) AS ends FROM lines
 ), counted AS (
-  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM trimmed WHERE line <> ''
+  SELECT *, length(line) AS chars FROM trimmed WHERE line <> ''
 ), windows AS (
   SELECT doc_id, pos AS first, lead(pos, 2) OVER own AS last, line || chr(10) || lead(line, 1) OVER own || chr(10) || lead(line, 2) OVER own AS passage,
-    words + lead(words, 1) OVER own + lead(words, 2) OVER own >= 12 OR ends AND lead(ends, 1) OVER own AS counts
+    chars + lead(chars, 1) OVER own + lead(chars, 2) OVER own >= 60 OR ends AND lead(ends, 1) OVER own AS counts
   FROM counted WINDOW own AS (PARTITION BY doc_id ORDER BY pos)
 ), later AS (
   SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, first) AS n FROM windows WHERE last IS NOT NULL AND counts) WHERE n > 1
@@ -111,6 +111,6 @@ WITH cut AS (
   FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos WHERE c.pos IS NULL GROUP BY l.doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
-  coalesce(len(d.pieces), 0)::BIGINT AS n_lines, (coalesce(len(d.pieces), 0) - coalesce(k.n, 0))::BIGINT AS n_removed
+  coalesce(length(d.text) - length(replace(d.text, chr(10), '')) + 1, 0)::BIGINT AS n_lines, (coalesce(len(d.pieces), 0) - coalesce(k.n, 0))::BIGINT AS n_removed
 FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?(?:[.!?]+[ \t]+|[\x{3002}\x{FF01}\x{FF1F}]|\n)|.+') AS pieces FROM documents) d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """

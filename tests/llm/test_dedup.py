@@ -18,7 +18,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, s, "x", "x", "x", "x", "x") for i, t, s in rows], DOCS)
 
 
-def plain_lines(rows, width=3, least_words=12):
+def plain_lines(rows, width=3, least_chars=60):
     seen, out = set(), {}
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         if t is None:
@@ -30,7 +30,7 @@ def plain_lines(rows, width=3, least_words=12):
         for a in range(len(full) - width + 1):
             own = full[a : a + width]
             part = tuple(x for _, x, _ in own)
-            if sum(x.count(" ") + 1 for x in part) < least_words and not all(e for _, _, e in own[:-1]):
+            if sum(map(len, part)) < least_chars and not all(e for _, _, e in own[:-1]):
                 continue
             if part in seen:
                 cover |= set(range(own[0][0], own[-1][0] + 1))
