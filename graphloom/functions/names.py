@@ -81,3 +81,19 @@ def tokens(code: Column) -> Column:
     found = F.regexp_extract_all(code, F.lit(r'//.*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|\b\w+\b|[()]|[{}]|[\[\]]|;'), F.lit(0))
     kind = lambda t: F.when(t.rlike(r"^/[/*]"), "comment").when(t.rlike('^"'), "string").when(t.isin(*words), "keyword").when(t.isin("(", ")"), "paren").when(t.isin("{", "}"), "brace").when(t.isin("[", "]"), "bracket").when(t == ";", "semicolon").otherwise("other")
     return F.transform(found, lambda t: F.struct(t.alias("token"), kind(t).alias("kind")))
+
+
+def jvm_type(name: Column) -> Column:
+    """The type's name within an array's: ``Ljava.lang.String;`` for a class, a letter for a primitive."""
+    letters = F.create_map(*[F.lit(x) for letter, word in PRIMITIVES.items() for x in (word, letter)])
+    return F.coalesce(letters[name], F.concat(F.lit("L"), name, F.lit(";")))
+
+
+def nested(name: Column) -> Column:
+    """Whether a class is one within another."""
+    return F.contains(name, F.lit("$"))
+
+
+def core_java(name: Column) -> Column:
+    """Whether a class belongs to Java's own packages."""
+    return F.concat(package_of(name), F.lit(".")).rlike(r"^(java|javax|sun|com\.sun)\.")

@@ -73,3 +73,14 @@ def reclassify(classes: DataFrame, packages: list[str], name: str = "name", orig
     for p in packages:
         inside = inside | F.startswith(F.col(name), F.lit(p))
     return classes.withColumn(origin, F.when((F.col(origin) == "APP") & ~inside, "LIB").otherwise(F.col(origin)))
+
+
+def named_like(tree: DataFrame, text: str, name: str = "name") -> DataFrame:
+    """(node): nodes whose name in lower case holds the text, and all above them."""
+    return kept(tree, F.contains(F.lower(F.col(name)), F.lit(text)))
+
+
+def in_range(tree: DataFrame, root: Column, low: int, high: int, number: str = "number") -> DataFrame:
+    """(node): nodes at or below the root whose number lies between, both ends included."""
+    below = descent(tree.select("node", "parent")).where(F.col("ancestor") == root).select("node").distinct()
+    return tree.where(F.col(number).between(low, high)).join(below, "node", "left_semi").select("node")

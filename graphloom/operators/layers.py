@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.reach import Group, dealt, flipped, nodes, simple, sources
@@ -65,3 +65,13 @@ def layering_tree(edges: DataFrame, group: Group = ()) -> DataFrame:
     above = layers.select(*group, F.col("node").alias("parent"), (F.col("layer") + 1).alias("layer"))
     last = layers.join(simple(edges, group).withColumnsRenamed({"src": "parent", "dst": "node"}), [*group, "node"]).join(above, [*group, "parent", "layer"]).groupBy(*group, "node").agg(F.max("parent").alias("parent"))
     return layers.join(last, [*group, "node"], "left").select(*group, "node", "parent", "layer")
+
+
+def vertex_order(component: str = "component", short: str = "short", full: str = "full", method: str = "method", number: str = "number") -> list:
+    """The order of vertices in a list: components first, then by short and full class name, method and number; nulls last."""
+    return [F.col(component).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in (short, full, method, number)]]
+
+
+def layer_order(nodes: DataFrame, layer: str = "layer", degree: str = "degree", label: str = "label") -> DataFrame:
+    """``nodes`` with ``place`` in their layer (from 0), by degree, then label."""
+    return nodes.withColumn("place", F.row_number().over(Window.partitionBy(layer).orderBy(degree, label)) - 1)

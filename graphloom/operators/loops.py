@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.records import dense_ids
 from graphloom.operators.reach import dealt, reachable, simple, small_graphs
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, fixpoint
@@ -206,6 +207,35 @@ def loop_conditions(edges: DataFrame, bodies: DataFrame, group: Sequence[str]) -
     return fixpoint(exits, step, [*group, "head", "node"])
 
 
+def loop_conditions_forward(edges: DataFrame, bodies: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, head, node) as ``loop_conditions``, from the head on: members from which a walk within the loop, not back
+    to the head, meets an edge that leaves it."""
+    keys = [*group, "head", "node"]
+    exits = loop_exits(edges, bodies, group).select(*group, "head", F.col("src").alias("_end")).distinct()
+    inside = simple(edges, group).join(bodies.withColumnRenamed("member", "src"), [*group, "src"]).join(bodies.withColumnRenamed("member", "dst"), [*group, "head", "dst"], "left_semi").where(F.col("dst") != F.col("head"))
+    inside = cut(inside.select(*group, "head", "src", "dst"))
+    start = bodies.select(*group, "head", F.col("member").alias("node"), F.col("member").alias("_end"))
+    step = lambda at: at.withColumnRenamed("_end", "src").join(inside, [*group, "head", "src"]).select(*keys, F.col("dst").alias("_end"))
+    walks = fixpoint(start, step, [*keys, "_end"])
+    return walks.join(exits, [*group, "head", "_end"], "left_semi").select(*keys).distinct()
+
+
+def conditions_checked(edges: DataFrame, bodies: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, head, node, side): both, or the one method (backward, forward) that finds the condition."""
+    side = lambda df, name: df.withColumn(name, F.lit(True))
+    met = side(loop_conditions(edges, bodies, group), "_b").join(side(loop_conditions_forward(edges, bodies, group), "_f"), [*group, "head", "node"], "full")
+    return met.select(*group, "head", "node", F.when(F.col("_b") & F.col("_f"), "both").when(F.col("_b"), "backward").otherwise("forward").alias("side"))
+
+
+def numbered_graph(graph: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, id), (src, dst) by ids) of a graph of names, ids from 0 without gaps; edges into ``roots`` (node) are left out."""
+    ids = dense_ids(graph.select(F.col("src").alias("node")).unionByName(graph.select(F.col("dst").alias("node"))).distinct(), "node", start=0)
+    kept = graph.join(roots.select(F.col("node").alias("dst")), "dst", "left_anti")
+    for end in ("src", "dst"):
+        kept = kept.join(ids.select(F.col("node").alias(end), F.col("id").alias(f"_{end}")), end)
+    return ids, kept.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
 def loop_graph(calls: DataFrame, bodies: DataFrame, forest: DataFrame, main: DataFrame) -> DataFrame:
     """(src, dst) among loops and methods, as structs (method, head), the head null for a method.
 

@@ -152,3 +152,37 @@ def registry(class_files: DataFrame) -> DataFrame:
     from graphloom.operators.records import last_wins
 
     return last_wins(class_files, ["name"], ["seq"])
+
+
+def return_sites(returning: DataFrame, calls: DataFrame, library: Column) -> DataFrame:
+    """(method, caller, site): where each method (method) returns to: its explicit calls (caller, site, callee, explicit) by callers that ``library`` doesn't hold of."""
+    made = calls.where(F.col("explicit") & ~library).select("caller", "site", F.col("callee").alias("method"))
+    return made.join(returning.select("method").distinct(), "method", "left_semi").select("method", "caller", "site")
+
+
+def units_of(classes: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes with the code of their unit (class, code), units of no known class)."""
+    return classes.join(units.select("class", "code"), "class"), units.join(classes, "class", "left_anti")
+
+
+def overrides_of(methods: DataFrame, above: DataFrame) -> DataFrame:
+    """(class, subsig, target, depth): what each method overrides, nearest first: no static or private methods, no constructors,
+    and package-private ones only within their package. ``methods`` has (class, package, subsig, static, access)."""
+    able = methods.where(~F.col("static") & (F.col("access") != "private") & ~F.startswith("subsig", F.lit("<")))
+    own = able.select("class", "subsig", F.col("package").alias("_own"))
+    chain = override_chain(able, above).where("depth > 0").join(own, ["class", "subsig"])
+    theirs = able.select(F.col("class").alias("target"), "subsig", "package", "access")
+    open_ = (F.col("access") != "package") | (F.col("package") == F.col("_own"))
+    return chain.join(theirs, ["target", "subsig"]).where(open_).select("class", "subsig", "target", "depth")
+
+
+def counts(classes: DataFrame, methods: DataFrame, stmts: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: the numbers of classes, methods, statements and call targets."""
+    each = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(k)) for k, df in (("classes", classes), ("methods", methods), ("statements", stmts), ("targets", targets))]
+    rows = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    return rows.agg(*[F.max(F.when(F.col("what") == k, F.col("n"))).alias(k) for k in ("classes", "methods", "statements", "targets")])
+
+
+def assignees(stmts: DataFrame) -> DataFrame:
+    """(method, lhs): the different places that a method's assignments write."""
+    return stmts.where("kind = 'assign'").select("method", "lhs").dropna().distinct()

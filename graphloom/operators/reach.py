@@ -162,3 +162,9 @@ def any_of(*conditions: Column) -> Column:
     for c in conditions:
         out = out | F.coalesce(c, F.lit(False))
     return out
+
+
+def attached_roots(edges: DataFrame, main: Column, group: Group = ()) -> DataFrame:
+    """The edges with one more from ``main`` to each node entered by no other."""
+    roots = sources(edges, group, fallback=False).where(F.col("node") != main)
+    return edges.select(*group, "src", "dst").unionByName(roots.select(*group, main.alias("src"), F.col("node").alias("dst")))

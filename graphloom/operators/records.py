@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.checkpoint import cut
+
 
 def missing_successor(states: DataFrame, key: Sequence[str], index: str, is_call: Column) -> DataFrame:
     """Call states that no state follows: none at the same key with the next index."""
@@ -113,7 +115,8 @@ def first_of_kind(rows: DataFrame, kind: str, order: Sequence[str]) -> DataFrame
 def dense_ids(rows: DataFrame, key: str, name: str = "id", start: int = 1) -> DataFrame:
     """(key, name): ids without gaps in order of the key, by a sort over ranges and the ranges' sizes."""
     spread = rows.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    inside = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    # Kept once: the ranges' bounds are sampled, and both uses below must see the same.
+    inside = cut(spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key))))
     sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
     return inside.join(before, "_part").select(key, (F.col("_before") + F.col("_at") - 1 + start).cast("long").alias(name))

@@ -157,3 +157,19 @@ def match_operands(operands: DataFrame, values: DataFrame) -> DataFrame:
     two = o.join(values, F.col("o_text") == F.col("canonical")).select("operand", "addr", F.lit(1).alias("rank"))
     three = o.join(values, (F.col("o_method") == F.col("method")) & (F.col("o_name") == F.col("name"))).select("operand", "addr", F.lit(2).alias("rank"))
     return one.unionByName(two).unionByName(three).groupBy("operand").agg(F.min_by("addr", F.struct("rank", "addr")).alias("addr"))
+
+
+def member_nodes(fields: DataFrame, methods: DataFrame) -> DataFrame:
+    """(node, kind): an address for each field (field, static), and for each method (method, n_params) its throws and parameters."""
+    kind = F.when(F.col("static"), "static_field").otherwise("instance_field")
+    own = fields.select(F.concat_ws(":", kind, "field").alias("node"), kind.alias("kind"))
+    thrown = methods.select(_address("throws", F.col("method")).alias("node"), F.lit("throws").alias("kind"))
+    each = methods.where("n_params > 0").select("method", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("i"))
+    return own.unionByName(thrown).unionByName(each.select(_address("parameter", F.col("method"), F.col("i")).alias("node"), F.lit("parameter").alias("kind")))
+
+
+def library_nodes(nodes: DataFrame, with_code: DataFrame) -> DataFrame:
+    """``nodes`` (node, class, …) with ``library``: of a class that is none of those with code (class); array elements never are."""
+    known = with_code.select("class").distinct().withColumn("_code", F.lit(True))
+    outside = F.col("class").isNotNull() & F.col("_code").isNull() & (kind_of(F.col("node")) != "array_ref")
+    return nodes.join(known, "class", "left").select(*nodes.columns, F.coalesce(outside, F.lit(False)).alias("library"))
