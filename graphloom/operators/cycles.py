@@ -33,7 +33,7 @@ def largest_by_pivot(edges: DataFrame, group: Group = ()) -> DataFrame:
     return cut(sides.join(names, list(group)) if group else sides.withColumn("component", F.lit(names.first().component)))
 
 
-def scc(edges: DataFrame, group: Group = (), max_rounds: int = 500) -> DataFrame:
+def scc(edges: DataFrame, group: Group = (), max_rounds: int = 100_000) -> DataFrame:
     """(group, node, component): each node's strongly connected component, named by its least node.
 
     First the component of each graph's best connected node, most often the giant one, by walking both ways

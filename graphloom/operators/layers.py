@@ -10,7 +10,7 @@ from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, improve
 
 
-def longest_path_layers(edges: DataFrame, group: Group = (), max_rounds: int = 500) -> DataFrame:
+def longest_path_layers(edges: DataFrame, group: Group = (), max_rounds: int = 100_000) -> DataFrame:
     """(group, node, layer): the most edges on a path to each node of acyclic graphs; self-loops are ignored.
 
     Rounds take the nodes whose predecessors are all done. Raises ValueError on a cycle.

@@ -14,7 +14,7 @@ class NotConverged(RuntimeError):
     """The rounds ran out before the rules stopped giving new rows."""
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], max_rounds: int = 500) -> DataFrame:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], max_rounds: int = 100_000) -> DataFrame:
     """All rows of ``seed``, and all that ``step`` makes of rows found, as distinct values of ``keys``.
 
     Each round applies the step to the last round's new rows only. Only the test for new rows crosses to
@@ -35,7 +35,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequ
     raise NotConverged(f"new rows after {max_rounds} rounds")
 
 
-def improve(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], value: str, largest: bool = True, max_rounds: int = 500) -> DataFrame:
+def improve(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str], value: str, largest: bool = True, max_rounds: int = 100_000) -> DataFrame:
     """The best ``value`` of each key over the seed and all that ``step`` makes of improved rows.
 
     What is known is rewritten every eighth round; between, the rounds' improved rows stand beside it.

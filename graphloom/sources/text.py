@@ -33,10 +33,9 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matches_prefix(classes: DataFrame, prefixes: DataFrame, name: str = "name") -> DataFrame:
-    """``classes`` with is_library: whether one of the prefixes begins the name; of each length, one equi-join."""
-    sizes = prefixes.select(F.length("prefix").alias("n")).distinct()
-    listed = [r.n for r in sizes.limit(1000).collect()]
-    out = classes.select(name).distinct().select(name, F.explode(F.array(*[F.substring(name, 1, n) for n in listed]) if listed else F.array().cast("array<string>")).alias("prefix"))
+    """``classes`` with is_library: whether one of the prefixes begins the name, by an equi-join over the name's own prefixes."""
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda n: F.substring(F.col(name), F.lit(1), n))
+    out = classes.select(name).distinct().select(name, F.explode(starts).alias("prefix"))
     hit = out.join(prefixes.distinct(), "prefix", "left_semi").select(name).distinct().withColumn("is_library", F.lit(True))
     return classes.join(hit, name, "left").withColumn("is_library", F.coalesce("is_library", F.lit(False)))
 
