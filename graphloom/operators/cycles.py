@@ -33,9 +33,24 @@ def largest_by_pivot(edges: DataFrame, group: Group = ()) -> DataFrame:
     return cut(sides.join(names, list(group)) if group else sides.withColumn("component", F.lit(names.first().component)))
 
 
-def scc(edges: DataFrame, group: Group = (), max_rounds: int = 100_000) -> DataFrame:
+def scc(edges: DataFrame, group: Group = (), most_edges: int = 200_000) -> DataFrame:
     """(group, node, component): each node's strongly connected component, named by its least node.
 
+    Of a table of many graphs, those of at most ``most_edges`` edges are solved as one row each, larger ones by
+    joins; which they are is counted first. A table that is one graph goes by joins.
+    """
+    group = list(group)
+    if not group:
+        return scc_by_rounds(edges)
+    large = cut(simple(edges, group).groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).drop("n"))
+    if large.isEmpty():
+        return scc_small(edges, group)
+    return scc_small(edges.join(large, group, "left_anti"), group).unionByName(scc_by_rounds(edges.join(large, group, "left_semi"), group))
+
+
+def scc_by_rounds(edges: DataFrame, group: Group = (), max_rounds: int = 100_000) -> DataFrame:
+    """(group, node, component) as ``scc``, for graphs of any size, by joins alone.
+
     First the component of each graph's best connected node, most often the giant one, by walking both ways
     from it. Then colouring: every node takes the least colour (node) that reaches it; the nodes that reach a
     colour's own node within the colour are its component. What remains, less the ends of its paths, goes round

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names
 from graphloom.operators import absint, boolean, cycles, hierarchy, layers, loops, patterns, program, project, reach, taint
 from graphloom.plans.checkpoint import cut
-from graphloom.queries.flows import CLOSURE, DOMINATE, FLOW, customer_flow, customer_roots, states, table
+from graphloom.queries.flows import DOMINATE, FLOW, customer_flow, states, table
 from graphloom.queries.graph import ORACLES as GRAPH_SQL
 from graphloom.queries.graph import G, R, _bodies
 
@@ -399,10 +399,10 @@ def simplified_formulas(spark, sf_dir):
     return found.groupBy("formula").agg(F.array_join(F.array_sort(F.collect_list("t")), "|").alias("terms"))
 
 
-@query(f"{R}{FLOW}, {CLOSURE} SELECT v.o_custkey, v.node, c.component FROM verts v JOIN component c ON c.o_custkey = v.o_custkey AND c.node = v.node")
-def scc_of_flows(spark, sf_dir):
-    """Components of all customers' flows at once, by joins."""
-    return cycles.scc(customer_flow(spark, sf_dir), G)
+@query(f"{R}{FEW}, c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst) SELECT v.node, least(v.node, coalesce(min(a.dst), v.node)) AS component FROM v LEFT JOIN (SELECT a.src, a.dst FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src) a ON a.src = v.node GROUP BY v.node")
+def scc_whole(spark, sf_dir):
+    """Components of one graph, by joins."""
+    return cycles.scc(_few(spark, sf_dir))
 
 
 @query("SELECT s_suppkey AS addr, 'any' AS value FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_suppkey, 'v' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 5 <> 0 AND n_regionkey = s_suppkey % 4")

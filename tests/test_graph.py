@@ -163,7 +163,8 @@ def test_random_graphs(spark):
             comp.add((g, n, min([n, *(m for m in "abcdefg" if (n, m) in c and (m, n) in c)])))
     assert set(rows(reach.reachable_pairs(e, G), "g", "src", "dst")) == pairs
     assert set(rows(cycles.scc(e, G), "g", "node", "component")) == comp
-    assert set(rows(cycles.scc_small(e, G), "g", "node", "component")) == comp
+    assert set(rows(cycles.scc(e, G, most_edges=3), "g", "node", "component")) == comp
+    assert set(rows(cycles.scc_by_rounds(e, G), "g", "node", "component")) == comp
     roots = spark.createDataFrame([(g, ps[0][0]) for g, ps in graphs.items()], "g int, node string")
     expected = set()
     for g, ps in graphs.items():
