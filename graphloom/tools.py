@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import loops, program, records
+from graphloom.operators import cycles, loops, program, project, reach, records, taint
 from graphloom.operators.patterns import classify_loops, operands
+from graphloom.plans.checkpoint import cut
 from graphloom.sources import classfiles, packets
 
 CALL_KINDS = ("invoke", "assign_invoke")
@@ -96,11 +97,48 @@ def loop_tables(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return bodies, loops.loop_forest(bodies, ["method"])
 
 
-def loop_graph(facts: dict[str, DataFrame]) -> DataFrame:
-    """(src, dst) of the loops and methods reached from the main methods."""
+def loop_graph(facts: dict[str, DataFrame], prune: bool = False, shrink: bool = False) -> DataFrame:
+    """(src, dst) of the loops and methods reached from the main methods.
+
+    With ``prune`` only what leads to a loop or a recursion stays, with ``shrink`` only loops and methods in
+    recursion, each joined to the nearest below it.
+    """
     bodies, forest = loop_tables(facts)
     main = classfiles.mains(facts["method"]).select(F.col("method_id").alias("method"))
-    return loops.loop_graph(call_graph(facts), bodies, forest.withColumn("parent", F.col("parent").cast("string")), main)
+    graph = loops.loop_graph(call_graph(facts), bodies, forest.withColumn("parent", F.col("parent").cast("string")), main)
+    if not (prune or shrink):
+        return graph
+    kind = graph.schema["src"].dataType
+    edges = cut(graph.select(F.to_json("src").alias("src"), F.to_json("dst").alias("dst")))
+    wanted = reach.nodes(edges).where(F.get_json_object("node", "$.head").isNotNull())
+    component = cut(cycles.scc(edges))
+    if prune:
+        edges = cut(reach.induced(edges, cycles.prune(edges, wanted, component)))
+    if shrink:
+        edges = project.shrink(edges, wanted, reach.on_cycles(edges, component))
+    return edges.select(F.from_json("src", kind).alias("src"), F.from_json("dst", kind).alias("dst"))
+
+
+def loop_conditions(facts: dict[str, DataFrame], check: bool = False) -> DataFrame:
+    """(method, head, node): the statements that decide on leaving each loop; with ``check`` also ``side``, which of the two methods find it."""
+    bodies, _ = loop_tables(facts)
+    find = loops.conditions_checked if check else loops.loop_conditions
+    return find(program.flow_edges(facts["stmt"]), cut(bodies), ["method"])
+
+
+def call_coverage(spark: SparkSession, path: str, facts: dict[str, DataFrame]) -> DataFrame:
+    """One row: a record set's methods against an archive's, and against those its main methods call."""
+    seen = packets.read(spark, path)["state"].select("method").distinct()
+    main = classfiles.mains(facts["method"]).select(F.col("method_id").alias("node"))
+    calls = call_graph(facts).select(F.col("method").alias("src"), F.col("callee").alias("dst"))
+    called = reach.reachable(calls, main, include_seed=True).withColumnRenamed("node", "method")
+    return records.method_coverage(seen, facts["method"].select(F.col("method_id").alias("method")), called)
+
+
+def taint_graph(stmts: DataFrame, exprs: DataFrame, fields: DataFrame, methods: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node), edges) of the taint graph: the ends of its edges, and the addresses of all fields and methods."""
+    edges = cut(taint.taint_edges(stmts, exprs, overrides))
+    return reach.nodes(edges).unionByName(taint.member_nodes(fields, methods).select("node")).distinct(), edges
 
 
 def loop_statistics(texts: DataFrame) -> DataFrame:
@@ -114,5 +152,6 @@ def loop_operands(texts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def system_properties(spark: SparkSession) -> DataFrame:
-    """(key, value) of the session's settings, in order."""
-    return spark.sql("SET -v").select("key", "value").orderBy("key")
+    """(key, value) of the driver's Java properties, in order; they are few."""
+    found = spark.sparkContext._jvm.java.lang.System.getProperties()
+    return spark.createDataFrame(sorted((str(k), str(v)) for k, v in dict(found).items()), "key string, value string").orderBy("key")

@@ -41,6 +41,12 @@ def test_program_tools(spark, facts, jar):  # noqa: F811
     assert {"demo.Main$Box.area", "demo.Main$Dot.area", "demo.Main.sum", "demo.Main.pick", "demo.Main.fact"} <= callees
     graph = {(r.src.method.split("(")[0], r.dst.method.split("(")[0]) for r in tools.loop_graph(f).collect()}
     assert ("demo.Main.fact", "demo.Main.fact") in graph and ("demo.Main.main", "demo.Main.pick") in graph
+    short = lambda df: {(r.src.method.split("(")[0], r.src.head is not None, r.dst.method.split("(")[0], r.dst.head is not None) for r in df.collect()}
+    whole, pruned, shrunk = (short(tools.loop_graph(f, *how)) for how in ((), (True,), (True, True)))
+    assert pruned < whole and ("demo.Main.fact", False, "demo.Main.fact", False) in pruned & shrunk
+    assert all(h or m == "demo.Main.fact" for a, x, b, y in shrunk for m, h in ((a, x), (b, y)))
+    checked = tools.loop_conditions(f, check=True).collect()
+    assert checked and {r.side for r in checked} == {"both"} and {(r.method, r.head, r.node) for r in checked} == {tuple(r) for r in tools.loop_conditions(f).select("method", "head", "node").collect()}
     made = tools.app(spark, "demo", jar)
     assert made["app"].first().main_class == "demo.Main"
 
@@ -49,4 +55,12 @@ def test_loop_tools(spark):
     texts = spark.createDataFrame([(1, "i = 0;head:;if i >= 45 goto out;i = i + 2;goto head;"), (2, "nothing;")], "id int, text string")
     assert {r.loop_kind: r.percent for r in tools.loop_statistics(texts).collect()} == {"count_up": 50.0, "unidentified": 50.0}
     assert {(r.name, r.value) for r in tools.loop_operands(texts, ["id"]).collect()} == {("i", "i"), ("from", "0"), ("bound", "45"), ("by", "2")}
-    assert tools.system_properties(spark).count() > 10
+    assert tools.system_properties(spark).where("key = 'java.version'").count() == 1
+
+
+def test_taint_graph_has_all_members(spark):
+    stmts = spark.createDataFrame([("m", 0, "return_void")], "method string, idx int, kind string")
+    exprs = spark.createDataFrame([], "method string, idx int, expr_id int, parent_id int, pos int, side string, kind string, text string, type string, callee string, field string")
+    fields = spark.createDataFrame([("C:f", True)], "field string, static boolean")
+    nodes, edges = tools.taint_graph(stmts, exprs, fields, spark.createDataFrame([("m", 1)], "method string, n_params int"))
+    assert {r.node for r in nodes.collect()} == {"stmt:m:0", "return:m", "static_field:C:f", "throws:m", "parameter:m:0"} and edges.count() == 1
