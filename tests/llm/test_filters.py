@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import regex
 from pyspark.sql import functions as F
@@ -48,7 +49,6 @@ def test_mined_rules_block(spark):
     got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert all(got[i].verdict == ("block" if "pills" in rows[i][1] else "allow") for i in range(400))
     assert "host=pills" in got[1].mined
-    # A rule is a set of tokens; those matched by the inverted index are those found by trying all rules.
     tagged = spark.createDataFrame([(["a", "b"], True)] * 30 + [(["a"], False)] * 30 + [(["b", "c"], False)] * 30, "tokens array<string>, blocked boolean")
     rules = {tuple(r.tokens): r.confidence for r in urlfilter.mine(tagged, min_support=0.01).collect()}
     assert rules == {("a", "b"): 1.0}
@@ -60,6 +60,31 @@ def test_mined_rules_block(spark):
     assert all(got[i] == ("block" if i % 4 == 3 else "allow") for i in range(400))
 
 
+def test_rules_and_index_against_all_subsets(spark):
+    """Mined rules are those of counting every token set; the index finds what trying every rule finds."""
+    rng = random.Random(16)
+    baskets = [(sorted(rng.sample("abcdef", rng.randint(1, 4))), None) for _ in range(400)]
+    baskets = [(t, ("a" in t and "b" in t) or rng.random() < 0.1) for t, _ in baskets]
+    share = sum(y for _, y in baskets) / len(baskets)
+    want = {}
+    for size in (1, 2, 3):
+        for x in combinations("abcdef", size):
+            of = [y for t, y in baskets if set(x) <= set(t)]
+            if sum(of) >= 10 and sum(of) >= 0.02 * len(baskets) and sum(of) >= 0.5 * len(of) and sum(of) / len(of) >= 1.2 * share:
+                want[x] = sum(of) / len(of)
+    got = urlfilter.mine(spark.createDataFrame(baskets, "tokens array<string>, blocked boolean"), min_support=0.02, min_confidence=0.5, min_lift=1.2).collect()
+    assert {tuple(r.tokens): round(r.confidence, 9) for r in got} == {k: round(v, 9) for k, v in want.items()} and len(want) > 3
+    once = Counter(x for t, _ in baskets for x in t)
+    assert all(r.key == min(r.tokens, key=lambda x: (once[x], x)) for r in got)
+    # Urls: whatever rule decides, it is the best of all whose tokens the url has.
+    rows = [(i, f"http://{rng.choice(['cheap', 'news', 'pills', 'blog'])}.{rng.choice(['shop', 'site'])}.net/{rng.choice(['buy', 'read'])}/{i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.select("page_id", (F.contains("url", F.lit("pills")) & F.contains("url", F.lit("buy"))).alias("blocked"))
+    found = {r.page_id: r for r in urlfilter.judge(pages, labels=labels).collect()}
+    bad = {i for i, u in rows if "pills" in u and "buy" in u}
+    assert {i for i, r in found.items() if r.verdict == "block"} == bad and all({"host=pills", "path=buy"} <= set(found[i].mined.split()) for i in bad)
+
+
 def plain_words(text):
     low = "".join(c.lower() if c.isascii() else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
