@@ -27,9 +27,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's stored tables within the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, for tables that several branches read."""
+    """``df`` written once as Parquet in the shared folder and read back, for tables that several branches read.
+
+    It stays until ``clear`` is called, as lost executors may need it again.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes all that this application has stored, once no table that reads it is needed; whether there was any."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))

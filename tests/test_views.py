@@ -54,3 +54,14 @@ def test_types_of_values(spark):
     wanted = spark.createDataFrame([("v", "Animal")], "addr string, wanted string")
     subtype = spark.createDataFrame([("Dog", "Animal"), ("Dog", "Dog"), ("Car", "Car")], "class string, super string")
     assert rows(absint.of_type(values, wanted, subtype), "value") == [("any",), ("o1",)]
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from graphloom.plans import checkpoint
+
+    kept = checkpoint.stored(spark.range(3), "three")
+    assert kept.count() == 3 and os.path.isdir(checkpoint.own_dir(spark).removeprefix("file:"))
+    assert checkpoint.clear(spark) and not os.path.isdir(checkpoint.own_dir(spark).removeprefix("file:"))
+    assert checkpoint.stored(spark.range(2), "two").count() == 2
