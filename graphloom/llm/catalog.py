@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, decontam, htmltext, langid, licenses, linededup, mixing, simhash, toxicity, urlfilter
+from graphloom.llm import ann, decontam, filteraudit, htmltext, langid, licenses, linededup, merkle, mixing, simhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from all documents, by part, order and step."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of all documents."""
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -74,8 +84,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_nearest": op9_nearest,
     "op10_html_text": op10_html_text,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle": op12_merkle,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
     "op5_line_dedup": linededup.SQL,
+    "op11_filter_audit": filteraudit.SQL,
+    "op12_merkle": merkle.SQL,
 }
