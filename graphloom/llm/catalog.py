@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, decontam, filteraudit, htmltext, langid, licenses, linededup, merkle, mixing, simhash, toxicity, urlfilter
+from graphloom.llm import ann, decontam, filteraudit, htmltext, langid, licenses, linededup, merkle, mixing, simhash, suffixdedup, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of all documents."""
+    found = suffixdedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
@@ -86,10 +93,12 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle": op12_merkle,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES = {
     "op2_mixing": mixing.SQL,
     "op5_line_dedup": linededup.SQL,
     "op11_filter_audit": filteraudit.SQL,
     "op12_merkle": merkle.SQL,
+    "op13_suffix_dedup": suffixdedup.SQL,
 }
