@@ -70,24 +70,25 @@ def roots(tables: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def siblings(nodes: DataFrame) -> DataFrame:
-    """(part, idx, left, right): the digests of each node's run before and after it, for parts of several nodes.
+def siblings(nodes: DataFrame, more: list[str]) -> DataFrame:
+    """(part, over, idx, left, right, *more): the digests of each node's run before and after it, for parts of several nodes.
 
-    Every node explodes the coordinates of its siblings and looks them up among the level's nodes; a node
-    is asked for by fifteen others at most.
+    Every node explodes the coordinates of its run and looks them up among the level's nodes, its own row for
+    the columns in ``more``; a node is asked for by sixteen at most. ``over`` is the run's node above, by which
+    the rows are dealt, so that what lies above a run can be joined without dealing them anew.
     """
     begin = F.expr(f"idx div {FAN} * {FAN}")
-    run = F.sequence(begin, F.least(begin + FAN - 1, F.col("n") - 1))
-    asked = nodes.where("n > 1").select("part", F.col("idx").alias("owner"), F.explode_outer(F.filter(run, lambda x: x != F.col("idx"))).alias("idx"))
-    met = asked.join(nodes.select("part", "idx", "digest"), ["part", "idx"], "left")
-    found = F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "digest"))))
-    both = met.groupBy("part", "owner").agg(found.alias("run"))
+    asked = nodes.where("n > 1").select("part", F.col("idx").alias("owner"), F.explode(F.sequence(begin, F.least(begin + FAN - 1, F.col("n") - 1))).alias("idx"))
+    own = F.col("idx") == F.col("owner")
+    met = asked.join(nodes.select("part", "idx", "digest", *more), ["part", "idx"])
+    met = met.select("part", F.expr(f"idx div {FAN}").alias("over"), "owner", F.when(~own, F.struct("idx", "digest")).alias("sibling"), *[F.when(own, F.col(c)).alias(c) for c in more])
+    both = met.repartition("part", "over").groupBy("part", "over", "owner").agg(F.sort_array(F.collect_list("sibling")).alias("run"), *[F.max(c).alias(c) for c in more])
     side = lambda keep: _joined(F.transform(F.filter("run", lambda x: keep(x.idx)), lambda x: x.digest))
-    return both.select("part", F.col("owner").alias("idx"), side(lambda i: i < F.col("owner")).alias("left"), side(lambda i: i > F.col("owner")).alias("right"))
+    return both.select("part", "over", F.col("owner").alias("idx"), side(lambda i: i < F.col("owner")).alias("left"), side(lambda i: i > F.col("owner")).alias("right"), *more)
 
 
 def paths(tables: list[DataFrame], above: DataFrame, name: str) -> DataFrame:
-    """(part, idx, path) of the lowest level, and ``above``'s other columns: the siblings from a node to its part's root.
+    """The lowest level's columns but n, ``path``, and ``above``'s other columns: the siblings from a node to its part's root.
 
     ``path`` has a struct of left and right a level. ``above`` is (part, path, ...): where each part's root goes on.
     What lies above a run is joined once for the run, from the top down.
@@ -95,35 +96,32 @@ def paths(tables: list[DataFrame], above: DataFrame, name: str) -> DataFrame:
     more = [c for c in above.columns if c not in ("part", "path")]
     known = None
     for level in range(len(tables) - 1, -1, -1):
-        tops = tables[level].where("n = 1").select("part", "idx").join(above, "part")
+        kept = [c for c in tables[level].columns if c not in ("part", "idx", "n")] if level == 0 else []
+        tops = tables[level].where("n = 1").select("part", "idx", *kept).join(above, "part").select("part", "idx", *kept, "path", *more)
         if known is not None:
-            own = siblings(tables[level]).withColumn("over", F.expr(f"idx div {FAN}"))
             upper = known.select("part", F.col("idx").alias("over"), F.col("path").alias("rest"), *more)
-            inner = own.join(upper, ["part", "over"]).select("part", "idx", F.concat(F.array(F.struct("left", "right")), F.col("rest")).alias("path"), *more)
-            tops = tops.select("part", "idx", "path", *more).unionAll(inner)
+            inner = siblings(tables[level], kept).join(upper, ["part", "over"])
+            tops = tops.unionAll(inner.select("part", "idx", *kept, F.concat(F.array(F.struct("left", "right")), F.col("rest")).alias("path"), *more))
         known = stored(tops, f"{name}-paths") if level else tops
-    return known.select("part", "idx", "path", *more)
+    return known
 
 
 @dataclass
 class Manifest:
-    """``leaves``: the numbered rows; ``tables``: the nodes of the sources' trees by level; ``over``: those of the tree over sources."""
+    """``tables``: the nodes of the sources' trees by level, the rows first; ``over``: those of the tree over sources."""
 
-    leaves: DataFrame
     tables: list[DataFrame]
     over: list[DataFrame]
-    sources: DataFrame
 
     def root(self) -> DataFrame:
         """(root): one row, or none for an empty table."""
         return roots(self.over).select(F.lower(F.hex("digest")).alias("root"))
 
     def proofs(self) -> DataFrame:
-        """(part, idx, path, subroot, root) of every leaf."""
+        """The rows with digest, path, subroot and root."""
         top = roots(self.over).select("part", F.lower(F.hex("digest")).alias("root"), F.array().cast("array<struct<left:string,right:string>>").alias("path"))
-        ways = paths(self.over, top, "sources").select("idx", "path", "root")
-        above = stored(self.sources.join(ways, "idx").select(F.col("source_part").alias("part"), "path", F.lower(F.hex("digest")).alias("subroot"), "root"), "source-proofs")
-        return paths(self.tables, above, "leaves")
+        ways = paths(self.over, top, "sources").select(F.col("source_part").alias("part"), "path", F.lower(F.hex("digest")).alias("subroot"), "root")
+        return paths(self.tables, stored(ways, "source-proofs"), "leaves")
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -132,12 +130,10 @@ def fold(leaf: Column, path: Column) -> Column:
 
 
 def manifest(rows: DataFrame) -> Manifest:
-    """The trees over (part, doc_id, leaf, ...), ``part`` not null and ``leaf`` a hex digest; ties of the id go by leaf."""
-    leaves = numbered(rows, "part", ["doc_id", "leaf"], "leaves")
-    tables = levels(leaves.select("part", "idx", "n", F.unhex("leaf").alias("digest")), "leaves")
-    subroots = roots(tables).select(F.lit(0).alias("one"), F.col("part").alias("source_part"), "digest")
-    sources = numbered(subroots, "one", ["source_part"], "sources")
-    return Manifest(leaves, tables, levels(sources.select(F.lit("").alias("part"), "idx", "n", "digest"), "sources"), sources)
+    """The trees over (part, doc_id, digest, ...), ``part`` not null; a part's rows go by doc_id, ties by digest."""
+    tables = levels(numbered(rows, "part", ["doc_id", "digest"], "leaves"), "leaves")
+    subroots = roots(tables).select(F.lit("").alias("part"), F.col("part").alias("source_part"), "digest")
+    return Manifest(tables, levels(numbered(subroots, "part", ["source_part"], "sources"), "sources"))
 
 
 def tampered_ids(doc_id: Column) -> Column:
@@ -156,10 +152,11 @@ def verify(docs: DataFrame) -> DataFrame:
     meta = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     changed = F.when(tampered_ids(F.col("doc_id")), leaf_hash(*meta, F.translate("text", UPPER, LOWER)))
     part = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    tree = manifest(docs.select(part.alias("part"), "doc_id", leaf_hash(*meta, F.col("text")).alias("leaf"), changed.alias("changed")))
-    found = tree.leaves.select("part", "idx", "doc_id", "leaf", "changed").join(tree.proofs(), ["part", "idx"])
+    leaves = docs.select(part.alias("part"), "doc_id", F.unhex(leaf_hash(*meta, F.col("text"))).alias("digest"), F.unhex(changed).alias("changed"))
+    found = manifest(stored(leaves, "leaf-hashes")).proofs().withColumn("leaf", F.lower(F.hex("digest")))
     told = F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s.left, s.right)), ""), 256)
-    out = found.select("doc_id", "leaf", "subroot", "root", told.alias("proof_sha256"), fold(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"))
+    start = F.coalesce(F.lower(F.hex("changed")), F.col("leaf"))
+    out = found.select("doc_id", "leaf", "subroot", "root", told.alias("proof_sha256"), fold(start, F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

@@ -121,6 +121,8 @@ def anchors(texts: DataFrame, width: int, gram: int, common: list[int], sample:
             data, offsets = buffers(batch.column(1))
             own = batch.column(0).to_numpy(zero_copy_only=False)
             place, gram_hash = finder.find(data, offsets[:-1], offsets[1:])
+            if not len(place):
+                continue
             text = np.searchsorted(offsets, place, side="right") - 1
             low, high = np.maximum(offsets[text], place - left), np.minimum(offsets[text + 1], place + width)
             view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
@@ -157,7 +159,7 @@ def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = ~gone
         hashes = batch.column(0).fill_null(0).to_numpy()
         kept.append([hashes[here], batch.column(1).to_numpy()[here], docs[here], places[here]])
-    if not kept:
+    if not sum(len(k[0]) for k in kept):
         return
     hashes, contexts, docs, places = (np.concatenate(x) for x in zip(*kept))
     kept.clear()
@@ -332,9 +334,10 @@ def common_spans(around: DataFrame, width: int, gram: int) -> DataFrame:
     after = F.length("context") - F.col("before")
     backs = F.sequence(F.greatest(F.lit(0), width - after), F.least(F.col("before"), F.lit(width - gram)))
     each = around.select("doc", "place", "before", "context", F.explode(backs).alias("back"))
-    each = each.select("doc", "place", "back", F.substring(F.col("context"), F.col("before") - F.col("back") + 1, F.lit(width)).alias("string"))
-    firsts = each.groupBy("string").agg(F.min(F.struct("doc", "place")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = each.join(firsts, "string").where(F.struct("doc", "place") != F.col("origin"))
+    each = each.select("doc", "place", "back", (F.col("place") - F.col("back")).alias("start"), F.substring(F.col("context"), F.col("before") - F.col("back") + 1, F.lit(width)).alias("string"))
+    # Stored, so that the join deals both sides itself and can split a string that very many have.
+    firsts = stored(each.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-strings")
+    later = each.join(firsts, "string").where(F.struct("doc", "start") != F.col("origin"))  # a string may have several anchors
     return later.groupBy("doc", "place").agg(F.max("back").alias("w"), F.min("back").alias("l")).select("doc", (F.col("place") - F.col("w")).cast("int").alias("first"), (F.col("place") - F.col("l") + width).cast("int").alias("last"))
 
 
