@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("graph", "records", "program", "more", "rules"):
+for _name in ("graph", "records", "program", "more", "rules", "conditions"):
     _module = import_module(f"graphloom.queries.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -1,4 +1,4 @@
-"""Boolean path conditions: terms of a formula, vital variables, simplification.
+"""Boolean path conditions: terms of a formula and their simplification; ``diagrams`` has the functions they stand for.
 
 A formula is a set of terms, a term a set of literals: a variable's name, with ``!`` before it where negated.
 """
@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, fixpoint
 
-MOST_VARIABLES = 20
-
-
 def variable(literal: Column) -> Column:
     return F.regexp_replace(literal, "^!", "")
 
@@ -27,24 +24,6 @@ def consistent(term: Column) -> Column:
     return ~F.exists(term, lambda x: F.array_contains(term, negated(x)))
 
 
-def vital(formulas: DataFrame) -> DataFrame:
-    """(formula, var): variables whose value changes the formula's under some value of the others.
-
-    ``formulas`` has (formula, term). Up to 20 variables all assignments are tried, as bit masks; a formula of
-    more gives null for every variable, not a guess.
-    """
-    per = formulas.groupBy("formula").agg(F.collect_set("term").alias("terms"))
-    per = per.withColumn("vars", F.array_sort(F.array_distinct(F.transform(F.flatten("terms"), variable))))
-    bit = lambda v, vars_: F.call_function("shiftleft", F.lit(1), (F.array_position(vars_, v) - 1).cast("int"))
-    mask = lambda t, vars_, neg: F.aggregate(F.filter(t, lambda x: F.startswith(x, F.lit("!")) == F.lit(neg)), F.lit(0), lambda a, x: a.bitwiseOR(bit(variable(x), vars_)))
-    per = per.withColumn("masks", F.transform("terms", lambda t: F.struct(mask(t, F.col("vars"), False).alias("on"), mask(t, F.col("vars"), True).alias("off"))))
-    holds = lambda a: F.exists("masks", lambda m: (a.bitwiseAND(m.on) == m.on) & (a.bitwiseAND(m.off) == 0))
-    n = F.size("vars")
-    small = per.where(n <= MOST_VARIABLES).withColumn("all", F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), n) - 1))
-    known = small.select("formula", F.explode(F.filter("vars", lambda v: F.exists("all", lambda a: holds(a) != holds(a.bitwiseXOR(bit(v, F.col("vars"))))))).alias("var"))
-    return known.unionByName(per.where(n > MOST_VARIABLES).select("formula", F.lit(None).cast("string").alias("var")))
-
-
 def simplified(formulas: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(formula, term) without contradictory, repeated and absorbed terms, pairs that differ in one sign made one.
 
@@ -78,6 +57,7 @@ def path_conditions(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def label(number: Column) -> Column:
-    """A, B, …, Z, AA, AB, … for 0, 1, …; numbers below 18,278."""
-    letter = lambda n: F.char(F.lit(65) + n % 26)
-    return F.when(number < 26, letter(number)).when(number < 702, F.concat(letter(F.floor(number / 26) - 1), letter(number))).otherwise(F.concat(letter(F.floor((number - 26) / 676) - 1), letter(F.floor((number - 26) / 26) % 26), letter(number)))
+    """A, B, …, Z, AA, AB, … for 0, 1, …, as long as the number needs."""
+    step = lambda s: F.struct(F.call_function("div", s.left - 1, F.lit(26).cast("long")).alias("left"), F.concat(F.char(F.lit(65) + (s.left - 1) % 26), s.text).alias("text"))
+    start = F.struct((number.cast("long") + 1).alias("left"), F.lit("").alias("text"))
+    return F.when(number >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, lambda s, _: F.when(s.left > 0, step(s)).otherwise(s), lambda s: s.text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import absint, boolean, hierarchy, patterns, program, taint
+from graphloom.operators import absint, diagrams, hierarchy, patterns, program, taint
 from graphloom.plans.checkpoint import cut
 from graphloom.queries.flows import table
 
@@ -201,7 +201,7 @@ def vital_branches(spark, sf_dir):
     size = F.col("p_size")
     sign = lambda name, k: F.when(F.floor(size / (1 << k)) % 2 == 1, name).otherwise(f"!{name}")
     terms = F.array(F.array(sign("A", 0), sign("B", 1)), F.array(sign("A", 2), sign("C", 3)), F.array(sign("A", 0), sign("B", 1), sign("D", 3)))
-    return boolean.vital(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("formula"), F.explode(terms).alias("term")))
+    return diagrams.vital(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("formula"), F.explode(terms).alias("term")))
 
 
 @query("WITH s AS (SELECT DISTINCT user_id AS addr, event_type AS value FROM events WHERE value < 5), d AS (SELECT DISTINCT user_id AS addr, event_type AS value FROM events WHERE value >= 5) SELECT * FROM s UNION SELECT * FROM d")

@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import absint, boolean, patterns, taint
+from graphloom.operators import absint, boolean, diagrams, patterns, taint
 
 
 def rows(df, *cols):
@@ -55,7 +55,7 @@ def test_vital_and_simplified(spark):
         table = {a: holds(ts, dict(zip(vs, a))) for a in itertools.product((False, True), repeat=len(vs))}
         same[k] = (vs, table)
         expected |= {(k, v) for i, v in enumerate(vs) if any(table[a] != table[a[:i] + (not a[i],) + a[i + 1 :]] for a in table)}
-    assert set(rows(boolean.vital(df), "formula", "var")) == expected
+    assert set(rows(diagrams.vital(df), "formula", "var")) == expected
     short = {}
     for r in boolean.simplified(df).collect():
         short.setdefault(r.formula, []).append(list(r.term))
