@@ -100,7 +100,7 @@ def paths(tables: list[DataFrame], above: DataFrame, name: str) -> DataFrame:
         tops = tables[level].where("n = 1").select("part", "idx", *kept).join(above, "part").select("part", "idx", *kept, "path", *more)
         if known is not None:
             upper = known.select("part", F.col("idx").alias("over"), F.col("path").alias("rest"), *more)
-            inner = siblings(tables[level], kept).join(upper, ["part", "over"])
+            inner = siblings(tables[level], kept).join(upper.hint("merge"), ["part", "over"])  # paths compress well: their files tell too little for a broadcast
             tops = tops.unionAll(inner.select("part", "idx", *kept, F.concat(F.array(F.struct("left", "right")), F.col("rest")).alias("path"), *more))
         known = stored(tops, f"{name}-paths") if level else tops
     return known
