@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
 
 
@@ -15,6 +18,52 @@ def descent(tree: DataFrame) -> DataFrame:
     return fixpoint(tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")), step, ["node", "ancestor", "depth"])
 
 
+def lifts(tree: DataFrame, keys: Sequence[str] = ()) -> list[DataFrame]:
+    """[(keys, node, up)]: the ancestors 1, 2, 4, 8, … steps above each node of (keys, node, parent), a table a power."""
+    found = [cut(tree.where(F.col("parent").isNotNull()).select(*keys, "node", F.col("parent").alias("up")))]
+    while True:
+        last = found[-1]
+        far = cut(last.join(last.select(*keys, F.col("node").alias("up"), F.col("up").alias("_far")), [*keys, "up"]).select(*keys, "node", F.col("_far").alias("up")))
+        if far.isEmpty():
+            return found
+        found.append(far)
+
+
+def lowest_common(tree: DataFrame, sets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, node): the lowest node at or above all of each key's nodes in ``sets`` (keys, node); none where they have no common one.
+
+    By binary lifting: all climb to the depth of the highest, then together by falling powers of two as long as
+    they don't meet. Joins are as many as the depth has digits in base two, for all keys at once.
+    """
+    keys, powers = list(keys), lifts(tree, keys)
+    depth = sets.select(*keys, "node").distinct().withColumns({"at": F.col("node"), "depth": F.lit(0)})
+    for k in range(len(powers) - 1, -1, -1):  # the depth, by climbing to the root
+        depth = _climb(depth, powers[k], keys, F.lit(True), 1 << k)
+    start = cut(depth.select(*keys, "node", "depth"))
+    least = start.groupBy(*keys).agg(F.min("depth").alias("_least")) if keys else start.agg(F.min("depth").alias("_least"))
+    now = (start.join(least, keys) if keys else start.join(F.broadcast(least))).select(*keys, F.col("node").alias("at"), (F.col("depth") - F.col("_least")).alias("over"))
+    for k in range(len(powers) - 1, -1, -1):
+        now = _climb(now, powers[k], keys, F.col("over") >= (1 << k), 0).withColumn("over", F.when(F.col("over") >= (1 << k), F.col("over") - (1 << k)).otherwise(F.col("over")))
+    now = cut(now.select(*keys, "at").distinct())
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    for k in range(len(powers) - 1, -1, -1):
+        far = now.join(powers[k].select(*keys, F.col("node").alias("at"), "up"), [*keys, "at"], "left")
+        apart = (F.min("up").over(own) != F.max("up").over(own)) & (F.count("up").over(own) == F.count("at").over(own))
+        now = cut(far.select(*keys, F.when(apart, F.col("up")).otherwise(F.col("at")).alias("at")).distinct())
+    alone = F.count(F.lit(1)).over(own) == 1
+    far = now.join(powers[0].select(*keys, F.col("node").alias("at"), "up"), [*keys, "at"], "left").withColumn("node", F.when(alone, F.col("at")).otherwise(F.col("up")))
+    met = far.groupBy(*keys).agg(F.min("node").alias("node"), F.max("node").alias("_other"), F.count("node").alias("_n"), F.count(F.lit(1)).alias("_all"))
+    return met.where((F.col("node") == F.col("_other")) & (F.col("_n") == F.col("_all"))).select(*keys, "node")
+
+
+def _climb(rows: DataFrame, power: DataFrame, keys: list[str], where: Column, steps: int) -> DataFrame:
+    """``rows`` with ``at`` moved up where the condition holds and there is that much above; depth, if there, counts the steps."""
+    met = rows.join(power.select(*keys, F.col("node").alias("at"), "up"), [*keys, "at"], "left")
+    moves = where & F.col("up").isNotNull()
+    out = met.withColumn("depth", F.when(moves, F.col("depth") + steps).otherwise(F.col("depth"))) if "depth" in rows.columns else met
+    return out.withColumn("at", F.when(moves, F.col("up")).otherwise(F.col("at"))).select(*rows.columns)
+
+
 def roll_up(tree: DataFrame, leaves: DataFrame, value: str) -> DataFrame:
     """(node, n_leaves, total, least, greatest) of the values (node, value) at or below each node."""
     below = descent(tree).join(leaves.select("node", value), "node")

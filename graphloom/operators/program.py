@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.reach import nodes, reachable, reachable_pairs
+from graphloom.operators.records import covering
+from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
 
 
@@ -131,20 +133,35 @@ def handlers(stmts: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFram
 
     ``stmts`` has a column thrown; where no trap does, the handler is null and the caller unwinds.
     """
-    met = stmts.select("method", "idx", "thrown").join(traps, "method").where((F.col("idx") >= F.col("begin_idx")) & (F.col("idx") < F.col("end_idx")))
+    thrown = stmts.select("method", "idx", "thrown")
+    covered = covering(thrown, traps.select("method", "begin_idx", "end_idx", "exception", "ord", "handler_idx"), ["method"], "idx", "begin_idx", "end_idx")
     fits = subtype.select(F.col("class").alias("thrown"), F.col("super").alias("exception"))
-    first = met.join(fits, ["thrown", "exception"]).groupBy("method", "idx", "thrown").agg(F.min_by("handler_idx", "ord").alias("handler_idx"))
-    return stmts.select("method", "idx", "thrown").join(first, ["method", "idx", "thrown"], "left")
+    met = thrown.distinct().join(covered, ["method", "idx"]).join(fits, ["thrown", "exception"])
+    first = met.groupBy("method", "idx", "thrown").agg(F.min_by("handler_idx", "ord").alias("handler_idx"))
+    return thrown.join(first, ["method", "idx", "thrown"], "left")
 
 
-def unwound(thrown: DataFrame, calls: DataFrame, handled: DataFrame) -> DataFrame:
-    """(method, idx, thrown): where exceptions arrive: at their statement, and while no trap there takes them
-    (``handled`` has (method, idx, thrown, handler_idx)), at the callers' statements (method, idx, callee)."""
-    taken = handled.where(F.col("handler_idx").isNotNull()).select("method", "idx", "thrown")
-    keys = ["method", "idx", "thrown"]
+def unwound(thrown: DataFrame, calls: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFrame:
+    """(method, idx, thrown, handler_idx): where exceptions arrive, and the handler that takes them there.
+
+    They arrive at their statement (method, idx, thrown) and, where no trap takes them, at the statements (method,
+    idx, callee) that call the method; each statement once for a type, so recursion ends. A null handler at a
+    statement of a method that nothing calls is an error of the program.
+    """
     callers = calls.select(F.col("callee").alias("_m"), F.col("method").alias("_caller"), F.col("idx").alias("_at"))
-    step = lambda at: at.join(taken, keys, "left_anti").select(F.col("method").alias("_m"), "thrown").distinct().join(callers, "_m").select(F.col("_caller").alias("method"), F.col("_at").alias("idx"), "thrown")
-    return fixpoint(thrown, step, keys)
+    found = []
+
+    def step(at: DataFrame) -> DataFrame:
+        met = cut(handlers(at, traps, subtype))
+        found.append(met)
+        leaving = met.where(F.col("handler_idx").isNull()).select(F.col("method").alias("_m"), "thrown").distinct()
+        return leaving.join(callers, "_m").select(F.col("_caller").alias("method"), F.col("_at").alias("idx"), "thrown")
+
+    fixpoint(thrown, step, ["method", "idx", "thrown"])
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def registry(class_files: DataFrame) -> DataFrame:

@@ -171,11 +171,32 @@ def first_match(rows: DataFrame, rules: DataFrame, text: str, default: bool = Tr
     return rows.withColumn("included", out)
 
 
+def covering(points: DataFrame, ranges: DataFrame, key: Sequence[str], at: str, begin: str, end: str) -> DataFrame:
+    """(key, at, the other columns of ``ranges``): each place of ``points``, once, with every range of its key that has begin <= at < end.
+
+    at, begin and end are whole numbers. A range is cut into pieces of 2 ** level numbers that start at multiples
+    of their size, two a level at most; a place is in one piece of each level. So both meet by equality of key, level
+    and piece, and a key with very many places and ranges is as many join keys as they have pieces.
+    """
+    key = list(key)
+    low = lambda k: -F.call_function("shiftright", -F.col(begin).cast("long"), k)
+    high = lambda k: F.call_function("shiftright", F.col(end).cast("long"), k)
+    odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+    piece = lambda k, at_, where: F.when(where & (low(k) < high(k)), F.struct(k.alias("_level"), at_.alias("_piece")))
+    levels = F.sequence(F.lit(0), F.lit(62))
+    pieces = F.filter(F.flatten(F.transform(levels, lambda k: F.array(piece(k, low(k), odd(low(k))), piece(k, high(k) - 1, odd(high(k)))))), lambda p: p.isNotNull())
+    cut_ = cut(ranges.withColumn("_p", F.explode(pieces)).select(*ranges.columns, "_p.*"))
+    used = [r["_level"] for r in cut_.select("_level").distinct().collect()]  # 63 at most
+    spots = points.select(*key, at).distinct().dropna()
+    dealt = spots.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in sorted(used)]).cast("array<int>")))
+    dealt = dealt.withColumn("_piece", F.call_function("shiftright", F.col(at).cast("long"), F.col("_level")))
+    return dealt.join(cut_, [*key, "_level", "_piece"]).drop("_level", "_piece")
+
+
 def range_first(points: DataFrame, ranges: DataFrame, key: Sequence[str], at: str, begin: str, end: str, order: str, keep: Sequence[str]) -> DataFrame:
     """``points`` with the columns ``keep`` of the first range (by ``order``) of the same key with begin <= at < end, if any."""
-    met = points.join(ranges, list(key)).where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end)))
-    best = met.groupBy(*points.columns).agg(F.min_by(F.struct(*keep), order).alias("_hit"))
-    return points.join(best, list(points.columns), "left").select(*points.columns, *[F.col(f"_hit.{k}").alias(k) for k in keep])
+    best = covering(points, ranges, key, at, begin, end).groupBy(*key, at).agg(F.min_by(F.struct(*keep), order).alias("_hit"))
+    return points.join(best, [*key, at], "left").select(*points.columns, *[F.col(f"_hit.{k}").alias(k) for k in keep])
 
 
 def zip_positions(rows: DataFrame, key: Sequence[str], left: str, right: str) -> DataFrame:

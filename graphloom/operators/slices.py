@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.boolean import label
 from graphloom.operators.diagrams import FALSE, TRUE, reduced
+from graphloom.operators.hierarchy import lowest_common
+from graphloom.operators.loops import immediate_dominators
 from graphloom.plans.checkpoint import cut
+from graphloom.plans.fixpoint import fixpoint
 
 LOOP = ["method", "head"]
 
@@ -99,3 +102,52 @@ def vital_branches(stmts: DataFrame, back: DataFrame) -> DataFrame:
     labels = slices.where(F.col("label").isNotNull()).select(*LOOP, F.col("src").alias("idx"), "label").distinct()
     vital = exit_conditions(slices).select(*LOOP, F.explode("vars").alias("label"))
     return vital.join(labels, [*LOOP, "label"]).select(*LOOP, "idx", "label")
+
+
+def inner_edges(slices: DataFrame) -> DataFrame:
+    """(method, head, src, dst): a slice's edges between the loop's own statements."""
+    last = slices.groupBy(*LOOP).agg(F.max("src").alias("_last"))
+    return slices.where(~F.col("exits")).join(last, LOOP).where(F.col("dst") <= F.col("_last")).select(*LOOP, "src", "dst").distinct()
+
+
+def jumpers(slices: DataFrame) -> DataFrame:
+    """(method, head, node): the statements from which a slice's exit is met."""
+    return slices.where("exits").select(*LOOP, F.col("src").alias("node")).distinct()
+
+
+def choke_conditions(slices: DataFrame) -> DataFrame:
+    """(method, head, node): the condition as what is visited up to the first choke point behind all jumps to the exit.
+
+    Statements are swept in order, in which all edges of a slice go forward. The farthest place that the ones swept so far
+    lead to is a running maximum; where it is no farther than the next statement, no jump is open and that statement is
+    a choke point. It belongs to the condition only if it jumps to the exit itself. A choke point is always met, the last
+    statement being one.
+    """
+    inner, out = inner_edges(slices), jumpers(slices)
+    nodes = slices.select(*LOOP, F.col("src").alias("node")).unionByName(inner.select(*LOOP, F.col("dst").alias("node"))).distinct()
+    far = inner.groupBy(*LOOP, F.col("src").alias("node")).agg(F.max("dst").alias("_far"))
+    swept = nodes.join(far, [*LOOP, "node"], "left").join(out.withColumn("_jumps", F.lit(True)), [*LOOP, "node"], "left")
+    own = Window.partitionBy(*LOOP).orderBy("node")
+    before = F.max("_far").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    last_jump = F.max(F.when(F.col("_jumps"), F.col("node"))).over(Window.partitionBy(*LOOP))
+    swept = swept.withColumns({"_open": F.coalesce(before, F.lit(-1)) > F.col("node"), "_last": last_jump})
+    choke = F.min(F.when(~F.col("_open") & (F.col("node") >= F.col("_last")), F.col("node"))).over(Window.partitionBy(*LOOP))
+    swept = swept.withColumn("_choke", choke)
+    return swept.where((F.col("node") < F.col("_choke")) | ((F.col("node") == F.col("_choke")) & F.col("_jumps"))).select(*LOOP, "node")
+
+
+def ancestor_conditions(slices: DataFrame) -> DataFrame:
+    """(method, head, node): the condition as the latest statement on all ways to the jumps to the exit, and all behind it but the head.
+
+    That statement is the lowest common ancestor of the jumping ones in the dominator tree. Jumps that no way
+    from the head meets play no part.
+    """
+    inner = cut(inner_edges(slices))
+    roots = slices.select(*LOOP, F.col("head").alias("node")).distinct()
+    alone = roots.join(inner.select(*LOOP).distinct(), LOOP, "left_anti").select(*LOOP, "node", F.lit(None).cast("int").alias("parent"))
+    tree = cut(immediate_dominators(inner, roots, LOOP).select(*LOOP, "node", F.col("idom").alias("parent")).unionByName(alone).dropDuplicates([*LOOP, "node"]))
+    met = jumpers(slices).join(tree, [*LOOP, "node"], "left_semi")
+    first = lowest_common(tree, met, LOOP)
+    ahead = inner.select(*LOOP, F.col("src").alias("node"), F.col("dst").alias("_next"))
+    step = lambda at: at.join(ahead, [*LOOP, "node"]).select(*LOOP, F.col("_next").alias("node"))
+    return fixpoint(first, step, [*LOOP, "node"]).where(F.col("node") != F.col("head"))

@@ -109,3 +109,85 @@ def equal_conditions(spark, sf_dir):
     stmts, _, back = _back(spark, sf_dir)
     found = slices.exit_conditions(slices.loop_slices(stmts, back))
     return found.groupBy("id").agg(F.min(F.struct("method", "head")).alias("first"), F.count(F.lit(1)).alias("n_loops")).select("first.method", "first.head", "n_loops")
+
+
+#: Sweeps by running maxima; the latest common statement by reachability that avoids each candidate.
+METHODS = f"""{SLICES}, cuts AS (SELECT DISTINCT * FROM slices), lasts AS (
+  SELECT method, head, max(src) AS last FROM cuts GROUP BY ALL
+), inner_edges AS (
+  SELECT DISTINCT method, head, src, dst FROM cuts JOIN lasts USING (method, head) WHERE NOT exits AND dst <= last
+), jumpers AS (
+  SELECT DISTINCT method, head, src AS node FROM cuts WHERE exits
+), nodes AS (
+  SELECT method, head, src AS node FROM cuts UNION SELECT method, head, dst FROM inner_edges
+), swept AS (
+  SELECT n.method, n.head, n.node, j.node IS NOT NULL AS jumps, (SELECT max(dst) FROM inner_edges e WHERE e.method = n.method AND e.head = n.head AND e.src < n.node) AS far,
+    (SELECT max(node) FROM jumpers x WHERE x.method = n.method AND x.head = n.head) AS last_jump
+  FROM nodes n LEFT JOIN jumpers j ON j.method = n.method AND j.head = n.head AND j.node = n.node
+), chokes AS (
+  SELECT method, head, min(node) AS choke FROM swept WHERE coalesce(far, -1) <= node AND node >= last_jump GROUP BY ALL
+), by_sweep AS (
+  SELECT method, head, node FROM swept JOIN chokes USING (method, head) WHERE node < choke OR node = choke AND jumps
+), seen AS (
+  SELECT method, head, head AS node FROM lasts UNION SELECT s.method, s.head, e.dst FROM seen s JOIN inner_edges e ON e.method = s.method AND e.head = s.head AND e.src = s.node
+), around AS (
+  SELECT method, head, node AS without, head AS node FROM seen WHERE node <> head
+  UNION SELECT a.method, a.head, a.without, e.dst FROM around a JOIN inner_edges e ON e.method = a.method AND e.head = a.head AND e.src = a.node WHERE e.dst <> a.without
+), common AS (
+  SELECT s.method, s.head, max(s.node) AS node FROM seen s WHERE EXISTS (SELECT 1 FROM jumpers j JOIN seen x USING (method, head, node) WHERE j.method = s.method AND j.head = s.head)
+    AND NOT EXISTS (SELECT 1 FROM jumpers j JOIN seen x USING (method, head, node) JOIN around a ON a.method = s.method AND a.head = s.head AND a.without = s.node AND a.node = j.node WHERE j.method = s.method AND j.head = s.head)
+  GROUP BY s.method, s.head
+), behind AS (
+  SELECT method, head, node FROM common UNION SELECT b.method, b.head, e.dst FROM behind b JOIN inner_edges e ON e.method = b.method AND e.head = b.head AND e.src = b.node
+), by_ancestor AS (
+  SELECT * FROM behind WHERE node <> head
+)"""
+
+
+@query(f"{R}{METHODS} SELECT method, head, node, CASE WHEN s.n IS NULL THEN 'ancestor' WHEN a.n IS NULL THEN 'sweep' ELSE 'both' END AS side FROM (SELECT *, 1 AS n FROM by_sweep) s FULL JOIN (SELECT *, 1 AS n FROM by_ancestor) a USING (method, head, node)")
+def choke_and_ancestor(spark, sf_dir):
+    """The conditions of all orders' loops by a sweep to the choke point and by the latest common statement."""
+    stmts, _, back = _back(spark, sf_dir)
+    cut_ = cut(slices.loop_slices(stmts, back))
+    side = lambda df, name: df.withColumn(name, F.lit(True))
+    met = side(slices.choke_conditions(cut_), "_s").join(side(slices.ancestor_conditions(cut_), "_a"), ["method", "head", "node"], "full")
+    return met.select("method", "head", "node", F.when(F.col("_s") & F.col("_a"), "both").when(F.col("_s"), "sweep").otherwise("ancestor").alias("side"))
+
+
+#: Every item of an order is a trap: over a few statements, for a class of exceptions; parts are the classes, as in ``program``.
+TRAPS = f"""{STMTS}, subtype AS (
+  SELECT p_partkey AS class, p_partkey AS super FROM part UNION SELECT class, super // 2 FROM subtype WHERE super > 1
+), traps AS (
+  SELECT method, idx AS ord, l_suppkey % 4 AS begin_idx, l_suppkey % 4 + 1 + l_partkey % 3 AS end_idx, 1 + l_suppkey % 8 AS exception, target AS handler_idx FROM stmts
+)"""
+CAUGHT = "EXISTS (SELECT 1 FROM traps t JOIN subtype s ON s.super = t.exception WHERE t.method = {0}.method AND {0}.idx >= t.begin_idx AND {0}.idx < t.end_idx AND s.class = {0}.thrown)"
+
+
+def _trapped(spark, sf_dir):
+    """(statements with their part, traps, pairs of class and superclass)."""
+    stmts = cut(_stmts(spark, sf_dir))
+    begin = F.col("l_suppkey") % 4
+    traps = stmts.select("method", F.col("idx").alias("ord"), begin.alias("begin_idx"), (begin + 1 + F.col("l_partkey") % 3).alias("end_idx"), (1 + F.col("l_suppkey") % 8).alias("exception"), F.col("target").alias("handler_idx"))
+    above = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("class"), F.floor(F.col("p_partkey") / 2).alias("super"))
+    top = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("class"), F.col("p_partkey").alias("super"))
+    return stmts, traps, cut(program.subtypes(above).unionByName(top).distinct())
+
+
+@query(f"{R}{TRAPS} SELECT x.method, x.idx, x.l_partkey AS thrown, min_by(t.handler_idx, t.ord) FILTER (s.class IS NOT NULL) AS handler_idx FROM stmts x LEFT JOIN traps t ON t.method = x.method AND x.idx >= t.begin_idx AND x.idx < t.end_idx LEFT JOIN subtype s ON s.class = x.l_partkey AND s.super = t.exception GROUP BY ALL")
+def exception_handlers(spark, sf_dir):
+    """What takes an exception of its part's class at each item."""
+    stmts, traps, subtype = _trapped(spark, sf_dir)
+    return program.handlers(stmts.withColumn("thrown", F.col("l_partkey")), traps, subtype)
+
+
+@query(
+    f"{R}{TRAPS}, calls AS (SELECT method, idx, l_partkey AS callee FROM stmts WHERE kind = 'assign'), arrive AS ("
+    f"SELECT method, idx, 1 + l_partkey % 50 AS thrown FROM stmts WHERE kind = 'return' UNION SELECT c.method, c.idx, a.thrown FROM arrive a JOIN calls c ON c.callee = a.method WHERE NOT {CAUGHT.format('a')}"
+    ") SELECT a.method, a.idx, a.thrown, min_by(t.handler_idx, t.ord) FILTER (s.class IS NOT NULL) AS handler_idx FROM arrive a LEFT JOIN traps t ON t.method = a.method AND a.idx >= t.begin_idx AND a.idx < t.end_idx LEFT JOIN subtype s ON s.class = a.thrown AND s.super = t.exception GROUP BY ALL"
+)
+def unwound_exceptions(spark, sf_dir):
+    """Where exceptions thrown at returns arrive, items being calls of the order with their part's number."""
+    stmts, traps, subtype = _trapped(spark, sf_dir)
+    thrown = stmts.where("kind = 'return'").select("method", "idx", (1 + F.col("l_partkey") % 50).alias("thrown"))
+    calls = stmts.where("kind = 'assign'").select("method", "idx", F.col("l_partkey").alias("callee"))
+    return program.unwound(thrown, calls, traps, subtype)

@@ -162,8 +162,9 @@ def rule_first_match(spark, sf_dir):
 def range_handler(spark, sf_dir):
     """The first interval of an order's status that covers its date, as traps cover statements."""
     rows = [("F", 1, "1992-01-01", "1995-01-01", 10), ("F", 2, "1994-01-01", "1999-01-01", 20), ("O", 1, "1996-06-01", "1998-01-01", 30)]
-    ranges = spark.createDataFrame(rows, "status string, ord int, b string, e string, h int").withColumns({c: F.col(c).cast("timestamp_ntz") for c in "be"})
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    day = lambda c: F.unix_date(F.to_date(c))
+    ranges = spark.createDataFrame(rows, "status string, ord int, b string, e string, h int").withColumns({c: day(F.col(c)) for c in "be"})
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), day(F.col("o_orderdate")).alias("at"))
     return records.range_first(orders, ranges, ["status"], "at", "b", "e", "ord", ["h"]).select("o_orderkey", "status", "h")
 
 
