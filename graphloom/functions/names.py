@@ -45,9 +45,13 @@ def field_id(cls: Column, field: Column) -> Column:
     return F.concat_ws(":", cls, field)
 
 
-def text_hash(text: Column, seed: int = 98764321261, modulus: int = 1_000_000_007) -> Column:
-    """The 31-multiplier hash of the characters, kept below a modulus so that it is the same everywhere."""
-    return F.aggregate(F.transform(F.split(text, ""), lambda c: F.when(c == "", 0).otherwise(F.ascii(c))), F.lit(seed % modulus).cast("long"), lambda h, c: (h * 31 + c) % modulus)
+def text_hash(text: Column, seed: int = 98764321261) -> Column:
+    """The hash of the text's UTF-16 units by multiplication with 31, a long that wraps around at 64 bits."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(?s).{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("decimal(38,0)"))
+    whole = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    # In decimals below 2 ** 64, as a product of longs would overflow.
+    last = F.aggregate(units, whole(seed % 2**64), lambda h, u: ((h * 31 + u) % whole(2**64)).cast("decimal(38,0)"))
+    return F.when(last >= whole(2**63), last - whole(2**64)).otherwise(last).cast("long")
 
 
 def pairs(body: Column) -> Column:

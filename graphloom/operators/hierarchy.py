@@ -64,12 +64,6 @@ def _climb(rows: DataFrame, power: DataFrame, keys: list[str], where: Column, st
     return out.withColumn("at", F.when(moves, F.col("up")).otherwise(F.col("at"))).select(*rows.columns)
 
 
-def roll_up(tree: DataFrame, leaves: DataFrame, value: str) -> DataFrame:
-    """(node, n_leaves, total, least, greatest) of the values (node, value) at or below each node."""
-    below = descent(tree).join(leaves.select("node", value), "node")
-    return below.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_leaves"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("greatest"))
-
-
 def kept(tree: DataFrame, matches: Column) -> DataFrame:
     """(node): nodes that match, and all above them."""
     hits = tree.where(matches).select("node")

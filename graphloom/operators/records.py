@@ -171,26 +171,33 @@ def first_match(rows: DataFrame, rules: DataFrame, text: str, default: bool = Tr
     return rows.withColumn("included", out)
 
 
+def pieces(begin: Column, end: Column) -> Column:
+    """The array of (level, piece) that make up begin <= n < end: 2 ** level numbers from piece * 2 ** level on, two a level at most."""
+    low = lambda k: -F.call_function("shiftright", -begin.cast("long"), k)
+    high = lambda k: F.call_function("shiftright", end.cast("long"), k)
+    odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+    piece = lambda k, at, where: F.when(where & (low(k) < high(k)), F.struct(k.alias("level"), at.alias("piece")))
+    each = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.array(piece(k, low(k), odd(low(k))), piece(k, high(k) - 1, odd(high(k)))))
+    return F.filter(F.flatten(each), lambda p: p.isNotNull())
+
+
+def in_pieces(points: DataFrame, at: str, cut_: DataFrame) -> DataFrame:
+    """``points`` with _level and _piece: the piece that holds the place, at each level that ``cut_`` has."""
+    used = sorted(r["_level"] for r in cut_.select("_level").distinct().collect())  # 63 at most
+    dealt = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>")))
+    return dealt.withColumn("_piece", F.call_function("shiftright", F.col(at).cast("long"), F.col("_level")))
+
+
 def covering(points: DataFrame, ranges: DataFrame, key: Sequence[str], at: str, begin: str, end: str) -> DataFrame:
     """(key, at, the other columns of ``ranges``): each place of ``points``, once, with every range of its key that has begin <= at < end.
 
-    at, begin and end are whole numbers. A range is cut into pieces of 2 ** level numbers that start at multiples
-    of their size, two a level at most; a place is in one piece of each level. So both meet by equality of key, level
-    and piece, and a key with very many places and ranges is as many join keys as they have pieces.
+    at, begin and end are whole numbers. A place is in one piece of each level, a range is made of pieces of its own,
+    so both meet by equality of key, level and piece, and a key with very many places and ranges is as many join keys as
+    they have pieces.
     """
-    key = list(key)
-    low = lambda k: -F.call_function("shiftright", -F.col(begin).cast("long"), k)
-    high = lambda k: F.call_function("shiftright", F.col(end).cast("long"), k)
-    odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
-    piece = lambda k, at_, where: F.when(where & (low(k) < high(k)), F.struct(k.alias("_level"), at_.alias("_piece")))
-    levels = F.sequence(F.lit(0), F.lit(62))
-    pieces = F.filter(F.flatten(F.transform(levels, lambda k: F.array(piece(k, low(k), odd(low(k))), piece(k, high(k) - 1, odd(high(k)))))), lambda p: p.isNotNull())
-    cut_ = cut(ranges.withColumn("_p", F.explode(pieces)).select(*ranges.columns, "_p.*"))
-    used = [r["_level"] for r in cut_.select("_level").distinct().collect()]  # 63 at most
+    cut_ = cut(ranges.withColumn("_p", F.explode(pieces(F.col(begin), F.col(end)))).select(*ranges.columns, F.col("_p.level").alias("_level"), F.col("_p.piece").alias("_piece")))
     spots = points.select(*key, at).distinct().dropna()
-    dealt = spots.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in sorted(used)]).cast("array<int>")))
-    dealt = dealt.withColumn("_piece", F.call_function("shiftright", F.col(at).cast("long"), F.col("_level")))
-    return dealt.join(cut_, [*key, "_level", "_piece"]).drop("_level", "_piece")
+    return in_pieces(spots, at, cut_).join(cut_, [*key, "_level", "_piece"]).drop("_level", "_piece")
 
 
 def range_first(points: DataFrame, ranges: DataFrame, key: Sequence[str], at: str, begin: str, end: str, order: str, keep: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import absint, diagrams, hierarchy, patterns, program, taint
+from graphloom.operators import absint, diagrams, hierarchy, patterns, program, subtrees, taint
 from graphloom.plans.checkpoint import cut
 from graphloom.queries.flows import table
 
@@ -138,7 +138,15 @@ def tree_roll_up(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("node"), key("r", "n_regionkey").alias("parent"))
     customers = table(spark, sf_dir, "customer").select(key("c", "c_custkey").alias("node"), key("n", "c_nationkey").alias("parent"), "c_acctbal")
     tree = regions.unionByName(nations).unionByName(customers.select("node", "parent"))
-    return hierarchy.roll_up(tree, customers, "c_acctbal").withColumn("total", F.round("total", 2))
+    return subtrees.roll_up(tree, customers, "c_acctbal").withColumn("total", F.round("total", 2))
+
+
+@query("WITH RECURSIVE up AS (SELECT p_partkey AS node, p_partkey AS top FROM part UNION ALL SELECT node, top // 2 FROM up WHERE top > 1) SELECT DISTINCT u.top AS node, p.p_brand AS name FROM up u JOIN part p ON p.p_partkey = u.node WHERE u.top IN (SELECT p_partkey FROM part)")
+def name_unions(spark, sf_dir):
+    """The brands of each part and of all parts below it, part n hanging below n div 2."""
+    part = table(spark, sf_dir, "part")
+    above = F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2))
+    return subtrees.unions(part.select(F.col("p_partkey").alias("node"), above.alias("parent")), part.select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("name")), "name")
 
 
 @query("WITH RECURSIVE tree AS (SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier), kept AS (SELECT node, parent FROM tree WHERE contains(name, '7') UNION SELECT t.node, t.parent FROM kept k JOIN tree t ON t.node = k.parent) SELECT DISTINCT node FROM kept")
@@ -232,7 +240,7 @@ def method_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", names.method_key(F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.split("p_name", " ")).alias("method_key"))
 
 
-@query("SELECT p_partkey, list_reduce(list_prepend((98764321261 % 1000000007)::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 1000000007) AS hash FROM part")
+@query("SELECT p_partkey, (h - CASE WHEN h >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS hash FROM (SELECT p_partkey, list_reduce(list_prepend(98764321261::HUGEINT, list_transform(string_split(p_name, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (h * 31 + c) % 18446744073709551616::HUGEINT) AS h FROM part)")
 def java_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", names.text_hash(F.col("p_name")).alias("hash"))
 

@@ -1,8 +1,11 @@
 """Record, hierarchy and program operators on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import names
 from graphloom.operators import hierarchy, program, records
 
 
@@ -70,7 +73,30 @@ def test_handlers_unwind(spark):
     found = program.handlers(stmts, traps, sub)
     assert {(r.idx, r.thrown): r.handler_idx for r in found.collect()} == {(1, "Npe"): 7, (5, "Npe"): None, (1, "Ex"): 8}
     calls = spark.createDataFrame([("main", 3, "m")], "method string, idx int, callee string")
-    assert rows(program.unwound(stmts, calls, found), "method", "idx", "thrown") == [("m", 1, "Ex"), ("m", 1, "Npe"), ("m", 5, "Npe"), ("main", 3, "Npe")]
+    arrived = {(r.method, r.idx, r.thrown): r.handler_idx for r in program.unwound(stmts, calls, traps, sub).collect()}
+    assert arrived == {("m", 1, "Ex"): 8, ("m", 1, "Npe"): 7, ("m", 5, "Npe"): None, ("main", 3, "Npe"): None}
+
+
+def test_ranges_by_pieces_like_comparisons(spark):
+    rng = random.Random(5)
+    ranges = [(rng.choice("ab"), o, b, b + rng.choice([0, 1, 2, 3, 50, 1000, 10**12]), o * 7) for o, b in enumerate(rng.choice([-(10**12), rng.randint(-40, 40)]) for _ in range(60))]
+    points = [(k, rng.choice("abc"), rng.choice([rng.randint(-60, 120), -(10**12) + 5, 10**12, None])) for k in range(300)]
+    df = spark.createDataFrame(points, "id int, k string, at long")
+    found = records.range_first(df, spark.createDataFrame(ranges, "k string, ord int, b long, e long, h int"), ["k"], "at", "b", "e", "ord", ["h"])
+    plain = lambda k, at: next((h for g, _, b, e, h in ranges if g == k and at is not None and b <= at < e), None)
+    assert {r.id: r.h for r in found.collect()} == {i: plain(k, at) for i, k, at in points}
+
+
+def test_text_hash_wraps(spark):
+    def plain(text):
+        h, units = 98764321261, text.encode("utf-16-be")
+        for k in range(0, len(units), 2):
+            h = (h * 31 + int.from_bytes(units[k : k + 2], "big")) % 2**64
+        return h - 2**64 if h >= 2**63 else h
+
+    texts = ["", "a", "java.lang.Object", "é𐀀\n" * 9, "x" * 300]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", names.text_hash(F.col("t")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == {t: plain(t) for t in texts}
 
 
 def test_rules(spark):

@@ -1,8 +1,10 @@
 """Views of the taint graph and small helpers."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from graphloom.operators import absint, project, reach, taint
+from graphloom.operators import absint, hierarchy, project, reach, subtrees, taint
 
 
 def rows(df, *cols):
@@ -65,3 +67,52 @@ def test_stored_tables_can_be_cleared(spark):
     assert kept.count() == 3 and os.path.isdir(checkpoint.own_dir(spark).removeprefix("file:"))
     assert checkpoint.clear(spark) and not os.path.isdir(checkpoint.own_dir(spark).removeprefix("file:"))
     assert checkpoint.stored(spark.range(2), "two").count() == 2
+
+
+def plain_above(parents, node):
+    line = [node]
+    while parents.get(line[-1]) is not None:
+        line.append(parents[line[-1]])
+    return line
+
+
+def test_subtrees_of_random_forests(spark):
+    rng = random.Random(6)
+    parents = {k: rng.choice([None, *range(max(0, k - 4), k)]) if k else None for k in range(120)}
+    tree = spark.createDataFrame([*parents.items(), (500, 501), (501, 500), (600, 999)], "node int, parent int")
+    values = [(rng.randrange(120), float(rng.randint(0, 9))) for _ in range(200)]
+    want, names_ = {}, set()
+    for n, v in values:
+        for a in plain_above(parents, n):
+            want.setdefault(a, []).append(v)
+            names_.add((a, f"n{v}"))
+    leaves = spark.createDataFrame(values, "node int, v double")
+    found = {r.node: (r.n_leaves, r.total, r.least, r.greatest) for r in subtrees.roll_up(tree, leaves, "v").collect()}
+    assert found == {a: (len(v), sum(v), min(v), max(v)) for a, v in want.items()}
+    named = leaves.select("node", F.concat(F.lit("n"), F.col("v")).alias("name"))
+    assert {tuple(r) for r in subtrees.unions(tree, named, "name").collect()} == names_
+    ranges = {r.node: r for r in subtrees.numbered(tree).collect()}
+    assert set(ranges) == {*parents, 600} and all(len({b for b in parents if a in plain_above(parents, b)}) == ranges[a].last - ranges[a].first for a in parents)
+
+
+def test_subtrees_of_a_long_chain(spark):
+    n = 20_000
+    tree = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    found = subtrees.roll_up(tree, tree.select("node", F.lit(1).alias("one")), "one")
+    assert found.count() == n and found.where(F.col("n_leaves") != n - F.col("node")).isEmpty()
+
+
+def test_lowest_common_ancestors(spark):
+    rng = random.Random(8)
+    rows_, sets, want = [], [], {}
+    for g in range(12):
+        parents = {k: rng.choice([None, k - 1, rng.randrange(k), rng.randrange(k)]) if k else None for k in range(40)}
+        rows_ += [(g, *x) for x in parents.items()]
+        own = rng.sample(range(40), rng.randint(1, 4))
+        sets += [(g, n) for n in own]
+        lines = [plain_above(parents, n) for n in own]
+        common = [n for n in lines[0] if all(n in line for line in lines)]
+        if common:
+            want[g] = common[0]
+    found = hierarchy.lowest_common(spark.createDataFrame(rows_, "g int, node int, parent int"), spark.createDataFrame(sets, "g int, node int"), ["g"])
+    assert {r.g: r.node for r in found.collect()} == want
