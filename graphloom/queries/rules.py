@@ -76,11 +76,11 @@ def loop_operands(spark, sf_dir):
 
 
 #: Items as statements of 200 methods; the remainder by 8 says of which shape.
-RULES = "x AS (SELECT l_orderkey % 200 AS m, l_orderkey * 10 + l_linenumber AS i, (l_orderkey + l_linenumber) % 8 AS k, 'a' || l_partkey % 10 AS a, 'w' || l_suppkey % 7 AS w, 'C' || l_suppkey % 20 AS c, 'I' || l_partkey % 5 AS f, 'g' || l_linenumber AS g, 't' || l_quantity::INT % 3 AS t FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2))"
+RULES = "x AS (SELECT l_orderkey % 200 AS m, l_orderkey * 10 + l_linenumber AS i, (l_orderkey + l_linenumber) % 8 AS k, 'a' || l_partkey % 10 AS a, 'w' || l_suppkey % 7 AS w, 'C' || l_suppkey % 20 AS c, 'I' || l_partkey % 5 AS f, 'g' || l_linenumber AS g, 't' || l_quantity::INT % 3 AS t FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2))"
 
 
 def _rule_facts(spark, sf_dir):
-    each_item = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    each_item = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
     x = each_item.select(
         (F.col("l_orderkey") % 200).alias("method"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).alias("k"), _key("a", F.col("l_partkey") % 10).alias("a"),
         _key("w", F.col("l_suppkey") % 7).alias("w"), _key("C", F.col("l_suppkey") % 20).alias("c"), _key("I", F.col("l_partkey") % 5).alias("f"), _key("g", "l_linenumber").alias("g"), _key("t", F.col("l_quantity").cast("int") % 3).alias("t"),
@@ -151,11 +151,11 @@ def named_nodes(spark, sf_dir):
 
 
 #: Few items as edges between 40 nodes.
-FEW = "e AS (SELECT DISTINCT l_partkey % 40 AS src, l_suppkey % 41 AS dst FROM lineitem WHERE l_orderkey % 70 = 3 AND l_linenumber < 3), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
+FEW = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
 
 
 def _few(spark, sf_dir):
-    return cut(table(spark, sf_dir, "lineitem").where("l_orderkey % 70 = 3 AND l_linenumber < 3").select((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 41).alias("dst")).distinct())
+    return cut(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct())
 
 
 _AROUND = "down AS (SELECT min(node) AS node FROM v UNION SELECT e.dst FROM down JOIN e ON e.src = down.node), up AS (SELECT min(node) AS node FROM v UNION SELECT e.src FROM up JOIN e ON e.dst = up.node), ar AS (SELECT * FROM down UNION SELECT * FROM up), i AS (SELECT e.* FROM e JOIN ar a ON a.node = src JOIN ar b ON b.node = dst)"
@@ -193,8 +193,8 @@ def taint_cleaned(spark, sf_dir):
     return taint.cleaned(edges, reach.nodes(edges).where("node % 4 <> 0"))
 
 
-#: One graph of parts: those of orders' neighbouring items whose sum is divisible by 5, from the least part on.
-WHOLE = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem WHERE l_partkey < 600) WHERE dst IS NOT NULL AND (src * 7 + dst) % 5 = 0)"
+#: One graph of parts: of all parts that follow one in an order, the least and the greatest; from the least part on.
+WHOLE = "follows AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem), e AS (SELECT src, min(dst) AS dst FROM follows WHERE dst IS NOT NULL GROUP BY src UNION SELECT src, max(dst) FROM follows WHERE dst IS NOT NULL GROUP BY src)"
 _AVOID = "reach AS (SELECT min(src) AS node FROM e UNION SELECT e.dst FROM reach r JOIN e ON e.src = r.node), avoid AS (SELECT x.node AS x, m.node FROM reach x JOIN (SELECT min(src) AS node FROM e) m ON x.node <> m.node UNION SELECT a.x, e.dst FROM avoid a JOIN e ON e.src = a.node WHERE e.dst <> a.x)"
 
 
@@ -203,17 +203,17 @@ def dominators_whole(spark, sf_dir):
     """Dominators of one graph, by joins."""
     from pyspark.sql import Window
 
-    items = table(spark, sf_dir, "lineitem").where("l_partkey < 600")
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    edges = cut(items.select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL AND (src * 7 + dst) % 5 = 0").distinct())
+    follows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
+    edges = cut(follows.groupBy("src").agg(F.array(F.min("dst"), F.max("dst")).alias("ends")).select("src", F.explode("ends").alias("dst")).distinct())
     return loops.dominators_by_rounds(edges, edges.agg(F.min("src").alias("node")))
 
 
 #: A store with fields and calls: 30 bases, values of the sizes' classes.
 _PTS = (
-    "b AS (SELECT c_custkey AS c, 'm/b' || c_custkey AS base, 'obj' || c_custkey % 20 AS obj, c_custkey % 20 % 5 AS k FROM customer WHERE c_custkey <= 30), s AS (SELECT DISTINCT 'm/b' || (l_suppkey % 30 + 1) AS base, 'f' || l_linenumber AS f, 'm/v' || l_partkey AS var FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 20 = 0), "
-    "l AS (SELECT DISTINCT 'm/b' || (l_suppkey % 30 + 1) AS base, 'f' || l_linenumber AS f, 'm/x' || l_orderkey % 100 AS var FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 20 = 0), "
-    "flows AS (SELECT s.var AS src, b.obj || '.' || f AS dst FROM s JOIN b USING (base) UNION SELECT b.obj || '.' || f, l.var FROM l JOIN b USING (base) UNION SELECT DISTINCT 'm/x' || l_orderkey % 100, 'm/y' || l_orderkey % 10 FROM lineitem WHERE l_orderkey % 20 = 0 UNION SELECT 'm/v' || c, 'M' || k || '/p' FROM b UNION SELECT 'M' || k || '/p', 'm/r' || c FROM b), "
+    "b AS (SELECT c_custkey AS c, 'm/b' || c_custkey AS base, 'obj' || c_custkey % 20 AS obj, c_custkey % 20 % 5 AS k FROM customer), s AS (SELECT DISTINCT 'm/b' || (l_suppkey % 30 + 1) AS base, 'f' || l_linenumber AS f, 'm/v' || l_partkey AS var FROM lineitem WHERE l_returnflag = 'A'), "
+    "l AS (SELECT DISTINCT 'm/b' || (l_suppkey % 30 + 1) AS base, 'f' || l_linenumber AS f, 'm/x' || l_orderkey % 100 AS var FROM lineitem WHERE l_returnflag = 'R'), "
+    "flows AS (SELECT s.var AS src, b.obj || '.' || f AS dst FROM s JOIN b USING (base) UNION SELECT b.obj || '.' || f, l.var FROM l JOIN b USING (base) UNION SELECT DISTINCT 'm/x' || l_orderkey % 100, 'm/y' || l_orderkey % 10 FROM lineitem UNION SELECT 'm/v' || c, 'M' || k || '/p' FROM b UNION SELECT 'M' || k || '/p', 'm/r' || c FROM b), "
     "seed AS (SELECT base AS addr, obj AS value FROM b UNION SELECT 'm/v' || p_partkey, 'val' || p_size FROM part UNION SELECT 'M' || k || '/this', obj FROM b UNION SELECT 'm/t' || c, 'L@l' || c FROM b)"
 )
 
@@ -221,9 +221,9 @@ _PTS = (
 @query(f"{R}{_PTS}, pts AS (SELECT addr, value FROM seed UNION SELECT f.dst, p.value FROM pts p JOIN flows f ON f.src = p.addr) SELECT * FROM pts")
 def points_to_fields(spark, sf_dir):
     """Loads and stores at objects, calls run by the objects' classes, and a modelled library method."""
-    items, c = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0"), F.col("c_custkey")
+    items, c = table(spark, sf_dir, "lineitem"), F.col("c_custkey")
     base, field = _key("m/b", F.col("l_suppkey") % 30 + 1).alias("base"), _key("f", "l_linenumber").alias("field")
-    few = table(spark, sf_dir, "customer").where("c_custkey <= 30")
+    few = table(spark, sf_dir, "customer")
     alloc = few.select(_key("m/b", c).alias("var"), _key("obj", c % 20).alias("object"), _key("C", c % 20 % 5).alias("class"))
     alloc = alloc.unionByName(table(spark, sf_dir, "part").select(_key("m/v", "p_partkey").alias("var"), _key("val", "p_size").alias("object"), F.lit("V").alias("class")))
     none, text = F.lit(None).cast("string"), F.array().cast("array<string>")
@@ -239,7 +239,7 @@ def points_to_fields(spark, sf_dir):
 
 
 #: Customers as methods: each order calls the customer of another number.
-_CALLS = "called AS (SELECT DISTINCT o_custkey, o_orderstatus || substr(o_orderpriority, 1, 1) AS stmt, (o_custkey * 7 + o_orderkey) % 300 AS callee FROM orders WHERE o_orderkey % 3 = 0)"
+_CALLS = "called AS (SELECT DISTINCT o_custkey, o_orderstatus || substr(o_orderpriority, 1, 1) AS stmt, (o_custkey * 7 + o_orderkey) % 300 AS callee FROM orders)"
 _NEST = (
     "sizes AS (SELECT o_custkey, head, count(*) AS n FROM bodies GROUP BY 1, 2), ranked AS (SELECT b.o_custkey, b.member, b.head, row_number() OVER (PARTITION BY b.o_custkey, b.member ORDER BY n, b.head) AS pos_ FROM bodies b JOIN sizes s ON s.o_custkey = b.o_custkey AND s.head = b.head), inner_ AS (SELECT * FROM ranked WHERE pos_ = 1), "
     "holds AS (SELECT s.o_custkey, s.head, o.head AS outer_, row_number() OVER (PARTITION BY s.o_custkey, s.head ORDER BY o.n, o.head) AS pos_ FROM sizes s JOIN bodies b ON b.o_custkey = s.o_custkey AND b.member = s.head AND b.head <> s.head JOIN sizes o ON o.o_custkey = b.o_custkey AND o.head = b.head AND o.n > s.n), "
@@ -253,7 +253,7 @@ def _loop_graph(spark, sf_dir):
     bodies = cut(bodies)
     forest = loops.loop_forest(bodies, G)
     named = lambda df: df.withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumnRenamed("o_custkey", "method")
-    calls = states(spark, sf_dir).where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("method"), F.col("state").alias("stmt"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 300).cast("string").alias("callee")).distinct()
+    calls = states(spark, sf_dir).select(F.col("o_custkey").cast("string").alias("method"), F.col("state").alias("stmt"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 300).cast("string").alias("callee")).distinct()
     main = table(spark, sf_dir, "orders").agg(F.min("o_custkey").cast("string").alias("method"))
     return loops.loop_graph(calls, named(bodies), named(forest), main)
 
@@ -352,13 +352,13 @@ def unit_warnings(spark, sf_dir):
 
 
 #: Parts as classes: each extends the part of half its number; every third is private, every fourth of the package's own, every seventh static.
-_MET = "m AS (SELECT p_partkey AS class, p_partkey % 2 AS package, 's' || p_size % 4 AS subsig, p_partkey % 7 = 0 AS static, CASE WHEN p_partkey % 3 = 0 THEN 'private' WHEN p_partkey % 4 = 0 THEN 'package' ELSE 'public' END AS access FROM part WHERE p_partkey <= 400), able AS (SELECT * FROM m WHERE NOT static AND access <> 'private'), line AS (SELECT class, class AS target, 0 AS depth FROM m UNION ALL SELECT class, target // 2, depth + 1 FROM line WHERE target > 1)"
+_MET = "m AS (SELECT p_partkey AS class, p_partkey % 2 AS package, 's' || p_size % 4 AS subsig, p_partkey % 7 = 0 AS static, CASE WHEN p_partkey % 3 = 0 THEN 'private' WHEN p_partkey % 4 = 0 THEN 'package' ELSE 'public' END AS access FROM part), able AS (SELECT * FROM m WHERE NOT static AND access <> 'private'), line AS (SELECT class, class AS target, 0 AS depth FROM m UNION ALL SELECT class, target // 2, depth + 1 FROM line WHERE target > 1)"
 
 
 @query(f"{R}{_MET} SELECT a.class, a.subsig, t.class AS target, l.depth FROM able a JOIN line l ON l.class = a.class AND l.depth > 0 JOIN able t ON t.class = l.target AND t.subsig = a.subsig WHERE t.access <> 'package' OR t.package = a.package")
 def overrides_of(spark, sf_dir):
     k = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 400")
+    parts = table(spark, sf_dir, "part")
     access = F.when(k % 3 == 0, "private").when(k % 4 == 0, "package").otherwise("public")
     methods = parts.select(k.alias("class"), (k % 2).alias("package"), _key("s", F.col("p_size") % 4).alias("subsig"), (k % 7 == 0).alias("static"), access.alias("access"))
     return program.overrides_of(methods, parts.where("p_partkey > 1").select(k.alias("class"), F.floor(k / 2).cast("long").alias("super")))
