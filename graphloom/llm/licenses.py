@@ -333,20 +333,18 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
-def _places(norm: Column, pattern: Column) -> Column:
-    """array<struct<first, until, word>>: character places of all matches, from 0, and the number of words before."""
-    matches, gaps = F.regexp_extract_all(norm, pattern, F.lit(0)), F.split(norm, pattern, -1)
-    found = F.array().cast("array<struct<first:int,until:int,word:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("word"), found.alias("found"))
+def _places(met: DataFrame, keys: list[str]) -> DataFrame:
+    """``met`` with a row for each match of its pattern in norm: first and until (characters, from 0), and word, the words before.
 
-    def step(acc: Column, both: Column) -> Column:
-        first, word = acc["at"] + F.length(both["gap"]), acc["word"] + _spaces(both["gap"])
-        until = first + F.length(both["match"])
-        place = F.struct(first.alias("first"), until.alias("until"), word.alias("word"))
-        return F.struct(until.alias("at"), (word + _spaces(both["match"])).alias("word"), F.array_append(acc["found"], place).alias("found"))
-
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(both, start, step, lambda acc: acc["found"])
+    What lies between the matches and they themselves are rows of lengths first; running sums make them places.
+    """
+    matches, gaps = F.regexp_extract_all("norm", F.col("pattern"), F.lit(0)), F.split("norm", F.col("pattern"), -1)
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("match"), _spaces(g).alias("gap_words"), _spaces(m).alias("words")))
+    kept = [c for c in met.columns if c not in ("norm", "pattern")]
+    each = met.select(*kept, F.posexplode(sizes).alias("_at", "_s")).select(*kept, "_at", "_s.*").repartition(*keys[:2])
+    so_far = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    until, word = F.sum(F.col("gap") + F.col("match")).over(so_far), F.sum(F.col("gap_words") + F.col("words")).over(so_far) - F.col("words") - 1
+    return each.select(*kept, (until - F.col("match")).cast("int").alias("first"), until.cast("int").alias("until"), word.cast("int").alias("word"))
 
 
 def detections(texts: DataFrame) -> DataFrame:
@@ -364,8 +362,7 @@ def detections(texts: DataFrame) -> DataFrame:
     chosen = texts.select("doc_id", "row", "norm", present.alias("present"))
     chosen = chosen.select("doc_id", "row", "norm", F.explode(F.array_distinct(F.flatten(F.transform("present", lambda t: of[t])))).alias("rule"))
     met = chosen.join(F.broadcast(table), "rule")  # a fixed table of some hundred rows
-    each = met.select("doc_id", "row", "rule", "label", "priority", "confidence", "base", "norm", F.explode(_places(F.col("norm"), F.col("pattern"))).alias("at"))
-    each = each.select("doc_id", "row", "rule", "label", "priority", "confidence", "base", "at.first", "at.until", "at.word")
+    each = _places(met.select("doc_id", "row", "rule", "label", "priority", "confidence", "base", "norm", "pattern"), ["doc_id", "row", "rule"])
     before = Window.partitionBy("doc_id", "row").orderBy("first", F.desc("until"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.lit(-1)
     for p in (4, 3, 2, 1):

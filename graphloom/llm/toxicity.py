@@ -40,12 +40,14 @@ class Model:
         """All maximal scoring passages (score, first word, last word), and the number of words.
 
         One pass over the scored tokens; a run of others lowers the sum by its length. Each new token joins
-        the passages before it for as long as that makes a higher sum (Ruzzo and Tompa).
+        the passages before it for as long as that makes a higher sum (Ruzzo and Tompa). A passage is linked to the
+        last before it that begins at a lower sum; a search goes by links, which later ones pass over, so all
+        searches together take as many steps as there are tokens.
         """
         words = WORD.findall((text or "").lower())
         get = self.scores.get
         scores = [get(w) or (len(w) > STEM and get(w[:STEM] + "*")) or None for w in words]
-        stack: list[tuple[float, float, int, int]] = []  # (sum before, sum after, first, last)
+        stack: list[tuple[float, float, int, int, int]] = []  # (sum before, sum after, first, last, link)
         total, last = 0.0, -1
         for at, s in enumerate(scores):
             if s is None:
@@ -54,17 +56,17 @@ class Model:
             total, last = before + s, at
             if s <= 0:
                 continue
-            now = (before, total, at, at)
+            first, k = at, len(stack) - 1
             while True:
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] >= now[0]:
-                    k -= 1
-                if k < 0 or stack[k][1] >= now[1]:
-                    stack.append(now)
+                while k >= 0 and stack[k][0] >= before:
+                    k = stack[k][4]
+                if k < 0 or stack[k][1] >= total:
+                    stack.append((before, total, first, at, k))
                     break
-                now = (stack[k][0], now[1], stack[k][2], now[3])
+                before, _, first, _, link = stack[k]
                 del stack[k:]
-        return [(r - b, i, j) for b, r, i, j in stack], len(words)
+                k = link
+        return [(r - b, i, j) for b, r, i, j, _ in stack], len(words)
 
     def evidence(self, text: str | None) -> tuple[float, int, float]:
         """(minus log10 of the E-value of all significant passages together, their number, the best's score).

@@ -4,12 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from graphloom.llm import filteraudit, merkle, suffixdedup
+from graphloom.llm import filteraudit, licenses, merkle, suffixdedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -254,3 +255,20 @@ def test_equal_hashes_are_told_apart_by_bytes():
     suffixes.prefix[:] = 0  # as if all hashes collided
     order, shared = suffixes.verified(np.zeros(4, int))
     assert [rows[i] for i in order] == sorted(rows) and shared.tolist() == [-1, 4, 3, 1]
+
+
+# Long texts of the older operators
+
+
+def test_many_scored_words_amid_others_take_one_pass():
+    model = toxicity.Model({"bad": 0.5, "good": -0.6})
+    began = time.perf_counter()
+    found, n = model.passages("bad x x x x x x x x x x x x x x x x " * 100_000)
+    assert n == 1_700_000 and len(found) == 100_000 and time.perf_counter() - began < 30
+
+
+def test_many_license_phrases_in_one_text(spark):
+    n = 50_000
+    text = "under the mit license apache 2 " * n
+    found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (found.n_words, found.n_base, found.first_word, found.last_word, found.base_labels) == (6 * n, n, 0, 6 * (n - 1), "mit")
