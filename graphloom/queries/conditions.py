@@ -1,10 +1,11 @@
-"""Loops of orders taken as methods: their slices, the conditions for leaving them, where conditions end; handlers of what is thrown."""
+"""Loops of orders taken as methods: their slices, the conditions for leaving them, where conditions end; handlers of what is thrown; sets with undo."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import diagrams, loops, program, slices
+from graphloom.operators import history, loops, program, slices
 from graphloom.plans.checkpoint import cut
 from graphloom.queries.flows import table
 from graphloom.queries.program import STMTS, _stmts
@@ -191,3 +192,22 @@ def unwound_exceptions(spark, sf_dir):
     thrown = stmts.where("kind = 'return'").select("method", "idx", (1 + F.col("l_partkey") % 50).alias("thrown"))
     calls = stmts.where("kind = 'assign'").select("method", "idx", F.col("l_partkey").alias("callee"))
     return program.unwound(thrown, calls, traps, subtype)
+
+
+@query(
+    "WITH RECURSIVE log AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'click' THEN 'redo' WHEN 'purchase' THEN 'show' ELSE 'hide' END AS op, floor(value)::BIGINT % 7 AS id FROM events"
+    "), walk AS (SELECT DISTINCT user_id, 0::BIGINT AS seq, []::STRUCT(op VARCHAR, id BIGINT)[] AS stack, 0 AS depth, []::BIGINT[] AS own FROM log UNION ALL SELECT * FROM ("
+    "SELECT w.user_id, l.seq, CASE WHEN change THEN list_append(w.stack[1:w.depth], {'op': l.op, 'id': l.id}) ELSE w.stack END, CASE WHEN change OR forth THEN w.depth + 1 WHEN back THEN w.depth - 1 ELSE w.depth END, "
+    "CASE WHEN change THEN CASE l.op WHEN 'hide' THEN list_append(w.own, l.id) ELSE list_filter(w.own, lambda x: x <> l.id) END "
+    "WHEN forth THEN CASE w.stack[w.depth + 1].op WHEN 'hide' THEN list_append(w.own, w.stack[w.depth + 1].id) ELSE list_filter(w.own, lambda x: x <> w.stack[w.depth + 1].id) END "
+    "WHEN back THEN CASE w.stack[w.depth].op WHEN 'show' THEN list_append(w.own, w.stack[w.depth].id) ELSE list_filter(w.own, lambda x: x <> w.stack[w.depth].id) END ELSE w.own END "
+    "FROM (SELECT w.*, l.op AS next_op, (l.op IN ('hide', 'show') AND (l.op = 'hide') <> list_contains(w.own, l.id)) AS change, l.op = 'redo' AND w.depth < len(w.stack) AS forth, l.op = 'undo' AND w.depth > 0 AS back FROM walk w JOIN log l ON l.user_id = w.user_id AND l.seq = w.seq + 1) w JOIN log l ON l.user_id = w.user_id AND l.seq = w.seq + 1)"
+    ") SELECT user_id, seq, unnest(own) AS id FROM walk"
+)
+def undo_history(spark, sf_dir):
+    """What is hidden at each of a user's events: errors undo, clicks redo, purchases show, others hide."""
+    events = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "click", "redo").when(F.col("event_type") == "purchase", "show").otherwise("hide")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    log = cut(events.select(F.col("user_id").alias("user"), seq.alias("seq"), op.alias("op"), (F.floor("value") % 7).alias("id")))
+    return history.states_at(log, log).withColumnRenamed("user", "user_id")

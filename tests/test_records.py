@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import hierarchy, program, records
+from graphloom.operators import hierarchy, history, program, records
 
 
 def rows(df, *cols):
@@ -109,3 +109,26 @@ def test_rules(spark):
 def test_history(spark, version, hidden):
     log = spark.createDataFrame([(1, "hide", "a"), (2, "hide", "b"), (3, "show", "a")], "version int, op string, id string")
     assert rows(records.visible_at(log, version), "id") == hidden
+
+
+def test_undo_and_redo_like_versions(spark):
+    rng = random.Random(4)
+    log, want = [], set()
+    for user in range(8):
+        versions, now = [frozenset()], 0
+        for seq in range(150):
+            op, key = rng.choice(["hide", "hide", "show", "undo", "undo", "redo", "clear" if seq % 20 == 0 else "redo"]), rng.randrange(5)
+            log.append((user, seq, op, key))
+            if op == "undo":
+                now = max(0, now - 1)
+            elif op == "redo":
+                now = min(len(versions) - 1, now + 1)
+            else:
+                new = {"hide": versions[now] | {key}, "show": versions[now] - {key}, "clear": frozenset()}[op]
+                if new != versions[now]:
+                    versions = [*versions[: now + 1], new]
+                    now += 1
+            want |= {(user, seq, i) for i in versions[now]}
+    df = spark.createDataFrame([*log, (None, 1, "hide", 1), (3, 7, "other", 1)], "user int, seq long, op string, id int")
+    assert {tuple(r) for r in history.states_at(df, df.dropna()).collect()} == want
+    assert history.periods(df.limit(0)).count() == 0
