@@ -11,6 +11,7 @@ from graphloom.operators.boolean import label
 from graphloom.operators.diagrams import FALSE, TRUE, reduced
 from graphloom.operators.hierarchy import lowest_common
 from graphloom.operators.loops import immediate_dominators
+from graphloom.operators.patterns import classify_loops, written
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
 
@@ -48,8 +49,9 @@ def loop_slices(stmts: DataFrame, back: DataFrame) -> DataFrame:
     own = stmts.select("method", "idx", "kind", "targets", after.alias("after"))
     inside = own.join(ends, "method").where(F.col("idx").between(F.col("head"), F.col("end")))
     ordered = Window.partitionBy(*LOOP).orderBy("idx")
+    stop = F.max(F.when(F.col("idx") == F.col("end"), F.coalesce("after", F.col("end") + 1))).over(Window.partitionBy(*LOOP))
     is_if = F.col("kind") == "if"
-    inside = cut(inside.withColumn("label", F.when(is_if, label(F.sum(F.when(is_if, 1).otherwise(0)).over(ordered) - 1))))
+    inside = cut(inside.withColumn("stop", stop).withColumn("label", F.when(is_if, label(F.sum(F.when(is_if, 1).otherwise(0)).over(ordered) - 1))))
     forward = F.col("targets")[0] > F.col("idx")
     gotos = inside.where("kind = 'goto'").select(*LOOP, "end", "idx", forward.alias("on"), F.col("targets")[0].alias("dst"))
     chains = chased(gotos.where("on").select(*LOOP, F.col("idx").alias("src"), "dst"), LOOP)
@@ -59,13 +61,13 @@ def loop_slices(stmts: DataFrame, back: DataFrame) -> DataFrame:
     falls = F.when(~F.col("kind").isin("return", "return_void", "throw", "goto"), F.struct(F.col("after").alias("dst"), F.when(is_if, F.lit(False)).alias("taken")))
     falls = F.coalesce(enters, falls)
     jumps = F.when(is_if, F.transform("targets", lambda t: F.struct(t.alias("dst"), F.lit(True).alias("taken"))))
-    each = inside.select(*LOOP, "end", F.col("idx").alias("src"), "label", F.explode(F.array_append(F.coalesce(jumps, F.array().cast("array<struct<dst:int,taken:boolean>>")), falls)).alias("e"))
-    each = each.select(*LOOP, "end", "src", "label", "e.*").where(F.col("dst") > F.col("src"))
+    each = inside.select(*LOOP, "end", "stop", F.col("idx").alias("src"), "label", F.explode(F.array_append(F.coalesce(jumps, F.array().cast("array<struct<dst:int,taken:boolean>>")), falls)).alias("e"))
+    each = each.select(*LOOP, "end", "stop", "src", "label", "e.*").where(F.col("dst") > F.col("src"))
     led = each.join(chains, [*LOOP, "dst"], "left").withColumn("dst", F.coalesce("_last", "dst")).drop("_last")
     led = cut(led.join(closing, [*LOOP, "dst"], "left"))
-    left = led.where(F.col("dst") == F.col("end") + 1).select(*LOOP).distinct().withColumn("_left", F.lit(True))
+    left = led.where(F.col("dst") == F.col("stop")).select(*LOOP).distinct().withColumn("_left", F.lit(True))
     found = led.join(left, LOOP, "left")
-    exit_ = F.when(F.col("_left"), F.col("end") + 1).otherwise(F.col("end"))
+    exit_ = F.when(F.col("_left"), F.col("stop")).otherwise(F.col("end"))
     kept = found.where(F.col("_back").isNull() | (F.col("_left").isNull() & (F.col("dst") == F.col("end"))))
     return kept.select(*LOOP, "src", "dst", "label", "taken", (F.col("dst") == exit_).alias("exits")).distinct()
 
@@ -105,9 +107,9 @@ def vital_branches(stmts: DataFrame, back: DataFrame) -> DataFrame:
 
 
 def inner_edges(slices: DataFrame) -> DataFrame:
-    """(method, head, src, dst): a slice's edges between the loop's own statements."""
-    last = slices.groupBy(*LOOP).agg(F.max("src").alias("_last"))
-    return slices.where(~F.col("exits")).join(last, LOOP).where(F.col("dst") <= F.col("_last")).select(*LOOP, "src", "dst").distinct()
+    """(method, head, src, dst): a slice's edges between the loop's own statements, which all stand before its exit; none without an exit."""
+    exit_ = slices.where("exits").select(*LOOP, F.col("dst").alias("_exit")).distinct()
+    return slices.where(~F.col("exits")).join(exit_, LOOP).where(F.col("dst") < F.col("_exit")).select(*LOOP, "src", "dst").distinct()
 
 
 def jumpers(slices: DataFrame) -> DataFrame:
@@ -151,3 +153,33 @@ def ancestor_conditions(slices: DataFrame) -> DataFrame:
     ahead = inner.select(*LOOP, F.col("src").alias("node"), F.col("dst").alias("_next"))
     step = lambda at: at.join(ahead, [*LOOP, "node"]).select(*LOOP, F.col("_next").alias("node"))
     return fixpoint(first, step, [*LOOP, "node"]).where(F.col("node") != F.col("head"))
+
+
+def loop_texts(stmts: DataFrame, back: DataFrame) -> DataFrame:
+    """(method, head, text): each loop as the text that ``patterns`` match, what stands before it in the method included.
+
+    ``stmts`` has (method, idx, kind, targets, text), the text being an assignment or call as written and an if's
+    condition. ``head:`` stands before the loop's first statement; a jump behind its last one goes ``out``, one to the
+    first to ``head``, any other to the statement's number. A text is as long as its method.
+    """
+    ends = back.groupBy(*LOOP).agg(F.max("latch").alias("end")).where(F.col("end") >= F.col("head"))
+    own = stmts.select("method", "idx", "kind", F.get("targets", F.lit(0)).alias("to"), F.coalesce("text", F.lit("")).alias("text"))
+    at = own.join(ends, "method").where(F.col("idx") <= F.col("end"))
+    goal = F.when(F.col("to") > F.col("end"), "out").when(F.col("to") == F.col("head"), "head").otherwise(F.concat(F.lit("L"), F.col("to").cast("string")))
+    said = F.when(F.col("kind") == "if", F.concat(F.lit("if "), F.col("text"), F.lit(" goto "), goal)).when(F.col("kind") == "goto", F.concat(F.lit("goto "), goal)).when(F.col("text") == "", F.col("kind")).otherwise(F.col("text"))
+    line = F.concat(F.when(F.col("idx") == F.col("head"), "head:;").otherwise(""), said)
+    return written(at.withColumn("_line", line), LOOP, ["idx"], "_line")
+
+
+def identified_loops(stmts: DataFrame, back: DataFrame) -> DataFrame:
+    """(method, head, loop_kind, bindings, branches): each loop's kind by its shape or, where no shape fits, by its tests.
+
+    A loop of no known shape is ``branches`` if leaving it depends on tests, whose statements are listed, and
+    ``unidentified`` if on none.
+    """
+    kinds = classify_loops(loop_texts(stmts, back)).select(*LOOP, "loop_kind", "bindings")
+    tests = vital_branches(stmts, back).groupBy(*LOOP).agg(F.array_sort(F.collect_list("idx")).alias("_tests"))
+    met = kinds.join(tests, LOOP, "left")
+    open_ = F.col("loop_kind") == "unidentified"
+    kind = F.when(open_ & F.col("_tests").isNotNull(), "branches").otherwise(F.col("loop_kind"))
+    return met.select(*LOOP, kind.alias("loop_kind"), "bindings", F.when(open_, F.col("_tests")).alias("branches"))

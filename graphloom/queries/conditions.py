@@ -114,9 +114,9 @@ def equal_conditions(spark, sf_dir):
 
 #: Sweeps by running maxima; the latest common statement by reachability that avoids each candidate.
 METHODS = f"""{SLICES}, cuts AS (SELECT DISTINCT * FROM slices), lasts AS (
-  SELECT method, head, max(src) AS last FROM cuts GROUP BY ALL
+  SELECT method, head, max(dst) FILTER (exits) AS last FROM cuts GROUP BY ALL
 ), inner_edges AS (
-  SELECT DISTINCT method, head, src, dst FROM cuts JOIN lasts USING (method, head) WHERE NOT exits AND dst <= last
+  SELECT DISTINCT method, head, src, dst FROM cuts JOIN lasts USING (method, head) WHERE NOT exits AND dst < last
 ), jumpers AS (
   SELECT DISTINCT method, head, src AS node FROM cuts WHERE exits
 ), nodes AS (
@@ -155,6 +155,35 @@ def choke_and_ancestor(spark, sf_dir):
     return met.select("method", "head", "node", F.when(F.col("_s") & F.col("_a"), "both").when(F.col("_s"), "sweep").otherwise("ancestor").alias("side"))
 
 
+#: The shapes that these statements can have, said of statements instead of their text: what stands before and after the head.
+KINDS = f"""{WALKS}, said AS (
+  SELECT i.*, CASE WHEN kind <> 'assign' THEN '' WHEN l_suppkey % 3 = 0 THEN 'zero' WHEN l_suppkey % 3 = 1 THEN 'next' ELSE 'other' END AS word
+  FROM (SELECT p.method, e.head, e.stop, p.idx, p.kind, p.target, p.l_suppkey FROM placed p JOIN ends e ON e.method = p.method AND p.idx <= e.stop) i
+), told AS (
+  SELECT method, head,
+    bool_or(idx = head - 1 AND word = 'zero') AS just_before, bool_or(idx < head AND word = 'zero') AS before, bool_or(idx = head AND kind = 'if' AND target > stop) AS tests_first,
+    bool_or(idx > head AND idx = stop - 1 AND word = 'next') AS next_last, bool_or(idx > head AND idx < stop AND word = 'next') AS next_inside, bool_or(idx >= head AND idx < stop AND word = 'next') AS next_any,
+    bool_or(idx = stop AND kind = 'goto' AND target = head AND stop > head) AS closes, bool_or(idx = stop AND kind = 'if' AND target = head) AS tests_last,
+    bool_or(idx > head AND idx < stop - 1 AND kind IN ('if', 'goto') AND target > stop) AS leaves_inside
+  FROM said GROUP BY ALL
+), tested AS (
+  SELECT DISTINCT t.method, t.head FROM tests t JOIN leaving a ON a.method = t.method AND a.head = t.head JOIN leaving b ON b.method = a.method AND b.head = a.head AND b.mask = xor(a.mask, 1 << t.bit::INT) WHERE a.y <> b.y
+), kinds AS (
+  SELECT t.method, t.head, CASE WHEN just_before AND tests_first AND next_last AND closes AND NOT leaves_inside THEN 'count_up' WHEN before AND tests_first AND next_inside AND closes THEN 'simple_while'
+    WHEN before AND next_any AND tests_last THEN 'do_while' WHEN x.head IS NOT NULL THEN 'branches' ELSE 'unidentified' END AS loop_kind
+  FROM told t LEFT JOIN tested x ON x.method = t.method AND x.head = t.head
+)"""
+
+
+@query(f"{R}{KINDS} SELECT * FROM kinds")
+def loop_kinds_of_statements(spark, sf_dir):
+    """The kinds of the loops of all orders, items being i = 0, i = i + 1, another assignment, or a test of i."""
+    stmts, _, back = _back(spark, sf_dir)
+    s = F.col("l_suppkey") % 3
+    text = F.when(F.col("kind") == "if", F.concat(F.lit("i >= "), (F.col("l_partkey") % 10).cast("string"))).when(F.col("kind") == "assign", F.when(s == 0, "i = 0").when(s == 1, "i = i + 1").otherwise("a = b"))
+    return slices.identified_loops(stmts.withColumn("text", text), back).select("method", "head", "loop_kind")
+
+
 #: Every item of an order is a trap: over a few statements, for a class of exceptions; parts are the classes, as in ``program``.
 TRAPS = f"""{STMTS}, subtype AS (
   SELECT p_partkey AS class, p_partkey AS super FROM part UNION SELECT class, super // 2 FROM subtype WHERE super > 1

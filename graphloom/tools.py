@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import cycles, loops, program, project, reach, records, taint
+from graphloom.operators import cycles, loops, program, project, reach, records, slices, taint
 from graphloom.operators.patterns import classify_loops, operands
 from graphloom.plans.checkpoint import cut
 from graphloom.sources import classfiles, packets
@@ -126,6 +126,31 @@ def loop_conditions(facts: dict[str, DataFrame], check: bool = False) -> DataFra
     return find(program.flow_edges(facts["stmt"]), cut(bodies), ["method"])
 
 
+def _back_edges(stmts: DataFrame) -> DataFrame:
+    flow = cut(program.flow_edges(stmts))
+    roots = stmts.groupBy("method").agg(F.min("idx").alias("node"))
+    return cut(loops.back_edges(flow, loops.dominators(flow, roots, ["method"]), ["method"]))
+
+
+def vital_branches(facts: dict[str, DataFrame]) -> DataFrame:
+    """(method, head, idx, label): the tests on which leaving each loop depends."""
+    return slices.vital_branches(facts["stmt"], _back_edges(facts["stmt"]))
+
+
+def condition_methods(facts: dict[str, DataFrame]) -> DataFrame:
+    """(method, head, node, sweep, ancestor): the statements that decide on leaving each loop, and which of two methods finds them:
+    the sweep to the first choke point, and what lies behind the latest common statement."""
+    cut_ = cut(slices.loop_slices(facts["stmt"], _back_edges(facts["stmt"])))
+    keys, side = ["method", "head", "node"], lambda df, name: df.withColumn(name, F.lit(True))
+    met = side(slices.choke_conditions(cut_), "sweep").join(side(slices.ancestor_conditions(cut_), "ancestor"), keys, "full")
+    return met.select(*keys, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("sweep", "ancestor")])
+
+
+def identified_loops(stmts: DataFrame) -> DataFrame:
+    """(method, head, loop_kind, bindings, branches) of the loops of statements (method, idx, kind, targets, default_target, text)."""
+    return slices.identified_loops(stmts, _back_edges(stmts))
+
+
 def call_coverage(spark: SparkSession, path: str, facts: dict[str, DataFrame]) -> DataFrame:
     """One row: a record set's methods against an archive's, and against those its main methods call."""
     seen = packets.read(spark, path)["state"].select("method").distinct()

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from graphloom import tools
 from graphloom.operators import diagrams, slices
 
 STMT = "method string, idx int, kind string, targets array<int>"
@@ -164,3 +165,24 @@ def test_chains_end(spark):
     steps = [("a", k, k + 1) for k in range(1000)] + [("b", 5, 9)]
     found = slices.chased(spark.createDataFrame(steps, "g string, src int, dst int"), ["g"]).collect()
     assert {(r.g, r.src): r.dst for r in found} == {**{("a", k): 1000 for k in range(1000)}, ("b", 5): 9}
+
+
+def test_loops_identified_from_statements(spark):
+    rows = [
+        ("up", 0, "assign", None, "i = 0"), ("up", 1, "if", [4], "i >= 9"), ("up", 2, "assign", None, "i = i + 1"), ("up", 3, "goto", [1], None), ("up", 4, "return", None, None),
+        ("tests", 0, "if", [3], "a == b"), ("tests", 1, "if", [3], "c == d"), ("tests", 2, "goto", [0], None), ("tests", 3, "return", None, None),
+        ("ever", 10, "assign", None, "a = b"), ("ever", 20, "goto", [10], None), ("ever", 30, "return", None, None),
+        ("late", 0, "assign", None, "i = 0"), ("late", 7, "assign", None, "i = i + 1"), ("late", 9, "if", [7], "i < n"), ("late", 12, "return", None, None),
+    ]
+    stmts = spark.createDataFrame(rows, STMT + ", text string").selectExpr("*", "CAST(NULL AS int) AS default_target")
+    found = {(r.method, r.head): r for r in tools.identified_loops(stmts).collect()}
+    assert {k: r.loop_kind for k, r in found.items()} == {("up", 1): "count_up", ("tests", 0): "branches", ("ever", 10): "unidentified", ("late", 7): "do_while"}
+    assert found["tests", 0].branches == [0, 1] and found["up", 1].bindings["bound"] == "9" and found["up", 1].branches is None
+
+
+def test_conditions_by_sweep_and_ancestor(spark):
+    # two tests leave; a diamond stands between them
+    rows = [("m", 0, "if", [7]), ("m", 1, "if", [3]), ("m", 2, "assign", None), ("m", 3, "assign", None), ("m", 4, "if", [7]), ("m", 5, "assign", None), ("m", 6, "goto", [0]), ("m", 7, "return", None)]
+    cut_out = slices.loop_slices(spark.createDataFrame(rows, STMT), spark.createDataFrame([("m", 0, 6)], "method string, head int, latch int"))
+    assert sorted(r.node for r in slices.choke_conditions(cut_out).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.node for r in slices.ancestor_conditions(cut_out).collect()) == [1, 2, 3, 4, 5]

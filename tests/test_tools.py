@@ -47,6 +47,11 @@ def test_program_tools(spark, facts, jar):  # noqa: F811
     assert all(h or m == "demo.Main.fact" for a, x, b, y in shrunk for m, h in ((a, x), (b, y)))
     checked = tools.loop_conditions(f, check=True).collect()
     assert checked and {r.side for r in checked} == {"both"} and {(r.method, r.head, r.node) for r in checked} == {tuple(r) for r in tools.loop_conditions(f).select("method", "head", "node").collect()}
+    tests = tools.vital_branches(f).collect()
+    heads = {(r.method, r.head) for r in checked}
+    assert tests and {(r.method, r.head) for r in tests} <= heads and all(r.label for r in tests)
+    methods = tools.condition_methods(f).collect()
+    assert methods and all(r.sweep or r.ancestor for r in methods) and any(r.sweep and r.ancestor for r in methods)
     made = tools.app(spark, "demo", jar)
     assert made["app"].first().main_class == "demo.Main"
 
