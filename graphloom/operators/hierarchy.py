@@ -1,4 +1,4 @@
-"""Trees of (node, parent): closures, roll-ups, filters, name tries and prefix attachment."""
+"""Trees of (node, parent): closures, lowest common ancestors, filters, name tries and prefix attachment."""
 
 from __future__ import annotations
 

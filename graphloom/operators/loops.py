@@ -148,8 +148,24 @@ def back_edges(edges: DataFrame, dom: DataFrame, group: Sequence[str]) -> DataFr
     return simple(edges, group).withColumnsRenamed({"src": "latch", "dst": "head"}).join(dom.withColumnsRenamed({"node": "latch", "dom": "head"}), [*group, "latch", "head"], "left_semi").select(*group, "head", "latch")
 
 
-def natural_loops(edges: DataFrame, back: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group, head, member): each head's loop: it, and all that reach its latches without passing it."""
+def _bodies(srcs: list, dsts: list, heads: list, latches: list) -> list[tuple]:
+    """(head, member) of the loops of one small graph."""
+    before: dict = {}
+    for a, b in zip(srcs, dsts):
+        before.setdefault(b, []).append(a)
+    own: dict = {}
+    for head, latch in zip(heads, latches):
+        members, todo = own.setdefault(head, {head}), [latch]
+        while todo:
+            node = todo.pop()
+            if node not in members:
+                members.add(node)
+                todo += before.get(node, ())
+    return [(head, m) for head, members in own.items() for m in members]
+
+
+def natural_loops_by_rounds(edges: DataFrame, back: DataFrame, group: Sequence[str]) -> DataFrame:
+    """As ``natural_loops``, for graphs of any size, a round a step."""
     before = dealt(simple(edges, group).withColumnsRenamed({"dst": "member", "src": "_before"}), [*group, "member"])
     open_ = lambda at: at.where(F.col("head") != F.col("member"))
     step = lambda at: open_(at).join(before, [*group, "member"]).select(*group, "head", F.col("_before").alias("member"))
@@ -159,6 +175,30 @@ def natural_loops(edges: DataFrame, back: DataFrame, group: Sequence[str]) -> Da
     return found
 
 
+def natural_loops(edges: DataFrame, back: DataFrame, group: Sequence[str], most_edges: int = 200_000) -> DataFrame:
+    """(group, head, member): each head's loop: it, and all that reach its latches without passing it.
+
+    Graphs of at most ``most_edges`` edges are solved as one row each, larger ones by joins; which they are is counted first.
+    """
+    group, kind = list(group), dict(edges.dtypes)["src"]
+    if not group:
+        return natural_loops_by_rounds(edges, back, group)
+    with_loops = simple(edges, group).join(back.select(*group).distinct(), group, "left_semi")
+    large = cut(with_loops.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).drop("n"))
+
+    @F.pandas_udf(f"array<struct<head:{kind},member:{kind}>>")
+    def solve(srcs: pd.Series, dsts: pd.Series, heads: pd.Series, latches: pd.Series) -> pd.Series:
+        return pd.Series([_bodies(*row) for row in zip(srcs, dsts, heads, latches)])
+
+    ends = back.groupBy(*group).agg(F.collect_list("head").alias("heads"), F.collect_list("latch").alias("latches"))
+    small = small_graphs(with_loops.join(large, group, "left_anti"), group).join(ends, group)
+    found = cut(small.select(*group, F.explode(solve("srcs", "dsts", "heads", "latches")).alias("r")).select(*group, "r.head", "r.member"))
+    if large.isEmpty():
+        return found
+    of = lambda df: df.join(large, group, "left_semi")
+    return found.unionByName(natural_loops_by_rounds(of(edges), of(back), group))
+
+
 def loop_forest(bodies: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, head, parent, depth, n_members): loops nest where one holds another's head; the smallest such is the parent."""
     sizes = bodies.groupBy(*group, "head").agg(F.count(F.lit(1)).alias("n_members"))

@@ -86,6 +86,13 @@ def app_calls(calls: DataFrame, classes: DataFrame) -> DataFrame:
     return out.select(*calls.columns)
 
 
+def unknown_targets(calls: DataFrame, classes: DataFrame) -> DataFrame:
+    """(dst_class, n_callers, n_calls): the classes that calls (src_class, dst_class) name and ``classes`` (name) lacks, with how many classes call them."""
+    missing = calls.join(classes.select(F.col("name").alias("dst_class")), "dst_class", "left_anti")
+    per = missing.groupBy("dst_class", "src_class").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("dst_class").agg(F.count(F.lit(1)).alias("n_callers"), F.sum("n").alias("n_calls"))
+
+
 def call_origins(calls: DataFrame, classes: DataFrame) -> DataFrame:
     """(src_origin, dst_origin, n) of calls; origin null for unknown classes."""
     named = classes.select(F.col("name").alias("_c"), F.col("origin").alias("_o"))

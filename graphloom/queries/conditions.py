@@ -223,6 +223,21 @@ def unwound_exceptions(spark, sf_dir):
     return program.unwound(thrown, calls, traps, subtype)
 
 
+@query("SELECT l_partkey AS dst_class, count(DISTINCT l_suppkey) AS n_callers, count(*) AS n_calls FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1")
+def unknown_targets(spark, sf_dir):
+    """Items as calls of their supplier to their part, of which those above size 25 are known classes."""
+    calls = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src_class"), F.col("l_partkey").alias("dst_class"))
+    return program.unknown_targets(calls, table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("name")))
+
+
+@query("WITH RECURSIVE met AS (SELECT o_orderkey AS node FROM orders WHERE o_orderpriority LIKE '1%' UNION SELECT l.l_partkey FROM met m JOIN lineitem l ON l.l_orderkey = m.node) SELECT node FROM met")
+def call_closure(spark, sf_dir):
+    """Orders reached from the urgent ones, an item calling the order with its part's number."""
+    calls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("caller"), F.col("l_partkey").alias("callee"))
+    main = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("node"))
+    return program.call_closure(calls, main)
+
+
 @query(
     "WITH RECURSIVE log AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'click' THEN 'redo' WHEN 'purchase' THEN 'show' ELSE 'hide' END AS op, floor(value)::BIGINT % 7 AS id FROM events"
     "), walk AS (SELECT DISTINCT user_id, 0::BIGINT AS seq, []::STRUCT(op VARCHAR, id BIGINT)[] AS stack, 0 AS depth, []::BIGINT[] AS own FROM log UNION ALL SELECT * FROM ("

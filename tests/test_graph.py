@@ -53,6 +53,7 @@ def test_dominators_and_loops(spark):
     back = loops.back_edges(e, dom, G)
     assert rows(back, "head", "latch") == [("a", "b"), ("d", "d")]
     bodies = loops.natural_loops(e, back, G)
+    assert sorted(bodies.collect()) == sorted(loops.natural_loops(e, back, G, most_edges=2).select(bodies.columns).collect())
     assert rows(bodies, "head", "member") == [("a", "a"), ("a", "b"), ("d", "d")]
     assert rows(loops.loop_exits(e, bodies, G), "head", "src", "dst") == [("a", "b", "c")]
     kinds = loops.loop_kinds(e, bodies, back, node(spark, []), G)
