@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.reach import nodes, reachable, reachable_pairs
-from graphloom.operators.records import covering
+from graphloom.operators.records import covering, in_own_pieces
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
 
@@ -135,13 +135,16 @@ def supergraph(flow: DataFrame, targets: DataFrame, stmts: DataFrame) -> DataFra
     return within.unionByName(call).unionByName(back).distinct()
 
 
+TRAP = ("method", "begin_idx", "end_idx", "exception", "ord", "handler_idx")
+
+
 def handlers(stmts: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFrame:
     """(method, idx, thrown, handler_idx): the first trap in table order that covers the statement and takes the type.
 
     ``stmts`` has a column thrown; where no trap does, the handler is null and the caller unwinds.
     """
     thrown = stmts.select("method", "idx", "thrown")
-    covered = covering(thrown, traps.select("method", "begin_idx", "end_idx", "exception", "ord", "handler_idx"), ["method"], "idx", "begin_idx", "end_idx")
+    covered = covering(thrown, traps if "_piece" in traps.columns else traps.select(*TRAP), ["method"], "idx", "begin_idx", "end_idx")
     fits = subtype.select(F.col("class").alias("thrown"), F.col("super").alias("exception"))
     met = thrown.distinct().join(covered, ["method", "idx"]).join(fits, ["thrown", "exception"])
     first = met.groupBy("method", "idx", "thrown").agg(F.min_by("handler_idx", "ord").alias("handler_idx"))
@@ -155,7 +158,8 @@ def unwound(thrown: DataFrame, calls: DataFrame, traps: DataFrame, subtype: Data
     idx, callee) that call the method; each statement once for a type, so recursion ends. A null handler at a
     statement of a method that nothing calls is an error of the program.
     """
-    callers = calls.select(F.col("callee").alias("_m"), F.col("method").alias("_caller"), F.col("idx").alias("_at"))
+    callers = cut(calls.select(F.col("callee").alias("_m"), F.col("method").alias("_caller"), F.col("idx").alias("_at")))
+    traps = in_own_pieces(traps.select(*TRAP), "begin_idx", "end_idx")
     found = []
 
     def step(at: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -160,11 +161,14 @@ def visible_at(log: DataFrame, version: int, key: str = "id") -> DataFrame:
 def first_match(rows: DataFrame, rules: DataFrame, text: str, default: bool = True) -> DataFrame:
     """``rows`` with ``included``: the include flag of the first rule (ord, include, pattern) whose pattern the text matches.
 
-    The rules are a short list that a user wrote; their patterns and flags become one conditional expression.
+    The rules are a list that a user wrote. Up to a thousand patterns and flags become one conditional expression;
+    longer lists are one array, whose first match counts.
     """
-    listed = rules.orderBy("ord").limit(1001).collect()
+    listed = rules.orderBy("ord").collect()
     if len(listed) > 1000:
-        raise ValueError("more than 1000 rules")
+        texts = F.from_json(F.lit(json.dumps([[r["pattern"], str(r["include"]).lower()] for r in listed])), "array<array<string>>")
+        first = F.get(F.filter(texts, lambda r: F.regexp_like(F.col(text), r[0])), F.lit(0))
+        return rows.withColumn("included", F.coalesce(first[1].cast("boolean"), F.lit(default)))
     out = F.lit(default)
     for rule in reversed(listed):
         out = F.when(F.col(text).rlike(rule["pattern"]), F.lit(rule["include"])).otherwise(out)
@@ -188,14 +192,19 @@ def in_pieces(points: DataFrame, at: str, cut_: DataFrame) -> DataFrame:
     return dealt.withColumn("_piece", F.call_function("shiftright", F.col(at).cast("long"), F.col("_level")))
 
 
+def in_own_pieces(ranges: DataFrame, begin: str, end: str) -> DataFrame:
+    """``ranges`` with _level and _piece, a row for each of their pieces, kept for several uses by ``covering``."""
+    return cut(ranges.withColumn("_p", F.explode(pieces(F.col(begin), F.col(end)))).select(*ranges.columns, F.col("_p.level").alias("_level"), F.col("_p.piece").alias("_piece")))
+
+
 def covering(points: DataFrame, ranges: DataFrame, key: Sequence[str], at: str, begin: str, end: str) -> DataFrame:
     """(key, at, the other columns of ``ranges``): each place of ``points``, once, with every range of its key that has begin <= at < end.
 
     at, begin and end are whole numbers. A place is in one piece of each level, a range is made of pieces of its own,
     so both meet by equality of key, level and piece, and a key with very many places and ranges is as many join keys as
-    they have pieces.
+    they have pieces. ``ranges`` may come from ``in_own_pieces``.
     """
-    cut_ = cut(ranges.withColumn("_p", F.explode(pieces(F.col(begin), F.col(end)))).select(*ranges.columns, F.col("_p.level").alias("_level"), F.col("_p.piece").alias("_piece")))
+    cut_ = ranges if "_piece" in ranges.columns else in_own_pieces(ranges, begin, end)
     spots = points.select(*key, at).distinct().dropna()
     return in_pieces(spots, at, cut_).join(cut_, [*key, "_level", "_piece"]).drop("_level", "_piece")
 

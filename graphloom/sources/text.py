@@ -29,7 +29,7 @@ def library_prefixes(spark: SparkSession, path: str) -> DataFrame:
 def rules(spark: SparkSession, path: str) -> DataFrame:
     """(ord, include, pattern) of a file's lines ``+regex`` and ``-regex``; others are left out."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
-    return lines.where(F.substring("value", 1, 1).isin("+", "-")).select("ord", (F.substring("value", 1, 1) == "+").alias("include"), F.substring("value", 2, 10_000).alias("pattern"))
+    return lines.where(F.substring("value", 1, 1).isin("+", "-")).select("ord", (F.substring("value", 1, 1) == "+").alias("include"), F.expr("substring(value, 2)").alias("pattern"))
 
 
 def matches_prefix(classes: DataFrame, prefixes: DataFrame, name: str = "name") -> DataFrame:

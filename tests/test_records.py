@@ -103,6 +103,9 @@ def test_rules(spark):
     rows_ = spark.createDataFrame([("a.B",), ("a.C",), ("x",)], "name string")
     rules = spark.createDataFrame([(2, False, "^a"), (1, True, "B$")], "ord int, include boolean, pattern string")
     assert {r.name: r.included for r in records.first_match(rows_, rules, "name").collect()} == {"a.B": True, "a.C": False, "x": True}
+    many = spark.createDataFrame([(k, k % 2 == 0, f"^n{k}$") for k in range(1200)] + [(2000, False, "^a")], "ord int, include boolean, pattern string")
+    named = rows_.unionByName(spark.createDataFrame([("n7",), ("n8",)], "name string"))
+    assert {r.name: r.included for r in records.first_match(named, many, "name").collect()} == {"a.B": False, "a.C": False, "x": True, "n7": False, "n8": True}
 
 
 @pytest.mark.parametrize("version,hidden", [(1, [("a",)]), (2, [("a",), ("b",)]), (3, [("b",)])])
