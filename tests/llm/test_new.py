@@ -7,10 +7,11 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from graphloom.llm import filteraudit, licenses, merkle, suffixdedup, toxicity
+from graphloom.llm import catalog, filteraudit, licenses, merkle, suffixdedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -272,3 +273,16 @@ def test_many_license_phrases_in_one_text(spark):
     text = "under the mit license apache 2 " * n
     found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert (found.n_words, found.n_base, found.first_word, found.last_word, found.base_labels) == (6 * n, n, 0, 6 * (n - 1), "mit")
+
+
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_merkle", "op13_suffix_dedup"])
+def test_queries_like_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    found = catalog.QUERIES[name](spark, sf)
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = db.execute(catalog.ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)

@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "decontamination", "mix"]
-    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 14))
 
 
 def test_exact_copies_and_leaks_go(spark):
