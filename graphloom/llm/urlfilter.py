@@ -10,7 +10,7 @@ from graphloom.plans.checkpoint import stored
 from graphloom.plans.sizes import small_side
 
 #: Fixed values of the contract: (verdict, host and path).
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Host words that label a url as unwanted where nobody has labelled it.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "warez")
 BLOCK = "label=block"
