@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from graphloom.plans.checkpoint import stored
 from graphloom.plans.sizes import small_side
 
+#: Rows among which the k-th best bounds what is near from below; pairs scored at once; a share of the norms' product beyond rounding.
+FLOOR_ROWS, PAIRS, SLACK = 2048, 65_536, 1e-12
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, with all components finite and one not zero."""
@@ -62,12 +65,9 @@ class Quantiser:
         rest = rows - self.coarse[cells]
         return cells, np.stack([assign(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)], axis=1).astype(np.uint8)
 
-    def estimate(self, queries: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries with coded rows of these cells, from each query's tables for cells and parts."""
-        out = (queries @ self.coarse.T).astype(np.float32)[:, cells]
-        for j, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
-            out += (queries[:, a:b] @ self.books[j].T).astype(np.float32)[:, codes[:, j]]
-        return out
+    def decode(self, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes of rows of these cells stand for; inner products with it are the estimates."""
+        return self.coarse[cells] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -92,9 +92,12 @@ def search(
 
     The quantiser is fitted on at most ``sample_rows`` rows in order of the hash of the id; all rows are
     indexed. A query probes cells by the inner product with their centroids until they hold ``probe_share``
-    of all rows, and ``least_probed`` rows at least. Small cells share a bin and large ones are cut over
-    several, of some ``chunk_rows`` rows each, which meet the queries in blocks, so no task holds more; the
-    ``rerank`` best estimates of each bin, of equal ones those of the smaller ids, are scored exactly there.
+    of all rows, and ``least_probed`` rows at least; and beyond these every cell whose radius leaves room for
+    one of the k nearest. Small cells share a bin and large ones are cut over several, of some ``chunk_rows``
+    rows each, which meet the queries in blocks, so no task holds more. The ``rerank`` best estimates of each
+    bin, of equal ones those of the smaller ids, are scored exactly there, and then all rows whose estimate is
+    no farther below the k-th of these than their code is off. By Cauchy and Schwarz neither bound loses a
+    nearest row, whatever the vectors; where they are without clusters, the bounds admit most cells.
 
     Vectors null, zero, or with a null or non-finite component, and rows with a null id take no part. Vectors
     of different lengths have no inner product: each length, of which there are few, has an index of its own.
@@ -118,36 +121,51 @@ def _search(good: DataFrame, n: int, k: int, every: int, sample_rows: int, most_
     fitted = _matrix(good.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).select("vector").toPandas().vector)  # bounded by sample_rows
     cells = max(1, min(most_cells, round(2 * n**0.5), len(fitted) // 8))
     quantiser = spark.sparkContext.broadcast(Quantiser.fit(fitted, cells, parts))
+    some = spark.sparkContext.broadcast(fitted[:FLOOR_ROWS])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                cell, codes = quantiser.value.encode(_matrix(rows.vector))
-                yield rows.assign(cell=cell.astype("int32"), codes=[c.tobytes() for c in codes])
-
-    index = stored(good.mapInPandas(encode, "vec_id long, vector array<double>, row long, cell int, codes binary"), "index")
-    sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row a cell
-    counts = np.zeros(cells, np.int64)
-    counts[sizes.cell] = sizes.n
+                own = _matrix(rows.vector)
+                cell, codes = quantiser.value.encode(own)
+                off = np.linalg.norm(own - quantiser.value.decode(cell, codes), axis=1)
+                far = np.linalg.norm(own - quantiser.value.coarse[cell], axis=1)
+                yield rows.assign(cell=cell.astype("int32"), codes=[c.tobytes() for c in codes], off=off, far=far)
+
+    index = stored(good.mapInPandas(encode, "vec_id long, vector array<double>, row long, cell int, codes binary, off double, far double"), "index")
+    sizes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toPandas()  # one row a cell
+    counts, radius = np.zeros(cells, np.int64), np.zeros(cells)
+    counts[sizes.cell], radius[sizes.cell] = sizes.n, sizes.far
     first, pieces = _bins(counts, chunk_rows)
     wanted = min(n, max(round(probe_share * n), least_probed))
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coarse = quantiser.value.coarse
+        reach = np.linalg.norm(coarse, axis=1) + radius
         for rows in batches:
-            order = np.argsort(-(_matrix(rows.vector) @ coarse.T), axis=1, kind="stable") if len(rows) else ()
-            for qid, row, vector, own in zip(rows.vec_id, rows.row, rows.vector, order):
-                probed = own[: int((np.cumsum(counts[own]) < wanted).sum()) + 1]
+            if not len(rows):
+                continue
+            asking = _matrix(rows.vector)
+            centred, long = asking @ coarse.T, np.linalg.norm(asking, axis=1)
+            # The k-th nearest is no worse than that of some rows, the query itself left out.
+            floors = np.full(len(rows), -np.inf)
+            if len(some.value) > k:
+                floors = -np.partition(-(asking @ some.value.T), k, axis=1)[:, k] - SLACK * long * reach.max()
+            room = ~(centred + long[:, None] * radius * (1 + SLACK) < floors[:, None])
+            order = np.argsort(-centred, axis=1, kind="stable")
+            for qid, row, vector, own, floor, able in zip(rows.vec_id, rows.row, rows.vector, order, floors, room):
+                first_ones = int((np.cumsum(counts[own]) < wanted).sum()) + 1
+                probed = np.concatenate([own[:first_ones], own[first_ones:][able[own[first_ones:]]]])
                 probed = probed[counts[probed] > 0]
                 spread = np.repeat(probed, pieces[probed])
                 bins = first[spread] + np.concatenate([np.arange(p) for p in pieces[probed]])
                 by_bin = np.argsort(bins, kind="stable")
                 names, starts = np.unique(bins[by_bin], return_index=True)
-                yield pd.DataFrame({"query_id": qid, "query_row": row, "query": [vector] * len(names), "bin": names, "probed": np.split(spread[by_bin].astype("int32"), starts[1:])})
+                yield pd.DataFrame({"query_id": qid, "query_row": row, "query": [vector] * len(names), "floor": floor, "bin": names, "probed": np.split(spread[by_bin].astype("int32"), starts[1:])})
 
     per_block = 8192
     blocks = max(1, -(-n // (every * per_block)))
-    asked = good.where(F.col("vec_id") % every == 0).mapInPandas(probes, "query_id long, query_row long, query array<double>, bin long, probed array<int>")
+    asked = good.where(F.col("vec_id") % every == 0).mapInPandas(probes, "query_id long, query_row long, query array<double>, floor double, bin long, probed array<int>")
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "query_row"), F.lit(blocks)).cast("int"))
     at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
     held = index.withColumn("bin", at(first) + F.pmod(F.xxhash64(F.lit(5), "row"), at(pieces))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -157,7 +175,8 @@ def _search(good: DataFrame, n: int, k: int, every: int, sample_rows: int, most_
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "query_row": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         rows = rows.sort_values(["vec_id", "row"], ignore_index=True)  # equal estimates are taken in this order
         own, ids, numbers, own_cells = _matrix(rows.vector), rows.vec_id.to_numpy(), rows.row.to_numpy(), rows.cell.to_numpy()
-        codes = np.frombuffer(b"".join(rows.codes), np.uint8).reshape(len(rows), -1)
+        coded = quantiser.value.decode(own_cells, np.frombuffer(b"".join(rows.codes), np.uint8).reshape(len(rows), -1))
+        off, reach = rows.off.to_numpy(), np.linalg.norm(own, axis=1).max()
         found, most = [], min(rerank, len(rows))
         for i in range(0, len(queries), 128):
             part = queries.iloc[i : i + 128]
@@ -166,14 +185,25 @@ def _search(good: DataFrame, n: int, k: int, every: int, sample_rows: int, most_
             for j, probed in enumerate(part.probed):
                 open_[j, probed] = True
             allowed = open_[:, own_cells] & (numbers[None, :] != qrow[:, None])
-            best = _first(np.where(allowed, quantiser.value.estimate(block, own_cells, codes), -np.inf), most)
-            exact = np.where(np.take_along_axis(allowed, best, 1), np.einsum("qd,qmd->qm", block, own[best]), -np.inf)
-            theirs = ids[best]
-            top = np.lexsort((theirs, -exact), axis=1)[:, :k]
-            wide = top.shape[1]
-            found.append(pd.DataFrame({"query_id": np.repeat(qid, wide), "query_row": np.repeat(qrow, wide), "vec_id": np.take_along_axis(theirs, top, 1).ravel(), "score": np.take_along_axis(exact, top, 1).ravel()}))
-        got = pd.concat(found)
-        return got[got.score > -np.inf]
+            guess, slack = np.where(allowed, block @ coded.T, -np.inf), SLACK * np.linalg.norm(block, axis=1) * reach
+            floor = part.floor.to_numpy()
+            if most > k:
+                best = _first(guess, most)
+                first_scores = np.where(np.take_along_axis(allowed, best, 1), np.einsum("qd,qmd->qm", block, own[best]), -np.inf)
+                floor = np.fmax(floor, -np.partition(-first_scores, k - 1, axis=1)[:, k - 1] - slack)
+            near_by = allowed & ~(guess + np.linalg.norm(block, axis=1)[:, None] * off < (floor - slack)[:, None])
+            if np.count_nonzero(near_by) > near_by.size // 8:
+                # So many pairs are multiplied at once; what remains is scored again, as equal vectors must have equal scores.
+                rough = np.where(near_by, block @ own.T, -np.inf)
+                if rough.shape[1] > k:
+                    near_by &= ~(rough < (-np.partition(-rough, k - 1, axis=1)[:, k - 1] - 2 * slack)[:, None])
+            at, of = np.nonzero(near_by)
+            exact = np.concatenate([np.einsum("pd,pd->p", block[at[p : p + PAIRS]], own[of[p : p + PAIRS]]) for p in range(0, len(at), PAIRS)] or [np.zeros(0)])
+            sorted_ = np.lexsort((ids[of], -exact, at))
+            at, of, exact = at[sorted_], of[sorted_], exact[sorted_]
+            top = np.arange(len(at)) - np.searchsorted(at, at) < k
+            found.append(pd.DataFrame({"query_id": qid[at[top]], "query_row": qrow[at[top]], "vec_id": ids[of[top]], "score": exact[top]}))
+        return pd.concat(found)
 
     keys = ["bin", "block"]
     near = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(meet, "query_id long, query_row long, vec_id long, score double")

@@ -241,6 +241,20 @@ def test_nearest_ties(spark):
         assert got[q] == [i for i in range(0, 66, 3) if i != q][:20]
 
 
+def test_nearest_misses_none(spark):
+    """Vectors of very different lengths, and queries that point away from all: every nearest one is found."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(4000, 24))
+    for rows in (m * np.exp(1.5 * rng.normal(size=(4000, 1))), np.where(np.arange(4000)[:, None] % 20 == 0, -3.0, 3.0) + m):
+        got = {}
+        for x in ann.search(vectors(spark, [(i, [float(x) for x in v]) for i, v in enumerate(rows)])).collect():
+            got.setdefault(x.query_id, set()).add(x.vec_id)
+        for q in range(0, 4000, 20):
+            near = rows @ rows[q]
+            near[q] = -np.inf
+            assert got[q] == set(np.argsort(-near)[:20].tolist())
+
+
 def test_nearest_few_and_none(spark):
     few = vectors(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.0, 1.0])])
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(few).orderBy("rank").collect()]
