@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, fixpoint
+from graphloom.plans.sizes import small_side
+
 
 def variable(literal: Column) -> Column:
     return F.regexp_replace(literal, "^!", "")
@@ -27,12 +29,22 @@ def consistent(term: Column) -> Column:
 def simplified(formulas: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(formula, term) without contradictory, repeated and absorbed terms, pairs that differ in one sign made one.
 
-    Resolvents are added until there are no new ones, then terms that hold another go.
+    Resolvents are added until there are no new ones, then terms that hold another go. Formulas of the same terms are
+    simplified once: rounds work on the different sets of terms, and a formula takes what its set gives.
     """
-    clean = formulas.select("formula", F.array_sort(F.array_distinct("term")).alias("term")).where(consistent(F.col("term"))).distinct()
+    clean = formulas.select("formula", F.array_sort(F.array_distinct("term")).alias("term")).where(consistent(F.col("term")))
+    sets = clean.groupBy("formula").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    keyed = cut(sets.select("formula", F.sha2(F.to_json("terms"), 256).alias("_set"), "terms"))
+    kinds = keyed.dropDuplicates(["_set"]).select(F.col("_set").alias("formula"), F.explode("terms").alias("term"))
+    made = cut(_simplified(kinds, max_rounds).withColumnRenamed("formula", "_set"))
+    return keyed.select("formula", "_set").join(small_side(made), "_set").select("formula", "term")
+
+
+def _simplified(formulas: DataFrame, max_rounds: int) -> DataFrame:
+    """``simplified`` of distinct, consistent terms."""
     split = lambda df: df.select("formula", F.explode("term").alias("x"), "term").select("formula", "x", F.array_remove("term", F.col("x")).alias("term"))
     step = lambda at: split(at).withColumn("x", negated(F.col("x"))).join(split(known[0]), ["formula", "x", "term"]).select("formula", "term")
-    known = [cut(clean)]
+    known = [cut(formulas)]
     for _ in range(max_rounds):
         new = cut(step(known[0]).distinct().join(known[0], ["formula", "term"], "left_anti"))
         if new.isEmpty():

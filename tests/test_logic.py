@@ -135,3 +135,12 @@ def test_names(spark):
     assert spark.range(1).select(names.duration(F.lit(3723)), names.percent(F.lit(1), F.lit(3))).first()[:] == ("1h 02m 03s", "33.33")
     toks = spark.range(1).select(names.tokens(F.lit('int x = f("a;b"); // end'))).first()[0]
     assert [(t.token, t.kind) for t in toks][:3] == [("int", "keyword"), ("x", "other"), ("f", "other")] and toks[-1].kind == "comment"
+
+
+def test_formulas_of_the_same_terms_are_simplified_once(spark, monkeypatch):
+    given, plain = [], boolean._simplified
+    monkeypatch.setattr(boolean, "_simplified", lambda f, n: given.append(f) or plain(f, n))
+    terms = ([["A", "B"], ["!B", "A"], ["C", "!C"]], [["A", "B"], ["B"], ["A", "B"]])
+    df = spark.createDataFrame([(i, t) for i in range(300) for t in terms[i % 2]] + [(900, ["D", "!D"]), (901, [])], "formula long, term array<string>")
+    assert sorted((r.formula, r.term) for r in boolean.simplified(df).collect()) == [(i, [["A"], ["B"]][i % 2]) for i in range(300)] + [(901, [])]
+    assert given[0].count() == 5
