@@ -13,6 +13,7 @@ from graphloom.operators.reach import nodes, reachable, reachable_pairs
 from graphloom.operators.records import covering, in_own_pieces
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
+from graphloom.plans.sizes import small_side
 
 
 def supers(classes: DataFrame) -> DataFrame:
@@ -160,13 +161,16 @@ def unwound(thrown: DataFrame, calls: DataFrame, traps: DataFrame, subtype: Data
     """
     callers = cut(calls.select(F.col("callee").alias("_m"), F.col("method").alias("_caller"), F.col("idx").alias("_at")))
     traps = in_own_pieces(traps.select(*TRAP), "begin_idx", "end_idx")
+    # Types only travel: rounds need the classes above those thrown at the start, not the whole hierarchy.
+    types = small_side(cut(thrown.select(F.col("thrown").alias("class")).distinct()))
+    subtype = small_side(cut(subtype.join(types, "class", "left_semi")))
     found = []
 
     def step(at: DataFrame) -> DataFrame:
         met = cut(handlers(at, traps, subtype))
         found.append(met)
         leaving = met.where(F.col("handler_idx").isNull()).select(F.col("method").alias("_m"), "thrown").distinct()
-        return leaving.join(callers, "_m").select(F.col("_caller").alias("method"), F.col("_at").alias("idx"), "thrown")
+        return leaving.join(callers.hint("merge"), "_m").select(F.col("_caller").alias("method"), F.col("_at").alias("idx"), "thrown")
 
     fixpoint(thrown, step, ["method", "idx", "thrown"])
     out = found[0]
