@@ -33,12 +33,8 @@ def shingles(text: str | None, width: int = 3) -> list[int]:
     return [hashed(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :])] or [hashed(joined, seed)]
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The fingerprint of one text, unsigned; 0 if it has no word.
-
-    A bit is 1 if it is set in over half of the shingles.
-    """
-    values = shingles(text, width)
+def bits(values: np.ndarray) -> int:
+    """The 64 bits, unsigned, of which each is 1 if it is set in over half of the values; 0 for none."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(values), CHUNK):
         part = np.array(values[k : k + CHUNK], np.uint64)
@@ -46,6 +42,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(values), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The fingerprint of one text, unsigned; 0 if it has no word.
+
+    A bit is 1 if it is set in over half of the shingles.
+    """
+    return bits(shingles(text, width))
+
+
 def fingerprints(text: Column | str, width: int = 3) -> Column:
     """The fingerprints of a text column as signed longs."""
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, an exact test decides."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links and MinHash bands find candidates, an exact test decides."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.simhash import SEED, one_of_each, shingles
+from graphloom.llm.simhash import SEED, bits, near, one_of_each, shingles
 from graphloom.plans.checkpoint import stored
 from graphloom.plans.sizes import small_side
 
@@ -43,14 +43,15 @@ def bands(hashed: np.ndarray) -> list[int]:
 
 
 def signatures(text: Column | str, width: int = 5) -> Column:
-    """struct<set, bands>: the hash of a text's set of shingles, and its bands."""
+    """struct<set, fp, bands>: the hash of a text's set of shingles, the set's fingerprint, and its bands."""
 
-    @F.pandas_udf("set long, bands array<long>")
+    @F.pandas_udf("set long, fp long, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, width) for t in texts]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"set": names, "bands": [bands(s) for s in sets]})
+            prints = np.array([bits(s) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"set": names, "fp": prints, "bands": [bands(s) for s in sets]})
 
     return of(text)
 
@@ -95,19 +96,19 @@ def one_of_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``docs`` with one row of each group of texts linked by shingles of ``width`` words at ``similarity`` or more.
 
     The row of the least id stays (nulls last), of these that with the least text hash. Equal sets of shingles
-    are one entry. Within a band all pairs are tested, where over ``hot`` entries share it by way of its head:
-    see ``crowded_links``. Texts without a word are equal; no rows give none; columns keep their names.
+    are one entry. Entries whose fingerprints link are tested (``print_pairs``), and within a band, for what a
+    fingerprint's few bits can't reach, all pairs, where over ``hot`` entries share it by way of its head: see ``crowded_links``. Texts without a word are equal; no rows give none; columns keep their names.
     """
     hashed = F.xxhash64(text_column)
-    printed = docs.select(F.col(id_column).alias("doc_id"), hashed.alias("_text"), signatures(F.col(text_column), width).alias("s")).select("doc_id", "_text", "s.set", "s.bands")
+    printed = docs.select(F.col(id_column).alias("doc_id"), hashed.alias("_text"), signatures(F.col(text_column), width).alias("s")).select("doc_id", "_text", "s.set", "s.fp", "s.bands")
     printed = stored(printed, "signatures")
-    distinct = printed.groupBy("set").agg(F.min("_text").alias("_text"), F.first("bands").alias("bands"))
+    distinct = printed.groupBy("set").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     each = stored(distinct.select("set", F.explode("bands").alias("key")), "bands")
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = stored(each.join(shared, "key"), "band-members")
     few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
     within = few.select("key", F.col("set").alias("a")).join(few.select("key", F.col("set").alias("b")), "key").where("a < b")
-    links = _verified(within.select("a", "b").distinct(), docs, text_column, printed, similarity, width)
+    links = _verified(within.select("a", "b").unionAll(print_pairs(printed.select("set", "fp").distinct())).distinct(), docs, text_column, printed, similarity, width)
     if not many.isEmpty():
         links = crowded_links(links, members, many.select("key", "set"), docs, text_column, printed, similarity, width)
     linked = components(links)
@@ -115,6 +116,19 @@ def one_of_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return one_of_each(docs, named, id_column, text_column)
 
 
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``sets`` (set, fp) whose fingerprints link by the index of ``simhash.near``, a < b.
+
+    A fingerprint that several sets have is looked up once, by its least set, which is paired with the others: n sets
+    of near fingerprints make pairs of their heads and n more. The bands pair what is alike to others than to its head.
+    """
+    heads = stored(sets.groupBy("fp").agg(F.min("set").alias("head")), "print-heads")
+    same = sets.join(heads, "fp").where("set != head").select(F.col("head").alias("a"), F.col("set").alias("b"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}"))
+    met = near(heads).join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return same.unionAll(met)
+
+
 def crowded_links(links: DataFrame, members: DataFrame, many: DataFrame, docs: DataFrame, text_column: str, printed: DataFrame, similarity: float, width: int) -> DataFrame:
     """``links`` with enough of those within crowded bands (key, set) to join whatever all pairs there would join.
 

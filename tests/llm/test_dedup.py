@@ -228,6 +228,17 @@ def test_one_of_similar_texts(spark, words, hot):
     assert similar.one_of_similar(frame(spark, [])).count() == 0
 
 
+def test_similar_texts_link_by_fingerprint_where_no_band_does(spark, words, monkeypatch):
+    """The SimHash step finds by itself what differs in at most three bits; the exact test keeps what isn't similar apart."""
+    monkeypatch.setattr(similar, "bands", lambda hashed: [])
+    base = [words[k % len(words)] for k in range(400)]
+    near = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in (0, 399)]
+    prints = [simhash.bits(similar.shingle_set(t)) for t in (" ".join(base), *near)]
+    assert 0 < max(bin(prints[0] ^ p).count("1") for p in prints) <= 3
+    rows = [(1, " ".join(base), "s"), (2, near[0], "s"), (3, near[1], "s"), (4, " ".join(reversed(base)), "s")]
+    assert sorted(r.doc_id for r in similar.one_of_similar(frame(spark, rows)).collect()) == [1, 4]
+
+
 def test_crowded_bands_join_as_all_pairs_do(spark, words):
     """Copies of one text with few to many changes, of which some are alike to each other but not to the text."""
     rng = random.Random(33)
