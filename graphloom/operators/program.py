@@ -53,6 +53,7 @@ def nearest_override(methods: DataFrame, above: DataFrame) -> DataFrame:
     declared = methods.select("class", "subsig").distinct()
     here = declared.withColumnsRenamed({"class": "target"}).withColumn("_hit", F.lit(True))
     up = above.select(F.col("class").alias("target"), F.col("super").alias("_up"))
+    up, here = cut(up).hint("merge"), cut(here).hint("merge")  # neither is sent to the driver in every round
     climb = lambda at: at.join(up, "target").select("class", "subsig", F.col("_up").alias("target"))
     step = lambda at: climb(at.join(here, ["target", "subsig"], "left_anti"))
     walked = fixpoint(climb(declared.withColumn("target", F.col("class"))), step, ["class", "subsig", "target"])
@@ -61,12 +62,13 @@ def nearest_override(methods: DataFrame, above: DataFrame) -> DataFrame:
 
 def override_chain(methods: DataFrame, above: DataFrame) -> DataFrame:
     """(class, subsig, target, depth): the declarations of a method in the superclasses, the class itself first."""
-    up = above.select(F.col("class").alias("target"), F.col("super").alias("_up"))
+    up = cut(above.select(F.col("class").alias("target"), F.col("super").alias("_up"))).hint("merge")
     step = lambda at: at.join(up, "target").select("class", F.col("_up").alias("target"), (F.col("depth") + 1).alias("depth"))
     start = methods.select("class").distinct().select("class", F.col("class").alias("target"), F.lit(0).alias("depth"))
     line = fixpoint(start, step, ["class", "target", "depth"])
     declared = methods.select("class", "subsig").distinct()
-    return declared.join(line, "class").join(declared.withColumnRenamed("class", "target"), ["target", "subsig"], "left_semi").select("class", "subsig", "target", "depth")
+    theirs = declared.withColumnRenamed("class", "target").hint("merge")
+    return line.join(declared.hint("merge"), "class").join(theirs, ["target", "subsig"], "left_semi").select("class", "subsig", "target", "depth")
 
 
 def flow_edges(stmts: DataFrame) -> DataFrame:
@@ -202,10 +204,10 @@ def overrides_of(methods: DataFrame, above: DataFrame) -> DataFrame:
     and package-private ones only within their package. ``methods`` has (class, package, subsig, static, access)."""
     able = methods.where(~F.col("static") & (F.col("access") != "private") & ~F.startswith("subsig", F.lit("<")))
     own = able.select("class", "subsig", F.col("package").alias("_own"))
-    chain = override_chain(able, above).where("depth > 0").join(own, ["class", "subsig"])
+    chain = override_chain(able, above).where("depth > 0").join(own.hint("merge"), ["class", "subsig"])
     theirs = able.select(F.col("class").alias("target"), "subsig", "package", "access")
     open_ = (F.col("access") != "package") | (F.col("package") == F.col("_own"))
-    return chain.join(theirs, ["target", "subsig"]).where(open_).select("class", "subsig", "target", "depth")
+    return chain.join(theirs.hint("merge"), ["target", "subsig"]).where(open_).select("class", "subsig", "target", "depth")
 
 
 def counts(classes: DataFrame, methods: DataFrame, stmts: DataFrame, targets: DataFrame) -> DataFrame:

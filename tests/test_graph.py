@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import cycles, layers, loops, project, reach
+from graphloom.operators import cycles, layers, loops, program, project, reach
 from graphloom.plans.fixpoint import NotConverged, fixpoint, improve
 
 #: r→a, a→b, b→a, b→c, c→d, d→d, x→c
@@ -202,3 +203,15 @@ def test_hidden_nodes_that_reach_each_other_are_walked_as_one(spark, monkeypatch
             want |= {(a, b) for b in seen if b % 3}
     assert {(r.src, r.dst) for r in project.project_visible(e, shown).collect()} == want
     assert walked[0].count() < 3 * 200  # 20 hidden nodes, which nearly all sources reach
+
+
+def test_growing_sides_are_never_broadcast(spark):
+    """Climbing a hierarchy sends none of it to the driver, however small Spark takes it to be."""
+    above = spark.range(2, 200).select(F.col("id").alias("class"), F.floor(F.col("id") / 2).alias("super"))
+    methods = spark.range(1, 200).select(F.col("id").alias("class"), (F.col("id") % 3).cast("string").alias("subsig"))
+    chain = program.override_chain(methods, above)
+    assert "Broadcast" not in chain._jdf.queryExecution().executedPlan().toString()
+    want = {(c, str(c % 3), c >> d, d) for c in range(1, 200) for d in range(9) if c >> d and (c >> d) % 3 == c % 3}
+    assert {tuple(r) for r in chain.collect()} == want
+    nearest = {(c, s, min((x for x in want if x[0] == c and x[3]), key=lambda x: x[3])[2]) for c, s, _, d in want if d}
+    assert {tuple(r) for r in program.nearest_override(methods, above).collect()} == nearest
