@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names
 from graphloom.operators import absint, diagrams, hierarchy, patterns, program, subtrees, taint
 from graphloom.plans.checkpoint import cut
+from graphloom.plans.sizes import spread
 from graphloom.queries.flows import table
 
 QUERIES, ORACLES = {}, {}
@@ -88,7 +89,9 @@ def _stmts(spark, sf_dir):
 
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     kind = F.when(F.col("l_discount") >= 0.09, "return").when(F.col("l_returnflag") == "A", "assign").when(F.col("l_returnflag") == "R", "if").when(F.col("l_linestatus") == "F", "goto").otherwise("switch")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("method"), (F.row_number().over(own) - 1).alias("idx"), kind.alias("kind"), (F.col("l_partkey") % 7).cast("int").alias("target"), "l_partkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem")
+    items = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    rows = spread(items, "l_orderkey", rows=items.count()).select(F.col("l_orderkey").alias("method"), (F.row_number().over(own) - 1).alias("idx"), kind.alias("kind"), (F.col("l_partkey") % 7).cast("int").alias("target"), "l_partkey", "l_suppkey")
     jumps = F.when(F.col("kind").isin("if", "goto", "switch"), F.array("target"))
     return rows.withColumns({"targets": jumps, "default_target": F.when(F.col("kind") == "switch", F.lit(0))})
 

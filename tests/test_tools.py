@@ -3,6 +3,7 @@
 import pytest
 
 from graphloom import tools
+from graphloom.plans import sizes
 from graphloom.sources import packets
 from tests.test_sources import facts, jar  # noqa: F401
 
@@ -69,3 +70,10 @@ def test_taint_graph_has_all_members(spark):
     fields = spark.createDataFrame([("C:f", True)], "field string, static boolean")
     nodes, edges = tools.taint_graph(stmts, exprs, fields, spark.createDataFrame([("m", 1)], "method string, n_params int"))
     assert {r.node for r in nodes.collect()} == {"stmt:m:0", "return:m", "static_field:C:f", "throws:m", "parameter:m:0"} and edges.count() == 1
+
+
+def test_spread_follows_the_rows(spark):
+    df = spark.range(100).withColumnRenamed("id", "a")
+    wide = sizes.spread(df, "a", rows=100, most_rows=10)
+    assert wide.rdd.getNumPartitions() == 10 and wide.count() == 100
+    assert sizes.spread(df, "a", rows=100) is df
