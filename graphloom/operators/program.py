@@ -13,7 +13,7 @@ from graphloom.operators.reach import nodes, reachable, reachable_pairs
 from graphloom.operators.records import covering, in_own_pieces
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
-from graphloom.plans.sizes import small_side
+from graphloom.plans.sizes import small_side, spread
 
 
 def supers(classes: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def subtypes(above: DataFrame) -> DataFrame:
     """(class, super): every class with itself and all above it, from (class, super)."""
     edges = above.select(F.col("class").alias("src"), F.col("super").alias("dst"))
     closed = reachable_pairs(edges).select(F.col("src").alias("class"), F.col("dst").alias("super"))
-    return closed.unionByName(nodes(edges).select(F.col("node").alias("class"), F.col("node").alias("super"))).distinct()
+    # No class is above itself but on a cycle, so only what the closure lacks is added.
+    own = nodes(edges).select(F.col("node").alias("class"), F.col("node").alias("super"))
+    return closed.unionByName(own.join(closed.where("class = super").hint("merge"), ["class", "super"], "left_anti"))
 
 
 def class_closure(above: DataFrame, start: DataFrame) -> DataFrame:
