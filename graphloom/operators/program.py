@@ -45,7 +45,10 @@ def cha_targets(calls: DataFrame, methods: DataFrame, subtype: DataFrame) -> Dat
     exact = F.col("kind").isin("static", "special")
     declared = methods.select(F.col("class").alias("target"), "subsig").distinct()
     down = subtype.select(F.col("super").alias("class"), F.col("class").alias("target"))
-    virtual = calls.where(~exact).join(down, "class").join(declared, ["target", "subsig"])
+    n = calls.count()
+    # Only classes that declare a call's subsignature are met: subtypes are joined with declarations first.
+    below = declared.join(spread(down, "target", rows=n).hint("merge"), "target")
+    virtual = spread(calls.where(~exact), "class", "subsig", rows=n).join(below.hint("merge"), ["class", "subsig"])
     direct = calls.where(exact).join(declared.withColumn("class", F.col("target")), ["class", "subsig"])
     return virtual.select(*calls.columns, "target").unionByName(direct.select(*calls.columns, "target"))
 
