@@ -134,13 +134,15 @@ def supergraph(flow: DataFrame, targets: DataFrame, stmts: DataFrame) -> DataFra
     ``targets`` is (method, idx, callee). Falling through a call stays, as the flow graph has it.
     """
     at = lambda m, i: F.struct(F.col(m).alias("method"), F.col(i).alias("idx"))
+    n = stmts.count()
+    targets = spread(targets, "callee", rows=n)
     within = flow.select(at("method", "src").alias("src"), at("method", "dst").alias("dst"), F.lit("flow").alias("kind"))
     entry = stmts.groupBy(F.col("method").alias("callee")).agg(F.min("idx").alias("_first"))
-    call = targets.join(entry, "callee").select(at("method", "idx").alias("src"), at("callee", "_first").alias("dst"), F.lit("call").alias("kind"))
+    call = targets.join(entry.hint("merge"), "callee").select(at("method", "idx").alias("src"), at("callee", "_first").alias("dst"), F.lit("call").alias("kind"))
     leaves = stmts.where(F.col("kind").isin("return", "return_void")).select(F.col("method").alias("callee"), F.col("idx").alias("_last"))
-    after = flow.select("method", F.col("src").alias("idx"), F.col("dst").alias("_next"))
-    back = targets.join(leaves, "callee").join(after, ["method", "idx"]).select(at("callee", "_last").alias("src"), at("method", "_next").alias("dst"), F.lit("return").alias("kind"))
-    return within.unionByName(call).unionByName(back).distinct()
+    after = spread(flow.select("method", F.col("src").alias("idx"), F.col("dst").alias("_next")), "method", "idx", rows=n)
+    back = targets.join(leaves.hint("merge"), "callee").join(after.hint("merge"), ["method", "idx"]).select(at("callee", "_last").alias("src"), at("method", "_next").alias("dst"), F.lit("return").alias("kind"))
+    return spread(within.unionByName(call).unionByName(back), "src", "dst", "kind", rows=3 * n).distinct()
 
 
 TRAP = ("method", "begin_idx", "end_idx", "exception", "ord", "handler_idx")

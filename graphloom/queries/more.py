@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names
 from graphloom.operators import absint, boolean, cycles, hierarchy, program, project, reach, records, taint
 from graphloom.plans.checkpoint import cut
+from graphloom.plans.sizes import spread
 from graphloom.queries.flows import CLOSURE, FLOW, customer_flow, customer_roots, table
 from graphloom.queries.graph import G, R
 from graphloom.queries.program import STMTS, _stmts
@@ -61,6 +62,7 @@ CFG = "s AS (SELECT *, lead(idx) OVER (PARTITION BY method ORDER BY idx) AS afte
 @query(f"WITH {STMTS}, {CFG}, {CALLS}, e AS (SELECT method AS sm, src AS si, method AS dm, dst AS di, 'flow' AS kind FROM cfg UNION SELECT t.method, t.idx, t.callee, f.i, 'call' FROM targets t JOIN (SELECT method, min(idx) AS i FROM stmts GROUP BY 1) f ON f.method = t.callee UNION SELECT t.callee, r.idx, t.method, c.dst, 'return' FROM targets t JOIN stmts r ON r.method = t.callee AND r.kind = 'return' JOIN cfg c ON c.method = t.method AND c.src = t.idx) SELECT * FROM e")
 def supergraph(spark, sf_dir):
     stmts = cut(_stmts(spark, sf_dir))
+    stmts = spread(stmts, "method", rows=stmts.count())
     targets = stmts.where("kind = 'assign'").select("method", "idx", F.col("l_partkey").alias("callee"))
     found = program.supergraph(program.flow_edges(stmts), targets, stmts)
     return found.select(F.col("src.method").alias("sm"), F.col("src.idx").alias("si"), F.col("dst.method").alias("dm"), F.col("dst.idx").alias("di"), "kind")
