@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged
+from graphloom.plans.sizes import spread
 
 TOP = "any"
 
@@ -72,6 +73,7 @@ def run(facts: Facts, entries: DataFrame, max_rounds: int = 200) -> tuple[DataFr
     new_methods = known_methods
     store = flows = edges = None
     delta = None
+    size = facts.copies.count() + facts.alloc.count()  # what rounds are dealt by: pairs and flows known so far
     for _ in range(max_rounds):
         in_new = lambda df, var: df.join(new_methods.select(F.col("method").alias("_m")), owner(var) == F.col("_m"), "left_semi")  # noqa: B023, E731
         seeds = in_new(facts.alloc.select(F.col("var").alias("addr"), F.col("object").alias("value")).unionByName(modelled(facts)), "addr")
@@ -88,16 +90,17 @@ def run(facts: Facts, entries: DataFrame, max_rounds: int = 200) -> tuple[DataFr
         new_edges = static.dropna().distinct()
         new_edges = cut(new_edges if edges is None else new_edges.join(edges, ["site", "method"], "left_anti"))
         edges = new_edges if edges is None else cut(edges.unionByName(new_edges))
-        found = found.unionByName(bind(new_edges)).dropna().distinct()
+        found = spread(found.unionByName(bind(new_edges)).dropna(), "src", "dst", rows=size).distinct()
         new_flows = cut(found if flows is None else found.join(flows, ["src", "dst"], "left_anti"))
         flows = new_flows if flows is None else cut(flows.unionByName(new_flows))
         moved = seeds
         if store is not None:
-            moved = moved.unionByName(store.join(new_flows, store.addr == new_flows.src).select(F.col("dst").alias("addr"), "value"))
-            moved = moved.unionByName(delta.join(flows, delta.addr == flows.src).select(F.col("dst").alias("addr"), "value"))
-        moved = moved.dropna().distinct()
+            moved = moved.unionByName(spread(store, "addr", rows=size).join(new_flows, store.addr == new_flows.src).select(F.col("dst").alias("addr"), "value"))
+            moved = moved.unionByName(spread(delta, "addr", rows=size).join(flows, delta.addr == flows.src).select(F.col("dst").alias("addr"), "value"))
+        moved = spread(moved.dropna(), "addr", "value", rows=size).distinct()
         delta = cut(moved if store is None else moved.join(store, ["addr", "value"], "left_anti"))
         store = delta if store is None else cut(store.unionByName(delta))
+        size = store.count() + flows.count()
         new_methods = cut(new_edges.select("method").distinct().join(known_methods, "method", "left_anti"))
         known_methods = cut(known_methods.unionByName(new_methods))
         if delta.isEmpty() and new_methods.isEmpty() and new_flows.isEmpty():
