@@ -181,7 +181,9 @@ def pieces(begin: Column, end: Column) -> Column:
     high = lambda k: F.call_function("shiftright", end.cast("long"), k)
     odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
     piece = lambda k, at, where: F.when(where & (low(k) < high(k)), F.struct(k.alias("level"), at.alias("piece")))
-    each = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.array(piece(k, low(k), odd(low(k))), piece(k, high(k) - 1, odd(high(k)))))
+    # No piece is longer than the range, so a short one asks for few levels.
+    top = F.least(F.coalesce(F.length(F.bin(F.try_subtract(end.cast("long"), begin.cast("long")))) - 1, F.lit(62)), F.lit(62))
+    each = F.transform(F.sequence(F.lit(0), top), lambda k: F.array(piece(k, low(k), odd(low(k))), piece(k, high(k) - 1, odd(high(k)))))
     return F.filter(F.flatten(each), lambda p: p.isNotNull())
 
 

@@ -116,3 +116,31 @@ def test_lowest_common_ancestors(spark):
             want[g] = common[0]
     found = hierarchy.lowest_common(spark.createDataFrame(rows_, "g int, node int, parent int"), spark.createDataFrame(sets, "g int, node int"), ["g"])
     assert {r.g: r.node for r in found.collect()} == want
+
+
+def test_subtrees_are_numbered_alike_by_every_way(spark):
+    rng = random.Random(16)
+    bushy = {k: rng.choice([None, (k - 1) // 2, 0, k - 1]) if k else None for k in range(300)}
+    for most_nodes, extra in ((0, []), (5, []), (1_000, []), (5, [(k, k - 1) for k in range(1_001, 1_100)])):  # by rounds, in part, in one task, with a chain
+        parents = {**bushy, **dict(extra)}
+        rows_ = spark.createDataFrame([*parents.items(), (2_000, 2_001), (2_001, 2_000), (2_002, 2_001), (3_000, 9_999)], "node int, parent int")
+        ranges = {r.node: r for r in subtrees.numbered(rows_, most_nodes).collect()}
+        lines = {n: [a for a in plain_above(parents, n) if a in parents] for n in parents}
+        assert set(ranges) == {*parents, 3_000}
+        below = {}
+        for n, line in lines.items():
+            for a in line:
+                below.setdefault(a, set()).add(n)
+            assert ranges[n].root == line[-1]
+        for a, inside in below.items():
+            assert {n for n in parents if ranges[n].root == ranges[a].root and ranges[a].first <= ranges[n].first < ranges[a].last} == inside
+            assert ranges[a].last - ranges[a].first == len(inside)
+
+
+def test_earlier_siblings_in_blocks(spark):
+    leaves = spark.range(50).select(F.col("id").alias("node"), (F.col("id") % 2).alias("parent"), (F.col("id") + 1).alias("own"))
+    for most_rows in (3, 100):
+        got = sorted((r.parent, r["_before"], r.own) for r in subtrees._before(leaves, 25, most_rows).collect())
+        for parent in (0, 1):
+            own = [x for x in got if x[0] == parent]
+            assert len(own) == 25 and own[0][1] == 0 and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
