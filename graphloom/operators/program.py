@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.reach import nodes, reachable, reachable_pairs
+from graphloom.operators.reach import dealt, nodes, reachable, reachable_pairs
 from graphloom.operators.records import covering, in_own_pieces
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
@@ -31,6 +31,16 @@ def subtypes(above: DataFrame) -> DataFrame:
     return closed.unionByName(own.join(closed.where("class = super").hint("merge"), ["class", "super"], "left_anti"))
 
 
+def subtypes_of(above: DataFrame, supers: DataFrame) -> DataFrame:
+    """(class, super) as ``subtypes``, but only the pairs under the classes ``supers`` (super), with themselves; a round a level below them."""
+    wanted = cut(supers.select(F.col("super").alias("class"), "super").dropna().distinct())
+    down = dealt(above.select("class", "super").dropna().distinct().select(F.col("super").alias("class"), F.col("class").alias("_below")), ["class"])
+    step = lambda at: at.join(down.hint("merge"), "class").select(F.col("_below").alias("class"), "super")
+    found = fixpoint(wanted, step, ["class", "super"])
+    down.unpersist()
+    return found
+
+
 def class_closure(above: DataFrame, start: DataFrame) -> DataFrame:
     """(node): the start classes (node) and all above them."""
     return reachable(above.select(F.col("class").alias("src"), F.col("super").alias("dst")), start, include_seed=True)
@@ -156,7 +166,7 @@ def handlers(stmts: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFram
     thrown = stmts.select("method", "idx", "thrown")
     covered = covering(thrown, traps if "_piece" in traps.columns else traps.select(*TRAP), ["method"], "idx", "begin_idx", "end_idx")
     fits = subtype.select(F.col("class").alias("thrown"), F.col("super").alias("exception"))
-    met = thrown.distinct().join(covered, ["method", "idx"]).join(fits, ["thrown", "exception"])
+    met = thrown.distinct().join(covered.hint("merge"), ["method", "idx"]).join(fits.hint("merge"), ["thrown", "exception"])
     first = met.groupBy("method", "idx", "thrown").agg(F.min_by("handler_idx", "ord").alias("handler_idx"))
     return thrown.join(first, ["method", "idx", "thrown"], "left")
 

@@ -77,3 +77,13 @@ def test_spread_follows_the_rows(spark):
     wide = sizes.spread(df, "a", rows=100, most_rows=10)
     assert wide.rdd.getNumPartitions() == 10 and wide.count() == 100
     assert sizes.spread(df, "a", rows=100) is df
+
+
+def test_subtypes_of_some_classes_are_those_of_the_closure(spark):
+    from graphloom.operators import program
+
+    above = spark.createDataFrame([(k, k // 2) for k in range(2, 60)] + [(60, 61), (61, 60), (7, 4)], "class long, super long")
+    wanted = spark.createDataFrame([(k,) for k in (1, 4, 30, 60, 99)], "super long")
+    got = [tuple(r) for r in program.subtypes_of(above, wanted).collect()]
+    closed = {tuple(r) for r in program.subtypes(above).collect()}
+    assert sorted(got) == sorted({(c, s) for c, s in closed if s in (1, 4, 30, 60)} | {(99, 99)})
