@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.records import dense_ids
-from graphloom.operators.reach import dealt, reachable, simple, small_graphs
+from graphloom.operators.reach import dealt, large_graphs, reachable, simple, small_graphs
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, fixpoint
 
@@ -123,8 +123,7 @@ def dominators(edges: DataFrame, roots: DataFrame, group: Sequence[str] = (), mo
     ones by joins. Which they are is counted first.
     """
     group = list(group)
-    sizes = simple(edges, group).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    large = cut(sizes.where(F.col("n") > most_edges).drop("n"))
+    large = large_graphs(edges, group, most_edges)
     if large.isEmpty():
         return _dominator_sets(edges, roots, group).select(*group, "node", F.explode("doms").alias("dom"))
     if not group:
@@ -148,6 +147,42 @@ def back_edges(edges: DataFrame, dom: DataFrame, group: Sequence[str]) -> DataFr
     return simple(edges, group).withColumnsRenamed({"src": "latch", "dst": "head"}).join(dom.withColumnsRenamed({"node": "latch", "dom": "head"}), [*group, "latch", "head"], "left_semi").select(*group, "head", "latch")
 
 
+def _retreating(srcs: list, dsts: list, starts: list) -> list[tuple]:
+    """(head, latch) of one small graph."""
+    pairs = sorted(zip(srcs, dsts))
+    above, out = _immediate(sorted(starts), pairs), []
+    for latch, head in pairs:
+        node = latch if latch in above else None
+        while node is not None and node != head:
+            node = above[node]
+        if node is not None:
+            out.append((head, latch))
+    return out
+
+
+def loop_edges(edges: DataFrame, roots: DataFrame, group: Sequence[str], most_edges: int = 200_000) -> DataFrame:
+    """(group, head, latch): ``back_edges`` from the roots (group, node), without a table of all dominators where graphs are small.
+
+    In whatever order nodes stand, a cycle has an edge that doesn't ascend; a graph without one is not looked at.
+    """
+    group, kind = list(group), dict(edges.dtypes)["src"]
+    large = large_graphs(edges, group, most_edges)
+
+    @F.pandas_udf(f"head array<{kind}>, latch array<{kind}>")
+    def solve(srcs: pd.Series, dsts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        found = [_retreating(src.tolist(), dst.tolist(), start.tolist()) for src, dst, start in zip(srcs, dsts, starts)]
+        return pd.DataFrame({"head": [[h for h, _ in pairs] for pairs in found], "latch": [[t for _, t in pairs] for pairs in found]})
+
+    small, some = (edges, roots) if large.isEmpty() else (df.join(large, group, "left_anti") for df in (edges, roots))
+    cyclic = small_graphs(small, group, some, rows=edges.count()).where(F.exists(F.arrays_zip("srcs", "dsts"), lambda e: e["dsts"] <= e["srcs"]))
+    solved = cyclic.select(*group, solve("srcs", "dsts", "starts").alias("s"))
+    found = solved.select(*group, F.explode(F.arrays_zip("s.head", "s.latch")).alias("r")).select(*group, "r.head", "r.latch")
+    if large.isEmpty():
+        return found
+    of = lambda df: df.join(large, group, "left_semi")
+    return found.unionByName(back_edges(of(edges), dominators_by_rounds(of(edges), of(roots), group), group))
+
+
 def _bodies(srcs: list, dsts: list, heads: list, latches: list) -> list[tuple]:
     """(head, member) of the loops of one small graph."""
     before: dict = {}
@@ -183,8 +218,8 @@ def natural_loops(edges: DataFrame, back: DataFrame, group: Sequence[str], most_
     group, kind = list(group), dict(edges.dtypes)["src"]
     if not group:
         return natural_loops_by_rounds(edges, back, group)
-    with_loops = simple(edges, group).join(back.select(*group).distinct(), group, "left_semi")
-    large = cut(with_loops.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).drop("n"))
+    with_loops = edges.select(*group, "src", "dst").join(back.select(*group).distinct(), group, "left_semi")
+    large = large_graphs(with_loops, group, most_edges)
 
     @F.pandas_udf(f"array<struct<head:{kind},member:{kind}>>")
     def solve(srcs: pd.Series, dsts: pd.Series, heads: pd.Series, latches: pd.Series) -> pd.Series:

@@ -14,6 +14,7 @@ from graphloom.operators.loops import immediate_dominators
 from graphloom.operators.patterns import classify_loops, written
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
+from graphloom.plans.sizes import spread
 
 LOOP = ["method", "head"]
 
@@ -47,11 +48,12 @@ def loop_slices(stmts: DataFrame, back: DataFrame) -> DataFrame:
     ends = back.groupBy(*LOOP).agg(F.max("latch").alias("end")).where(F.col("end") >= F.col("head"))
     after = F.lead("idx").over(Window.partitionBy("method").orderBy("idx"))
     own = stmts.select("method", "idx", "kind", "targets", after.alias("after"))
-    inside = own.join(ends, "method").where(F.col("idx").between(F.col("head"), F.col("end")))
+    inside = own.join(ends.hint("merge"), "method").where(F.col("idx").between(F.col("head"), F.col("end")))
     ordered = Window.partitionBy(*LOOP).orderBy("idx")
     stop = F.max(F.when(F.col("idx") == F.col("end"), F.coalesce("after", F.col("end") + 1))).over(Window.partitionBy(*LOOP))
     is_if = F.col("kind") == "if"
     inside = cut(inside.withColumn("stop", stop).withColumn("label", F.when(is_if, label(F.sum(F.when(is_if, 1).otherwise(0)).over(ordered) - 1))))
+    n = 2 * inside.count()  # of edges, switches and ifs of several targets aside
     forward = F.col("targets")[0] > F.col("idx")
     gotos = inside.where("kind = 'goto'").select(*LOOP, "end", "idx", forward.alias("on"), F.col("targets")[0].alias("dst"))
     chains = chased(gotos.where("on").select(*LOOP, F.col("idx").alias("src"), "dst"), LOOP)
@@ -63,10 +65,10 @@ def loop_slices(stmts: DataFrame, back: DataFrame) -> DataFrame:
     jumps = F.when(is_if, F.transform("targets", lambda t: F.struct(t.alias("dst"), F.lit(True).alias("taken"))))
     each = inside.select(*LOOP, "end", "stop", F.col("idx").alias("src"), "label", F.explode(F.array_append(F.coalesce(jumps, F.array().cast("array<struct<dst:int,taken:boolean>>")), falls)).alias("e"))
     each = each.select(*LOOP, "end", "stop", "src", "label", "e.*").where(F.col("dst") > F.col("src"))
-    led = each.join(chains, [*LOOP, "dst"], "left").withColumn("dst", F.coalesce("_last", "dst")).drop("_last")
-    led = cut(led.join(closing, [*LOOP, "dst"], "left"))
+    led = spread(each, *LOOP, "dst", rows=n).join(chains.hint("merge"), [*LOOP, "dst"], "left").withColumn("dst", F.coalesce("_last", "dst")).drop("_last")
+    led = cut(spread(led, *LOOP, "dst", rows=n).join(closing.hint("merge"), [*LOOP, "dst"], "left"))
     left = led.where(F.col("dst") == F.col("stop")).select(*LOOP).distinct().withColumn("_left", F.lit(True))
-    found = led.join(left, LOOP, "left")
+    found = spread(led, *LOOP, rows=n).join(left.hint("merge"), LOOP, "left")
     exit_ = F.when(F.col("_left"), F.col("stop")).otherwise(F.col("end"))
     kept = found.where(F.col("_back").isNull() | (F.col("_left").isNull() & (F.col("dst") == F.col("end"))))
     return kept.select(*LOOP, "src", "dst", "label", "taken", (F.col("dst") == exit_).alias("exits")).distinct()

@@ -84,7 +84,7 @@ def _back(spark, sf_dir):
     stmts = _stmts(spark, sf_dir)
     flow = cut(program.flow_edges(stmts))
     roots = stmts.groupBy("method").agg(F.min("idx").alias("node"))
-    return stmts, flow, cut(loops.back_edges(flow, loops.dominators(flow, roots, M), M))
+    return stmts, flow, cut(loops.loop_edges(flow, roots, M))
 
 
 @query(f"{R}{SLICES} SELECT DISTINCT * FROM slices")

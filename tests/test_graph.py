@@ -215,3 +215,13 @@ def test_growing_sides_are_never_broadcast(spark):
     assert {tuple(r) for r in chain.collect()} == want
     nearest = {(c, s, min((x for x in want if x[0] == c and x[3]), key=lambda x: x[3])[2]) for c, s, _, d in want if d}
     assert {tuple(r) for r in program.nearest_override(methods, above).collect()} == nearest
+
+
+@pytest.mark.parametrize("most_edges", [200_000, 3, 0])
+def test_loop_edges_are_edges_to_dominators(spark, most_edges):
+    rng = random.Random(12)
+    pairs = [(g, f"n{rng.randrange(8)}", f"n{rng.randrange(8)}") for g in range(12) for _ in range(1 + g)] + [(50, "a", "b"), (50, "b", "c"), (51, "a", "a"), (51, "b", "b")]
+    e = spark.createDataFrame([*pairs, *pairs[:5], (1, "n1", None)], "g int, src string, dst string")
+    starts = spark.createDataFrame([(g, n) for g in range(12) for n in ("n0", "n1")] + [(50, "a"), (51, "a")], "g int, node string")
+    got = rows(loops.loop_edges(e, starts, G, most_edges), "g", "head", "latch")
+    assert got == rows(loops.back_edges(e, loops.dominators(e, starts, G), G), "g", "head", "latch") and (51, "a", "a") in got and (51, "b", "b") not in got
