@@ -144,3 +144,40 @@ def test_earlier_siblings_in_blocks(spark):
         for parent in (0, 1):
             own = [x for x in got if x[0] == parent]
             assert len(own) == 25 and own[0][1] == 0 and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
+
+
+def plain_cleaned(pairs, library):
+    """What ``cleaned`` gives, node by node."""
+    now = set(pairs)
+    for near, far in ((0, 1), (1, 0)):
+        while gone := {p for p in now if p[near] in library and p[near] not in {q[far] for q in now}}:
+            now -= gone
+    of = lambda n, i: [p for p in now if p[i] == n]
+    thin = {n for p in now for n in p if len(of(n, 0)) == len(of(n, 1)) == 1}
+    out = set()
+    for a, b in now:
+        while a not in thin and b in thin:
+            b = of(b, 0)[0][1]
+        out |= set() if a in thin else {(a, b)}
+    return sorted(out)
+
+
+def test_cleaned_as_node_by_node(spark):
+    """Rings, self-loops, parallel ways; ways that share their ends."""
+    for seed in range(6):
+        rng = random.Random(seed)
+        pairs = [(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range((20, 30, 45)[seed % 3])]
+        pairs += [("k0", "k1"), ("k1", "k2"), ("k2", "k0"), ("s", "s"), ("t", "u"), ("u", "v"), ("t", "v"), ("t", "t"), ("v", "v"), *pairs[:3]]
+        library = [n for n in sorted({n for p in pairs for n in p}) if rng.random() < 0.8 or n == "k1"]
+        got = taint.cleaned(edges(spark, *pairs, ("n00", None)), nodes(spark, *library))
+        assert rows(got, "src", "dst") == plain_cleaned(pairs, set(library)), seed
+
+
+def test_cleaned_takes_few_jobs_for_long_chains(spark):
+    """A chain closes in as many rounds as the logarithm of its length; it took one for each of its nodes."""
+    n, context = 40, spark.sparkContext
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    context.setJobGroup("chain", "chain")
+    assert rows(taint.cleaned(e, spark.range(1000, 1001).toDF("node")), "src", "dst") == [(0, n)]
+    assert len(context.statusTracker().getJobIdsForGroup("chain")) < 100
+    context.setLocalProperty("spark.jobGroup.id", None)
