@@ -40,6 +40,26 @@ def test_taint_rules(spark):
     assert ("stmt:m:2", "return:m", "Return") not in set(rows(taint.taint_edges(stmts, exprs, strict=True), "src", "dst", "rel"))
 
 
+def test_taint_edges_are_compiled(spark):
+    """No function over arrays, which Spark interprets row by row, stands between facts and edges; edges of lambdas and arrays."""
+    stmts = spark.createDataFrame([("m", 0, "assign"), ("m", 1, "assign")], "method string, idx int, kind string")
+    e = [
+        ("m", 0, 0, None, None, "lhs", "array_ref", "a[i]", "int", None, None), ("m", 0, 1, 0, 0, "lhs", "local", "a", None, None, None), ("m", 0, 2, 0, 1, "lhs", "local", "i", None, None, None),
+        ("m", 0, 3, None, None, "rhs", "lambda", "l", None, "L", "I"), ("m", 0, 4, 3, -1, "rhs", "this", "this", None, None, None), ("m", 0, 5, 3, 0, "rhs", "local", "b", None, None, None),
+        ("m", 1, 0, None, None, "rhs", "new_multi_array", "n", "int", None, None), ("m", 1, 1, 0, 1, "rhs", "parameter", "p", None, None, None), ("m", 9, 0, None, None, "rhs", "new", "no statement", None, None, None),
+    ]
+    exprs = spark.createDataFrame(e, "method string, idx int, expr_id int, parent_id int, pos int, side string, kind string, text string, type string, callee string, field string")
+    df = taint.taint_edges(stmts, exprs)
+    assert "lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString()
+    v, at = "value:m:", "stmt:m:0"
+    assert {tuple(r) for r in df.collect()} == {
+        (at, v + "a[i]", "Lhs", None), (v + "a[i]", "array_ref:int", "ArrayRef", None), (v + "a", v + "a[i]", "ArrayBase", None), (v + "i", v + "a[i]", "ArrayIndex", None),
+        ("local:m:a", v + "a", "Ref", None), ("local:m:i", v + "i", "Ref", None), ("local:m:b", v + "b", "Ref", None), ("this:m", v + "this", "Ref", None), ("parameter:m:1", v + "p", "Ref", None),
+        ("lambda:m:0", at, "LambdaClosure", None), ("return:L", "return:I", "LambdaReturn", None), (v + "this", "parameter:L:0", "LambdaCaptureThis", None), (v + "b", "parameter:L:0", "LambdaCapture", 0),
+        (v + "this", at, "LambdaCaptureDependency", None), (v + "b", at, "LambdaCaptureDependency", None), ("new_array:m:1", "stmt:m:1", "NewMultiArray", None), (v + "p", "new_array:m:1", "NewMultiArraySize", 1),
+    }
+
+
 def holds(terms, value):
     return any(all(value[x.lstrip("!")] != x.startswith("!") for x in t) for t in terms)
 
