@@ -12,6 +12,7 @@ from graphloom.operators.records import dense_ids
 from graphloom.operators.reach import dealt, large_graphs, reachable, simple, small_graphs
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import NotConverged, fixpoint
+from graphloom.plans.sizes import kept, small_side
 
 
 def _immediate(roots: list, pairs: list[tuple]) -> dict:
@@ -85,34 +86,41 @@ def dominators_by_rounds(edges: DataFrame, roots: DataFrame, group: Sequence[str
     A node's dominators are among the nodes of any path to it, so those of one shortest path are where they
     begin. A candidate stays while every edge into the node comes from a node that has it, too; what goes takes
     along, in the next round, what rested on it. Rounds are as many as the longest way such news travel.
+    Edges and candidates are dealt once and held; a round moves only what it found.
     """
-    own = cut(simple(edges, group).where(F.col("src") != F.col("dst")))
-    start = roots.select(*group, "node").dropna().distinct()
-    entry = cut(start)
-    paths = new = cut(start.withColumn("dom", F.col("node")))
-    for _ in range(max_rounds):  # breadth first: each new node takes the path of its least parent
-        reached = paths.select(*group, "node").distinct()
-        last = new.select(*group, "node").distinct().withColumnRenamed("node", "src")
-        up = own.join(last, [*group, "src"], "left_semi").join(reached.withColumnRenamed("node", "dst"), [*group, "dst"], "left_anti").groupBy(*group, "dst").agg(F.min("src").alias("src"))
-        found = up.join(new.withColumnsRenamed({"node": "src"}), [*group, "src"]).select(*group, F.col("dst").alias("node"), "dom")
-        new = cut(found.unionByName(up.select(*group, F.col("dst").alias("node"), F.col("dst").alias("dom"))))
+    keys, pair, at = [*group, "node"], [*group, "node", "dom"], [*group, "src"]
+    own = kept(edges.select(*group, "src", "dst").dropna().where(F.col("src") != F.col("dst")), *at, rows=edges.count())
+    entry = cut(roots.select(*keys).dropna().distinct())
+    tree = new = cut(entry.withColumn("up", F.lit(None).cast(dict(entry.dtypes)["node"])))
+    for round_ in range(max_rounds):  # breadth first: each new node has its least parent above it
+        ends = own.join(new.select(*group, F.col("node").alias("src")).hint("merge"), at).groupBy(*group, F.col("dst").alias("node")).agg(F.min("src").alias("up"))
+        new = cut(ends.join(tree.hint("merge"), keys, "left_anti"))
         if new.isEmpty():
             break
-        paths = cut(paths.unionByName(new))
-    live = paths.select(*group, F.col("node").alias("src")).distinct()
-    into = cut(own.join(live, [*group, "src"], "left_semi").join(entry.withColumnRenamed("node", "dst"), [*group, "dst"], "left_anti"))
-    known, keys = paths, [*group, "node", "dom"]
-    own_pairs = [F.col("node") == F.col("dom")]
+        tree = cut(tree.unionByName(new)) if round_ % 8 == 7 else tree.unionByName(new)
+    tree = cut(tree)
+    known, jump = cut(tree.select(*keys, F.col("node").alias("dom"))), cut(tree.dropna(subset=["up"]))
+    while not jump.isEmpty():  # all nodes above, twice as far each round
+        further = jump.join(known.withColumnRenamed("node", "up").hint("merge"), [*group, "up"]).select(*pair)
+        known = cut(known.unionByName(further))
+        jump = cut(jump.join(jump.select(*group, F.col("node").alias("up"), F.col("up").alias("_up")).hint("merge"), [*group, "up"]).select(*keys, F.col("_up").alias("up")))
+    known = dealt(known, pair)
+    live = tree.select(*group, F.col("node").alias("src"))
+    into = own.join(live.hint("merge"), at, "left_semi").join(small_side(entry.withColumnRenamed("node", "dst")), [*group, "dst"], "left_anti").persist()
+    into.count(), own.unpersist()
     # How many edges into a node lack a candidate: counted once, then brought up to date by what went.
     n_in = into.groupBy(*group, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
-    having = into.join(known.withColumnRenamed("node", "src"), [*group, "src"]).groupBy(*group, F.col("dst").alias("node"), "dom").agg(F.count(F.lit(1)).alias("n_have"))
-    gone = cut(known.where(~own_pairs[0]).join(n_in, [*group, "node"]).join(having, keys, "left").where(F.coalesce("n_have", F.lit(0)) < F.col("n_in")).select(*keys))
-    for _ in range(max_rounds):
+    having = into.join(known.withColumnRenamed("node", "src").hint("merge"), at).groupBy(*group, F.col("dst").alias("node"), "dom").agg(F.count(F.lit(1)).alias("n_have"))
+    gone = cut(known.where("node != dom").join(n_in.hint("merge"), keys).join(having.hint("merge"), pair, "left").where(F.coalesce("n_have", F.lit(0)) < F.col("n_in")).select(*pair))
+    out = gone
+    for round_ in range(max_rounds):
         if gone.isEmpty():
-            return known
-        known = cut(known.join(gone, keys, "left_anti"))
-        news = into.join(gone.withColumnRenamed("node", "src"), [*group, "src"]).select(*group, F.col("dst").alias("node"), "dom").distinct()
-        gone = cut(news.where(~own_pairs[0]).join(known, keys, "left_semi"))
+            left = cut(known.join(out.hint("merge"), pair, "left_anti"))
+            known.unpersist(), into.unpersist()
+            return left
+        news = into.join(gone.withColumnRenamed("node", "src").hint("merge"), at).select(*group, F.col("dst").alias("node"), "dom").where("node != dom").distinct()
+        gone = cut(news.join(known.hint("merge"), pair, "left_semi").join(out.hint("merge"), pair, "left_anti"))
+        out = cut(out.unionByName(gone)) if round_ % 8 == 7 else out.unionByName(gone)
     raise NotConverged("dominators")
 
 

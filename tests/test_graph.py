@@ -225,3 +225,17 @@ def test_loop_edges_are_edges_to_dominators(spark, most_edges):
     starts = spark.createDataFrame([(g, n) for g in range(12) for n in ("n0", "n1")] + [(50, "a"), (51, "a")], "g int, node string")
     got = rows(loops.loop_edges(e, starts, G, most_edges), "g", "head", "latch")
     assert got == rows(loops.back_edges(e, loops.dominators(e, starts, G), G), "g", "head", "latch") and (51, "a", "a") in got and (51, "b", "b") not in got
+
+
+def test_dominators_by_rounds_moves_only_what_it_finds(spark):
+    """A chain with a side entry, a ring and parts that no root reaches; candidates come by doubling instead of in every round."""
+    rng, context = random.Random(3), spark.sparkContext
+    pairs = [(k, k + 1) for k in range(24)] + [(3, 9), (9, 4), (30, 31), (31, 30), (24, 24), (5, 0)] + [(rng.randrange(40, 400), rng.randrange(40, 400)) for _ in range(900)]
+    one = spark.createDataFrame(pairs, "src long, dst long")
+    context.setJobGroup("doms", "doms")
+    got = rows(loops.dominators_by_rounds(one, spark.range(1).toDF("node")), "node", "dom")
+    n_jobs = len(context.statusTracker().getJobIdsForGroup("doms"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain_dominators(set(pairs), [0])
+    assert (9, 4) not in got and (9, 3) in got and (24, 3) in got
+    assert n_jobs < 220  # 263 with candidates joined in every round
