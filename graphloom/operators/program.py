@@ -13,7 +13,7 @@ from graphloom.operators.reach import dealt, nodes, reachable, reachable_pairs
 from graphloom.operators.records import covering, in_own_pieces
 from graphloom.plans.checkpoint import cut
 from graphloom.plans.fixpoint import fixpoint
-from graphloom.plans.sizes import small_side, spread
+from graphloom.plans.sizes import fits, small_side, spread
 
 
 def supers(classes: DataFrame) -> DataFrame:
@@ -41,6 +41,14 @@ def subtypes_of(above: DataFrame, supers: DataFrame) -> DataFrame:
     return found
 
 
+def supers_of(above: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, super) as ``subtypes``, but only of the classes (class), with themselves; a round a level above them."""
+    up = above.select(F.col("class").alias("super"), F.col("super").alias("_up")).dropna().distinct()
+    up = cut(up).hint("merge")  # not sent to the driver in every round
+    step = lambda at: at.join(up, "super").select("class", F.col("_up").alias("super"))
+    return fixpoint(classes.select("class", F.col("class").alias("super")), step, ["class", "super"])
+
+
 def class_closure(above: DataFrame, start: DataFrame) -> DataFrame:
     """(node): the start classes (node) and all above them."""
     return reachable(above.select(F.col("class").alias("src"), F.col("super").alias("dst")), start, include_seed=True)
@@ -171,30 +179,49 @@ def handlers(stmts: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFram
     return thrown.join(first, ["method", "idx", "thrown"], "left")
 
 
+def _longer_ways(calls: DataFrame, doublings: int = 2, most: int = 8) -> DataFrame:
+    """(callee, method, _taken): ``calls`` and, as long as they are ``most`` times as many at the most, ways over two, then up to four calls, with what is taken on the way."""
+    ways = cut(calls.distinct())
+    n = most * ways.count()
+    for _ in range(doublings):
+        on = ways.select(F.col("callee").alias("method"), F.col("method").alias("_on"), F.col("_taken").alias("_more"))
+        longer = ways.join(on.hint("merge"), "method").select("callee", F.col("_on").alias("method"), F.array_sort(F.array_union("_taken", "_more")).alias("_taken"))
+        if not fits(longer, n):
+            break
+        ways = cut(ways.unionByName(longer).distinct())
+    return ways
+
+
 def unwound(thrown: DataFrame, calls: DataFrame, traps: DataFrame, subtype: DataFrame) -> DataFrame:
     """(method, idx, thrown, handler_idx): where exceptions arrive, and the handler that takes them there.
 
     They arrive at their statement (method, idx, thrown) and, where no trap takes them, at the statements (method,
     idx, callee) that call the method; each statement once for a type, so recursion ends. A null handler at a
     statement of a method that nothing calls is an error of the program.
+
+    What the traps over a statement take is found once, before the rounds; these only tell which types leave which
+    called methods, and go up to four calls at a time. The handlers where the types arrive come at the end, all at once.
     """
-    callers = cut(calls.select(F.col("callee").alias("_m"), F.col("method").alias("_caller"), F.col("idx").alias("_at")))
+    start = cut(thrown.select("method", "idx", "thrown").dropna().distinct())
+    calls = cut(calls.select("method", "idx", "callee").dropna().distinct())
     traps = in_own_pieces(traps.select(*TRAP), "begin_idx", "end_idx")
-    # Types only travel: rounds need the classes above those thrown at the start, not the whole hierarchy.
-    types = small_side(cut(thrown.select(F.col("thrown").alias("class")).distinct()))
-    subtype = small_side(cut(subtype.join(types, "class", "left_semi")))
-    found = []
-
-    def step(at: DataFrame) -> DataFrame:
-        met = cut(handlers(at, traps, subtype))
-        found.append(met)
-        leaving = met.where(F.col("handler_idx").isNull()).select(F.col("method").alias("_m"), "thrown").distinct()
-        return leaving.join(callers.hint("merge"), "_m").select(F.col("_caller").alias("method"), F.col("_at").alias("idx"), "thrown")
-
-    fixpoint(thrown, step, ["method", "idx", "thrown"])
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
+    # Types only travel: what is above those thrown at the start is all that the rounds ask for.
+    types = small_side(cut(start.select(F.col("thrown").alias("class")).distinct()))
+    subtype = cut(subtype.select("class", "super").join(types, "class", "left_semi"))
+    above = small_side(cut(subtype.groupBy(F.col("class").alias("thrown")).agg(F.collect_set("super").alias("_above"))))
+    sites = start.select("method", "idx").unionByName(calls.select("method", "idx")).distinct()
+    taken = cut(covering(sites, traps, ["method"], "idx", "begin_idx", "end_idx").groupBy("method", "idx").agg(F.array_sort(F.collect_set("exception")).alias("_taken")))
+    at = lambda df: df.join(taken.hint("merge"), ["method", "idx"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast(dict(taken.dtypes)["_taken"])))
+    free = lambda df: df.join(above, "thrown", "left").where(~F.coalesce(F.arrays_overlap("_taken", "_above"), F.lit(False)))
+    # What leaves a method matters only where something calls it.
+    called = calls.select(F.col("callee").alias("method")).distinct().hint("merge")
+    ways = _longer_ways(at(calls.join(called, "method", "left_semi")).select("callee", "method", "_taken"))
+    callers = dealt(ways.select(F.col("callee").alias("_m"), F.col("method").alias("_caller"), "_taken"), ["_m"])
+    step = lambda gone: free(gone.withColumnRenamed("method", "_m").join(callers.hint("merge"), "_m")).select(F.col("_caller").alias("method"), "thrown")
+    left = fixpoint(free(at(start.join(called, "method", "left_semi"))), step, ["method", "thrown"])
+    met = calls.join(left.withColumnRenamed("method", "callee").hint("merge"), "callee").select("method", "idx", "thrown")
+    out = handlers(cut(start.unionByName(met).distinct()), traps, subtype)
+    callers.unpersist()
     return out
 
 

@@ -194,21 +194,21 @@ CAUGHT = "EXISTS (SELECT 1 FROM traps t JOIN subtype s ON s.super = t.exception
 
 
 def _trapped(spark, sf_dir):
-    """(statements with their part, traps, pairs of class and superclass)."""
+    """(statements with their part, traps, pairs of class and superclass, classes)."""
     stmts = cut(_stmts(spark, sf_dir))
     begin = F.col("l_suppkey") % 4
     traps = stmts.select("method", F.col("idx").alias("ord"), begin.alias("begin_idx"), (begin + 1 + F.col("l_partkey") % 3).alias("end_idx"), (1 + F.col("l_suppkey") % 8).alias("exception"), F.col("target").alias("handler_idx"))
     above = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("class"), F.floor(F.col("p_partkey") / 2).alias("super"))
-    # Only what traps name can take anything: pairs under other classes are not built.
-    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("super"))
-    named = traps.select(F.col("exception").alias("super")).distinct()
-    return stmts, traps, cut(program.subtypes_of(above, named).join(known.withColumnRenamed("super", "class").hint("merge"), "class", "left_semi"))
+    return stmts, traps, above, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("class"))
 
 
 @query(f"{R}{TRAPS} SELECT x.method, x.idx, x.l_partkey AS thrown, min_by(t.handler_idx, t.ord) FILTER (s.class IS NOT NULL) AS handler_idx FROM stmts x LEFT JOIN traps t ON t.method = x.method AND x.idx >= t.begin_idx AND x.idx < t.end_idx LEFT JOIN subtype s ON s.class = x.l_partkey AND s.super = t.exception GROUP BY ALL")
 def exception_handlers(spark, sf_dir):
     """What takes an exception of its part's class at each item."""
-    stmts, traps, subtype = _trapped(spark, sf_dir)
+    stmts, traps, above, known = _trapped(spark, sf_dir)
+    # Only what traps name can take anything: pairs under other classes are not built.
+    named = traps.select(F.col("exception").alias("super")).distinct()
+    subtype = cut(program.subtypes_of(above, named).join(known.hint("merge"), "class", "left_semi"))
     return program.handlers(stmts.withColumn("thrown", F.col("l_partkey")), traps, subtype)
 
 
@@ -219,9 +219,11 @@ def exception_handlers(spark, sf_dir):
 )
 def unwound_exceptions(spark, sf_dir):
     """Where exceptions thrown at returns arrive, items being calls of the order with their part's number."""
-    stmts, traps, subtype = _trapped(spark, sf_dir)
+    stmts, traps, above, known = _trapped(spark, sf_dir)
     thrown = stmts.where("kind = 'return'").select("method", "idx", (1 + F.col("l_partkey") % 50).alias("thrown"))
     calls = stmts.where("kind = 'assign'").select("method", "idx", F.col("l_partkey").alias("callee"))
+    # The classes above what is thrown are all that can take it.
+    subtype = program.supers_of(above, known.join(thrown.select(F.col("thrown").alias("class")).distinct(), "class", "left_semi"))
     return program.unwound(thrown, calls, traps, subtype)
 
 

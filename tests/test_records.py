@@ -77,6 +77,33 @@ def test_handlers_unwind(spark):
     assert arrived == {("m", 1, "Ex"): 8, ("m", 1, "Npe"): 7, ("m", 5, "Npe"): None, ("main", 3, "Npe"): None}
 
 
+def test_unwinding_like_plain_rounds(spark, monkeypatch):
+    """Random calls, and a chain of 40: what plain Python finds, in fewer rounds than the chain has calls."""
+    rng = random.Random(4)
+    above = {"Npe": ["Npe", "Ex"], "Io": ["Io", "Ex"], "Ex": ["Ex"]}
+    calls = [(f"c{k + 1}", 2, f"c{k}") for k in range(40)] + [(f"m{rng.randrange(20)}", rng.randrange(6), f"m{rng.randrange(20)}") for _ in range(60)]
+    thrown = [("c0", 1, "Npe"), ("c0", 1, "Io")] + [(f"m{rng.randrange(20)}", rng.randrange(6), rng.choice(list(above))) for _ in range(12)]
+    traps = [("c20", 0, 5, "Io", 0, 9)] + [(f"m{rng.randrange(20)}", b, b + rng.randint(1, 3), rng.choice(list(above)), o, 10 + o) for o, b in enumerate(rng.randrange(5) for _ in range(25))]
+    first = lambda m, i, t: next((h for n, b, e, x, o, h in sorted(traps, key=lambda r: r[4]) if n == m and b <= i < e and x in above[t]), None)
+    want, todo = {}, list(thrown)
+    while todo:
+        m, i, t = todo.pop()
+        if (m, i, t) not in want:
+            want[m, i, t] = first(m, i, t)
+            todo += [] if want[m, i, t] is not None else [(n, j, t) for n, j, callee in calls if callee == m]
+    rounds, plain = [], program.fixpoint
+    monkeypatch.setattr(program, "fixpoint", lambda seed, step, keys: plain(seed, lambda at: rounds.append(1) or step(at), keys))
+    frame = spark.createDataFrame
+    found = program.unwound(
+        frame(thrown, "method string, idx int, thrown string"), frame(calls, "method string, idx int, callee string"),
+        frame(traps, "method string, begin_idx int, end_idx int, exception string, ord int, handler_idx int"), frame([(c, s) for c, ss in above.items() for s in ss], "class string, super string"),
+    )
+    got = found.collect()
+    assert {(r.method, r.idx, r.thrown): r.handler_idx for r in got} == want and len(got) == len(want)
+    assert want["c40", 2, "Npe"] is None and want["c20", 2, "Io"] == 9 and ("c21", 2, "Io") not in want
+    assert len(rounds) < 30
+
+
 def test_ranges_by_pieces_like_comparisons(spark):
     rng = random.Random(5)
     ranges = [(rng.choice("ab"), o, b, b + rng.choice([0, 1, 2, 3, 50, 1000, 10**12]), o * 7) for o, b in enumerate(rng.choice([-(10**12), rng.randint(-40, 40)]) for _ in range(60))]
