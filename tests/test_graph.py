@@ -205,6 +205,48 @@ def test_hidden_nodes_that_reach_each_other_are_walked_as_one(spark, monkeypatch
     assert walked[0].count() < 3 * 200  # 20 hidden nodes, which nearly all sources reach
 
 
+@pytest.mark.parametrize("most", [1_000, 2])
+def test_sources_of_the_same_hidden_nodes_are_walked_once(spark, monkeypatch, most):
+    """Many sources lead to few sets of hidden nodes: rows are told of each, but walked for one of them; nothing is found twice."""
+    rng, walked = random.Random(5), []
+    through = project.fixpoint
+    monkeypatch.setattr(project, "fixpoint", lambda *args: walked.append(through(*args)) or walked[-1])
+    pairs = [(a, b) for a in range(400, 1300) if a % 3 for b in ((3, 6), (9,), (6, 12, 15))[a % 7 % 3]] + [(a, rng.randrange(60)) for a in range(60) for _ in range(2)]
+    found = [tuple(r) for r in project.project_visible(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(i,) for i in range(1300) if i % 3], "node long"), most=most).collect()]
+    ahead, want = {}, set()
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    for a in ahead:
+        seen, at = set(), list(ahead[a]) if a % 3 else []
+        while at:
+            b = at.pop()
+            if b not in seen:
+                seen.add(b)
+                at += [] if b % 3 else ahead.get(b, ())
+        want |= {(a, b) for b in seen if b % 3}
+    assert set(found) == want and len(found) == len(want)
+    assert most == 2 or walked[0].count() < 600  # 600 sources lead to hidden nodes
+
+
+def test_projection_of_groups_like_groups_of_the_projection(spark, monkeypatch):
+    """Random graphs, and nodes that come back to themselves by hidden ones of several components: equal to the quotient, without walks from nodes where a group has one."""
+    rng = random.Random(8)
+    for extra in ([], [(1, 300), (300, 303), (303, 1)], [(2, 306), (306, 2), (5, 300), (300, 309), (309, 312), (312, 5), (7, 7)]):
+        pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(rng.choice([60, 260]))] + extra
+        e = spark.createDataFrame(pairs, "src long, dst long")
+        shown = spark.createDataFrame([(i,) for i in range(400) if i % 3], "node long")
+        of = spark.createDataFrame([(i, i % 11) for i in range(400) if i % 13], "node long, component long")
+        got = rows(project.project_grouped(e, shown, of), "src", "dst")
+        want = rows(cycles.quotient(project.project_visible(e, shown), of)[0], "src", "dst")
+        assert got == want and want
+    walked, through = [], project.fixpoint
+    monkeypatch.setattr(project, "fixpoint", lambda *args: walked.append(through(*args)) or walked[-1])
+    many = spark.createDataFrame([(a, 3) for a in range(1000) if a % 3] + [(3, a) for a in range(1000) if a % 3], "src long, dst long")
+    nodes_ = spark.createDataFrame([(i,) for i in range(1000) if i % 3], "node long")
+    assert project.project_grouped(many, nodes_, nodes_.selectExpr("node", "node % 5 AS component")).count() == 25
+    assert sum(w.count() for w in walked) == 5
+
+
 def test_growing_sides_are_never_broadcast(spark):
     """Climbing a hierarchy sends none of it to the driver, however small Spark takes it to be."""
     above = spark.range(2, 200).select(F.col("id").alias("class"), F.floor(F.col("id") / 2).alias("super"))
