@@ -40,6 +40,30 @@ def test_taint_rules(spark):
     assert ("stmt:m:2", "return:m", "Return") not in set(rows(taint.taint_edges(stmts, exprs, strict=True), "src", "dst", "rel"))
 
 
+def test_dealt_facts_are_moved_only_for_edges_between_statements(spark):
+    """Facts dealt by idx and method: what stands at a statement isn't moved again, and equal edges are told apart in one exchange; repeated facts give each edge once."""
+    deal = lambda df: df.repartition(3, "idx", "method")
+    stmts = spark.createDataFrame([(m, i, "throw" if i % 5 == 0 else "assign") for m in "ab" for i in range(20)] * 2, "method string, idx int, kind string")
+    each = lambda m, i: [(m, i, 0, None, None, "lhs", "local", "x", None, None, None), (m, i, 1, None, None, "rhs", "invoke", f"c{i}", None, "f", None), (m, i, 2, 1, -1, "rhs", "local", "w", None, None, None), (m, i, 3, 1, 0, "rhs", "local", "w", None, None, None), (m, i, 4, 1, 1, "rhs", "local", "w", None, None, None)]
+    facts = [row for m in "ab" for i in range(20) for row in each(m, i)]
+    exprs = spark.createDataFrame(facts * 2, "method string, idx int, expr_id int, parent_id int, pos int, side string, kind string, text string, type string, callee string, field string")
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = taint.taint_edges(deal(stmts), deal(exprs))
+        assert df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 1
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    want = set()
+    for m in "ab":
+        for i in range(20):
+            s_, x, w = f"stmt:{m}:{i}", f"value:{m}:x", f"value:{m}:w"
+            want |= {(s_, x, "Lhs", None), (x, f"local:{m}:x", "Ref", None), ("return:f", s_, "Result", None), (f"local:{m}:w", w, "Ref", None), (w, s_, "InvokeBase", None), (w, s_, "ParametersDependency", None), (w, "parameter:f:0", "Argument", 0), (w, "parameter:f:1", "Argument", 1)}
+            want |= {(s_, f"throws:{m}", "Throws", None)} if i % 5 == 0 else set()
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_taint_edges_are_compiled(spark):
     """No function over arrays, which Spark interprets row by row, stands between facts and edges; edges of lambdas and arrays."""
     stmts = spark.createDataFrame([("m", 0, "assign"), ("m", 1, "assign")], "method string, idx int, kind string")
