@@ -247,6 +247,18 @@ def test_projection_of_groups_like_groups_of_the_projection(spark, monkeypatch):
     assert sum(w.count() for w in walked) == 5
 
 
+@pytest.mark.parametrize("most_edges", [1_000, 3, 0])
+def test_pairs_of_small_graphs_keep_no_rounds(spark, monkeypatch, most_edges):
+    """Graphs in rows and by rounds give the same pairs; those in rows leave nothing but their count in the checkpoints."""
+    rng, cuts, plain = random.Random(6), [], reach.cut
+    graphs = {2**60 + g: {(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}") for _ in range(1 + g % 9)} for g in range(30)} | {5: {(f"c{k}", f"c{k + 1}") for k in range(50)}, 6: {("a", "a")}}
+    e = spark.createDataFrame([(g, a, b) for g, ps in graphs.items() for a, b in ps] + [(6, "a", "a"), (6, "b", None), (None, "a", "b")], "g long, src string, dst string")
+    monkeypatch.setattr(reach, "cut", lambda df: cuts.append(1) or plain(df))
+    got = [tuple(r) for r in reach.reachable_pairs(e, G, most_edges=most_edges).select("g", "src", "dst").collect()]
+    assert set(got) == {(g, a, b) for g, ps in graphs.items() for a, b in closure(ps)} and len(got) == len(set(got))
+    assert len(cuts) == 1 or most_edges < 1_000
+
+
 def test_growing_sides_are_never_broadcast(spark):
     """Climbing a hierarchy sends none of it to the driver, however small Spark takes it to be."""
     above = spark.range(2, 200).select(F.col("id").alias("class"), F.floor(F.col("id") / 2).alias("super"))
